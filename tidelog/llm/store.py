@@ -1,0 +1,37 @@
+"""Written intermediate tables in the folder that all executors share."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's `spark.checkpoint.dir`; where it is unset (tests, one machine) a temporary folder is set once."""
+    sc = spark.sparkContext
+    configured = sc.getConf().get("spark.checkpoint.dir")
+    if configured:
+        return configured
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """`df` as a Parquet table in the shared folder: lineage ends here and a lost executor costs no recomputation."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete written tables that no later job reads."""
+    for df in tables:
+        for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/table-" not in name:
+                raise ValueError(f"not a written table: {name}")
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
