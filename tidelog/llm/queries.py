@@ -5,7 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import exact, secrets
+from tidelog.llm import exact, secrets, token_counts
+
+
+#: Vocabulary files; set before calling the queries to use others.
+VOCABULARIES = {"byte": "byte_bpe_50k.json", "piece": "piece_bpe_32k.model"}
+
+
+def vocabulary(kind: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(VOCABULARIES[kind])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,7 +38,12 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"), keep="max", normalise=exact.ascii_lower)
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scans, op7_exact_dedup)}
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
+QUERIES = {f.__name__: f for f in (op2_secret_scans, op7_exact_dedup, op9_token_counts)}
 
 ORACLE_SQL = {
     "op7_exact_dedup": """

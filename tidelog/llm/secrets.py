@@ -119,6 +119,12 @@ def least_log_sum(value: Column, of: EntropyClass) -> Column:
     return F.aggregate(codes, start, step)["least"]
 
 
+def reaches(of: EntropyClass):
+    """Whether the windows of a candidate struct reach the entropy of the class."""
+    limit = int(of.window * (math.log2(of.window) - of.bits) * SCALE)
+    return lambda s: least_log_sum(s["value"], of) <= limit
+
+
 def scan_secrets(docs: DataFrame, text_col: str = "text", out_col: str = "secrets", classes: tuple[EntropyClass, ...] = CLASSES, allowed: tuple[str, ...] = ALLOWED) -> DataFrame:
     """`docs` with `out_col`: array of (start, rank, end, kind), in code points, end exclusive, by start and then by kind.
 
@@ -139,11 +145,10 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", out_col: str = "secret
     work = work.withColumn("spans", F.concat(*[tagged(f"x_{kind}", rank, kind) for rank, (kind, *_) in enumerate(PATTERNS)]))
     for rank, of in enumerate(classes, len(PATTERNS)):
         work = located(work, "c", F.col("t"), f"{of.run}{{{of.window},}}", value=True)
-        limit = int(of.window * (math.log2(of.window) - of.bits) * SCALE)
         free = F.filter("c", lambda s: ~F.exists("spans", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-        for pattern in allowed:
-            free = F.filter(free, lambda s, p=pattern: ~s["value"].rlike(f"^(?:{p})$"))
-        work = work.withColumn("c", free).withColumn("c", F.filter("c", lambda s, of=of, limit=limit: least_log_sum(s["value"], of) <= limit))
+        listed = "|".join(f"(?:{pattern})" for pattern in allowed)
+        free = F.filter(free, lambda s: ~s["value"].rlike(f"^(?:{listed})$")) if allowed else free
+        work = work.withColumn("c", free).withColumn("c", F.filter("c", reaches(of)))
         work = work.withColumn("spans", F.concat("spans", tagged("c", rank, of.kind))).drop("c")
     return work.select("row.*", F.array_sort("spans").alias(out_col))
 
