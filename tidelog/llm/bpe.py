@@ -74,11 +74,12 @@ def merge_many(symbols: np.ndarray, lengths: np.ndarray, merges: Merges, dropped
     (of overlapping ones every second, from the left), or only the leftmost with `one_at_a_time`. A sequence without
     candidates leaves. `dropped(sequence, start, middle, end)` says which candidates are skipped.
     """
-    seq = np.repeat(np.arange(len(lengths)), lengths)
+    seq = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
     sym = symbols.astype(np.int32)
     first = np.cumsum(lengths) - lengths
-    start = np.arange(len(sym)) - first[seq] if len(sym) else np.zeros(0, np.int64)
-    stop = start + 1
+    placed = dropped is not None
+    start = np.arange(len(sym), dtype=np.int64) - first[seq] if placed else sym
+    stop = start + 1 if placed else sym
     rank, result = np.full(len(sym), NONE, np.int32), np.zeros(len(sym), np.int32)
     changed = np.arange(max(0, len(sym) - 1))
     done_sym, done_seq = [], []
@@ -100,7 +101,8 @@ def merge_many(symbols: np.ndarray, lengths: np.ndarray, merges: Merges, dropped
             done_sym.append(sym[over])
             done_seq.append(seq[over])
             keep = ~over
-            sym, seq, start, stop, rank, result, each = sym[keep], seq[keep], start[keep], stop[keep], rank[keep], result[keep], each[keep]
+            sym, seq, rank, result, each = sym[keep], seq[keep], rank[keep], result[keep], each[keep]
+            start, stop = (start[keep], stop[keep]) if placed else (sym, sym)
             if not len(sym):
                 break
         at = np.flatnonzero(rank == each)
@@ -110,18 +112,21 @@ def merge_many(symbols: np.ndarray, lengths: np.ndarray, merges: Merges, dropped
             fresh = np.concatenate(([True], np.diff(at) != 1))
             place = np.arange(len(at))
             at = at[(place - np.maximum.accumulate(np.where(fresh, place, 0))) % 2 == 0]
-        sym[at], stop[at] = result[at], stop[at + 1]
+        sym[at] = result[at]
+        if placed:
+            stop[at] = stop[at + 1]
         keep = np.ones(len(sym), bool)
         keep[at + 1] = False
         rank[at] = NONE
-        sym, seq, start, stop, rank, result = sym[keep], seq[keep], start[keep], stop[keep], rank[keep], result[keep]
+        sym, seq, rank, result = sym[keep], seq[keep], rank[keep], result[keep]
+        start, stop = (start[keep], stop[keep]) if placed else (sym, sym)
         at -= np.arange(len(at))
         rank[at] = NONE
         left = at[at > 0] - 1
         rank[left[seq[left] == seq[left + 1]]] = NONE
-        changed = np.unique(np.concatenate((at, left)))
-        changed = changed[changed < len(sym) - 1]
-        # a pair across sequences never ranks
+        touched = np.zeros(len(sym), bool)
+        touched[at] = touched[left] = True
+        changed = np.flatnonzero(touched[:-1])
     sym, seq = np.concatenate(done_sym or [np.zeros(0, np.int32)]), np.concatenate(done_seq or [np.zeros(0, np.int64)])
     order = np.argsort(seq, kind="stable")
     return sym[order], np.bincount(seq, minlength=len(lengths))
@@ -305,13 +310,17 @@ class ByteBPE:
         return total[bounds[1:]] - total[bounds[:-1]]
 
     def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All ids, each text's range in them, and the byte where each id's pre-token begins."""
+        """All ids, each text's range in them, and the byte where each pre-token begins."""
         starts, at, count, bounds = self.spans(data, offsets)
+        return self.ids_of(at, count, bounds, starts)
+
+    def ids_of(self, at: np.ndarray, count: np.ndarray, bounds: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As `ids`, from what `spans` returned."""
         total = np.append(0, np.cumsum(count))
         out = self.memo.pool[np.maximum(ragged(at, count), 0)] if len(self.memo.pool) else np.zeros(total[-1], np.int32)
         special = np.flatnonzero(at < 0)
         out[total[special]] = -1 - at[special]
-        return out, total[bounds], np.repeat(starts, count)
+        return out, total[bounds], starts
 
 
 @cache
