@@ -27,60 +27,59 @@ class Costs:
     document: int = 0
     sentence: int = 2
     inside: int = 6
+    #: Windows of a smaller power of two aren't sought, except at a partition's end.
+    least_exact: int = 64
 
 
-def choose_cuts(places: np.ndarray, costs: np.ndarray, end: int, window: int, inside: int) -> tuple[list[int], list[int]]:
-    """Cheapest ways to cut the stream 0..end: for each allowed place its cost and the place before it (as indices).
+def choose_cuts(places: np.ndarray, costs: np.ndarray, window: int, inside: int, least_exact: int, tail_from: int) -> tuple[list[int], list[int]]:
+    """Cheapest ways to cut a stream at `places` (ascending from 0, at most `window` apart): each place's cost and the one before it.
 
-    `places` ascend from 0. A window ends at a place, at most `window` after the last one; or one full window is cut at
-    no place (cost `inside`) and the next ends there. A window of a power of two needs no padding, any other is padded to
-    `window`. For padded windows the best start is the front of a monotone queue of (cost + place); for exact ones the few
-    places at the right distances are looked up.
+    A window ends at a place, at most `window` after the last one; or one full window is cut at no place (cost `inside`)
+    and the next ends there. A window of a power of two needs no padding (those under `least_exact` count only from
+    `tail_from` on), any other is padded to `window`. For padded windows the best start is the front of a monotone queue
+    of cost + place; for exact ones the few places at the right distances are looked up.
     """
-    powers = [p for p in (1 << k for k in range(window.bit_length())) if p <= window]
     at_end, at_start = [], []
     for extra in (0, window):
-        for p in powers:
-            found = np.searchsorted(places, places - extra - p)
-            hit = np.flatnonzero((found < len(places)) & (places[np.minimum(found, len(places) - 1)] == places - extra - p))
+        for p in (1 << k for k in range(window.bit_length())):
+            want = places - extra - p
+            found = np.minimum(np.searchsorted(places, want), len(places) - 1)
+            hit = np.flatnonzero((places[found] == want) & ((p >= least_exact) | (places >= tail_from)))
             at_end.append(hit)
             at_start.append(found[hit] << 1 | bool(extra))
     ends, starts = np.concatenate(at_end), np.concatenate(at_start)
     order = np.argsort(ends, kind="stable")
-    exact = np.split(starts[order], np.searchsorted(ends[order], np.arange(1, len(places))))
-    exact = [x.tolist() for x in exact]
+    exact, first = starts[order].tolist(), np.searchsorted(ends[order], np.arange(len(places) + 1)).tolist()
     spots, price = places.tolist(), costs.tolist()
-    best, back = [0] * len(spots), [-1] * len(spots)
-    near: deque[tuple[int, int, int]] = deque([(0, 0, 0)])  # (cost + place, place, index), ascending
-    far: deque[tuple[int, int, int]] = deque()
-    waits = deque([(0, 0, 0)])  # those that are too near for `far`
+    near_from = np.searchsorted(places, places - window).tolist()
+    far_from = np.searchsorted(places, places - 2 * window).tolist()
+    best, back, score = [0] * len(spots), [-1] * len(spots), [0] * len(spots)
+    near, far, waiting = deque([0]), deque(), 0  # indices, their scores ascending
     for i in range(1, len(spots)):
-        b = spots[i]
-        low = b - window
-        while near and near[0][1] < low:
+        b, low = spots[i], near_from[i]
+        while near[0] < low:
             near.popleft()
-        while waits and waits[0][1] <= low:
-            entry = waits.popleft()
-            while far and far[-1][0] >= entry[0]:
+        source = near[0]
+        least = score[source] + window - b
+        while waiting < low:
+            entry = score[waiting]
+            while far and score[far[-1]] >= entry:
                 far.pop()
-            far.append(entry)
-        while far and far[0][1] < low - window:
+            far.append(waiting)
+            waiting += 1
+        low = far_from[i]
+        while far and far[0] < low:
             far.popleft()
-        least, source = 1 << 60, -1
-        if near:
-            least, source = near[0][0] + window - b, near[0][2]
-        if far and (other := far[0][0] + 2 * window + inside - b) < least:
-            least, source = other, far[0][2]
-        for x in exact[i]:
-            j = x >> 1
-            if (other := best[j] + inside * (x & 1)) < least:
-                least, source = other, j
+        if far and (other := score[far[0]] + 2 * window + inside - b) < least:
+            least, source = other, far[0]
+        for x in exact[first[i] : first[i + 1]]:
+            if (other := best[x >> 1] + inside * (x & 1)) < least:
+                least, source = other, x >> 1
         best[i], back[i] = least + price[i], source
-        entry = (best[i] + b, b, i)
-        while near and near[-1][0] >= entry[0]:
+        score[i] = entry = best[i] + b
+        while near and score[near[-1]] >= entry:
             near.pop()
-        near.append(entry)
-        waits.append(entry)
+        near.append(i)
     return best, back
 
 
@@ -119,7 +118,7 @@ class Stream:
         if len(long):
             price[np.concatenate([np.arange(places[k] + self.window, places[k + 1], self.window) for k in long])] = self.costs.inside
             places = np.flatnonzero(price < 255)
-        best, back = choose_cuts(places, price[places].astype(np.int64), total, self.window, self.costs.inside)
+        best, back = choose_cuts(places, price[places].astype(np.int64), self.window, self.costs.inside, self.costs.least_exact, total - self.window if last else total + 1)
         i = len(places) - 1
         if not last:
             first = int(np.searchsorted(places, max(1, total - 2 * self.window)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import exact, secrets, token_counts
+from tidelog.llm import ann, exact, langid, packing, secrets, token_counts
 
 
 #: Vocabulary files; set before calling the queries to use others.
@@ -34,6 +34,22 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = langid.held_out(F.col("doc_id"), 5, 0)
+    model = langid.learn(docs.where(~held))
+    return langid.predict(docs.select("doc_id", held.alias("held_out"), "text"), model, out_cols=("lang_pred", "score")).drop("text")
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte"))
+
+
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"), keep="max", normalise=exact.ascii_lower)
 
@@ -43,7 +59,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scans, op7_exact_dedup, op9_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_secret_scans, op3_language_id, op4_packing, op6_nearest_neighbours, op7_exact_dedup, op9_token_counts)}
 
 ORACLE_SQL = {
     "op7_exact_dedup": """
