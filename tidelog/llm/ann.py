@@ -52,7 +52,7 @@ def fit(ids: np.ndarray, sample: np.ndarray, lists: int, rounds: int = 8, seed:
     return Index(centres, rotation, ids, sample)
 
 
-def probes_for(index: Index, k: int, recall: float, asked: int = 200) -> int:
+def probes_for(index: Index, k: int, recall: float, asked: int = 1000) -> int:
     """Lists to probe so that `recall` of the sample's own nearest neighbours are met; the whole table's are nearer still."""
     queries = index.sample[:asked]
     scores = queries @ index.sample.T
@@ -85,15 +85,16 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 def scan_list(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, bounds: np.ndarray, rotation: np.ndarray, k: int, blocks: int, z: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Query ids, ids and scores of each query's best `k` of a list that reach its bound.
 
-    Vectors are rotated and cut in column blocks. Block by block the partial products grow; what the columns to come add
-    is near normal with deviation |q||x| / sqrt(columns), norms being those of these columns. A candidate whose partial
-    product plus `z` deviations stays under the bound is abandoned. The rest is scored on the original vectors.
+    Vectors are rotated and cut in column blocks. Block by block the partial products grow. If a product reached the
+    bound, b of its d columns would hold about b / d of it, with deviation |q||x| sqrt(b (d - b) / d) / d; a candidate whose
+    partial product lies more than `z` deviations under that is abandoned. The rest is scored on the original vectors.
     """
     turned, asked = vectors @ rotation, queries @ rotation
     d = turned.shape[1]
     edges = np.unique(np.linspace(0, d, blocks + 1).astype(int)).tolist()
     partial = np.zeros((len(asked), len(turned)))
     alive = query_ids[:, None] != ids
+    norms = np.linalg.norm(queries, axis=1)[:, None] * np.linalg.norm(vectors, axis=1)
     least = (bounds - 1e-9 * (1 + np.abs(np.where(np.isfinite(bounds), bounds, 0))))[:, None]
     for a, b in zip(edges[:-1], edges[1:], strict=True):
         if alive.mean() > 0.2:
@@ -101,8 +102,7 @@ def scan_list(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queri
         else:
             q, x = np.nonzero(alive)
             partial[q, x] += (asked[q, a:b] * turned[x, a:b]).sum(axis=1)
-        slack = z / np.sqrt(max(1, d - b)) * np.linalg.norm(asked[:, b:], axis=1)[:, None] * np.linalg.norm(turned[:, b:], axis=1)
-        alive &= partial + slack >= least
+        alive &= partial + z * np.sqrt(b * (d - b) / d) / d * norms >= least * (b / d)
     if len(turned) > k:
         partial[~alive] = -np.inf
         low = np.partition(partial, len(turned) - k, axis=1)[:, len(turned) - k, None]
@@ -116,7 +116,7 @@ def scan_list(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queri
     return query_ids[q[top]], ids[x[top]], score[top]
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, recall: float = 0.95, sample_rows: int = 20_000, blocks: int = 8, z: float = 3.5) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, recall: float = 0.97, sample_rows: int = 20_000, blocks: int = 8, z: float = 4.0) -> DataFrame:
     """The `k` nearest rows of `vectors` to each row of `queries` by inner product, itself left out: query_id, rank, id_col, score.
 
     Centres are fitted on `sample_rows` rows chosen by hash of the id, at most 4,096 of them; all rows are indexed. The
