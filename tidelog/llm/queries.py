@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import ann, exact, langid, packing, secrets, token_counts
+from tidelog.llm import ann, chunks, exact, langid, packing, secrets, sentencepieces, token_counts
 
 
 #: Vocabulary files; set before calling the queries to use others.
@@ -54,12 +54,20 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"), keep="max", normalise=exact.ascii_lower)
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte"))
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scans, op3_language_id, op4_packing, op6_nearest_neighbours, op7_exact_dedup, op9_token_counts)}
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.encode(table(spark, sf_dir, "documents"), vocabulary("piece"), dropout=0.1, seed=17, with_ids=False)
+
+
+QUERIES = {f.__name__: f for f in (op2_secret_scans, op3_language_id, op4_packing, op6_nearest_neighbours, op7_exact_dedup, op8_substring_dedup, op9_token_counts, op10_sentencepiece)}
 
 ORACLE_SQL = {
     "op7_exact_dedup": """
