@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import ann, chunks, exact, langid, packing, secrets, sentencepieces, token_counts
+from tidelog.llm import ann, chunks, exact, langid, packing, secrets, sentencepieces, setjoin, token_counts
 
 
 #: Vocabulary files; set before calling the queries to use others.
@@ -22,6 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.near_components(table(spark, sf_dir, "documents"), size=4, num=85, den=100)
+
+
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("secrets", lambda s: s["rank"] < len(secrets.PATTERNS))
@@ -67,7 +71,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode(table(spark, sf_dir, "documents"), vocabulary("piece"), dropout=0.1, seed=17, with_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scans, op3_language_id, op4_packing, op6_nearest_neighbours, op7_exact_dedup, op8_substring_dedup, op9_token_counts, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_secret_scans, op3_language_id, op4_packing, op6_nearest_neighbours, op7_exact_dedup, op8_substring_dedup, op9_token_counts, op10_sentencepiece)}
 
 ORACLE_SQL = {
     "op7_exact_dedup": """
