@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import ann, chunks, exact, langid, packing, secrets, sentencepieces, setjoin, token_counts
+from tidelog.llm import ann, chunks, exact, langid, lm, packing, secrets, sentencepieces, setjoin, token_counts
 
 
 #: Vocabulary files; set before calling the queries to use others.
@@ -49,6 +49,13 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = langid.held_out(F.col("doc_id"), 7, 2)
+    scores = lm.score(docs, docs.where(~held))
+    return scores.withColumn("held_out", langid.held_out(F.col("doc_id"), 7, 2))
+
+
 def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return ann.nearest(vectors, vectors.where("vec_id % 20 = 0"))
@@ -71,7 +78,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode(table(spark, sf_dir, "documents"), vocabulary("piece"), dropout=0.1, seed=17, with_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_secret_scans, op3_language_id, op4_packing, op6_nearest_neighbours, op7_exact_dedup, op8_substring_dedup, op9_token_counts, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_secret_scans, op3_language_id, op4_packing, op5_lm_scoring, op6_nearest_neighbours, op7_exact_dedup, op8_substring_dedup, op9_token_counts, op10_sentencepiece)}
 
 ORACLE_SQL = {
     "op7_exact_dedup": """
