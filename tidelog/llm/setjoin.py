@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -143,7 +144,7 @@ def compared(docs: DataFrame, pairs: DataFrame, size: int, link: Threshold, rank
     members = pairs.join(parts, "hub").select("id", "hub", F.expr("int(pmod(xxhash64(id), parts))").alias("part"), F.lit(1).alias("role"))
     heads = parts.select(F.col("hub").alias("id"), "hub", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), F.lit(0).alias("role"))
     going = written(members.unionByName(heads))
-    rows = in_ids(docs, going.select("id").distinct()).join(going, "id").select("hub", "part", "role", "id", "text")
+    rows = in_ids(docs, going.select("id").distinct()).join(going.hint("merge"), "id").select("hub", "part", "role", "id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, own = None, None
@@ -230,7 +231,7 @@ def list_pairs(token: np.ndarray, n: np.ndarray, span: np.ndarray, pos: np.ndarr
 def candidates(entries: DataFrame, link: Threshold, within: bool) -> DataFrame:
     """Distinct pairs (a, b) that share an indexed element and pass the size and position filters.
 
-    `entries`: token, id, n, span, pos, kind. Across groups (`within` false) span is the set's size, kind its group, and
+    `entries`: token, id, n, span (NULL: n), pos, kind (NULL: id). Across groups (`within` false) span is the set's size, kind its group, and
     only pairs of different groups are wanted. Within a group span is the size of the difference to the hub, and pairs are
     wanted unless both have kind 0, linked to the hub.
     """
@@ -238,7 +239,11 @@ def candidates(entries: DataFrame, link: Threshold, within: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = None
         for batch in batches:
-            new = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
+            columns = dict(zip(batch.schema.names, batch.columns, strict=True))
+            for name, other in (("span", "n"), ("kind", "id")):
+                if columns[name].null_count:
+                    columns[name] = pc.coalesce(columns[name].cast(pa.int64()), columns[other].cast(pa.int64()))
+            new = [columns[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("token", "id", "n", "span", "pos", "kind")]
             fresh = len(kept[0]) if kept else 0
             token, ids, n, span, pos, kind = [np.concatenate(x) for x in zip(kept, new, strict=True)] if kept else new
             if not len(token):
@@ -312,9 +317,10 @@ def near_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     linked = F.col("inter") * den >= (F.col("n") + F.col("n_hub") - F.col("inter")) * num
     open_hubs = written(star.where(~linked).select("hub").distinct())
     inner = star.join(open_hubs, "hub", "left_semi").select("id", "n", F.col("t_size").alias("span"), F.when(linked, 0).otherwise(1).alias("kind"), F.posexplode("t").alias("pos", "token"))
-    groups = hubs.select("id", "hub")
-    lead = prefixes(in_ids(docs, reps.select("id")), size, link, ranks).join(reps.select("id"), "id").join(groups, "id", "left")
-    outer = lead.select("id", "n", F.col("n").alias("span"), F.coalesce("hub", "id").alias("kind"), F.posexplode("prefix").alias("pos", "token"))
+    groups = written(reps.select("id").join(hubs, "id", "left").select("id", F.nullif("hub", "id").alias("kind")))
+    # by shuffle at every size: broadcasting the smaller side would end where it outgrows the threshold
+    lead = prefixes(in_ids(docs, groups), size, link, ranks).join(groups.hint("merge"), "id")
+    outer = lead.select("id", "n", F.lit(None).cast("int").alias("span"), "kind", F.posexplode("prefix").alias("pos", "token"))
     found = written(candidates(inner, link, True).unionByName(candidates(outer, link, False)).distinct())
     checked = compared(docs, found.select(F.col("a").alias("hub"), F.col("b").alias("id")), size, link, ranks, False)
     links = star.where(linked).select(F.col("hub").alias("a"), F.col("id").alias("b")).unionByName(checked.where(linked).select(F.col("hub").alias("a"), F.col("id").alias("b")))
