@@ -1,0 +1,96 @@
+from datetime import datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidelog.functions import content as C
+from tidelog.functions import reports as R
+from tidelog.functions import timestamps as T
+
+LAYOUTS = [
+    ("host - - [27/Sep/2026:10:00:00 +0200] x", datetime(2026, 9, 27, 10, 0, 0)),
+    ("####<Sep 27, 2026 10:15:30,123 AM CEST> <Info>", datetime(2026, 9, 27, 10, 15, 30)),
+    ("<Mär 3, 2026, 12:15:30 AM>", datetime(2026, 3, 3, 0, 15, 30)),
+    ("2026-09-27\t10:15:30 INFO", datetime(2026, 9, 27, 10, 15, 30)),
+    ("27.09.2026 10:15 Meldung", datetime(2026, 9, 27, 10, 15)),
+    ("27-Sep-26 10:15:30", datetime(2026, 9, 27, 10, 15, 30)),
+    ("Okt 1, 2026 1:02:03 PM x", datetime(2026, 10, 1, 13, 2, 3)),
+    ("2026-02-30 10:00:00", None),
+    ("2026-09-27 10:15:60", None),
+    ("2026-09-27 24:00:00", None),
+    ("0000-09-27 10:00:00", None),
+    ("27-Foo-2026 10:00:00", None),
+    ("August 3, 2026 10:00:00 AM", None),
+    ("2026-09-27 10:15:30", datetime(2026, 9, 27, 10, 15, 30)),
+    ("2026-02-30 10:00:00 but 01.03.2026 09:00", datetime(2026, 3, 1, 9, 0)),
+    ("", None),
+    (None, None),
+]
+
+
+def test_layouts(spark):
+    rows = spark.createDataFrame(list(enumerate(t for t, _ in LAYOUTS)), "n int, t string")
+    got = {r.n: r.ts for r in rows.select("n", T.parse_text(F.col("t")).alias("ts")).collect()}
+    assert got == {n: ts for n, (_, ts) in enumerate(LAYOUTS)}
+
+
+def test_find_all_counts_two_layouts(spark):
+    row = spark.createDataFrame([("<Sep 27, 2026 10:15:30 AM> 2026-09-28, 29.09.2026; 1999-01-01 00:00:00",)], "t string")
+    got = row.select(T.find_stamps(F.col("t")).alias("s"), T.find_dates(F.col("t")).alias("d")).first()
+    assert got.s == [datetime(2026, 9, 27, 10, 15, 30)] * 2
+    assert got.d == [datetime(2026, 9, 28), datetime(2026, 9, 29)]
+
+
+@pytest.mark.parametrize(
+    ("name", "ts", "timed"),
+    [
+        ("dump_2026-09-27_1030.txt", datetime(2026, 9, 27, 10, 30), True),
+        ("heap20260927.bin", datetime(2026, 9, 27), False),
+        ("x 27.09.2026 10.30.05 y", datetime(2026, 9, 27, 10, 30, 5), True),
+        ("top_2026-02-30.log", None, None),
+        ("notes.txt", None, None),
+    ],
+)
+def test_names(spark, name, ts, timed):
+    got = spark.createDataFrame([(name,)], "n string").select(T.from_name(F.col("n")).alias("f")).first().f
+    assert (got.ts, got.has_time) == (ts, timed) if ts else got is None
+
+
+def test_oracle_and_ranges(spark):
+    values = ["27-Sep-26 10:00:05", "27-SEP-26 10.00.05 PM", "27-Sep-26 10:00", "x 27-Sep-26 10:00", "27-Sep-26 12:00:00 AM"]
+    rows = spark.createDataFrame([(v,) for v in values], "v string").select(T.parse_oracle(F.col("v")).alias("t")).collect()
+    assert [r.t for r in rows] == [datetime(2026, 9, 27, 10, 0, 5), datetime(2026, 9, 27, 22, 0, 5), datetime(2026, 9, 27, 10), None, datetime(2026, 9, 27)]
+    pair = spark.sql("SELECT timestamp_ntz'2026-09-27 23:00:00' b, timestamp_ntz'2026-09-28 01:00:00' e")
+    got = pair.select(T.range_name(F.col("b"), F.col("e")).alias("n"), F.size(T.days_between(F.col("b"), F.col("e"))).alias("d"), F.size(T.days_between(F.col("e"), F.col("b"))).alias("z")).first()
+    assert (got.n, got.d, got.z) == ("2026-09-27_2300-2026-09-28_0100", 2, 0)
+
+
+def test_classification(spark):
+    rows = [
+        ("a.log", b'h - - [27/Sep/2026:10:00:00 +0200] "GET /x', "access"),
+        ("a.log", b"x\n#Fields: date cs-method", "access"),
+        ("b.log", b"\n####<Sep", "server"),
+        ("r.html", b"ASH Report   For ORCL", "awr"),
+        ("awrrpt_1.html", b"", "awr"),
+        ("server.log00001.gz", b"", "server"),
+        ("lib.JAR", b"####<", "ignore"),
+        ("notes.txt", b"nothing", "unknown"),
+    ]
+    got = spark.createDataFrame(rows, "n string, c binary, e string").select("e", C.classify(F.col("n"), C.latin(F.col("c"))).alias("g")).collect()
+    assert [r.g for r in got] == [r.e for r in got]
+
+
+def test_compare_report_has_two_periods(spark):
+    text = "WORKLOAD REPOSITORY COMPARE PERIOD REPORT\n1st 10 26-Sep-26 10:00:00 (Sat) 11 26-Sep-26 11:00:00 (Sat)\n2nd) 20 27-Sep-26 10:00:00 (Sun) 21 27-Sep-26 11:00:00 (Sun)\n"
+    got = R.parse_reports(spark.createDataFrame([(text, "AWR Compare")], "text string, report_type string")).first()
+    assert [(p.b.day, p.e.hour) for p in got.periods] == [(26, 11), (27, 11)] and len(got.days) == 2 and got.time_source == "snapshot"
+
+
+def test_report_without_times(spark):
+    got = R.parse_reports(spark.createDataFrame([("nothing", None), (None, None)], "text string, report_type string")).collect()
+    assert all(r.begin is None and r.end is None and r.time_source is None for r in got)
+
+
+def test_unknown_category_is_an_error(spark):
+    with pytest.raises(Exception, match="unknown category"):
+        spark.createDataFrame([("x",)], "o string").select(C.effective_category(F.col("o"), F.lit("access"))).collect()

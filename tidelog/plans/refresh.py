@@ -14,6 +14,7 @@ from tidelog.operators import catalog as K
 from tidelog.operators import lines as L
 from tidelog.plans.windows import Plan
 from tidelog.sources import packed
+from tidelog.tables import written
 from tidelog.sources.files import opened, read_head, read_packed_lines
 
 VERSION = "1"
@@ -50,7 +51,7 @@ def analyse(files: DataFrame, overrides: DataFrame | None = None, version: str =
     name = F.element_at(F.split("rel", "/"), -1)
     base = base.join(given, "path", "left").withColumn("name", name).withColumn("sniff", C.latin(F.col("head")))
     base = base.withColumn("detected", C.classify(F.col("name"), F.col("sniff"))).withColumn("category", C.effective_category(F.col("override"), F.col("detected")))
-    base = base.withColumn("sha256", content_sha256("content")).withColumn("version", F.lit(version))
+    base = written(base.withColumn("sha256", content_sha256("content")).withColumn("version", F.lit(version)))
     common = ["file_id", "path", "root", "rel", "size", "mtime", "detected", "override", "category", "sha256", "version"]
 
     reports = base.where("category = 'awr'").withColumn("report_type", C.report_type(F.col("sniff"))).withColumn("text", C.report_text(F.col("head").cast("string")))
@@ -58,7 +59,7 @@ def analyse(files: DataFrame, overrides: DataFrame | None = None, version: str =
     reports = reports.withColumn("error", K.scan_errors(F.col("category"), F.lit(0), F.lit(0), F.col("first_ts"), F.col("last_ts")))
 
     logs = base.where(F.col("category").isin(*C.LOGS))
-    timed = L.analysed(file_lines(logs), "file_id")
+    timed = written(L.analysed(file_lines(logs), "file_id"))
     stats = L.log_stats(timed, "file_id").join(timed.select("file_id", "ts_mode").distinct(), "file_id")
     logs = logs.select(*common).join(stats, "file_id", "left").withColumn("lines", F.coalesce("lines", F.lit(0).cast("long")))
     logs = logs.withColumn("error", K.scan_errors(F.col("category"), F.col("lines"), F.col("stamped_lines"), F.lit(None), F.lit(None)))
@@ -66,8 +67,8 @@ def analyse(files: DataFrame, overrides: DataFrame | None = None, version: str =
     others = base.where("category = 'unknown'").withColumn("kind", C.content_kind(F.col("head"), F.col("name")))
     text = read_packed_lines(others.where("kind = 'text'")).select("path", "raw", F.lit(None).cast("string").alias("error"))
     strings = others.where("kind = 'binary'").select("path", F.explode(packed.binary_strings(F.col("content"))).alias("raw"), F.lit(None).cast("string").alias("error"))
-    rows = text.unionByName(strings).unionByName(packed.office_lines(others.where("kind = 'office'"))).unionByName(packed.pdf_lines(others.where("kind = 'pdf'")))
-    found = intervals.content_stats(intervals.content_points(rows)).select("path", "intervals", F.col("stamps").alias("stamp_count"))
+    rows = written(text.unionByName(strings).unionByName(packed.office_lines(others.where("kind = 'office'"))).unionByName(packed.pdf_lines(others.where("kind = 'pdf'"))))
+    found = intervals.content_stats(written(intervals.content_points(rows))).select("path", "intervals", F.col("stamps").alias("stamp_count"))
     broken = rows.groupBy("path").agg(F.max("error").alias("broken"))
     others = others.join(found, "path", "left").join(broken, "path", "left")
     others = others.withColumn("read_as", F.when(F.col("broken").isNull(), F.col("kind")).otherwise(F.concat("kind", F.lit(" (unreadable: "), "broken", F.lit(")"))))
