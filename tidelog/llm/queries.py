@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import ann, chunks, exact, langid, lm, packing, secrets, sentencepieces, setjoin, token_counts
-
+from tidelog.llm.oracle import ORACLE_SQL  # noqa: F401
 
 #: Vocabulary files; set before calling the queries to use others.
 VOCABULARIES = {"byte": "byte_bpe_50k.json", "piece": "piece_bpe_32k.model"}
@@ -79,11 +79,3 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_secret_scans, op3_language_id, op4_packing, op5_lm_scoring, op6_nearest_neighbours, op7_exact_dedup, op8_substring_dedup, op9_token_counts, op10_sentencepiece)}
-
-ORACLE_SQL = {
-    "op7_exact_dedup": """
-        WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
-        g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
-        SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d.t) AS text_sha256 FROM d JOIN g USING (t)
-    """,
-}
