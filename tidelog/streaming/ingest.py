@@ -12,10 +12,10 @@ from tidelog.operators.lines import stamped
 
 
 def line_stream(spark: SparkSession, path: str) -> DataFrame:
-    """A stream of the lines of new files below `path`: path, block_start, mid, raw."""
+    """A stream of the lines of new files below `path`: path, block_start, raw; their place in a split is numbered batch by batch."""
     text = spark.readStream.option("lineSep", "\n").schema("value string").text(path)
     return text.select(
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block_start"), F.monotonically_increasing_id().alias("mid"), F.col("value").alias("raw")
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block_start"), F.col("value").alias("raw")
     )
 
 
@@ -30,7 +30,8 @@ def incremental_ingest(lines: DataFrame, store: str, checkpoint: str, refresh: C
     def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         target = f"{store}/batch={number}"
-        stamped(batch).drop("pattern").write.mode("overwrite").parquet(target)
+        placed = batch.withColumn("mid", F.monotonically_increasing_id())  # straight at the read, before any shuffle
+        stamped(placed).drop("pattern").write.mode("overwrite").parquet(target)
         if refresh is not None:
             days = spark.read.parquet(target).where("ts is not null").select(F.to_date("ts").alias("day")).distinct()
             refresh(spark.read.parquet(store), days)
