@@ -258,6 +258,27 @@ def test_lm(docs):
     assert all(r.base_score == 0 and r.n_known == 0 and r.score < 0 for r in untrained)
 
 
+def test_lm_trains_on_every_window():
+    rng = random.Random(12)
+    texts = [sentence(rng, 400).encode() for _ in range(6)]
+    training, met = lm.Training(limit=1), 0
+    for text in texts:  # so small a limit resets the tally, also behind the last text
+        windows, so_far, *_ = lm.stream(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        for _ in range(2):
+            training.add(windows, so_far)
+            met += len(windows)
+    training.flush()
+    assert training.seen == met and training.mixer.total.sum() == 8 * met
+
+
+def test_lm_learns_from_all_windows_of_a_task(docs):
+    rows = lm.gathered(docs.select(F.coalesce("text", F.lit("")).alias("text"))).where("kind = 2").collect()
+    sums = np.sum([np.frombuffer(r.payload) for r in rows], axis=0)
+    windows = sum(len(w) + 1 for _, t in corpus() for w in (t or "").encode().split()) + len(corpus())
+    size = lm.Mixer().weights.size
+    assert sums[size] == windows and sums[size + 1 :].reshape(2, -1)[1].sum() == 8 * windows
+
+
 def test_lm_probabilities_sum_to_one():
     mixer = lm.Mixer()
     windows = (np.arange(256, dtype=np.uint64) << np.uint64(8 * (lm.WINDOW - 1))) | np.uint64(0x6162)

@@ -25,8 +25,8 @@ SLOT_BITS = (16, 19, 21, 22, 22)
 FIRST_SLOT = [sum(1 << b for b in SLOT_BITS[:k]) for k in range(PREDICTORS + 1)]
 SLOTS = FIRST_SLOT[-1]
 BLOCK = 1 << 15
-#: Every so many distinct windows train the mixer; all are counted.
-LEARN_EVERY = 8
+#: Distinct windows outside a tally's table at which it is counted, learned from and begun anew.
+TALLY_ROWS = 1 << 20
 PIECE = 1 << 19
 GATES = 8 * (PREDICTORS + 1)
 #: Buckets of the refinement by predicted odds.
@@ -195,6 +195,8 @@ class Tally:
             self._compact()
 
     def _compact(self) -> None:
+        if len(self.others) < 2:
+            return
         keys, windows, so_far, counts = (np.concatenate(c) for c in zip(*self.others, strict=True))
         keys, example, index = np.unique(keys, return_index=True, return_inverse=True)
         self.others = [(keys, windows[example], so_far[example], np.bincount(index, counts).astype(np.int64))]
@@ -211,6 +213,44 @@ class Tally:
         return np.append(self.windows[used], rest[1]), np.append(self.so_far[used], rest[2]), np.append(self.counts[used], rest[3])
 
 
+class Training:
+    """What a task has learned: bit counts and the mixer. Each tally, also one that overflows, is counted and then trains the mixer."""
+
+    def __init__(self, limit: int = TALLY_ROWS):
+        self.limit, self.tally, self.seen = limit, Tally(), 0
+        self.bits, self.mixer = np.zeros((SLOTS, 2), np.int32), Mixer()
+
+    def add(self, windows: np.ndarray, so_far: np.ndarray) -> None:
+        self.tally.add(windows, so_far)
+        if self.tally.size() > self.limit:
+            self.flush()
+
+    def flush(self) -> None:
+        """All windows of the tally are counted, then predicted as if one occurrence weren't among the counts; each of them trains."""
+        windows, so_far, counts = self.tally.take()
+        self.tally = Tally()
+        order = np.argsort(together(windows, so_far))
+        windows, so_far, counts = windows[order], so_far[order], counts[order]
+        self._count(windows, so_far, counts)
+        log_probabilities(windows, so_far, self._without_one, self.mixer, counts)
+        self.seen += int(counts.sum())
+
+    def _count(self, windows: np.ndarray, so_far: np.ndarray, counts: np.ndarray) -> None:
+        for a in range(0, len(windows), EVALUATED):
+            part, m = slice(a, a + EVALUATED), counts[a : a + EVALUATED].astype(np.int32)
+            byte = (windows[part] >> U64(8 * (WINDOW - 1))).astype(np.int64)
+            for k, hashed in enumerate(contexts(windows[part], so_far[part])):
+                for bit in range(8):
+                    at = slots(hashed, (1 << bit | byte >> (8 - bit)).astype(np.uint64), k)
+                    np.add.at(self.bits.reshape(-1), at * 2 + (byte >> (7 - bit) & 1), m)
+
+    def _without_one(self, at: np.ndarray, one: np.ndarray) -> np.ndarray:
+        # a pair as one number, the ones on top; the occurrence left out is among the counts, so nothing is borrowed
+        pair = self.bits.reshape(-1).view(np.int64).take(at) - (1 << 32 * one)
+        n0, n1 = pair & 0xFFFFFFFF, pair >> 32
+        return quantised(n0) << 8 | quantised(n1)
+
+
 @dataclass
 class Model:
     """What scoring needs in each task, of fixed size: quantised counts, mixer, counts of the commonest words; and N, V."""
@@ -236,29 +276,13 @@ def gathered(docs: DataFrame) -> DataFrame:
     docs = docs.coalesce(tasks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros((SLOTS, 2), np.int32)
-        mixer, tally, texts, seen = Mixer(), Tally(), 0, 0.0
+        training, texts = Training(), 0
         vocabulary = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
 
         def rows(kind: int, keys: np.ndarray, counts: np.ndarray, payloads: list | None = None) -> pa.RecordBatch:
             payload = pa.array(payloads, pa.binary()) if payloads else pa.nulls(len(keys), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys), pa.array(counts), payload], ["kind", "key", "n", "payload"])
 
-        def without_one(at: np.ndarray, one: np.ndarray) -> np.ndarray:
-            pair = bits[at]
-            less = np.maximum(pair[np.arange(len(at)), one] - 1, 0)
-            n0, n1 = np.where(one == 0, less, pair[:, 0]), np.where(one == 1, less, pair[:, 1])
-            return quantised(n0) << 8 | quantised(n1)
-
-        def count(windows: np.ndarray, so_far: np.ndarray, counts: np.ndarray) -> None:
-            for a in range(0, len(windows), EVALUATED):
-                part, m = slice(a, a + EVALUATED), counts[a : a + EVALUATED].astype(np.int32)
-                byte = (windows[part] >> U64(8 * (WINDOW - 1))).astype(np.int64)
-                for k, hashed in enumerate(contexts(windows[part], so_far[part])):
-                    for bit in range(8):
-                        at = slots(hashed, (1 << bit | byte >> (8 - bit)).astype(np.uint64), k)
-                        np.add.at(bits.reshape(-1), at * 2 + (byte >> (7 - bit) & 1), m)
-
         for batch in batches:
             for _, data, offsets in pieces(batch, "text", PIECE):
                 windows, so_far, bounds, hashes, _ = stream(data, offsets)
@@ -269,16 +293,9 @@ def gathered(docs: DataFrame) -> DataFrame:
                     if len(vocabulary[0][0]) > 1 << 20:
                         yield rows(0, vocabulary[0][0].view(np.int64), vocabulary[0][1])
                         vocabulary = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
-                tally.add(windows, so_far)
-                if tally.size() > 3 << 20:
-                    count(*tally.take())
-                    tally = Tally()
-        last = tally.take()
-        count(*last)
-        # leaving one occurrence out of the counts, windows are predicted as if they weren't among them
-        windows, so_far, counts = (x[::LEARN_EVERY] for x in (x[np.argsort(together(last[0], last[1]))] for x in last))
-        log_probabilities(windows, so_far, without_one, mixer, counts)
-        seen = float(counts.sum())
+                training.add(windows, so_far)
+        training.flush()
+        bits, mixer, seen = training.bits, training.mixer, float(training.seen)
         hashes, counts = distinct(*(np.concatenate(c) for c in zip(*vocabulary, strict=True)))
         yield rows(0, hashes.view(np.int64), counts)
         blocks = np.flatnonzero(bits.reshape(-1, 2 * BLOCK).any(axis=1))
@@ -390,8 +407,8 @@ def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col
     context-mixing model gives the words (a blank behind each) and the end.
     Null texts are empty: an end alone. Ids are unique integers.
 
-    Training counts every text: each task adds up the bits met after each hashed context. Then it predicts every LEARN_EVERY-th of
-    its distinct windows with one occurrence left out, block after block, and weights and refinement follow. The sums of all tasks
+    Training counts every text: each task adds up the bits met after each hashed context. It predicts all its windows, a tally of
+    distinct ones at a time, with one occurrence left out, block after block, and weights and refinement follow. The sums of all tasks
     make the model, whose size is fixed (contexts share slots). Counts of the COMMON commonest words go along; those of other words are joined.
     """
     plain = lambda d: d.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
