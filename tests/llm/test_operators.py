@@ -244,6 +244,17 @@ def test_nearest(spark):
     assert ann.nearest(table.limit(0), table.limit(0)).count() == 0
 
 
+def test_nearest_fills_all_ranks(spark):
+    vectors = np.random.default_rng(5).standard_normal((1500, 12)).astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+    asking = table.where("vec_id % 10 = 0").unionByName(table.where("vec_id = 1").withColumn("vec_id", F.lit(9999).cast("long")))
+    for rows, n in ((table, 20), (table.where("vec_id <= 30"), 20)):
+        got = {}
+        for r in ann.nearest(rows, asking).collect():
+            got.setdefault(r.query_id, []).append(r.rank)
+        assert len(got) == 151 and all(sorted(x) == list(range(1, n + 1)) for x in got.values())
+
+
 def test_lm(docs):
     training = docs.where("doc_id % 7 <> 2")
     got = {r.doc_id: r for r in lm.score(docs, training).collect()}

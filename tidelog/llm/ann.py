@@ -15,16 +15,19 @@ from tidelog.llm.store import written
 
 #: Vectors of one list that one task compares at once.
 LIST_ROWS = 2048
+#: Nearest lists of a query whose vectors in the sample give its bound.
+BOUND_LISTS = 4
 
 
 @dataclass
 class Index:
-    """Centres of the lists, a random rotation and the sample they were fitted on."""
+    """Centres of the lists, a random rotation, the sample they were fitted on and each of its vectors' list."""
 
     centres: np.ndarray
     rotation: np.ndarray
     sample_ids: np.ndarray
     sample: np.ndarray
+    own: np.ndarray
 
 
 def directions(vectors: np.ndarray) -> np.ndarray:
@@ -49,7 +52,7 @@ def fit(ids: np.ndarray, sample: np.ndarray, lists: int, rounds: int = 8, seed:
         np.add.at(sums, own, unit)
         norms = np.linalg.norm(sums, axis=1, keepdims=True)
         centres = np.where(norms > 0, sums / np.maximum(norms, 1e-300), centres)
-    return Index(centres, rotation, ids, sample)
+    return Index(centres, rotation, ids, sample, ranked_lists(sample, centres)[:, 0])
 
 
 def probes_for(index: Index, k: int, recall: float, asked: int = 1000) -> int:
@@ -58,21 +61,25 @@ def probes_for(index: Index, k: int, recall: float, asked: int = 1000) -> int:
     scores = queries @ index.sample.T
     scores[np.arange(len(queries)), np.arange(len(queries))] = -np.inf
     best = np.argsort(-scores, axis=1, kind="stable")[:, : min(k, len(index.sample) - 1)]
-    own = ranked_lists(index.sample, index.centres)[:, 0]
     place = np.argsort(ranked_lists(queries, index.centres), axis=1)
-    needed = np.sort(np.take_along_axis(place, own[best], axis=1).ravel())
+    needed = np.sort(np.take_along_axis(place, index.own[best], axis=1).ravel())
     return int(needed[min(len(needed) - 1, int(recall * len(needed)))]) + 1 if len(needed) else 1
 
 
-def bounds_of(ids: np.ndarray, queries: np.ndarray, index: Index, k: int) -> np.ndarray:
-    """A score that each query's k-th neighbour reaches: that of its k-th within the sample."""
-    out = np.full(len(ids), -np.inf)
-    if len(index.sample) > k:
-        for a in range(0, len(ids), 256):
-            scores = queries[a : a + 256] @ index.sample.T
-            scores[ids[a : a + 256, None] == index.sample_ids] = -np.inf
-            out[a : a + 256] = np.partition(scores, len(index.sample) - k, axis=1)[:, len(index.sample) - k]
-    return out
+def bounds_of(ids: np.ndarray, queries: np.ndarray, lists: np.ndarray, counts: np.ndarray, index: Index, k: int) -> np.ndarray:
+    """A score that `k` candidates in each query's own probed lists reach: the k-th best of the sample's vectors in the
+    nearest BOUND_LISTS of them, and in further ones until `k` are met; -inf if they hold fewer."""
+    best = np.full((len(ids), k), -np.inf)
+    by_list = np.argsort(index.own, kind="stable")
+    edges = np.searchsorted(index.own[by_list], np.arange(len(index.centres) + 1))
+    for r in range(int(counts.max(initial=0))):
+        active = np.flatnonzero((r < counts) & ((r < BOUND_LISTS) | np.isneginf(best).any(axis=1)))
+        for one in np.unique(lists[active, r]).tolist():
+            rows, members = active[lists[active, r] == one], by_list[edges[one] : edges[one + 1]]
+            scores = queries[rows] @ index.sample[members].T
+            scores[ids[rows, None] == index.sample_ids[members]] = -np.inf
+            best[rows] = np.partition(np.hstack((best[rows], scores)), len(members), axis=1)[:, len(members) :]
+    return best.min(axis=1)
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -120,8 +127,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_
     """The `k` nearest rows of `vectors` to each row of `queries` by inner product, itself left out: query_id, rank, id_col, score.
 
     Centres are fitted on `sample_rows` rows chosen by hash of the id, at most 4,096 of them; all rows are indexed. The
-    sample also says how many lists a query must ask to meet `recall`, and gives each query a score that its k-th neighbour
-    reaches. Long lists are dealt over several tasks. Ties go to the smaller id. Vectors that are null, zero or have null
+    sample also says how many lists a query must ask to meet `recall`; it asks more until they hold `k` candidates. Vectors of
+    the sample in those lists give a score that `k` candidates there reach. Should abandoning leave a query fewer, its lists
+    are scanned again without a bound. Long lists are dealt over several tasks. Ties go to the smaller id. Vectors that are null, zero or have null
     or non-finite components take no part, nor do those of another length than the commonest one (the shorter one on a
     tie). Ids must be unique integers. Scores are doubles of the original vectors; fewer than `k` candidates are all given.
     """
@@ -141,28 +149,39 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_
     probes = probes_for(index, k, recall)
     shared = spark.sparkContext.broadcast(index)  # bounded: the sample, 4,096 centres and a rotation
 
-    def assigned(count: int, bounded: bool):
+    def placing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                lists = ranked_lists(np.array(batch["v"].tolist(), np.float64), shared.value.centres)[:, 0]
+                yield pd.DataFrame({"id": batch["id"], "v": batch["v"], "list": lists.astype(np.int32)})
+
+    placed = written(good.mapInPandas(placing, f"id long, v {kind}, list int"))
+    parts = placed.groupBy("list").agg(F.expr(f"int((count(*) - 1) div {LIST_ROWS}) + 1").alias("parts"))  # a row for each list: 4,096 at most
+    held = np.zeros(len(index.centres), np.int64)
+    for row in placed.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect():  # as many rows
+        held[row.list] = row.n
+    dealt = placed.join(F.broadcast(parts), "list").withColumn("part", F.expr("int(pmod(xxhash64(id), parts))")).drop("parts")
+
+    def assigned(bounded: bool):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 if not len(batch):
                     continue
-                v = np.array(batch["v"].tolist(), np.float64)
-                out = {"id": batch["id"], "v": batch["v"], "list": list(ranked_lists(v, shared.value.centres)[:, :count].astype(np.int32))}
-                if bounded:
-                    out["bound"] = bounds_of(batch["id"].to_numpy(), v, shared.value, k)
-                yield pd.DataFrame(out)
+                v, ids = np.array(batch["v"].tolist(), np.float64), batch["id"].to_numpy()
+                lists = ranked_lists(v, shared.value.centres)
+                counts = np.minimum(np.maximum(probes, (np.cumsum(held[lists], axis=1) <= k).sum(axis=1) + 1), lists.shape[1])
+                bounds = bounds_of(ids, v, lists, counts, shared.value, k) if bounded else np.full(len(ids), -np.inf)
+                yield pd.DataFrame({"id": ids, "v": batch["v"], "list": [x[:n] for x, n in zip(lists.astype(np.int32), counts, strict=True)], "bound": bounds})
 
         return run
 
-    placed = written(good.mapInPandas(assigned(1, False), f"id long, v {kind}, list array<int>").select("id", "v", F.col("list")[0].alias("list")))
-    parts = placed.groupBy("list").agg(F.expr(f"int((count(*) - 1) div {LIST_ROWS}) + 1").alias("parts"))  # a row for each list: 4,096 at most
-    dealt = placed.join(F.broadcast(parts), "list").withColumn("part", F.expr("int(pmod(xxhash64(id), parts))")).drop("parts")
-    asked = (
-        asking.mapInPandas(assigned(probes, True), f"id long, v {kind}, list array<int>, bound double")
-        .select("id", "v", "bound", F.explode("list").alias("list"))
-        .join(F.broadcast(parts), "list")
-        .withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).drop("parts")
-    )
+    def asked(rows: DataFrame, bounded: bool) -> DataFrame:
+        return (
+            rows.mapInPandas(assigned(bounded), f"id long, v {kind}, list array<int>, bound double")
+            .select("id", "v", "bound", F.explode("list").alias("list"))
+            .join(F.broadcast(parts), "list")
+            .withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).drop("parts")
+        )
 
     def compare(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
@@ -176,6 +195,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_
         q, x, score = (np.concatenate(c) for c in zip(*found, strict=True))
         return pd.DataFrame({"query_id": q, id_col: x, "score": score})
 
-    found = dealt.groupBy("list", "part").cogroup(asked.groupBy("list", "part")).applyInPandas(compare, f"query_id long, {id_col} long, score double")
+    def scanned(rows: DataFrame, bounded: bool) -> DataFrame:
+        both = dealt.groupBy("list", "part").cogroup(asked(rows, bounded).groupBy("list", "part"))
+        return written(both.applyInPandas(compare, f"query_id long, {id_col} long, score double"))
+
+    found = scanned(asking, True)
+    if total > k:
+        full = found.groupBy(F.col("query_id").alias("id")).agg(F.count(F.lit(1)).alias("n")).where(f"n >= {k}")
+        short = asking.join(full, "id", "left_anti")
+        if not short.isEmpty():
+            found = found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(scanned(short, False))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
     return found.withColumn("rank", F.row_number().over(order)).where(f"rank <= {k}").select("query_id", F.col("rank").cast("int"), id_col, "score")
