@@ -76,6 +76,26 @@ def test_set_join(docs, size, num):
     assert got == brute_components(corpus(), size, num, 100)
 
 
+@pytest.mark.parametrize(("within", "members"), [(True, 40), (True, 400), (False, 40), (False, 400)])
+def test_index_lists_lose_no_pair(spark, within, members):
+    rng, link = random.Random(members), setjoin.Threshold(85, 100)
+    rows = []
+    for i in range(members):
+        n = rng.choice([60, 70, 82, 84, 90, 96, 100])
+        span = rng.choice([8, 12, 20]) if within else None
+        rows.append((7, i, n, span, rng.randrange(min(span or 10, 10)), rng.randrange(2) if within else i % 5))
+    entries = spark.createDataFrame(rows, "token long, id long, n int, span int, pos int, kind long")
+    got = {(r.a, r.b) for r in setjoin.candidates(entries, link, within).collect()}
+    want = set()
+    for _, a, n, s, p, x in rows:
+        for _, b, m, t, q, y in rows[a + 1 :]:
+            share = max(1, -((link.apart(n, m) - s - t) // 2)) if within else link.need(n, m)
+            left = min(s - p, t - q) if within else min(n - p, m - q)
+            if left >= share and min(n, m) >= link.least(max(n, m)) and ((x or y) if within else x != y):
+                want.add((a, b))
+    assert want and got == want
+
+
 def test_components(spark):
     rng = random.Random(1)
     links = [(i, i + 1) for i in range(40)] + [(100 + rng.randrange(20), 100 + rng.randrange(20)) for _ in range(15)] + [(200, 200)]

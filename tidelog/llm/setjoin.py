@@ -182,9 +182,9 @@ def compared(docs: DataFrame, pairs: DataFrame, size: int, link: Threshold, rank
 def list_pairs(token: np.ndarray, n: np.ndarray, span: np.ndarray, pos: np.ndarray, kind: np.ndarray, fresh: int, reach, fits) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (i, j), i before j >= fresh, of entries of one index list that pass the filters.
 
-    Entries are sorted by token, span (the size of the indexed set) and place. `reach(j)` is the smallest span of partners
+    Entries are sorted by token, span (the size of the indexed set), size n and place. `reach(j)` is the smallest span of partners
     of j. In short lists neighbours at growing distance are compared all at once. A long list is walked from the members of
-    all but its commonest kind: each block of equal span is entered up to the last place that `fits` and then skipped.
+    all but its commonest kind: each block of equal span and size is entered up to the last place that `fits` and then skipped.
     """
     first = np.searchsorted(token, token, "left")
     found_i, found_j = [], []
@@ -205,7 +205,7 @@ def list_pairs(token: np.ndarray, n: np.ndarray, span: np.ndarray, pos: np.ndarr
         b = a + int(lengths[a])
         kinds, counts = np.unique(kind[a:b], return_counts=True)
         main = kinds[counts.argmax()]
-        blocks = a + np.flatnonzero(np.append(True, np.diff(span[a:b]) != 0))
+        blocks = a + np.flatnonzero(np.append(True, (np.diff(span[a:b]) != 0) | (np.diff(n[a:b]) != 0)))
         ends = np.append(blocks[1:], b)
         walk = (a + np.flatnonzero(kind[a:b] != main)).tolist()
         for x in walk:
@@ -271,7 +271,7 @@ def candidates(entries: DataFrame, link: Threshold, within: bool) -> DataFrame:
             last = last[span[last] >= (span[-1] - np.max(link.apart(n[last], link.most(n[last]))) if within else link.least(span[-1:])[0])]
             kept = [x[last] for x in (token, ids, n, span, pos, kind)]
 
-    ready = entries.select("token", "id", "n", "span", "pos", "kind").repartition("token").sortWithinPartitions("token", "span", "pos", "id")
+    ready = entries.select("token", "id", "n", "span", "pos", "kind").repartition("token").sortWithinPartitions("token", "span", "n", "pos", "id")
     return ready.mapInArrow(run, "a long, b long").distinct()
 
 
