@@ -5,21 +5,35 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame) -> DataFrame:
-    """`df` as a Parquet table below `spark.checkpoint.dir`: computed once, and lost executors cost no recomputation.
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's `spark.checkpoint.dir`. Where it is unset a temporary folder is set once, on a local master only."""
+    sc = spark.sparkContext
+    configured = sc.getConf().get("spark.checkpoint.dir")
+    if configured:
+        return configured
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
 
-    Where the setting is absent (tests, one machine) a temporary folder is set once.
-    """
+
+def written(df: DataFrame) -> DataFrame:
+    """`df` as a Parquet table in the shared folder: computed once, and a lost executor costs no recomputation."""
     spark = df.sparkSession
-    sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        if not sc._jsc.sc().getCheckpointDir().isDefined():
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-        folder = sc._jsc.sc().getCheckpointDir().get()
-    path = f"{folder}/table-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete written tables that no later job reads."""
+    for df in tables:
+        for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/table-" not in name:
+                raise ValueError(f"not a written table: {name}")
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
