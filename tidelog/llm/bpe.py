@@ -9,7 +9,7 @@ from functools import cache
 
 import numpy as np
 
-from tidelog.llm.vec import mixed, ragged, span_hashes, unique_hashes
+from tidelog.llm.vec import mixed, ragged, same_spans, span_hashes, unique_hashes
 
 NONE = np.iinfo(np.int32).max
 #: Sequences of more symbols go through the heap, whose cost doesn't grow with symbols times merges.
@@ -19,20 +19,55 @@ MEMO_SIZE = 1 << 20
 
 
 class Merges:
-    """Pairs of symbols with the rank and the result of merging them."""
+    """Pairs of symbols with the rank and the result of merging them, in a hash table where each pair has one of two places."""
 
     def __init__(self, pairs: list[tuple[int, int, int, int]]):
         rows = np.array(sorted(pairs), np.int64).reshape(-1, 4)
         self.keys = rows[:, 0] << 32 | rows[:, 1]
         self.ranks, self.results = rows[:, 2].astype(np.int32), rows[:, 3].astype(np.int32)
         self._dict: dict[int, tuple[int, int]] = {}
+        self._bits = max(4, (4 * len(rows)).bit_length())
+        while not self._place():
+            self._bits += 1
+
+    def _spots(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        h = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        low = np.uint64((1 << self._bits) - 1)
+        return (h >> np.uint64(64 - self._bits)).astype(np.int64), (h & low).astype(np.int64)
+
+    def _place(self) -> bool:
+        """Put every pair in one of its two places, moving others to their second one; False if that doesn't end."""
+        self._table = np.full(1 << self._bits, len(self.keys), np.int32)
+        both = np.stack(self._spots(self.keys))
+        waiting, turn = np.arange(len(self.keys), dtype=np.int32), np.zeros(len(self.keys), np.int64)
+        for _ in range(64):
+            if not len(waiting):
+                break
+            spots = both[turn[waiting], waiting]
+            out = self._table[spots]
+            self._table[spots] = waiting
+            lost = waiting[self._table[spots] != waiting]  # of several for one place the last stays
+            moved = np.unique(out[out < len(self.keys)])
+            moved = moved[self._table[both[turn[moved], moved]] != moved]
+            turn[moved] ^= 1
+            turn[lost] ^= 1
+            waiting = np.append(lost, moved)
+        self._wide = np.append(self.keys, -1), np.append(self.ranks, NONE).astype(np.int32), np.append(self.results, 0).astype(np.int32)
+        return not len(waiting)
 
     def find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank (NONE where the pair doesn't merge) and result of each pair."""
         keys = left.astype(np.int64) << 32 | right
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        hit = self.keys[at] == keys
-        return np.where(hit, self.ranks[at], NONE), self.results[at]
+        known, ranks, results = self._wide
+        one, two = self._spots(keys)
+        at = self._table[one]
+        missed = np.flatnonzero(known[at] != keys)
+        if len(missed):
+            other = self._table[two[missed]]
+            at[missed] = np.where(known[other] == keys[missed], other, len(known) - 1)
+        return ranks[at], results[at]
 
     def get(self, left: int, right: int) -> tuple[int, int] | None:
         if not self._dict:
@@ -133,32 +168,55 @@ def merge_many(symbols: np.ndarray, lengths: np.ndarray, merges: Merges, dropped
 
 
 class Memo:
-    """Symbols of the distinct spans met so far, found by hash; starts afresh beyond MEMO_SIZE spans."""
+    """Symbols of the distinct spans met so far, found by hash and compared byte by byte; starts afresh beyond MEMO_SIZE spans."""
 
-    def __init__(self, compute: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]):
-        self.compute = compute
+    def __init__(self, compute: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], hashed=span_hashes):
+        self.compute, self.hashed = compute, hashed
         self._clear()
 
     def _clear(self) -> None:
         self.keys, self.at, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.pool = np.zeros(0, np.int32)
+        self.text_at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool, self.text = np.zeros(0, np.int32), np.zeros(0, np.uint8)
+
+    def find(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each span: where its symbols lie in `pool`, how many they are, and the number of its entry (-1 if it has none).
 
-    def find(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For ascending distinct hashes of the spans: where their symbols lie in `pool`, and how many they are."""
-        if len(self.keys) > MEMO_SIZE:
+        A span whose hash is that of an entry with other bytes is computed on its own.
+        """
+        if len(self.keys) > MEMO_SIZE or len(self.pool) > 16 * MEMO_SIZE:
             self._clear()
-        place = np.searchsorted(self.keys, hashes)
-        known = np.zeros(len(hashes), bool)
+        distinct, example, index = unique_hashes(self.hashed(data, starts, ends))
+        place = np.searchsorted(self.keys, distinct)
+        known = np.zeros(len(distinct), bool)
         inside = place < len(self.keys)
-        known[inside] = self.keys[place[inside]] == hashes[inside]
+        known[inside] = self.keys[place[inside]] == distinct[inside]
         new = np.flatnonzero(~known)
         if len(new):
-            symbols, counts = self.compute(data, starts[new], ends[new], hashes[new])
-            at = np.cumsum(counts) - counts + len(self.pool)
-            self.pool = np.concatenate((self.pool, symbols))
-            self.keys, self.at, self.count = (np.insert(old, place[new], add) for old, add in ((self.keys, hashes[new]), (self.at, at), (self.count, counts)))
-            place = np.searchsorted(self.keys, hashes)
-        return self.at[place], self.count[place]
+            a, b = starts[example[new]], ends[example[new]]
+            at, count = self._computed(data, a, b)
+            text_at = np.cumsum(b - a) - (b - a) + len(self.text)
+            self.text = np.concatenate((self.text, data[ragged(a, b - a)]))
+            columns = (self.keys, distinct[new]), (self.at, at), (self.count, count), (self.text_at, text_at), (self.size, b - a)
+            self.keys, self.at, self.count, self.text_at, self.size = (np.insert(old, place[new], add) for old, add in columns)
+            place = np.searchsorted(self.keys, distinct)
+        entry = place[index]
+        at, count, size = self.at[entry], self.count[entry], ends - starts
+        right = self.size[entry] == size
+        # up to eight bytes the hash is a bijection for each size
+        long = np.flatnonzero(right & (size > 8)) if self.hashed is span_hashes else np.flatnonzero(right)
+        right[long] = same_spans(data, starts[long], self.text, self.text_at[entry[long]], size[long])
+        wrong = np.flatnonzero(~right)
+        if len(wrong):
+            at[wrong], count[wrong] = self._computed(data, starts[wrong], ends[wrong])
+            entry[wrong] = -1
+        return at, count, entry
+
+    def _computed(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        symbols, counts = self.compute(data, starts, ends)
+        at = np.cumsum(counts) - counts + len(self.pool)
+        self.pool = np.concatenate((self.pool, symbols))
+        return at, counts
 
 
 #: Code points of Unicode's White_Space property (fixed values).
@@ -252,7 +310,7 @@ class ByteBPE:
         self.special = {t["content"].encode(): t["id"] for t in described["added_tokens"]}
         self.memo = Memo(self._compute)
 
-    def _compute(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, _: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _compute(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         lengths = ends - starts
         symbols = self.byte_ids[data[ragged(starts, lengths)]]
         short = lengths <= HEAP_FROM
@@ -295,9 +353,7 @@ class ByteBPE:
                 whole[i + 1 : j] = False
             starts = starts[whole]
         ends = np.append(starts[1:], len(data)) if len(starts) else starts
-        distinct, example, index = unique_hashes(span_hashes(data, starts, ends))
-        at, count = self.memo.find(distinct, data, starts[example], ends[example])
-        at, count = at[index], count[index]
+        at, count, _ = self.memo.find(data, starts, ends)
         for a, _, number in marks:
             i = np.searchsorted(starts, a)
             at[i], count[i] = -1 - number, 1

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.bpe import HEAP_FROM, Memo, Merges, code_points, keyed, merge_many, merge_one
-from tidelog.llm.vec import U64, mixed, pieces, ragged, span_hashes, unique_hashes
+from tidelog.llm.vec import U64, pieces, ragged
 
 MARK = "▁"
 
@@ -44,33 +44,50 @@ class PieceBPE:
         self.limit, self.seed = U64(min(2**64 - 1, int(dropout * 2**64))), seed
         self.memo = Memo(self._compute)
 
-    def _compute(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _symbols(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A symbol for each character of the words, and their numbers; an unknown character has one that never merges."""
         points, at = code_points(data[ragged(starts, ends - starts)])
-        edges = np.append(0, np.cumsum(ends - starts))
-        lengths = np.diff(np.searchsorted(at, edges))
+        lengths = np.diff(np.searchsorted(at, np.append(0, np.cumsum(ends - starts))))
         symbols = self.symbol[points]
-        symbols = np.where(symbols < 0, -1 - points, symbols)  # unknown characters never merge
-
-        def dropped_of(keys: np.ndarray):
-            if not self.limit:
-                return None
-            return lambda seq, start, middle, end: keyed(self.seed, keys[seq], start << 42 | middle << 21 | end) < self.limit
+        return np.where(symbols < 0, -1 - points, symbols), lengths
 
+    def _merged(self, symbols: np.ndarray, lengths: np.ndarray, dropped=None) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of the words and their numbers. `dropped(word, start, middle, end)` says which candidates are skipped."""
         short = lengths <= HEAP_FROM
-        out, counts = merge_many(symbols[np.repeat(short, lengths)], lengths[short], self.merges, dropped_of(keys[short]), one_at_a_time=True)
-        if not short.all():
-            parts, result, first = np.split(out, np.cumsum(counts)[:-1]), [], np.cumsum(lengths) - lengths
-            parts, number = iter(parts), np.zeros(len(lengths), np.int64)
-            for i, small in enumerate(short.tolist()):
-                if small:
-                    result.append(next(parts))
-                else:
-                    drop = dropped_of(keys[i : i + 1])
-                    scalar = (lambda a, b, c, drop=drop: bool(drop(np.zeros(1, np.int64), np.array([a]), np.array([b]), np.array([c]))[0])) if drop else None
-                    result.append(np.array(merge_one(symbols[first[i] : first[i] + lengths[i]].tolist(), self.merges, scalar), np.int32))
-                number[i] = len(result[-1])
-            out, counts = np.concatenate(result), number
-        return self._with_bytes(out, counts)
+        if short.all():
+            return self._with_bytes(*merge_many(symbols, lengths, self.merges, dropped, one_at_a_time=True))
+        small, first = np.flatnonzero(short), np.cumsum(lengths) - lengths
+        narrowed = dropped and (lambda word, *place: dropped(small[word], *place))
+        out, counts = merge_many(symbols[np.repeat(short, lengths)], lengths[small], self.merges, narrowed, one_at_a_time=True)
+        done = dict(zip(small.tolist(), np.split(out, np.cumsum(counts)[:-1]) if len(small) else [], strict=True))
+        for i in np.flatnonzero(~short).tolist():
+            one = dropped and (lambda *place, i=i: bool(dropped(np.array([i]), *(np.array([x]) for x in place))[0]))
+            done[i] = np.array(merge_one(symbols[first[i] : first[i] + lengths[i]].tolist(), self.merges, one), np.int32)
+        rows = [done[i] for i in range(len(lengths))]
+        return self._with_bytes(np.concatenate(rows), np.array([len(x) for x in rows]))
+
+    def _compute(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of words without dropout; behind each word's pieces come the candidates that its agenda met."""
+        symbols, lengths = self._symbols(data, starts, ends)
+        met = [np.zeros((2, 0), np.int64)]
+
+        def note(word, start, middle, end):
+            met.append(np.stack((word, start << 42 | middle << 21 | end)))
+            return np.zeros(len(word), bool)
+
+        pieces, counts = self._merged(symbols, lengths, note if self.limit else None)
+        word, place = np.concatenate(met, axis=1)
+        order = np.argsort(word, kind="stable")
+        word, place = word[order], place[order]
+        offers = np.bincount(word, minlength=len(lengths))
+        # an entry: number of pieces, pieces, candidates as two halves of 32 bits
+        total = 1 + counts + 2 * offers
+        at = np.cumsum(total) - total
+        out = np.zeros(int(total.sum()), np.int32)
+        out[at] = counts
+        out[ragged(at + 1, counts)] = pieces
+        out[ragged(at + 1 + counts, 2 * offers)] = place.astype("<i8").view(np.int32)
+        return out, total
 
     def _with_bytes(self, symbols: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Unknown characters as the pieces of their bytes."""
@@ -87,8 +104,12 @@ class PieceBPE:
         edges = np.append(0, np.cumsum(counts))
         return out, np.diff(sums[edges])
 
-    def encode(self, data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, variants: int = 1) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts and each text's range. `keys` (an integer a text) and the place of a word choose its variant."""
+    def encode(self, data: np.ndarray, offsets: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts and each text's range. A candidate is skipped by the hash of the seed, its text's integer of
+        `keys`, its word's place in the text and its own place in the word.
+
+        Words whose candidates all stay have the pieces of an earlier run without dropout; the others run on their own.
+        """
         filled = np.flatnonzero(np.diff(offsets))
         data = np.insert(data, offsets[:-1][filled], 32)
         bounds = offsets + np.append(0, np.cumsum(np.diff(offsets) > 0))
@@ -99,17 +120,29 @@ class PieceBPE:
         starts = np.flatnonzero(begins)
         ends = np.append(starts[1:], len(data)) if len(starts) else starts
         words = np.searchsorted(starts, bounds)
-        hashes = span_hashes(data, starts, ends)
-        if self.limit and variants > 1:
+        at, total, _ = self.memo.find(data, starts, ends)
+        pool = self.memo.pool
+        count = pool[at].astype(np.int64) if len(at) else at
+        again = np.zeros(0, np.int64)
+        if self.limit:
             each = np.diff(words)
-            place = np.arange(len(starts)) - np.repeat(words[:-1], each)
-            variant = keyed(self.seed, np.repeat(keys, each), place) % U64(variants)
-            hashes = mixed(hashes + variant * U64(0x9E3779B97F4A7C15))
-        distinct, example, index = unique_hashes(hashes)
-        at, count = self.memo.find(distinct, data, starts[example], ends[example])
-        at, count = at[index], count[index]
-        total = np.append(0, np.cumsum(count))
-        return self.memo.pool[ragged(at, count)], total[words]
+            own = keyed(self.seed, np.repeat(keys, each), np.arange(len(starts)) - np.repeat(words[:-1], each))
+            offers = (total - 1 - count) >> 1
+            halves = pool[ragged(at + 1 + count, 2 * offers)]
+            place = np.ascontiguousarray(halves).view("<i8")
+            word = np.repeat(np.arange(len(starts)), offers)
+            again = np.unique(word[keyed(self.seed, own[word], place) < self.limit])
+        size = count.copy()
+        if len(again):
+            symbols, lengths = self._symbols(data, starts[again], ends[again])
+            fresh, size[again] = self._merged(symbols, lengths, lambda w, a, b, c: keyed(self.seed, own[again[w]], a << 42 | b << 21 | c) < self.limit)
+            pool = np.concatenate((pool, fresh))
+            at = at + 1
+            at[again] = len(pool) - len(fresh) + np.cumsum(size[again]) - size[again]
+        else:
+            at = at + 1
+        edges = np.append(0, np.cumsum(size))
+        return pool[ragged(at, size)], edges[words]
 
     def decode(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of all id sequences and each one's range; the blank put before a text's first piece goes."""
@@ -128,23 +161,24 @@ def piece_bpe(path: str, dropout: float, seed: int) -> PieceBPE:
     return PieceBPE(path, dropout, seed)
 
 
-def encode(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 0, variants: int = 4, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+def encode(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """One row per document: id_col, n_bytes, n_pieces, ids_crc32 (unsigned, of the ids as little-endian 32-bit), lossless, ids.
 
     `model` is the path of a merge-type model with byte fallback and no normalisation, present on every executor. Each
-    candidate merge is skipped with probability `dropout`, by a hash of the seed, the word, its variant and the
-    candidate's place; the document's id and the word's place choose among `variants`, so equal inputs give equal ids
+    candidate merge is skipped with probability `dropout`, by a hash of the seed, the document's id, the word's place in it
+    and the candidate's place in the word: each occurrence of a word has draws of its own, and equal inputs give equal ids
     wherever they run. Without dropout the pieces are the library's, but for U+2581, which goes by its bytes so that
-    decoding gives it back. `lossless`: decoding gives the text. Null texts are empty and have no pieces. No shuffle.
+    decoding gives it back. `lossless`: decoding gives the text. Null texts are empty and have no pieces; rows that repeat
+    give equal rows, a null id is an id like others. No shuffle.
     """
-    if not 0 <= dropout <= 1 or variants < 1:
-        raise ValueError("dropout lies in 0..1, variants is at least 1")
+    if not 0 <= dropout <= 1:
+        raise ValueError("dropout lies in 0..1")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = piece_bpe(model, dropout, seed)
         for batch in batches:
             for part, data, offsets in pieces(batch, "text"):
-                ids, bounds = bpe.encode(data, offsets, np.array(part.column(2).to_pylist(), np.int64), variants)
+                ids, bounds = bpe.encode(data, offsets, np.array(part.column(2).to_pylist(), np.int64))
                 back, edges = bpe.decode(ids, bounds)
                 same = np.array_equal(edges, offsets) and np.array_equal(back, data)
                 lossless = [same or back[edges[i] : edges[i + 1]].tobytes() == data[offsets[i] : offsets[i + 1]].tobytes() for i in range(part.num_rows)]

@@ -18,23 +18,7 @@ SPACE = _space
 _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
 LOWER = _lower
-_rng = np.random.Generator(np.random.PCG64(20240101))
-BYTE_VALUE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
-BASE = 0x9E3779B97F4A7C15 | 1
-BASE_INV = pow(BASE, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = 1 << max(12, (n - 1).bit_length())
-        have = np.full(size, U64(base))
-        have[0] = 1
-        have = np.multiply.accumulate(have)
-        _powers[base] = have
-    return have[:n]
+ODD = 0x9E3779B97F4A7C15
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -84,14 +68,26 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span."""
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each byte span. Every eight bytes are mixed with their place in the span before they are summed, so
+    no arithmetic of the bytes carries over to the hash; two seeds give 128 bits."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_VALUE[data] * powers(BASE, len(data)), out=total[1:])
-    raw = (total[ends] - total[starts]) * powers(BASE_INV, len(data) + 1)[starts]
-    return mixed(raw + (ends - starts).astype(np.uint64) * U64(0xD1342543DE82EF95))
+    sizes = ends - starts
+    parts = (sizes + 7) >> 3
+    padded = np.append(data, np.zeros(8, np.uint8))
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    first = np.cumsum(parts) - parts
+    place = np.arange(int(parts.sum())) - np.repeat(first, parts)
+    at = np.repeat(starts, parts) + 8 * place
+    value = eight[at]
+    left = np.repeat(ends, parts) - at
+    short = left < 8
+    value[short] &= (U64(1) << (left[short] << 3).astype(np.uint64)) - U64(1)
+    most = int(place.max(initial=0)) + 1
+    keys = mixed(np.arange(most, dtype=np.uint64) * U64(ODD) + U64((seed * 0xD1342543DE82EF95 + 0x632BE59BD9B4E019) & (2**64 - 1)))
+    sums = np.append(U64(0), np.cumsum(mixed(value ^ keys[place])))
+    return mixed(sums[first + parts] - sums[first] + sizes.astype(np.uint64) * U64(0xD1342543DE82EF95) + U64(seed))
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,7 +100,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarray]:
     """For each text the sorted distinct hashes of its `size`-word shingles; a shorter text is one shingle, one without words none."""
     hashes, bounds = word_hashes(data, offsets)
-    weights = [U64(2 * pow(BASE, k + 3, 1 << 62) + 1) for k in range(size)]
+    weights = [U64(2 * pow(ODD, k + 3, 1 << 62) + 1) for k in range(size)]
     rolled = np.zeros(max(0, len(hashes) - size + 1), np.uint64)
     for k in range(size):
         rolled += hashes[k : len(hashes) - size + 1 + k] * weights[k]
@@ -144,3 +140,11 @@ def unique_hashes(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarra
     index = np.empty(len(hashes), np.int64)
     index[order] = np.cumsum(new) - 1
     return ordered[new], order[new], index
+
+
+def same_spans(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether each pair of byte spans of one size holds the same bytes."""
+    at = ragged(a_starts, sizes)
+    differ = np.append(0, np.cumsum(a[at] != b[ragged(b_starts, sizes)]))
+    edges = np.append(0, np.cumsum(sizes))
+    return differ[edges[1:]] == differ[edges[:-1]]
