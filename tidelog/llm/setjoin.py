@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.graph import components
-from tidelog.llm.store import dropped, written
+from tidelog.tables import dropped, written
 from tidelog.llm.vec import U64, mixed, pieces, shingle_sets
 
 KEYS = 8
@@ -21,7 +21,8 @@ BUCKET_BITS, BLOCK = 18, 1 << 13
 PARTNERS = 512
 #: Longer index lists are walked block by block.
 LONG_LIST = 64
-FILTER_BITS = 1 << 23
+#: Bits of the filter of ids: eight an id, within these bounds (8 MB at most).
+FILTER_BITS = 1 << 20, 1 << 26
 
 
 @dataclass(frozen=True)
@@ -48,9 +49,10 @@ class Threshold:
 
 
 def in_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of `docs` whose id may be in `ids`: a bitmap of fixed size drops most others before texts are shuffled."""
-    spot = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    words = ids.select(F.expr(f"int({FILTER_BITS // 65536})").alias("n"), spot.alias("spot")).select(
+    """Rows of `docs` whose id may be in `ids`, a written table: a bitmap drops most others before texts are shuffled."""
+    least, most = FILTER_BITS
+    spot = F.pmod(F.xxhash64("id"), F.lit(min(most, max(least, 1 << (8 * ids.count()).bit_length()))))
+    words = ids.select(spot.alias("spot")).select(
         F.expr("spot div 65536").alias("block"), F.expr("int(spot % 65536 div 64)").alias("word"), F.expr("shiftleft(1L, int(spot % 64))").alias("bit")
     )
     blocks = words.groupBy("block", "word").agg(F.bit_or("bit").alias("bits")).groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("bits"))
@@ -144,7 +146,7 @@ def compared(docs: DataFrame, pairs: DataFrame, size: int, link: Threshold, rank
     members = pairs.join(parts, "hub").select("id", "hub", F.expr("int(pmod(xxhash64(id), parts))").alias("part"), F.lit(1).alias("role"))
     heads = parts.select(F.col("hub").alias("id"), "hub", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), F.lit(0).alias("role"))
     going = written(members.unionByName(heads))
-    rows = in_ids(docs, going.select("id").distinct()).join(going.hint("merge"), "id").select("hub", "part", "role", "id", "text")
+    rows = in_ids(docs, going.select("id")).join(going.hint("merge"), "id").select("hub", "part", "role", "id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, own = None, None
@@ -263,7 +265,8 @@ def candidates(entries: DataFrame, link: Threshold, within: bool) -> DataFrame:
             def reach(j):
                 return span[j] - link.apart(n[j], link.most(n[j])) if within else link.least(span[j])
 
-            walk_kind = np.where(kind == 0, 0, ids) if within else kind
+            # a group of their own for those linked to the hub, one each for all others, whatever their ids
+            walk_kind = np.where(kind == 0, -1, np.unique(ids, return_inverse=True)[1]) if within else kind
             i, j = list_pairs(token, n, span, pos, walk_kind, fresh, reach, fits)
             pairs = np.unique(np.stack((np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]))), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
@@ -291,11 +294,13 @@ def prefixes(docs: DataFrame, size: int, link: Threshold, ranks) -> DataFrame:
 
 
 def near_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id_col, n_shingles, component_id (smallest id reachable by links, itself included).
+    """One row per row of `docs`: id_col, n_shingles, component_id (smallest id reachable by links, itself included).
 
     Sets are the distinct `size`-word shingles of the text, A-Z lower-cased; fewer words are one shingle. Two documents link
     when den * |intersection| >= num * |union|. A null text or one without words is empty and links with nothing. Ids are
-    unique integers. All links count, none is estimated:
+    integers; rows that repeat an id are documents of their own, and so are rows without an id, whose component_id is the
+    smallest id that they reach (NULL if none). Sets are told apart by 128-bit signatures. All links count, none is
+    estimated:
 
     1. equal sets become one class;
     2. sets that share minimum hashes are compared with a hub (`leaders`);
@@ -305,27 +310,41 @@ def near_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     4. sets of different hubs are found by an index of their leading elements, rarest first;
     5. the pairs found are compared, and the links joined to components.
     """
-    link = Threshold(num, den)
-    spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sketches = written(sketched(docs, size))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    sketches = written(sketched(rows, size))
+    sets = sketches.where("block is null")
+    if not sets.groupBy("id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1 or id is null").isEmpty():
+        dropped(sketches)
+        numbered = written(rows.select(F.monotonically_increasing_id().alias("id"), F.col("id").alias("own_id"), "text"))
+        sketches = written(sketched(numbered.select("id", "text"), size))
+        found = written(linked(numbered.select("id", "text"), sketches, size, Threshold(num, den)).join(numbered.select("id", "own_id"), "id"))
+        least = found.groupBy("component_id").agg(F.min("own_id").alias("least_id"))
+        out = found.join(least, "component_id").select(F.col("own_id").alias("id"), "n_shingles", F.col("least_id").alias("component_id"))
+    else:
+        out = linked(rows, sketches, size, Threshold(num, den))
+    return out.withColumnRenamed("id", id_col)
+
+
+def linked(docs: DataFrame, sketches: DataFrame, size: int, link: Threshold) -> DataFrame:
+    """As `near_components`, of documents (id, text) whose ids are unique, and their `sketched` table."""
+    num, den, spark = link.num, link.den, docs.sparkSession
     ranks = spark.sparkContext.broadcast(bucket_ranks(sketches))  # of fixed size
-    sets = sketches.where("id is not null")
+    sets = sketches.where("block is null")
     reps = written(sets.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("id").alias("id"), F.first("keys").alias("keys")))
     hubs = leaders(reps)
     star = written(compared(docs, hubs.where("id <> hub"), size, link, ranks, True))
-    linked = F.col("inter") * den >= (F.col("n") + F.col("n_hub") - F.col("inter")) * num
-    open_hubs = written(star.where(~linked).select("hub").distinct())
-    inner = star.join(open_hubs, "hub", "left_semi").select("id", "n", F.col("t_size").alias("span"), F.when(linked, 0).otherwise(1).alias("kind"), F.posexplode("t").alias("pos", "token"))
+    near = F.col("inter") * den >= (F.col("n") + F.col("n_hub") - F.col("inter")) * num
+    open_hubs = written(star.where(~near).select("hub").distinct())
+    inner = star.join(open_hubs, "hub", "left_semi").select("id", "n", F.col("t_size").alias("span"), F.when(near, 0).otherwise(1).alias("kind"), F.posexplode("t").alias("pos", "token"))
     groups = written(reps.select("id").join(hubs, "id", "left").select("id", F.nullif("hub", "id").alias("kind")))
     # by shuffle at every size: broadcasting the smaller side would end where it outgrows the threshold
     lead = prefixes(in_ids(docs, groups), size, link, ranks).join(groups.hint("merge"), "id")
     outer = lead.select("id", "n", F.lit(None).cast("int").alias("span"), "kind", F.posexplode("prefix").alias("pos", "token"))
     found = written(candidates(inner, link, True).unionByName(candidates(outer, link, False)).distinct())
     checked = compared(docs, found.select(F.col("a").alias("hub"), F.col("b").alias("id")), size, link, ranks, False)
-    links = star.where(linked).select(F.col("hub").alias("a"), F.col("id").alias("b")).unionByName(checked.where(linked).select(F.col("hub").alias("a"), F.col("id").alias("b")))
+    links = star.where(near).select(F.col("hub").alias("a"), F.col("id").alias("b")).unionByName(checked.where(near).select(F.col("hub").alias("a"), F.col("id").alias("b")))
     found_components = components(links)
     classes = reps.select("s1", "s2", "n", F.col("id").alias("rep")).join(found_components.withColumnRenamed("id", "rep"), "rep", "left")
     classes = written(classes.select("s1", "s2", "n", F.coalesce("component_id", "rep").alias("component_id")))
     out = sets.join(classes, ["s1", "s2", "n"], "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    return out.select("id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
