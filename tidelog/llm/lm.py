@@ -1,432 +1,454 @@
-"""Language-model scores: an online context-mixing model of bytes, and a unigram base."""
+"""Language-model scores: a context-mixing model of bytes, trained online, and a unigram base."""
 
 from __future__ import annotations
 
-import uuid
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.store import dropped, written
-from tidelog.llm.vec import BASE, BASE_INV, BYTE_VALUE, LOWER, U64, mixed, pieces, powers, ragged, span_hashes, words
-
-#: Context lengths in bytes of the predictors (the last one sees the word so far, however long), and the length of the
-#: window that holds context and byte.
-ORDERS = (2, 3, 4, 6)
-PREDICTORS = len(ORDERS) + 1
-WINDOW = max(ORDERS) + 1
-#: Logarithms of the predictors' numbers of slots, and where each one's begin.
-SLOT_BITS = (16, 19, 21, 22, 22)
-FIRST_SLOT = [sum(1 << b for b in SLOT_BITS[:k]) for k in range(PREDICTORS + 1)]
+from tidelog.llm.vec import LOWER, U64, mixed, pieces, ragged, span_hashes, words
+from tidelog.tables import written
+
+#: Context lengths in bytes of the predictors: those of the short ones are counted in hashed slots of fixed number, those of
+#: the long ones exactly, in tables that grow with the corpus.
+SHORT, LONG = (1, 2, 3), (4, 5, 6)
+ORDERS = SHORT + LONG
+CONTEXT = max(ORDERS)
+INPUTS = len(ORDERS) + 1
+SLOT_BITS = (16, 20, 22)
+FIRST_SLOT = [sum(1 << b for b in SLOT_BITS[:k]) for k in range(len(SHORT) + 1)]
 SLOTS = FIRST_SLOT[-1]
-BLOCK = 1 << 15
-#: Distinct windows outside a tally's table at which it is counted, learned from and begun anew.
-TALLY_ROWS = 1 << 20
-PIECE = 1 << 19
-GATES = 8 * (PREDICTORS + 1)
-#: Buckets of the refinement by predicted odds.
-STEPS = 24
+#: Gates: bytes since the last blank and how many contexts are known.
+GATES = (CONTEXT + 1) * (len(ORDERS) + 1)
+#: Steps of log odds in the refinement table.
+STEPS = 33
+#: Parts of the windows, by hash, after each of which the mixer's weights move.
+ROUNDS = 8
+#: Prior strength of the weights and the furthest that one moves in a round.
+PRIOR, REACH = 50.0, 0.1
 END = 10
-#: Commonest words whose counts every task holds; the others' counts are joined.
-COMMON = 1 << 18
-CACHE_BITS = 22
-TALLY_BITS = 20
-EVALUATED = 1 << 13
+PIECE = 1 << 20
+CHUNK = 1 << 15
+#: Distinct windows or words that a task holds before it passes them on.
+TALLY = 1 << 21
+#: Slots of the tables of common windows and words that every task holds; whatever isn't in them is joined.
+WINDOW_BITS, WORD_BITS = 22, 19
+FIXED = 1 << 16
 LOG = np.array([*range(192), *(192 * 2 ** (k / 5) for k in range(1, 65))])
 
 
-def quantised(n: np.ndarray) -> np.ndarray:
-    """Counts in 8 bits: exact up to 191, then in steps of a fifth of an octave."""
-    big = n >= 192
-    if not big.any():
-        return n.astype(np.uint16)
-    out = n.astype(np.uint16)
-    out[big] = np.minimum(255, 191 + np.floor(5 * np.log2(n[big] / 192)) + 1).astype(np.uint16)
-    return out
-
-
-def stretches() -> np.ndarray:
-    """Log odds of a one for each pair of quantised counts, drawn to 0 where little is known."""
-    n0, n1 = LOG[:, None], LOG[None, :]
-    odds = np.log((n1 + 0.05) / (n0 + 0.05))
-    return (odds * ((n0 + n1) / (n0 + n1 + 0.2))).astype(np.float32).ravel()
-
-
-STRETCH = stretches()
-
-
-@dataclass
-class Mixer:
-    """Gated weights and the refinement table: for each gate a weight a predictor; counts of ones by byte so far and odds."""
-
-    weights: np.ndarray = field(default_factory=lambda: np.full((GATES, PREDICTORS + 1), 0.35, np.float32))
-    squares: np.ndarray = field(default_factory=lambda: np.full((GATES, PREDICTORS + 1), 1e-3, np.float32))
-    ones: np.ndarray = field(default_factory=lambda: np.zeros((256, STEPS)))
-    total: np.ndarray = field(default_factory=lambda: np.zeros((256, STEPS)))
-
-
 def stream(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of all texts' bytes (the predicted byte on top), hashes of the word before each, each text's range; word hashes, each text's range.
+    """Windows of all texts' bytes (the predicted byte on top of CONTEXT bytes), each text's range; two hashes of each word, each text's range.
 
-    A text is its words, A-Z lower-cased, each followed by a blank, and an end byte.
+    A text is its words, A-Z lower-cased, each followed by a blank, and an end byte. Before it stand zeros.
     """
     low = LOWER[data]
-    starts, ends, bounds = words(low, offsets)
+    starts, ends, ranges = words(low, offsets)
     sizes = ends - starts + 1
     body = np.append(low, np.uint8(32))[ragged(starts, sizes)]
     body[np.cumsum(sizes) - 1] = 32
-    texts = np.append(0, np.cumsum(sizes))[bounds]
+    texts = np.append(0, np.cumsum(sizes))[ranges]
     n = len(offsets) - 1
-    pad = WINDOW - 1
-    out = np.zeros(len(body) + n * (pad + 1) + 8 - WINDOW, np.uint8)
-    skew = np.arange(n) * (pad + 1) + pad + 8 - WINDOW
+    out = np.zeros(len(body) + n * 9 + 8, np.uint8)
+    skew = np.arange(n) * 9 + 8
     out[np.arange(len(body)) + np.repeat(skew, np.diff(texts))] = body
-    last = texts[1:] + skew
-    out[last] = END
-    windows = np.ndarray((max(0, len(out) - 7),), "<u8", out, strides=(1,)) >> U64(64 - 8 * WINDOW)
-    first = texts[:-1] + skew - 7
+    out[texts[1:] + skew] = END
+    eight = np.ndarray((max(0, len(out) - 7),), "<u8", out, strides=(1,))
     lengths = np.diff(texts) + 1
-    word_at = np.repeat(np.cumsum(sizes) - sizes, sizes)
-    total = np.zeros(len(body) + 1, np.uint64)
-    np.cumsum(BYTE_VALUE[body] * powers(BASE, len(body)), out=total[1:])
-    so_far = (total[:-1] - total[word_at]) * powers(BASE_INV, len(body) + 1)[word_at] if len(body) else np.zeros(0, np.uint64)
-    so_far = np.insert(so_far, texts[1:], U64(0))
-    return windows[ragged(first, lengths)], so_far, np.append(0, np.cumsum(lengths)), span_hashes(low, starts, ends), bounds
+    windows = eight[ragged(texts[:-1] + skew - 7, lengths)] >> U64(56 - 8 * CONTEXT)
+    return windows, np.append(0, np.cumsum(lengths)), span_hashes(low, starts, ends), span_hashes(low, starts, ends, 1), ranges
 
 
-def contexts(windows: np.ndarray, so_far: np.ndarray) -> list[np.ndarray]:
-    """A hash of each predictor's context."""
-    under = windows & U64((1 << (8 * (WINDOW - 1))) - 1)
-    return [*(mixed((under >> U64(8 * (WINDOW - 1 - k))) * U64(31) + U64(k)) for k in ORDERS), mixed(so_far + U64(99))]
+def distinct(a: np.ndarray, b: np.ndarray | None, counts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
+    """Keys (a, b) that differ from the one before them in the order of a, and how often they come; nearly always distinct."""
+    if b is None and counts is None:
+        a = np.sort(a)
+    else:
+        order = np.argsort(a, kind="stable")
+        a, b, counts = a[order], None if b is None else b[order], None if counts is None else counts[order]
+    new = np.ones(len(a), bool)
+    new[1:] = a[1:] != a[:-1]
+    if b is not None:
+        new[1:] |= b[1:] != b[:-1]
+    at = np.flatnonzero(new)
+    if counts is None:
+        sums = np.diff(np.append(at, len(a)))
+    else:
+        sums = np.add.reduceat(counts, at) if len(at) else counts
+    return a[at], None if b is None else b[at], sums
+
 
+class Tally:
+    """Keys of a task and their counts, merged as they come."""
 
-def together(windows: np.ndarray, so_far: np.ndarray) -> np.ndarray:
-    """A hash of all that a prediction depends on."""
-    return mixed(windows * U64(0x9E3779B97F4A7C15) + so_far)
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, np.ndarray | None, np.ndarray]] = []
 
+    def add(self, a: np.ndarray, b: np.ndarray | None = None) -> None:
+        self.parts.append(distinct(a, b, None))
+        if len(self.parts) > 1 and sum(len(p[0]) for p in self.parts[1:]) > max(TALLY // 4, len(self.parts[0][0])):
+            self._merge()
 
-def slots(context: np.ndarray, node: np.ndarray, k: int) -> np.ndarray:
-    """Where a predictor keeps the counts of a context and the bits of the byte so far."""
-    return (((context ^ node * U64(0x9E3779B97F4A7C15)) * U64(0xD6E8FEB86659FD93)) >> U64(64 - SLOT_BITS[k])).astype(np.int64) + FIRST_SLOT[k]
+    def _merge(self) -> None:
+        columns = zip(*self.parts, strict=True)
+        self.parts = [distinct(*(None if c[0] is None else np.concatenate(c) for c in columns))]
 
+    def take(self, limit: int = 0) -> tuple[np.ndarray, np.ndarray | None, np.ndarray] | None:
+        """All keys if there are more than `limit`, and nothing is held any more."""
+        if not self.parts or sum(len(p[0]) for p in self.parts) <= limit:
+            return None
+        self._merge()
+        if len(self.parts[0][0]) <= limit:
+            return None
+        (out,), self.parts = self.parts, []
+        return out
 
-def log_probabilities(windows: np.ndarray, so_far: np.ndarray, states, mixer: Mixer, learn: np.ndarray | None = None) -> np.ndarray:
-    """log2 of the probability of each window's byte after its context.
 
-    `states(slots, bits)` gives the pair of quantised counts. Eight bits are predicted one after the other: the predictors' log
-    odds are mixed by the weights of the gate (bit, and how many contexts are known), then averaged with the share of ones
-    met at such odds. With `learn`, the windows' multiplicities, weights and shares follow each block of windows.
+def tallied(docs: DataFrame) -> DataFrame:
+    """Counts of documents (text, learn): rows (a, b, n, m) of n occurrences to learn from among m.
+
+    b = 0: a is a window; b odd: a and b are a word's hashes; b = 2: texts. Each task adds up its own first.
     """
-    out = np.zeros(len(windows))
-    for a in range(0, len(windows), EVALUATED):
-        part = windows[a : a + EVALUATED]
-        byte = (part >> U64(8 * (WINDOW - 1))).astype(np.int64)
-        hashed = contexts(part, so_far[a : a + EVALUATED])
-        count = None if learn is None else learn[a : a + EVALUATED].astype(np.float32)
-        inputs = np.empty((PREDICTORS + 1, len(part)), np.float32)
-        inputs[-1] = 0.3
-        total = np.zeros(len(part))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows, vocabulary, texts = Tally(), Tally(), np.zeros(2, np.int64)
+
+        def rows(a: np.ndarray, b: np.ndarray, learned: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x.astype(np.uint64).view(np.int64)) for x in (a, b, count * learned, count)], ["a", "b", "n", "m"])
+
+        def passed_on(limit: int) -> Iterator[pa.RecordBatch]:
+            if found := windows.take(limit):
+                yield rows(found[0] >> U64(1), np.zeros(len(found[0])), (found[0] & U64(1)).astype(np.int64), found[2])
+            if found := vocabulary.take(limit):
+                yield rows(found[0], found[1] | U64(1), (found[1] & U64(1)).astype(np.int64), found[2])
+
+        for batch in batches:
+            for part, data, offsets in pieces(batch, "text", PIECE):
+                learn = part.column(1).to_numpy(zero_copy_only=False).astype(np.uint64)
+                found, bounds, one, two, ranges = stream(data, offsets)
+                windows.add(found << U64(1) | np.repeat(learn, np.diff(bounds)))
+                vocabulary.add(one, two & ~U64(1) | np.repeat(learn, np.diff(ranges)))
+                texts += int(learn.sum()), len(learn)
+                yield from passed_on(TALLY)
+        yield from passed_on(0)
+        yield rows(np.zeros(1), np.full(1, 2), np.ones(1), texts[1:]) if texts[0] == texts[1] else rows(np.zeros(2), np.full(2, 2), np.array([1, 0]), np.array([texts[0], texts[1] - texts[0]]))
+
+    return docs.mapInArrow(run, "a long, b long, n long, m long").groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+
+
+def byte_of(windows: np.ndarray) -> np.ndarray:
+    return (windows >> U64(8 * CONTEXT)).astype(np.int64)
+
+
+def context_of(windows: np.ndarray, order: int) -> np.ndarray:
+    return windows >> U64(8 * (CONTEXT - order)) & U64((1 << 8 * order) - 1)
+
+
+def slots(windows: np.ndarray) -> np.ndarray:
+    """Where the short predictors keep the counts of each of the eight bits: an array (predictor, bit, window)."""
+    byte = byte_of(windows)
+    out = np.empty((len(SHORT), 8, len(windows)), np.int64)
+    for k, order in enumerate(SHORT):
+        context = context_of(windows, order)
         for bit in range(8):
-            node = 1 << bit | byte >> (8 - bit)
-            one = (byte >> (7 - bit)) & 1
-            known = np.zeros(len(part), np.int64)
-            place = node.astype(np.uint64)
-            for k in range(PREDICTORS):
-                state = states(slots(hashed[k], place, k), one)
-                inputs[k] = STRETCH[state]
-                known += state != 0
-            gate = known * 8 + bit
-            odds = np.einsum("kn,nk->n", inputs, mixer.weights[gate])
-            p = 1 / (1 + np.exp(-np.clip(odds, -18, 18)))
-            step = np.clip((odds + 12).astype(np.int64), 0, STEPS - 1)
-            refined = (mixer.ones[node, step] + 4 * p) / (mixer.total[node, step] + 4)
-            final = np.clip(0.5 * p + 0.5 * refined, 1e-7, 1 - 1e-7)
-            total += np.log2(np.where(one == 1, final, 1 - final))
-            if count is not None:
-                error = (one - p) * count
-                met = np.bincount(gate, count, GATES)
-                slope = np.stack([np.bincount(gate, row * error, GATES) for row in inputs], axis=1) / np.maximum(met, 1)[:, None]
-                mixer.squares += slope.astype(np.float32) ** 2
-                mixer.weights += (0.05 * slope / np.sqrt(mixer.squares)).astype(np.float32)
-                flat = node * STEPS + step
-                mixer.ones += np.bincount(flat, one * count, 256 * STEPS).reshape(256, STEPS)
-                mixer.total += np.bincount(flat, count, 256 * STEPS).reshape(256, STEPS)
-        out[a : a + EVALUATED] = total
+            node = (1 << bit | byte >> (8 - bit)).astype(np.uint64)
+            at = context << U64(8) | node if order == 1 else mixed(context << U64(8) | node) >> U64(64 - SLOT_BITS[k])
+            out[k, bit] = at.astype(np.int64) + FIRST_SLOT[k]
     return out
 
 
-def distinct(values: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct values ascending and how often they come (or the sum of their counts)."""
-    if counts is None:
-        values = np.sort(values)
-    else:
-        order = np.argsort(values, kind="stable")
-        values, counts = values[order], counts[order]
-    at = np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, np.int64)
-    return values[at], np.diff(np.append(at, len(values))) if counts is None else np.add.reduceat(counts, at) if len(at) else counts
+def bits_of(windows: np.ndarray) -> np.ndarray:
+    byte = byte_of(windows)
+    return np.stack([byte >> (7 - bit) & 1 for bit in range(8)])
 
 
-class Tally:
-    """Distinct windows of a task with their multiplicities: a table by hash for most, lists for those whose slot is taken."""
+def short_counts(windows: DataFrame) -> DataFrame:
+    """(slot, state) of the short predictors: counts of zeros and of ones, eight bits each. At most SLOTS rows."""
 
-    def __init__(self):
-        self.keys, self.counts = np.full(1 << TALLY_BITS, ~U64(0)), np.zeros(1 << TALLY_BITS, np.int64)
-        self.windows, self.so_far = np.zeros(1 << TALLY_BITS, np.uint64), np.zeros(1 << TALLY_BITS, np.uint64)
-        self.others: list[tuple[np.ndarray, ...]] = []
-
-    def add(self, windows: np.ndarray, so_far: np.ndarray) -> None:
-        whole = together(windows, so_far)
-        at = (whole >> U64(64 - TALLY_BITS)).astype(np.int64)
-        empty = np.flatnonzero(self.keys[at] == ~U64(0))
-        spot = at[empty]
-        self.keys[spot], self.windows[spot], self.so_far[spot] = whole[empty], windows[empty], so_far[empty]
-        hit = self.keys[at] == whole
-        self.counts += np.bincount(at[hit], minlength=len(self.counts))
-        rest = np.flatnonzero(~hit)
-        if len(rest):
-            keys, example, counts = np.unique(whole[rest], return_index=True, return_counts=True)
-            self.others.append((keys, windows[rest[example]], so_far[rest[example]], counts))
-        if sum(len(x[0]) for x in self.others) > 1 << 20:
-            self._compact()
-
-    def _compact(self) -> None:
-        if len(self.others) < 2:
-            return
-        keys, windows, so_far, counts = (np.concatenate(c) for c in zip(*self.others, strict=True))
-        keys, example, index = np.unique(keys, return_index=True, return_inverse=True)
-        self.others = [(keys, windows[example], so_far[example], np.bincount(index, counts).astype(np.int64))]
-
-    def size(self) -> int:
-        return sum(len(x[0]) for x in self.others)
-
-    def take(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All windows, words so far and multiplicities."""
-        if self.others:
-            self._compact()
-        used = np.flatnonzero(self.counts)
-        rest = self.others[0] if self.others else (None, *[np.zeros(0, np.uint64)] * 2, np.zeros(0, np.int64))
-        return np.append(self.windows[used], rest[1]), np.append(self.so_far[used], rest[2]), np.append(self.counts[used], rest[3])
-
-
-class Training:
-    """What a task has learned: bit counts and the mixer. Each tally, also one that overflows, is counted and then trains the mixer."""
-
-    def __init__(self, limit: int = TALLY_ROWS):
-        self.limit, self.tally, self.seen = limit, Tally(), 0
-        self.bits, self.mixer = np.zeros((SLOTS, 2), np.int32), Mixer()
-
-    def add(self, windows: np.ndarray, so_far: np.ndarray) -> None:
-        self.tally.add(windows, so_far)
-        if self.tally.size() > self.limit:
-            self.flush()
-
-    def flush(self) -> None:
-        """All windows of the tally are counted, then predicted as if one occurrence weren't among the counts; each of them trains."""
-        windows, so_far, counts = self.tally.take()
-        self.tally = Tally()
-        order = np.argsort(together(windows, so_far))
-        windows, so_far, counts = windows[order], so_far[order], counts[order]
-        self._count(windows, so_far, counts)
-        log_probabilities(windows, so_far, self._without_one, self.mixer, counts)
-        self.seen += int(counts.sum())
-
-    def _count(self, windows: np.ndarray, so_far: np.ndarray, counts: np.ndarray) -> None:
-        for a in range(0, len(windows), EVALUATED):
-            part, m = slice(a, a + EVALUATED), counts[a : a + EVALUATED].astype(np.int32)
-            byte = (windows[part] >> U64(8 * (WINDOW - 1))).astype(np.int64)
-            for k, hashed in enumerate(contexts(windows[part], so_far[part])):
-                for bit in range(8):
-                    at = slots(hashed, (1 << bit | byte >> (8 - bit)).astype(np.uint64), k)
-                    np.add.at(self.bits.reshape(-1), at * 2 + (byte >> (7 - bit) & 1), m)
-
-    def _without_one(self, at: np.ndarray, one: np.ndarray) -> np.ndarray:
-        # a pair as one number, the ones on top; the occurrence left out is among the counts, so nothing is borrowed
-        pair = self.bits.reshape(-1).view(np.int64).take(at) - (1 << 32 * one)
-        n0, n1 = pair & 0xFFFFFFFF, pair >> 32
-        return quantised(n0) << 8 | quantised(n1)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(0).to_numpy().view(np.uint64) << U64(8 * (CONTEXT - max(SHORT)))
+            n = np.broadcast_to(batch.column(1).to_numpy(), (len(SHORT), 8, len(keys))).ravel()
+            ones = np.broadcast_to(bits_of(keys), (len(SHORT), 8, len(keys))).ravel()
+            at, _, total = distinct(slots(keys).ravel() << 1 | ones, None, n)
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 1), pa.array(np.where(at & 1, 0, total)), pa.array(np.where(at & 1, total, 0))], ["slot", "n0", "n1"])
+
+    top = windows.groupBy(F.shiftrightunsigned("a", 8 * (CONTEXT - max(SHORT))).alias("key")).agg(F.sum("n").alias("n"))
+    sums = top.mapInArrow(run, "slot long, n0 long, n1 long").groupBy("slot").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    step = lambda n: F.when(F.col(n) < 192, F.col(n)).otherwise(F.least(F.lit(255), F.floor(5 * F.log2(F.col(n) / 192)) + 192))
+    return sums.select(F.col("slot").cast("int").alias("slot"), (step("n0") * 256 + step("n1")).cast("int").alias("state"))
 
 
 @dataclass
-class Model:
-    """What scoring needs in each task, of fixed size: quantised counts, mixer, counts of the commonest words; and N, V."""
+class Mixer:
+    """Weights of each gate with the curvature seen so far, and the refinement: ones and all bits by byte so far and odds."""
 
-    states: np.ndarray
-    mixer: Mixer
-    hashes: np.ndarray
-    counts: np.ndarray
-    tokens: int
-    vocabulary: int
-    ends: int
+    weights: np.ndarray = field(default_factory=lambda: np.append(np.full((GATES, len(ORDERS)), 0.3), np.zeros((GATES, 1)), axis=1))
+    curvature: np.ndarray = field(default_factory=lambda: np.tile(np.eye(INPUTS) * PRIOR, (GATES, 1, 1)))
+    ones: np.ndarray = field(default_factory=lambda: np.zeros(256 * STEPS))
+    total: np.ndarray = field(default_factory=lambda: np.zeros(256 * STEPS))
 
+    def odds(self, inputs: np.ndarray, gate: np.ndarray) -> np.ndarray:
+        """Log odds of the bits that came."""
+        out = np.zeros(gate.shape)
+        for k in range(INPUTS):
+            out += inputs[k] * self.weights[:, k][gate]
+        return np.clip(out, -18, 18)
 
-def gathered(docs: DataFrame) -> DataFrame:
-    """Counts of all training texts, a task's own sums at a time: rows (kind, key, n, payload).
 
-    kind 0: a word's hash and count; 1: a block of bit counts; 2: sums of weights and of the refinement table; 3: texts.
+def evidence(windows: np.ndarray, n: np.ndarray, states: np.ndarray, left_out: int) -> tuple[np.ndarray, np.ndarray]:
+    """Inputs of the mixer (input, bit, window), positive in favour of the bit that came, and the gate of each bit.
 
-    A task's sums can be larger than a small partition's texts, so up to 16 partitions share a task, without a shuffle, as
-    long as there are two tasks a core.
+    `windows` are distinct and hold all of the corpus whose last min(LONG) context bytes are theirs, n times each.
+    `left_out` occurrences of each window itself are taken from the counts.
     """
-    tasks = max(2 * docs.sparkSession.sparkContext.defaultParallelism, docs.rdd.getNumPartitions() // 16)
-    docs = docs.coalesce(tasks)
+    byte, bits = byte_of(windows), bits_of(windows)
+    inputs = np.empty((INPUTS, 8, len(windows)), np.float32)
+    known = np.zeros((8, len(windows)), np.int64)
+
+    def put(k: int, same: np.ndarray, other: np.ndarray) -> None:
+        total = same + other
+        inputs[k] = np.log((same + 0.05) / (other + 0.05)) * (total / (total + 0.2))
+        known[total > 0] += 1
+
+    for k, at in enumerate(slots(windows)):
+        state = states[at].astype(np.int64)
+        zeros, ones = state >> 8, state & 255
+        same = np.where(bits == 1, ones, zeros)
+        put(k, LOG[np.where(same < 192, np.maximum(same - left_out, 0), same)], LOG[np.where(bits == 1, zeros, ones)])
+    for k, order in enumerate(LONG, len(SHORT)):
+        key = context_of(windows, order) << U64(8) | byte.astype(np.uint64)
+        place = np.argsort(key, kind="stable")
+        key = key[place]
+        sums = np.append(0, np.cumsum(n[place]))
+        level = np.empty((9, len(key)), np.int64)
+        for bit in range(9):  # occurrences that share the context and the first `bit` bits
+            group = key >> U64(8 - bit)
+            at = np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), len(group))
+            level[bit, place] = np.repeat(sums[at[1:]] - sums[at[:-1]], np.diff(at))
+        put(k, (level[1:] - left_out).astype(np.float64), (level[:-1] - level[1:]).astype(np.float64))
+    inputs[-1] = np.where(bits == 1, 0.3, -0.3)
+    since = np.full(len(windows), CONTEXT)
+    for back in range(CONTEXT, 0, -1):
+        before = windows >> U64(8 * (CONTEXT - back)) & U64(255)
+        since[(before == 32) | (before == 0)] = back - 1
+    return inputs, since * (len(ORDERS) + 1) + known
+
+
+def refinement_place(windows: np.ndarray, odds: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    byte = byte_of(windows)
+    node = np.stack([1 << bit | byte >> (8 - bit) for bit in range(8)])
+    return node * STEPS + np.clip(np.round(np.where(bits == 1, odds, -odds) * 2) + STEPS // 2, 0, STEPS - 1).astype(np.int64)
+
+
+def slopes(windows: np.ndarray, n: np.ndarray, states: np.ndarray, mixer: Mixer) -> tuple[np.ndarray, np.ndarray]:
+    """What a round learns from windows, each with one occurrence left out and n times: (place, value) of gradient,
+    curvature and refinement in whole numbers, so that sums don't depend on their order."""
+    inputs, gate = evidence(windows, n, states, 1)
+    bits, odds = bits_of(windows), mixer.odds(inputs, gate)
+    p = 1 / (1 + np.exp(-odds))
+    error, spread = (1 - p) * FIXED, p * (1 - p) * FIXED
+    weight, flat = np.broadcast_to(n, gate.shape).ravel().astype(np.float64), gate.ravel()
+    out = []
+    for i in range(INPUTS):
+        out.append(np.bincount(flat, np.round(inputs[i] * error).ravel() * weight, GATES))
+    for i in range(INPUTS):
+        for j in range(i, INPUTS):
+            out.append(np.bincount(flat, np.round(inputs[i] * inputs[j] * spread).ravel() * weight, GATES))
+    at = refinement_place(windows, odds, bits).ravel()
+    out += [np.bincount(at, bits.ravel() * weight, 256 * STEPS), np.bincount(at, weight, 256 * STEPS)]
+    values = np.concatenate(out)
+    used = np.flatnonzero(values)
+    return used, values[used].astype(np.int64)
+
+
+def moved(mixer: Mixer, place: np.ndarray, value: np.ndarray) -> Mixer:
+    """The mixer after a round: a step of an online Newton method, whose curvature is that of all rounds so far."""
+    pairs = [(i, j) for i in range(INPUTS) for j in range(i, INPUTS)]
+    whole = np.zeros(GATES * (INPUTS + len(pairs)) + 2 * 256 * STEPS)
+    whole[place] = value
+    gradient = whole[: GATES * INPUTS].reshape(INPUTS, GATES).T / FIXED
+    curvature = mixer.curvature.copy()
+    for (i, j), sums in zip(pairs, whole[GATES * INPUTS : GATES * (INPUTS + len(pairs))].reshape(-1, GATES) / FIXED, strict=True):
+        curvature[:, i, j] += sums
+        if i != j:
+            curvature[:, j, i] += sums
+    step = np.clip(np.linalg.solve(curvature, gradient[:, :, None])[:, :, 0], -REACH, REACH)
+    ones, total = whole[-2 * 256 * STEPS :].reshape(2, -1)
+    return Mixer(mixer.weights + step, curvature, mixer.ones + ones, mixer.total + total)
+
+
+def bits_needed(windows: np.ndarray, n: np.ndarray, states: np.ndarray, mixer: Mixer) -> np.ndarray:
+    """Bits of each window's byte after its context, in millionths."""
+    inputs, gate = evidence(windows, n, states, 0)
+    bits, odds = bits_of(windows), mixer.odds(inputs, gate)
+    one = 1 / (1 + np.exp(-np.where(bits == 1, odds, -odds)))
+    at = refinement_place(windows, odds, bits)
+    one = np.clip(0.5 * one + 0.5 * (mixer.ones[at] + 4 * one) / (mixer.total[at] + 4), 1e-7, 1 - 1e-7)
+    return np.round(-np.log2(np.where(bits == 1, one, 1 - one)).sum(axis=0) * 1e6).astype(np.int64)
+
+
+def grouped(windows: DataFrame) -> DataFrame:
+    """Windows dealt and sorted by their last min(LONG) context bytes: a group has at most 2^24 windows, whatever the corpus."""
+    short = F.shiftrightunsigned("a", 8 * (CONTEXT - min(LONG))).bitwiseAND(F.lit((1 << 8 * min(LONG)) - 1))
+    return windows.select(short.alias("context"), "a", "n", "m").repartition("context").sortWithinPartitions("context", "a")
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Windows, n and m of `grouped` rows in chunks that no group spans."""
+    held = [np.zeros(0, np.int64)] * 4
+    for batch in batches:
+        held = [np.concatenate((old, c.to_numpy())) for old, c in zip(held, batch.columns, strict=True)]
+        edge = np.searchsorted(held[0], held[0][-1]) if len(held[0]) else 0
+        if edge >= CHUNK:
+            yield held[1][:edge].view(np.uint64), held[2][:edge], held[3][:edge]
+            held = [c[edge:] for c in held]
+    if len(held[0]):
+        yield held[1].view(np.uint64), held[2], held[3]
+
+
+def trained(windows: DataFrame, states) -> Mixer:
+    """The mixer after all windows of the training texts, part by part; the weights of a part are those that the parts before it left."""
+    spark, mixer = windows.sparkSession, Mixer()
+    rows = windows.where("n > 0")
+    context = F.shiftrightunsigned("a", 8 * (CONTEXT - min(LONG))).bitwiseAND(F.lit((1 << 8 * min(LONG)) - 1))
+    for number in range(ROUNDS):
+        shared = spark.sparkContext.broadcast(mixer)  # of fixed size
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for part, n, _ in whole_groups(batches):
+                place, value = slopes(part, n, states.value, shared.value)
+                yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(value)], ["place", "value"])
+
+        part = grouped(rows.where(F.pmod(F.xxhash64(context), F.lit(ROUNDS)) == number))
+        sums = part.mapInArrow(run, "place long, value long").groupBy("place").agg(F.sum("value").alias("value")).toPandas()
+        mixer = moved(mixer, sums["place"].to_numpy(np.int64), sums["value"].to_numpy(np.int64))
+    return mixer
+
+
+def spot(a: np.ndarray, b: np.ndarray | None, bits: int) -> np.ndarray:
+    return (mixed(a * U64(0x9E3779B97F4A7C15) + (U64(0) if b is None else b)) >> U64(64 - bits)).astype(np.int64)
+
+
+def costs(windows: DataFrame, states, mixer) -> DataFrame:
+    """(a, m, value, place): what each window costs and its place in the table of common windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        training, texts = Training(), 0
-        vocabulary = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+        for part, n, m in whole_groups(batches):
+            columns = part.view(np.int64), m, bits_needed(part, n, states.value, mixer.value), spot(part, None, WINDOW_BITS).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "m", "value", "place"])
 
-        def rows(kind: int, keys: np.ndarray, counts: np.ndarray, payloads: list | None = None) -> pa.RecordBatch:
-            payload = pa.array(payloads, pa.binary()) if payloads else pa.nulls(len(keys), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys), pa.array(counts), payload], ["kind", "key", "n", "payload"])
+    return grouped(windows).mapInArrow(run, "a long, m long, value long, place int")
 
-        for batch in batches:
-            for _, data, offsets in pieces(batch, "text", PIECE):
-                windows, so_far, bounds, hashes, _ = stream(data, offsets)
-                texts += len(bounds) - 1
-                vocabulary.append(distinct(hashes))
-                if sum(len(x[0]) for x in vocabulary) > 1 << 21:
-                    vocabulary = [distinct(*(np.concatenate(c) for c in zip(*vocabulary, strict=True)))]
-                    if len(vocabulary[0][0]) > 1 << 20:
-                        yield rows(0, vocabulary[0][0].view(np.int64), vocabulary[0][1])
-                        vocabulary = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
-                training.add(windows, so_far)
-        training.flush()
-        bits, mixer, seen = training.bits, training.mixer, float(training.seen)
-        hashes, counts = distinct(*(np.concatenate(c) for c in zip(*vocabulary, strict=True)))
-        yield rows(0, hashes.view(np.int64), counts)
-        blocks = np.flatnonzero(bits.reshape(-1, 2 * BLOCK).any(axis=1))
-        for b in blocks.tolist():
-            yield rows(1, np.array([b]), np.zeros(1, np.int64), [zlib.compress(bits[b * BLOCK : (b + 1) * BLOCK].tobytes(), 1)])
-        sums = np.concatenate([np.append((mixer.weights * seen).ravel(), seen), mixer.ones.ravel(), mixer.total.ravel()]).astype(np.float64)
-        yield rows(2, np.array([-1]), np.zeros(1, np.int64), [sums.tobytes()])
-        yield rows(3, np.array([-2]), np.array([texts], np.int64))
-
-    return docs.mapInArrow(run, "kind int, key long, n long, payload binary")
-
-
-def summed(parts: DataFrame) -> DataFrame:
-    """Blocks of bit counts as quantised states, and the mixer's sums: one row a key, streamed."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for key, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                add = np.frombuffer(payload) if key < 0 else np.frombuffer(zlib.decompress(payload), np.int32).astype(np.int64)
-                sums[key] = sums[key] + add if key in sums else add
-        for key, total in sums.items():
-            out = total if key < 0 else quantised(total[0::2]) << 8 | quantised(total[1::2])
-            yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([out.tobytes()], pa.binary())], ["key", "payload"])
-
-    return parts.select("key", "payload").repartition(64, "key").mapInArrow(run, "key long, payload binary")
-
-
-def trained(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """The model, and the written table (hash, n) of all words of the training texts (columns id, text)."""
-    parts = written(gathered(docs))
-    table = written(parts.where("kind = 0").groupBy(F.col("key").alias("hash")).agg(F.sum("n").alias("n")))
-    ends = parts.where("kind = 3").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    tokens, vocabulary = table.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    common = table.orderBy(F.desc("n"), "hash").limit(COMMON).toPandas()
-    order = np.argsort(common["hash"].to_numpy(np.int64).view(np.uint64))
-    states, mixer = np.zeros(SLOTS, np.uint16), Mixer()
-    for row in summed(parts.where("kind in (1, 2)")).toLocalIterator():
-        if row.key >= 0:
-            states[row.key * BLOCK : (row.key + 1) * BLOCK] = np.frombuffer(row.payload, np.uint16)
-        else:
-            sums = np.frombuffer(row.payload)
-            size = mixer.weights.size
-            if sums[size] > 0:
-                mixer.weights = (sums[:size] / sums[size]).astype(np.float32).reshape(mixer.weights.shape)
-            mixer.ones, mixer.total = sums[size + 1 :].reshape(2, 256, STEPS)
-    hashes = common["hash"].to_numpy(np.int64).view(np.uint64)[order]
-    dropped(parts)
-    return Model(states, mixer, hashes, common["n"].to_numpy(np.int64)[order], tokens + ends, vocabulary + (ends > 0), ends), table
-
-
-_costs: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def remembered(model: str) -> tuple[np.ndarray, np.ndarray]:
-    """A worker's table of windows and their costs under one model, kept from task to task."""
-    if model not in _costs:
-        _costs.clear()
-        _costs[model] = np.full(1 << CACHE_BITS, ~U64(0)), np.zeros(1 << CACHE_BITS, np.float32)
-    return _costs[model]
-
-
-def scored(docs: DataFrame, shared) -> DataFrame:
-    """(id, n_tokens, known, base, rare, rare_n, score): base and known count the commonest words; the rest are in `rare`."""
-    name = uuid.uuid4().hex
+@dataclass
+class Common:
+    """Tables that every task holds, of fixed size: at each place the commonest window or word that belongs there."""
+
+    windows: np.ndarray
+    costs: np.ndarray
+    words: np.ndarray
+    others: np.ndarray
+    counts: np.ndarray
+    ends: int
+
+
+def scored(docs: DataFrame, common) -> DataFrame:
+    """(id, row, n_tokens, n_bytes, known, base, cost, rare): sums over common windows and words; `rare` (a, b, m) are all others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        keys, costs = remembered(name)
-        logs = np.log10(model.counts + 1.0)
+        tables, row = common.value, TaskContext.get().partitionId() << 36
+        logs = np.log10(tables.counts + 1.0)
         for batch in batches:
             for part, data, offsets in pieces(batch, "text", PIECE):
-                windows, so_far, bounds, hashes, ranges = stream(data, offsets)
-                whole = together(windows, so_far)
-                at = (whole >> U64(64 - CACHE_BITS)).astype(np.int64)
-                cost = costs[at].astype(np.float64)
-                missed = np.flatnonzero(keys[at] != whole)
-                if len(missed):
-                    _, example, index = np.unique(whole[missed], return_index=True, return_inverse=True)
-                    example = missed[example]
-                    found = log_probabilities(windows[example], so_far[example], lambda at, _: model.states[at], model.mixer).astype(np.float32)
-                    cost[missed] = found[index]
-                    spot = at[missed]
-                    keys[spot] = whole[missed]
-                    costs[spot] = found[index]
-                    # of windows that share a spot the last one written stays, with its own cost
-                total = np.append(0.0, np.cumsum(cost))
-                score = (total[bounds[1:]] - total[bounds[:-1]]) * np.log10(2)
-                n = np.diff(ranges)
-                text = np.repeat(np.arange(len(n)), n)
-                place = np.minimum(np.searchsorted(model.hashes, hashes), max(0, len(model.hashes) - 1))
-                hit = model.hashes[place] == hashes if len(model.hashes) else np.zeros(len(hashes), bool)
-                base = np.bincount(text[hit], logs[place[hit]], len(n)) if len(logs) else np.zeros(len(n))
-                known = np.bincount(text[hit], minlength=len(n))
-                rare, rare_text = hashes[~hit], text[~hit]
-                edges = np.searchsorted(rare_text, np.arange(len(n) + 1)).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(rare.view(np.int64)))
-                arrays = [part.column(0), pa.array(n + 1), pa.array(known.astype(np.int64) + (model.ends > 0)), pa.array(base + np.log10(model.ends + 1.0)), lists, pa.array(score)]
-                yield pa.RecordBatch.from_arrays(arrays, ["id", "n_tokens", "known", "base", "rare", "score"])
-
-    return docs.mapInArrow(run, "id long, n_tokens long, known long, base double, rare array<long>, score double")
-
-
-def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id_col, n_tokens, n_known, train_tokens, base_score, score.
-
-    Tokens are the words, A-Z lower-cased, and one end. `base_score` adds log10((c + 1) / (N + V + 1)) over the tokens (c: the
-    token's count in the training texts, N: all of theirs, V: distinct ones). `score` is log10 of the probability that the
-    context-mixing model gives the words (a blank behind each) and the end.
-    Null texts are empty: an end alone. Ids are unique integers.
-
-    Training counts every text: each task adds up the bits met after each hashed context. It predicts all its windows, a tally of
-    distinct ones at a time, with one occurrence left out, block after block, and weights and refinement follow. The sums of all tasks
-    make the model, whose size is fixed (contexts share slots). Counts of the COMMON commonest words go along; those of other words are joined.
+                windows, bounds, one, two, ranges = stream(data, offsets)
+                n = part.num_rows
+                at = spot(windows, None, WINDOW_BITS)
+                hit = tables.windows[at] == windows
+                total = np.append(0, np.cumsum(np.where(hit, tables.costs[at], 0), dtype=np.int64))
+                at = spot(one, two | U64(1), WORD_BITS)
+                met = (tables.words[at] == one) & (tables.others[at] == two | U64(1))
+                text = np.repeat(np.arange(n), np.diff(ranges))
+                base, known = np.bincount(text[met], logs[at[met]], n), np.bincount(text[met], minlength=n)
+                lost, strange = np.flatnonzero(~hit), np.flatnonzero(~met)
+                a, b = np.append(windows[lost], one[strange]), np.append(np.zeros(len(lost), np.uint64), two[strange] | U64(1))
+                owner = np.append(np.searchsorted(bounds, lost, "right") - 1, text[strange])
+                order = np.lexsort((b, a, owner))
+                a, b, owner = a[order], b[order], owner[order]
+                new = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (owner[1:] != owner[:-1]))) if len(a) else np.zeros(0, np.int64)
+                m = np.diff(np.append(new, len(a)))
+                edges = pa.array(np.searchsorted(owner[new], np.arange(n + 1)).astype(np.int32))
+                rare = pa.StructArray.from_arrays([pa.array(a[new].view(np.int64)), pa.array(b[new].view(np.int64)), pa.array(m)], ["a", "b", "m"])
+                arrays = [
+                    part.column(0), pa.array(np.arange(row, row + n)), pa.array(np.diff(ranges) + 1), pa.array(np.diff(bounds)), pa.array(known.astype(np.int64) + (tables.ends > 0)),
+                    pa.array(base + np.log10(tables.ends + 1.0)), pa.array(np.diff(total[bounds])), pa.ListArray.from_arrays(edges, rare),
+                ]
+                row += n
+                yield pa.RecordBatch.from_arrays(arrays, ["id", "row", "n_tokens", "n_bytes", "known", "base", "cost", "rare"])
+
+    kind = docs.schema["id"].dataType.simpleString()
+    return docs.select("id", "text").mapInArrow(run, f"id {kind}, row long, n_tokens long, n_bytes long, known long, base double, cost long, rare array<struct<a:long,b:long,m:long>>")
+
+
+def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of `docs`: id_col, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
+
+    The model learns from the rows where `learn` holds and scores all. Tokens are the words, A-Z lower-cased, and one end.
+    `base_score` adds log10((c + 1) / (N + V + 1)) over the tokens (c: the token's count in the training texts, N: all of
+    theirs, V: distinct ones). `score` is log10 of the probability that the context-mixing model gives the words (a blank
+    behind each) and the end; `bits_per_byte` the bits over those bytes. Null texts are empty: an end alone. Rows with the
+    same or no id stay rows of their own.
+
+    1. Distinct windows (a byte and the CONTEXT bytes before it) and words are counted.
+    2. Six predictors, one for each length of context, hold how often each bit came after a hashed or whole context and
+       the bits of the byte so far. Short contexts lie in slots of fixed number, long ones in the windows' own table,
+       dealt by context, which grows with the corpus.
+    3. A mixer adds the predictors' log odds with weights by gate. It learns online: the windows come in ROUNDS parts by
+       hash, each predicted under the weights that earlier parts left, one occurrence left out of the counts, and then the
+       weights move. The odds met and what came then make the refinement. All windows train; sums are of whole numbers,
+       so that neither partitions nor cores change the result.
+    4. Each distinct window's cost is computed once. The commonest costs and word counts go to all tasks in tables of
+       fixed size; all others are joined to the texts that hold them.
     """
-    plain = lambda d: d.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    model, table = trained(plain(training).select("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    first = written(scored(plain(docs), shared))
-    rare = first.select("id", F.explode("rare").alias("hash")).groupBy("id", "hash").agg(F.count(F.lit(1)).alias("m"))
-    joined = rare.join(table, "hash").groupBy("id").agg(F.sum("m").alias("rare_known"), F.sum(F.col("m") * F.log10(F.col("n") + 1.0)).alias("rare_base"))
-    share = float(np.log10(model.tokens + model.vocabulary + 1.0))
-    return (
-        first.drop("rare")
-        .join(joined, "id", "left")
-        .select(
-            F.col("id").alias(id_col),
-            "n_tokens",
-            (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
-            F.lit(model.tokens).cast("long").alias("train_tokens"),
-            (F.col("base") + F.coalesce("rare_base", F.lit(0.0)) - F.col("n_tokens") * F.lit(share)).alias("base_score"),
-            "score",
-        )
-    )
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
+    spark = docs.sparkSession
+    counts = written(tallied(rows.select("text", "learn")))
+    windows, vocabulary = counts.where("b = 0"), counts.where("b & 1 = 1 and n > 0")
+    ends = counts.where("b = 2").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    tokens, types = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)) + ends, F.count(F.lit(1)) + int(ends > 0)).first()
+    table = short_counts(windows.where("n > 0")).toArrow()
+    states = np.zeros(SLOTS, np.uint16)
+    states[table["slot"].to_numpy()] = table["state"].to_numpy()
+    states = spark.sparkContext.broadcast(states)  # of fixed size
+    mixer = spark.sparkContext.broadcast(trained(windows, states))
+    priced = written(costs(windows, states, mixer))
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (batch.column(k).to_numpy().view(np.uint64) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spot(a, b, WORD_BITS).astype(np.int32))], [*batch.schema.names, "place"])
+
+    best = lambda t, *columns: t.groupBy("place").agg(F.max(F.struct("m", *columns)).alias("best")).select("place", *[f"best.{c}" for c in columns]).toArrow()
+    common = Common(np.full(1 << WINDOW_BITS, ~U64(0)), np.zeros(1 << WINDOW_BITS, np.int32), np.zeros(1 << WORD_BITS, np.uint64), np.zeros(1 << WORD_BITS, np.uint64), np.zeros(1 << WORD_BITS, np.int64), ends)
+    table = best(priced, "a", "value")
+    common.windows[table["place"]], common.costs[table["place"]] = table["a"].to_numpy().view(np.uint64), table["value"].to_numpy()
+    table = best(vocabulary.select("a", "b", "n", "m").mapInArrow(places, "a long, b long, n long, m long, place int"), "a", "b", "n")
+    common.words[table["place"]], common.others[table["place"]], common.counts[table["place"]] = table["a"].to_numpy().view(np.uint64), table["b"].to_numpy().view(np.uint64), table["n"].to_numpy()
+    first = written(scored(rows, spark.sparkContext.broadcast(common)))
+    lookup = priced.select("a", F.lit(0).cast("long").alias("b"), "value").unionByName(vocabulary.select("a", "b", F.col("n").alias("value")))
+    rare = first.select("row", F.explode("rare").alias("r")).select("row", "r.a", "r.b", "r.m").join(lookup, ["a", "b"])
+    word = F.col("b") != 0
+    late = rare.groupBy("row").agg(
+        F.sum(F.when(word, F.col("m"))).alias("late_known"), F.sum(F.when(word, F.col("m") * F.log10(F.col("value") + 1.0))).alias("late_base"), F.sum(F.when(~word, F.col("m") * F.col("value"))).alias("late_cost"),
+    )
+    share = float(np.log10(tokens + types + 1.0))
+    bits = (F.col("cost") + F.coalesce("late_cost", F.lit(0))) / F.lit(1e6)
+    return first.drop("rare").join(late, "row", "left").select(
+        F.col("id").alias(id_col), "n_tokens", (F.col("known") + F.coalesce("late_known", F.lit(0))).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
+        (F.col("base") + F.coalesce("late_base", F.lit(0.0)) - F.col("n_tokens") * F.lit(share)).alias("base_score"), (-bits * F.lit(float(np.log10(2)))).alias("score"), (bits / F.col("n_bytes")).alias("bits_per_byte"),
+    )

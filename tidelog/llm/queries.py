@@ -50,10 +50,8 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
     held = langid.held_out(F.col("doc_id"), 7, 2)
-    scores = lm.score(docs, docs.where(~held))
-    return scores.withColumn("held_out", langid.held_out(F.col("doc_id"), 7, 2))
+    return lm.score(table(spark, sf_dir, "documents"), ~held).withColumn("held_out", held)
 
 
 def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
