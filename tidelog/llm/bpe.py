@@ -9,7 +9,7 @@ from functools import cache
 
 import numpy as np
 
-from tidelog.llm.vec import mixed, ragged, same_spans, span_hashes, unique_hashes
+from tidelog.llm.vec import HashIndex, mixed, ragged, same_spans, span_hashes, unique_hashes
 
 NONE = np.iinfo(np.int32).max
 #: Sequences of more symbols go through the heap, whose cost doesn't grow with symbols times merges.
@@ -19,59 +19,23 @@ MEMO_SIZE = 1 << 20
 
 
 class Merges:
-    """Pairs of symbols with the rank and the result of merging them, in a hash table where each pair has one of two places."""
+    """Pairs of symbols with the rank and the result of merging them."""
 
     def __init__(self, pairs: list[tuple[int, int, int, int]]):
         rows = np.array(sorted(pairs), np.int64).reshape(-1, 4)
         self.keys = rows[:, 0] << 32 | rows[:, 1]
-        self.ranks, self.results = rows[:, 2].astype(np.int32), rows[:, 3].astype(np.int32)
+        self.ranks, self.results = np.append(rows[:, 2], NONE).astype(np.int32), np.append(rows[:, 3], 0).astype(np.int32)
+        self._index = HashIndex(self.keys)
         self._dict: dict[int, tuple[int, int]] = {}
-        self._bits = max(4, (4 * len(rows)).bit_length())
-        while not self._place():
-            self._bits += 1
-
-    def _spots(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        h = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        low = np.uint64((1 << self._bits) - 1)
-        return (h >> np.uint64(64 - self._bits)).astype(np.int64), (h & low).astype(np.int64)
-
-    def _place(self) -> bool:
-        """Put every pair in one of its two places, moving others to their second one; False if that doesn't end."""
-        self._table = np.full(1 << self._bits, len(self.keys), np.int32)
-        both = np.stack(self._spots(self.keys))
-        waiting, turn = np.arange(len(self.keys), dtype=np.int32), np.zeros(len(self.keys), np.int64)
-        for _ in range(64):
-            if not len(waiting):
-                break
-            spots = both[turn[waiting], waiting]
-            out = self._table[spots]
-            self._table[spots] = waiting
-            lost = waiting[self._table[spots] != waiting]  # of several for one place the last stays
-            moved = np.unique(out[out < len(self.keys)])
-            moved = moved[self._table[both[turn[moved], moved]] != moved]
-            turn[moved] ^= 1
-            turn[lost] ^= 1
-            waiting = np.append(lost, moved)
-        self._wide = np.append(self.keys, -1), np.append(self.ranks, NONE).astype(np.int32), np.append(self.results, 0).astype(np.int32)
-        return not len(waiting)
 
     def find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank (NONE where the pair doesn't merge) and result of each pair."""
-        keys = left.astype(np.int64) << 32 | right
-        known, ranks, results = self._wide
-        one, two = self._spots(keys)
-        at = self._table[one]
-        missed = np.flatnonzero(known[at] != keys)
-        if len(missed):
-            other = self._table[two[missed]]
-            at[missed] = np.where(known[other] == keys[missed], other, len(known) - 1)
-        return ranks[at], results[at]
+        at, _ = self._index.find(left.astype(np.int64) << 32 | right)
+        return self.ranks[at], self.results[at]
 
     def get(self, left: int, right: int) -> tuple[int, int] | None:
         if not self._dict:
-            self._dict = dict(zip(self.keys.tolist(), zip(self.ranks.tolist(), self.results.tolist(), strict=True), strict=True))
+            self._dict = dict(zip(self.keys.tolist(), zip(self.ranks[:-1].tolist(), self.results[:-1].tolist(), strict=True), strict=True))
         return self._dict.get(left << 32 | right)
 
 

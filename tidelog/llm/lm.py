@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.vec import LOWER, U64, mixed, pieces, ragged, span_hashes, words
+from tidelog.llm.vec import LOWER, U64, HashIndex, mixed, pieces, ragged, span_hashes, words
 from tidelog.tables import written
 
 #: Context lengths in bytes of the predictors: those of the short ones are counted in hashed slots of fixed number, those of
@@ -36,8 +36,8 @@ PIECE = 1 << 20
 CHUNK = 1 << 15
 #: Distinct windows or words that a task holds before it passes them on.
 TALLY = 1 << 21
-#: Slots of the tables of common windows and words that every task holds; whatever isn't in them is joined.
-WINDOW_BITS, WORD_BITS = 22, 19
+#: Windows and words at most of which every task holds costs and counts, the commonest ones; all others are joined.
+COMMON_WINDOWS, COMMON_WORDS = 1 << 21, 1 << 18
 FIXED = 1 << 16
 LOG = np.array([*range(192), *(192 * 2 ** (k / 5) for k in range(1, 65))])
 
@@ -118,14 +118,17 @@ def tallied(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows, vocabulary, texts = Tally(), Tally(), np.zeros(2, np.int64)
 
-        def rows(a: np.ndarray, b: np.ndarray, learned: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x.astype(np.uint64).view(np.int64)) for x in (a, b, count * learned, count)], ["a", "b", "n", "m"])
+        def rows(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x.astype(np.uint64).view(np.int64)) for x in (a, b, n, m)], ["a", "b", "n", "m"])
 
         def passed_on(limit: int) -> Iterator[pa.RecordBatch]:
             if found := windows.take(limit):
-                yield rows(found[0] >> U64(1), np.zeros(len(found[0])), (found[0] & U64(1)).astype(np.int64), found[2])
+                # a window with and without the mark to learn is one row
+                learned = found[2] * (found[0] & U64(1)).astype(np.int64)
+                a, _, m = distinct(found[0] >> U64(1), None, found[2])
+                yield rows(a, np.zeros(len(a)), distinct(found[0] >> U64(1), None, learned)[2], m)
             if found := vocabulary.take(limit):
-                yield rows(found[0], found[1] | U64(1), (found[1] & U64(1)).astype(np.int64), found[2])
+                yield rows(found[0], found[1] | U64(1), found[2] * (found[1] & U64(1)).astype(np.int64), found[2])
 
         for batch in batches:
             for part, data, offsets in pieces(batch, "text", PIECE):
@@ -136,7 +139,7 @@ def tallied(docs: DataFrame) -> DataFrame:
                 texts += int(learn.sum()), len(learn)
                 yield from passed_on(TALLY)
         yield from passed_on(0)
-        yield rows(np.zeros(1), np.full(1, 2), np.ones(1), texts[1:]) if texts[0] == texts[1] else rows(np.zeros(2), np.full(2, 2), np.array([1, 0]), np.array([texts[0], texts[1] - texts[0]]))
+        yield rows(np.zeros(1), np.full(1, 2), texts[:1], texts[1:])
 
     return docs.mapInArrow(run, "a long, b long, n long, m long").groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
 
@@ -293,23 +296,23 @@ def bits_needed(windows: np.ndarray, n: np.ndarray, states: np.ndarray, mixer: M
     return np.round(-np.log2(np.where(bits == 1, one, 1 - one)).sum(axis=0) * 1e6).astype(np.int64)
 
 
-def grouped(windows: DataFrame) -> DataFrame:
-    """Windows dealt and sorted by their last min(LONG) context bytes: a group has at most 2^24 windows, whatever the corpus."""
+def grouped(windows: DataFrame, *more: str) -> DataFrame:
+    """Windows (a, n and `more`) dealt and sorted by their last min(LONG) context bytes: a group has at most 2^24 windows, whatever the corpus."""
     short = F.shiftrightunsigned("a", 8 * (CONTEXT - min(LONG))).bitwiseAND(F.lit((1 << 8 * min(LONG)) - 1))
-    return windows.select(short.alias("context"), "a", "n", "m").repartition("context").sortWithinPartitions("context", "a")
+    return windows.select(short.alias("context"), "a", "n", *more).repartition("context").sortWithinPartitions("context", "a")
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Windows, n and m of `grouped` rows in chunks that no group spans."""
-    held = [np.zeros(0, np.int64)] * 4
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns behind the context of `grouped` rows, in chunks that no group spans."""
+    held: list[np.ndarray] = []
     for batch in batches:
-        held = [np.concatenate((old, c.to_numpy())) for old, c in zip(held, batch.columns, strict=True)]
+        held = [np.concatenate((old, c.to_numpy())) for old, c in zip(held, batch.columns, strict=True)] if held else [c.to_numpy() for c in batch.columns]
         edge = np.searchsorted(held[0], held[0][-1]) if len(held[0]) else 0
         if edge >= CHUNK:
-            yield held[1][:edge].view(np.uint64), held[2][:edge], held[3][:edge]
+            yield [held[1][:edge].view(np.uint64), *(c[:edge] for c in held[2:])]
             held = [c[edge:] for c in held]
-    if len(held[0]):
-        yield held[1].view(np.uint64), held[2], held[3]
+    if held and len(held[0]):
+        yield [held[1].view(np.uint64), *held[2:]]
 
 
 def trained(windows: DataFrame, states) -> Mixer:
@@ -321,7 +324,7 @@ def trained(windows: DataFrame, states) -> Mixer:
         shared = spark.sparkContext.broadcast(mixer)  # of fixed size
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for part, n, _ in whole_groups(batches):
+            for part, n in whole_groups(batches):
                 place, value = slopes(part, n, states.value, shared.value)
                 yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(value)], ["place", "value"])
 
@@ -331,28 +334,36 @@ def trained(windows: DataFrame, states) -> Mixer:
     return mixer
 
 
-def spot(a: np.ndarray, b: np.ndarray | None, bits: int) -> np.ndarray:
-    return (mixed(a * U64(0x9E3779B97F4A7C15) + (U64(0) if b is None else b)) >> U64(64 - bits)).astype(np.int64)
-
-
 def costs(windows: DataFrame, states, mixer) -> DataFrame:
-    """(a, m, value, place): what each window costs and its place in the table of common windows."""
+    """(a, m, value): what each window costs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, n, m in whole_groups(batches):
-            columns = part.view(np.int64), m, bits_needed(part, n, states.value, mixer.value), spot(part, None, WINDOW_BITS).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "m", "value", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(part.view(np.int64)), pa.array(m), pa.array(bits_needed(part, n, states.value, mixer.value))], ["a", "m", "value"])
+
+    return grouped(windows, "m").mapInArrow(run, "a long, m long, value long")
 
-    return grouped(windows).mapInArrow(run, "a long, m long, value long, place int")
+
+def often(table: DataFrame, most: int) -> int:
+    """The least m of which `most` rows of a table at most have as much: a count for each of few sizes, no sort."""
+    step = F.least(F.col("m"), F.pow(F.lit(2.0), F.floor(F.log2("m") * 8) / 8).cast("long") + 1)
+    sizes = table.groupBy(step.alias("size")).agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("size")).collect()
+    least, total = 1 << 62, 0
+    for size, rows in sizes:
+        total += rows
+        if total > most:
+            break
+        least = size
+    return least
 
 
 @dataclass
 class Common:
-    """Tables that every task holds, of fixed size: at each place the commonest window or word that belongs there."""
+    """What every task holds of common windows and words, of bounded size."""
 
-    windows: np.ndarray
+    windows: HashIndex
     costs: np.ndarray
-    words: np.ndarray
+    words: HashIndex
     others: np.ndarray
     counts: np.ndarray
     ends: int
@@ -368,11 +379,10 @@ def scored(docs: DataFrame, common) -> DataFrame:
             for part, data, offsets in pieces(batch, "text", PIECE):
                 windows, bounds, one, two, ranges = stream(data, offsets)
                 n = part.num_rows
-                at = spot(windows, None, WINDOW_BITS)
-                hit = tables.windows[at] == windows
-                total = np.append(0, np.cumsum(np.where(hit, tables.costs[at], 0), dtype=np.int64))
-                at = spot(one, two | U64(1), WORD_BITS)
-                met = (tables.words[at] == one) & (tables.others[at] == two | U64(1))
+                at, hit = tables.windows.find(windows)
+                total = np.append(0, np.cumsum(tables.costs[at], dtype=np.int64))  # 0 where there is none
+                at, met = tables.words.find(one)
+                met &= tables.others[at] == two | U64(1)
                 text = np.repeat(np.arange(n), np.diff(ranges))
                 base, known = np.bincount(text[met], logs[at[met]], n), np.bincount(text[met], minlength=n)
                 lost, strange = np.flatnonzero(~hit), np.flatnonzero(~met)
@@ -412,8 +422,8 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
        hash, each predicted under the weights that earlier parts left, one occurrence left out of the counts, and then the
        weights move. The odds met and what came then make the refinement. All windows train; sums are of whole numbers,
        so that neither partitions nor cores change the result.
-    4. Each distinct window's cost is computed once. The commonest costs and word counts go to all tasks in tables of
-       fixed size; all others are joined to the texts that hold them.
+    4. Each distinct window's cost is computed once. Costs and counts of the commonest windows and words go to all tasks,
+       bounded in number; all others are joined to the texts that hold them.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
     spark = docs.sparkSession
@@ -425,22 +435,14 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     states = np.zeros(SLOTS, np.uint16)
     states[table["slot"].to_numpy()] = table["state"].to_numpy()
     states = spark.sparkContext.broadcast(states)  # of fixed size
-    mixer = spark.sparkContext.broadcast(trained(windows, states))
-    priced = written(costs(windows, states, mixer))
-
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (batch.column(k).to_numpy().view(np.uint64) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spot(a, b, WORD_BITS).astype(np.int32))], [*batch.schema.names, "place"])
-
-    best = lambda t, *columns: t.groupBy("place").agg(F.max(F.struct("m", *columns)).alias("best")).select("place", *[f"best.{c}" for c in columns]).toArrow()
-    common = Common(np.full(1 << WINDOW_BITS, ~U64(0)), np.zeros(1 << WINDOW_BITS, np.int32), np.zeros(1 << WORD_BITS, np.uint64), np.zeros(1 << WORD_BITS, np.uint64), np.zeros(1 << WORD_BITS, np.int64), ends)
-    table = best(priced, "a", "value")
-    common.windows[table["place"]], common.costs[table["place"]] = table["a"].to_numpy().view(np.uint64), table["value"].to_numpy()
-    table = best(vocabulary.select("a", "b", "n", "m").mapInArrow(places, "a long, b long, n long, m long, place int"), "a", "b", "n")
-    common.words[table["place"]], common.others[table["place"]], common.counts[table["place"]] = table["a"].to_numpy().view(np.uint64), table["b"].to_numpy().view(np.uint64), table["n"].to_numpy()
+    priced = written(costs(windows, states, spark.sparkContext.broadcast(trained(windows, states))))
+    often_window, often_word = often(priced, COMMON_WINDOWS), often(vocabulary, COMMON_WORDS)
+    near, told = (t.where(F.col("m") >= m).select(*columns).toArrow() for t, m, columns in ((priced, often_window, ("a", "value")), (vocabulary, often_word, ("a", "b", "n"))))
+    one, first = np.unique(told["a"].to_numpy().view(np.uint64), return_index=True)  # of words with one first hash one is held
+    own = lambda column: np.append(told[column].to_numpy()[first], 0)
+    common = Common(HashIndex(near["a"].to_numpy().view(np.uint64)), np.append(near["value"].to_numpy(), 0).astype(np.int32), HashIndex(one), own("b").view(np.uint64), own("n"), ends)
     first = written(scored(rows, spark.sparkContext.broadcast(common)))
-    lookup = priced.select("a", F.lit(0).cast("long").alias("b"), "value").unionByName(vocabulary.select("a", "b", F.col("n").alias("value")))
+    lookup = priced.where(F.col("m") < often_window).select("a", F.lit(0).cast("long").alias("b"), "value").unionByName(vocabulary.select("a", "b", F.col("n").alias("value")))
     rare = first.select("row", F.explode("rare").alias("r")).select("row", "r.a", "r.b", "r.m").join(lookup, ["a", "b"])
     word = F.col("b") != 0
     late = rare.groupBy("row").agg(

@@ -148,3 +148,50 @@ def same_spans(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.
     differ = np.append(0, np.cumsum(a[at] != b[ragged(b_starts, sizes)]))
     edges = np.append(0, np.cumsum(sizes))
     return differ[edges[1:]] == differ[edges[:-1]]
+
+
+class HashIndex:
+    """Places of distinct 64-bit keys. Each key lies in one of two slots, so a search reads two at most."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = np.append(keys, keys.dtype.type(0))  # behind the keys: no key
+        self.bits = max(4, (4 * len(keys)).bit_length())
+        while not self._placed(keys):
+            self.bits += 1
+
+    def _slots(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        h = keys.astype(np.uint64) * U64(ODD)
+        h ^= h >> U64(29)
+        h *= U64(0xBF58476D1CE4E5B9)
+        return (h >> U64(64 - self.bits)).astype(np.int64), (h & U64((1 << self.bits) - 1)).astype(np.int64)
+
+    def _placed(self, keys: np.ndarray) -> bool:
+        """Put every key in one of its slots, moving others to their second one; False if that doesn't end."""
+        none = len(keys)
+        self.table = np.full(1 << self.bits, none, np.int32)
+        both = np.stack(self._slots(keys))
+        waiting, turn = np.arange(none, dtype=np.int32), np.zeros(none, np.int64)
+        for _ in range(64):
+            if not len(waiting):
+                break
+            slots = both[turn[waiting], waiting]
+            out = self.table[slots]
+            self.table[slots] = waiting
+            lost = waiting[self.table[slots] != waiting]  # of several for one slot the last stays
+            moved = np.unique(out[out < none])
+            moved = moved[self.table[both[turn[moved], moved]] != moved]
+            turn[moved] ^= 1
+            turn[lost] ^= 1
+            waiting = np.append(lost, moved)
+        return not len(waiting)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each key's place, and whether it is there at all (its place is then that behind all keys)."""
+        one, two = self._slots(keys)
+        none = len(self.keys) - 1
+        at = self.table[one]
+        missed = np.flatnonzero((self.keys[at] != keys) | (at == none))
+        if len(missed):
+            other = self.table[two[missed]]
+            at[missed] = np.where(self.keys[other] == keys[missed], other, none)
+        return at, at != none
