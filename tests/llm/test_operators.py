@@ -404,11 +404,11 @@ def test_lm(docs):
 
 def test_lm_is_the_same_however_rows_are_dealt(docs, monkeypatch):
     results = []
-    for parts in (1, 3, 8):
+    for parts in (1, 5):
         rows = lm.score(docs.repartition(parts), F.col("doc_id") % 7 != 2).collect()
         results.append({r.doc_id: (r.score, round(r.base_score, 9)) for r in rows})
-    monkeypatch.setattr(lm, "WINDOW_BITS", 6)  # nearly everything is joined
-    monkeypatch.setattr(lm, "WORD_BITS", 4)
+    monkeypatch.setattr(lm, "COMMON_WINDOWS", 5)  # nearly everything is joined
+    monkeypatch.setattr(lm, "COMMON_WORDS", 2)
     rows = lm.score(docs, F.col("doc_id") % 7 != 2).collect()
     results.append({r.doc_id: (r.score, round(r.base_score, 9)) for r in rows})
     assert all(r == results[0] for r in results)
