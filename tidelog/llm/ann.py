@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from tidelog.tables import written
 
-#: Vectors of one list that one task compares at once.
-LIST_ROWS = 2048
+#: Vectors of one list, and queries of it, that one task compares.
+LIST_ROWS, QUERY_ROWS = 2048, 8192
 #: Nearest lists of a query whose vectors in the sample give its bound.
 BOUND_LISTS = 4
 
@@ -129,7 +129,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_
     Centres are fitted on `sample_rows` rows chosen by hash of the id, at most 4,096 of them; all rows are indexed. The
     sample also says how many lists a query must ask to meet `recall`; it asks more until they hold `k` candidates. Vectors of
     the sample in those lists give a score that `k` candidates there reach. Should abandoning leave a query fewer, its lists
-    are scanned again without a bound. Long lists are dealt over several tasks. Ties go to the smaller id. Vectors that are null, zero or have null
+    are scanned again without a bound. Long lists and their queries are dealt over several tasks, at most LIST_ROWS and
+    QUERY_ROWS a task. Ties go to the smaller id. Vectors that are null, zero or have null
     or non-finite components take no part, nor do those of another length than the commonest one (the shorter one on a
     tie). Ids must be unique integers. Scores are doubles of the original vectors; fewer than `k` candidates are all given.
     """
@@ -156,11 +157,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_
                 yield pd.DataFrame({"id": batch["id"], "v": batch["v"], "list": lists.astype(np.int32)})
 
     placed = written(good.mapInPandas(placing, f"id long, v {kind}, list int"))
-    parts = placed.groupBy("list").agg(F.expr(f"int((count(*) - 1) div {LIST_ROWS}) + 1").alias("parts"))  # a row for each list: 4,096 at most
     held = np.zeros(len(index.centres), np.int64)
-    for row in placed.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect():  # as many rows
+    for row in placed.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect():  # a row for each list: 4,096 at most
         held[row.list] = row.n
-    dealt = placed.join(F.broadcast(parts), "list").withColumn("part", F.expr("int(pmod(xxhash64(id), parts))")).drop("parts")
 
     def assigned(bounded: bool):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -171,18 +170,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_
                 lists = ranked_lists(v, shared.value.centres)
                 counts = np.minimum(np.maximum(probes, (np.cumsum(held[lists], axis=1) <= k).sum(axis=1) + 1), lists.shape[1])
                 bounds = bounds_of(ids, v, lists, counts, shared.value, k) if bounded else np.full(len(ids), -np.inf)
-                yield pd.DataFrame({"id": ids, "v": batch["v"], "list": [x[:n] for x, n in zip(lists.astype(np.int32), counts, strict=True)], "bound": bounds})
+                yield pd.DataFrame({"id": ids, "list": [x[:n] for x, n in zip(lists.astype(np.int32), counts, strict=True)], "bound": bounds})
 
         return run
 
-    def asked(rows: DataFrame, bounded: bool) -> DataFrame:
-        return (
-            rows.mapInPandas(assigned(bounded), f"id long, v {kind}, list array<int>, bound double")
-            .select("id", "v", "bound", F.explode("list").alias("list"))
-            .join(F.broadcast(parts), "list")
-            .withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).drop("parts")
-        )
-
     def compare(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if len(rows) and len(queries):
@@ -196,7 +187,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_
         return pd.DataFrame({"query_id": q, id_col: x, "score": score})
 
     def scanned(rows: DataFrame, bounded: bool) -> DataFrame:
-        both = dealt.groupBy("list", "part").cogroup(asked(rows, bounded).groupBy("list", "part"))
+        """Rows of a list and queries of it are dealt in parts; each part of the one meets each part of the other."""
+        plan = written(rows.mapInPandas(assigned(bounded), "id long, list array<int>, bound double"))
+        asked = plan.select(F.explode("list").alias("list")).groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()  # as many rows as lists
+        parts = spark.createDataFrame([(r.list, int(max(0, held[r.list] - 1) // LIST_ROWS) + 1, (r.n - 1) // QUERY_ROWS + 1) for r in asked], "list int, parts int, turns int")
+        dealt = placed.join(F.broadcast(parts), "list").withColumn("part", F.expr("int(pmod(xxhash64(id), parts))")).withColumn("turn", F.explode(F.expr("sequence(0, turns - 1)")))
+        going = rows.join(plan, "id").select("id", "v", "bound", F.explode("list").alias("list")).join(F.broadcast(parts), "list")
+        going = going.withColumn("turn", F.expr("int(pmod(xxhash64(id), turns))")).withColumn("part", F.explode(F.expr("sequence(0, parts - 1)")))
+        keys, columns = ["list", "part", "turn"], ["id", "v"]
+        both = dealt.select(*keys, *columns).groupBy(*keys).cogroup(going.select(*keys, *columns, "bound").groupBy(*keys))
         return written(both.applyInPandas(compare, f"query_id long, {id_col} long, score double"))
 
     found = scanned(asking, True)
