@@ -2,7 +2,9 @@ import bz2
 import gzip
 import io
 import lzma
+import tarfile
 import zipfile
+import zlib
 from datetime import datetime
 
 import pytest
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidelog.operators import catalog as K
 from tidelog.operators import lines as L
-from tidelog.plans import packages, refresh, windows
+from tidelog.plans import jobs, packages, refresh, windows
 from tidelog.sources import files as S
 from tidelog.sources import packed
 from tidelog.streaming import ingest
@@ -39,7 +41,7 @@ def inbox(tmp_path_factory):
 
 @pytest.fixture(scope="module")
 def analysed(spark, inbox):
-    listing = S.list_files(spark, {"inbox": str(inbox)}, content=True).withColumn("file_id", F.xxhash64("path"))
+    listing = S.with_content(spark, S.list_files(spark, {"inbox": str(inbox)})).withColumns({"file_id": F.xxhash64("path"), "inside": F.lit(False)})
     return listing.cache(), refresh.analyse(listing).cache()
 
 
@@ -57,7 +59,7 @@ def test_catalog(analysed):
 def test_packages_of_report_periods(spark, analysed, tmp_path):
     listing, catalog = analysed
     plan = windows.plan_windows(catalog, "awr", margin_min=10)
-    built = packages.build_packages(catalog, L.analysed(refresh.file_lines(listing.where("rel not like '%.html'")), "file_id"), plan)
+    built = packages.build_packages(catalog, L.analysed(refresh.timed_lines(spark, listing.where("rel like '%.log%'")).drop("error"), "file_id"), plan)
     assert [r.package for r in built.windows.collect()] == ["PKG_2026-09-27_1000-1100"]
     entries = {r.entry: r for r in built.entries.collect()}
     assert set(entries) == {"awr/awr_1.html", "access/web/access.log", "server/server.log", "sonstige/notes.txt"} or set(entries) == {"awr/awr_1.html", "access/copy.log", "server/server.log", "sonstige/notes.txt"}
@@ -99,8 +101,10 @@ def test_split_independence(spark, tmp_path):
 def test_packed_lines_keep_text(spark):
     body = "a\r\n\tb\nlast"
     files = [("g", gzip.compress(body.encode())), ("b", bz2.compress(body.encode())), ("x", lzma.compress(body.encode())), ("bad", b"\x1f\x8bno")]
+    files.append(("half", gzip.compress("".join(f"line {n} {n * n}\n" for n in range(1000)).encode())[:2000]))
     got = S.read_packed_lines(spark.createDataFrame(files, "path string, content binary")).collect()
     assert {p: [r.raw for r in sorted(got, key=lambda r: r.mid) if r.path == p] for p in "gbx"} == {p: ["a\r", "\tb", "last"] for p in "gbx"}
+    assert {r.path for r in got if r.error} == {"bad", "half"} and all(r.raw is None for r in got if r.error)
 
 
 def test_archives(spark):
@@ -123,8 +127,10 @@ def test_office_and_pdf(spark):
         z.writestr("word/document.xml", "<w>27.09.2026&amp;</w>")
     office = packed.office_lines(spark.createDataFrame([("a.docx", out.getvalue()), ("b.docx", b"PK")], "path string, content binary")).collect()
     assert any("27.09.2026&" in (r.raw or "") for r in office) and any(r.error for r in office)
-    pdf = packed.pdf_lines(spark.createDataFrame([("a.pdf", b"%PDF /CreationDate (D:20260927) stream\n(28.09.) (2026) Tj\nendstream")], "path string, content binary")).collect()
-    assert [r.raw for r in pdf] == ["2026-09-27 00:00:00", "28.09.2026"]
+    page = zlib.compress(b"BT /F1 9 Tf 50 700 Td [(27.09.) -250 (20) 3 (26 1\\0620:00:00)] TJ T* (a \\(b (c\\) d) e) Tj <3238> Tj ET")
+    body = b"%PDF-1.4\n<< /CreationDate (D:20260927) /ModDate(D:20260928101112+02'00') >>\nstream\r\n" + page + b"\nendstream stream\n(28.09.) (2026) Tj\nendstream stream\n1 0 0\nendstream"
+    pdf = packed.pdf_lines(spark.createDataFrame([("a.pdf", body)], "path string, content binary")).collect()
+    assert [r.raw for r in pdf] == ["2026-09-27 00:00:00", "2026-09-28 10:11:12", "27.09.2026 120:00:00", "a (b (c) d) e28", "28.09.2026", "1 0 0"]
 
 
 def test_override_and_diff(analysed):
@@ -134,7 +140,7 @@ def test_override_and_diff(analysed):
     with pytest.raises(ValueError):
         K.set_override(catalog, first.file_id, "nonsense")
     assert {r.status for r in K.catalog_diff(analysed[0], catalog, refresh.VERSION).collect()} == {"unchanged"}
-    assert {r.status for r in K.catalog_diff(analysed[0], catalog, "2").collect()} == {"changed"}
+    assert {r.status for r in K.catalog_diff(analysed[0], catalog, "another").collect()} == {"changed"}
 
 
 def test_nothing_changed_builds_nothing(analysed):
@@ -188,3 +194,134 @@ def test_interval_cap_is_the_doubling_loop(spark):
     points = spark.createDataFrame(rows, "k int, b timestamp_ntz, e timestamp_ntz")
     got = intervals.cap_intervals(points, ["k"], most=8).collect()
     assert sorted((r.k, r.b, r.e) for r in got) == expected
+
+
+# ---- histories of a collection: files come, change and go
+
+
+@pytest.fixture
+def collection(spark, tmp_path):
+    (tmp_path / "inbox").mkdir()
+    (tmp_path / "more").mkdir()
+
+    def make(**rules):
+        return jobs.Collection(S.root_labels([str(tmp_path / "more")], str(tmp_path / "inbox")), str(tmp_path / "store"), str(tmp_path / "out"), **rules)
+
+    def put(name, body):
+        path = tmp_path / "inbox" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(body if isinstance(body, bytes) else body.encode())
+        return path
+
+    return make, put, lambda of: sorted(r.package for r in jobs.existing_packages(spark, of).collect())
+
+
+AWR_PACKAGE = "PKG_2026-09-27_1000-1100"
+
+
+def entry_bytes(spark, of, package, entry):
+    rows = spark.read.option("lineSep", "\n").text(f"{of.output}/lines").where(f"package = '{package}' and entry = '{entry}'")
+    return [r.v for r in rows.select(F.col("value").cast("binary").alias("v"), "_metadata.file_name").orderBy("file_name").collect()]
+
+
+def test_report_then_logs_then_no_report(spark, collection):
+    """A report without lines in its time gives no package; logs that come later do; without the report it goes."""
+    make, put, have = collection
+    of = make()
+    report = put("db/awr_1.html", REPORT)
+    put("web/old.log", 'h - - [26/Sep/2026:23:00:00 +0200] "GET / HTTP/1.1" 200 1\n')
+    assert jobs.refreshed(spark, of)["new"] == 2 and have(of) == []
+    put("web/access.log", ACCESS)
+    assert jobs.refreshed(spark, of)["built"] == 1 and have(of) == [AWR_PACKAGE]
+    assert entry_bytes(spark, of, AWR_PACKAGE, "access/web/access.log") == [ACCESS.splitlines()[2].encode()]
+    again = jobs.refreshed(spark, of)
+    assert (again["new"], again["unchanged"], again["built"], again["removed"]) == (0, 3, 0, 0)
+    report.unlink()
+    gone = jobs.refreshed(spark, of)
+    assert gone["removed"] == 1 and have(of) == []
+
+
+def test_category_by_hand_and_back(spark, collection):
+    make, put, have = collection
+    of = make(day_packages=True)
+    path = put("web/access.log", ACCESS)
+    put("db/awr_1.html", REPORT)
+    jobs.refreshed(spark, of)
+    both = ["PKG_2026-09-27", AWR_PACKAGE]
+    assert have(of) == both
+    key = next(r.path for r in jobs.catalog(spark, of).collect() if r.path.endswith("access.log"))
+    jobs.repackage(spark, of, jobs.set_category(spark, of, key, "ignore").changed_days)
+    row = jobs.catalog(spark, of).where(F.col("path") == key).first()
+    assert have(of) == [] and row.category == "ignore" and row.first_ts is None and row.days is None
+    path.touch()  # analysed again: what was set by hand survives
+    jobs.refreshed(spark, of)
+    assert have(of) == [] and jobs.catalog(spark, of).where(F.col("path") == key).first().override == "ignore"
+    jobs.repackage(spark, of, jobs.set_category(spark, of, key, None).changed_days)
+    assert have(of) == both
+    path.unlink()
+    jobs.refreshed(spark, of)
+    assert have(of) == []
+
+
+def test_day_packages_that_meet_no_rule_go(spark, collection, tmp_path):
+    make, put, have = collection
+    of = make()
+    (tmp_path / "out/manifest/package=PKG_2026-04-10").mkdir(parents=True)
+    (tmp_path / "out/manifest/package=OTHER_2026-04-10").mkdir(parents=True)
+    put("web/access.log", ACCESS)
+    assert jobs.refreshed(spark, of)["removed_days"] == 1 and have(of) == ["OTHER_2026-04-10"]
+    free = make(require_awr=False, day_packages=True)
+    jobs.repackage(spark, free, jobs.catalog(spark, free).select(F.explode("days").alias("day")).distinct())
+    assert have(of) == ["OTHER_2026-04-10", "PKG_2026-09-26", "PKG_2026-09-27"]
+
+
+def test_archives_and_damaged_files(spark, collection):
+    make, put, have = collection
+    of = make()
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w:gz") as t:
+        for name, text in (("host/access.log", ACCESS), ("app.war", "x")):
+            info = tarfile.TarInfo(name)
+            info.size, info.mtime = len(text), 1790000000
+            t.addfile(info, io.BytesIO(text.encode()))
+    put("bundle.tgz", out.getvalue())
+    put("bad.zip", b"PK nothing")
+    put("db/awr_1.html", REPORT)
+    put("server1.log.gz", gzip.compress((SERVER * 400).encode())[:-40])
+    stats = jobs.refreshed(spark, of)
+    assert (stats["members"], stats["skipped_members"], stats["errors"]) == (1, 1, 1) and len(stats["archive_errors"]) == 1
+    rows = {r.rel: r for r in jobs.catalog(spark, of).collect()}
+    assert set(rows) == {"bundle/host/access.log", "db/awr_1.html", "server1.log.gz"} and rows["bundle/host/access.log"].lines == 4
+    assert "EOFError" in rows["server1.log.gz"].error and rows["server1.log.gz"].first_ts is None and rows["server1.log.gz"].category == "server"
+    assert have(of) == [AWR_PACKAGE] and len(entry_bytes(spark, of, AWR_PACKAGE, "access/bundle/host/access.log")) == 1
+    assert jobs.scan(spark, of).stats["new"] == 0
+
+
+def test_bytes_of_a_file_of_several_splits(spark, collection):
+    """Lines that aren't UTF-8, carriage returns and names with special characters; a file too large to be one row."""
+    make, put, have = collection
+    lines = [b"26.09.2026 08:00:00 before"] + [(b"27.09.2026 10:%02d:%02d " % (n // 60 % 60, n % 60) if n % 3 == 0 else b"\tat \xe4\xff frame") + b" %d\r" % n for n in range(3000)] + [b"27.09.2026 12:00:00 after"]
+    put("a b+c%1/server {x}.log", b"\n".join(lines) + b"\n")
+    put("db/awr_1.html", REPORT)
+    of = make(sizes={"inline_bytes": 20_000})
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    jobs.refreshed(spark, of)
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    row = next(r for r in jobs.catalog(spark, of).collect() if r.category == "server")
+    assert (row.lines, row.error, row.sha256[:6]) == (3002, None, "lines:")
+    want = [x for x in lines[1:-1]]
+    got = entry_bytes(spark, of, AWR_PACKAGE, "server/a b+c%1/server {x}.log")
+    begin = next(n for n, x in enumerate(want) if x.startswith(b"27.09.2026 10:00:06"))  # the report begins at 10:00:05
+    assert got == want[begin:]
+
+
+def test_stream_keeps_packages_current(spark, collection, tmp_path):
+    make, put, have = collection
+    of = make()
+    put("db/awr_1.html", REPORT)
+    for name in ("web/access.log", None):
+        ingest.keep_current(spark, of, str(tmp_path / "ck")).awaitTermination()
+        if name:
+            assert have(of) == []
+            put(name, ACCESS)
+    assert have(of) == [AWR_PACKAGE]

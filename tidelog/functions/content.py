@@ -28,6 +28,7 @@ ACCESS_REQUEST = r'\[[0-9]{1,2}/\w{3}/[0-9]{4}:[0-9]{2}:[0-9]{2}:[0-9]{2}[^\]]*\
 W3C_FIELDS = r"(?md)^#Fields:.*(?:cs-method|cs-uri)"
 SERVER_LINE = r"(?md)^####<"
 REPORT_NAME = r"(?i)awr|ashrpt|addmrpt|^sp_[0-9]|statspack|spreport"
+#: Suffixes of archives that are left alone, and of office documents.
 JAVA_ARCHIVES = (".ear", ".war", ".jar", ".rar")
 OFFICE_SUFFIXES = (".docx", ".docm", ".xlsx", ".xlsm", ".pptx", ".pptm", ".odt", ".ods", ".odp", ".vsdx")
 
@@ -75,7 +76,7 @@ def classify(name: Column, head: Column) -> Column:
     low = F.lower(name)
     report_file = name.rlike(REPORT_NAME) & low.rlike(r"\.(html|htm|txt|lst)$")
     return (
-        F.when(low.rlike(r"\.(ear|war|jar|rar)$"), "ignore")
+        F.when(low.rlike("(" + "|".join(s.replace(".", r"\.") for s in JAVA_ARCHIVES) + ")$"), "ignore")
         .when(report_type(head).isNotNull(), "awr")
         .when(head.rlike(ACCESS_REQUEST) | head.rlike(W3C_FIELDS), "access")
         .when(head.rlike(SERVER_LINE), "server")

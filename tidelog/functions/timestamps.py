@@ -32,22 +32,27 @@ class Layout:
     pattern: str
     parts: str
     named_month: bool
+    #: Characters that every match holds: a line without them isn't searched.
+    needs: str = ""
 
 
-#: Tried in this order.
+#: Layouts, tried in this order. Digits are [0-9] throughout: \d of Python is wider than that of Java, and no
+#: other digits make a valid date in either.
 LAYOUTS = (
-    Layout("clf", r"\[([0-9]{1,2})/" + _MONTH + r"/([0-9]{4}):([0-9]{2}):([0-9]{2}):([0-9]{2})", "$3|$2|$1|$4|$5|$6|", True),
-    Layout("bracket", "<" + _MONTH + r" ([0-9]{1,2}),? ([0-9]{4}),? " + _CLOCK, "$3|$1|$2|$4|$5|$6|$7", True),
-    Layout("iso", r"([0-9]{4})-([0-9]{2})-([0-9]{2})(?:T|" + WS + r")([0-9]{2}):([0-9]{2}):([0-9]{2})", "$1|$2|$3|$4|$5|$6|", False),
-    Layout("german", r"([0-9]{2})\.([0-9]{2})\.([0-9]{4}),?" + WS + r"([0-9]{1,2}):([0-9]{2})(?::([0-9]{2}))?", "$3|$2|$1|$4|$5|$6|", False),
-    Layout("oracle", r"([0-9]{1,2})-" + _MONTH + r"-([0-9]{2,4})" + WS + r"([0-9]{2}):([0-9]{2}):([0-9]{2})", "$3|$2|$1|$4|$5|$6|", True),
-    Layout("english", r"(?<![\p{L}\p{N}_])" + _MONTH + r" ([0-9]{1,2}),? ([0-9]{4}),? " + _CLOCK, "$3|$1|$2|$4|$5|$6|$7", True),
+    Layout("clf", r"\[([0-9]{1,2})/" + _MONTH + r"/([0-9]{4}):([0-9]{2}):([0-9]{2}):([0-9]{2})", "$3|$2|$1|$4|$5|$6|", True, "[/:"),
+    Layout("bracket", "<" + _MONTH + r" ([0-9]{1,2}),? ([0-9]{4}),? " + _CLOCK, "$3|$1|$2|$4|$5|$6|$7", True, "<:"),
+    Layout("iso", r"([0-9]{4})-([0-9]{2})-([0-9]{2})(?:T|" + WS + r")([0-9]{2}):([0-9]{2}):([0-9]{2})", "$1|$2|$3|$4|$5|$6|", False, "-:"),
+    Layout("german", r"([0-9]{2})\.([0-9]{2})\.([0-9]{4}),?" + WS + r"([0-9]{1,2}):([0-9]{2})(?::([0-9]{2}))?", "$3|$2|$1|$4|$5|$6|", False, ".:"),
+    Layout("oracle", r"([0-9]{1,2})-" + _MONTH + r"-([0-9]{2,4})" + WS + r"([0-9]{2}):([0-9]{2}):([0-9]{2})", "$3|$2|$1|$4|$5|$6|", True, "-:"),
+    Layout("english", r"(?<![\p{L}\p{N}_])" + _MONTH + r" ([0-9]{1,2}),? ([0-9]{4}),? " + _CLOCK, "$3|$1|$2|$4|$5|$6|$7", True, ":"),
 )
+#: Dates without a clock.
 DATE_LAYOUTS = (
     Layout("iso_date", r"(?<![0-9])(20[0-9]{2})-(0[1-9]|1[0-2])-(0[1-9]|[12][0-9]|3[01])(?!(?:[T:.]|" + WS + r")?[0-9])", "$1|$2|$3||||", False),
     Layout("german_date", r"(?<![0-9])(0[1-9]|[12][0-9]|3[01])\.(0[1-9]|1[0-2])\.(20[0-9]{2})(?!(?:,|" + WS + r")*[0-9]{1,2}[:.][0-9])", "$3|$2|$1||||", False),
 )
 _NAME_TIME = r"(?:[T_\-. ]?([01][0-9]|2[0-3])[:.\-h]?([0-5][0-9])(?:[:.\-]?([0-5][0-9]))?)?"
+#: Dates and times in file names.
 NAME_LAYOUTS = (
     Layout("name_iso", r"(?<![0-9])(20[0-9]{2})[-_.]?(0[1-9]|1[0-2])[-_.]?(0[1-9]|[12][0-9]|3[01])" + _NAME_TIME + r"(?![0-9])", "$1|$2|$3|$4|$5|$6|", False),
     Layout("name_german", r"(?<![0-9])(0[1-9]|[12][0-9]|3[01])\.(0[1-9]|1[0-2])\.(20[0-9]{2})" + _NAME_TIME + r"(?![0-9])", "$3|$2|$1|$4|$5|$6|", False),
@@ -97,9 +102,18 @@ def parsed(match: Column, layout: Layout) -> Column:
     return bound(F.split(F.regexp_replace(match, layout.pattern, layout.parts), r"\|"), lambda parts: _made(parts, layout))
 
 
+def holds(text: Column, layout: Layout) -> Column:
+    """Whether a text holds all characters that the layout needs: a cheap test before its pattern is sought."""
+    out = F.lit(True)
+    for c in layout.needs:
+        out &= F.contains(text, F.lit(c))
+    return out
+
+
 def first_of(text: Column, layout: Layout) -> Column:
     """The first match of one layout; NULL if there is none or it is no valid date."""
-    return parsed(F.regexp_substr(text, F.lit(layout.pattern)), layout)
+    match = F.when(holds(text, layout), F.regexp_substr(text, F.lit(layout.pattern)))
+    return bound(match, lambda m: F.when(m.isNotNull(), parsed(m, layout)))
 
 
 def parse_text(text: Column) -> Column:
@@ -118,12 +132,12 @@ def plausible(ts: Column) -> Column:
 
 def _all(text: Column, layouts: tuple[Layout, ...]) -> Column:
     def of(layout: Layout) -> Column:
-        return F.transform(F.regexp_extract_all(text, F.lit(layout.pattern), F.lit(0)), lambda m: parsed(m, layout))
+        found = F.when(holds(text, layout), F.regexp_extract_all(text, F.lit(layout.pattern), F.lit(0))).otherwise(F.when(text.isNotNull(), F.array().cast("array<string>")))
+        return F.transform(found, lambda m: parsed(m, layout))
 
     return F.filter(F.concat(*[of(layout) for layout in layouts]), plausible)
 
 
-
 def find_stamps(text: Column) -> Column:
     """All times with a clock, layout by layout and then by place; one text can fit two layouts and then counts twice."""
     return _all(text, LAYOUTS)

@@ -30,11 +30,23 @@ def second_before(ts: Column) -> Column:
     return ts - F.expr("interval 1 second")
 
 
+def seconds_of(ts: Column) -> Column:
+    return F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
+
+
 def assign_lines(lines: DataFrame, windows: DataFrame) -> DataFrame:
-    """Lines (eff_ts) to every window (package, log_start, log_end) that holds their time; adds `package`."""
-    ranges = by_day(windows.select("package", "log_start", "log_end"), F.col("log_start"), second_before(F.col("log_end")))
-    dated = lines.withColumn("join_day", F.to_date("eff_ts"))
-    return dated.join(small(ranges), "join_day").where("eff_ts >= log_start and eff_ts < log_end").drop("join_day", "log_start", "log_end")
+    """Lines (eff_ts) to every window (package, log_start, log_end) that holds their time; adds `package`.
+
+    Windows lie in stretches of time as long as they are on average (a minute to a day), so that a line meets those near
+    it only, and the stretches of all windows are about twice as many as the windows.
+    """
+    ranges = windows.where("log_start < log_end").select("package", "log_start", "log_end")
+    mean = ranges.agg(F.avg(seconds_of(F.col("log_end")) - seconds_of(F.col("log_start")))).first()[0]
+    step = int(min(86_400, max(60, mean or 60)))
+    stretch = lambda ts: F.floor(seconds_of(ts) / step)
+    near = ranges.withColumn("stretch", F.explode(F.sequence(stretch(F.col("log_start")), stretch(second_before(F.col("log_end"))))))
+    dated = lines.withColumn("stretch", stretch(F.col("eff_ts")))
+    return dated.join(small(near), "stretch").where("eff_ts >= log_start and eff_ts < log_end").drop("stretch", "log_start", "log_end")
 
 
 def assign_lines_by_day(lines: DataFrame, windows: DataFrame) -> DataFrame:

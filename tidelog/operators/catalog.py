@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.functions.content import CATEGORIES, PACKABLE, consistency, is_workload_report
@@ -15,6 +15,10 @@ CATALOG_SCHEMA = (
 )
 
 
+def empty_catalog(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], CATALOG_SCHEMA)
+
+
 def catalog_diff(listing: DataFrame, catalog: DataFrame, version: str | None = None) -> DataFrame:
     """(path, status): new, changed, unchanged or removed, by size and time of each path.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -13,76 +13,94 @@ from tidelog.operators import assign, intervals
 from tidelog.operators import catalog as K
 from tidelog.operators import lines as L
 from tidelog.plans.windows import Plan
+from tidelog.sources import files as S
 from tidelog.sources import packed
 from tidelog.tables import written
-from tidelog.sources.files import opened, read_head, read_packed_lines
 
-VERSION = "1"
+VERSION = "2"
 
 
 @F.pandas_udf(StringType())
-def content_sha256(contents):
-    """SHA-256 of each content after decompression; NULL if it can't be read."""
+def packed_sha256(contents):
+    """SHA-256 of each compressed content after decompression; NULL if it can't be read."""
     import hashlib
     import lzma
+    import zlib
 
     def one(body):
+        digest = hashlib.sha256()
         try:
-            return hashlib.sha256(opened(body).read()).hexdigest()
-        except (OSError, EOFError, lzma.LZMAError):
+            stream = S.opened(body)
+            while chunk := stream.read(S.CHUNK_BYTES):
+                digest.update(chunk)
+            return digest.hexdigest()
+        except (OSError, EOFError, lzma.LZMAError, zlib.error):
             return None
 
     return contents.map(one)
 
 
-def file_lines(files: DataFrame) -> DataFrame:
-    """file_id, block_start, mid, raw of files (file_id, path, content)."""
-    return read_packed_lines(files).join(files.select("file_id", "path"), "path").select("file_id", "block_start", "mid", "raw")
+def content_hash(files: DataFrame) -> DataFrame:
+    """`files` (content) with `sha256` of the decompressed content: built in where nothing is compressed, NULL without content."""
+    packed = C.compression(F.col("content")).isNotNull()
+    plain = files.where(~F.coalesce(packed, F.lit(False))).withColumn("sha256", F.sha2("content", 256))
+    return plain.unionByName(files.where(packed).withColumn("sha256", packed_sha256("content")))
+
+
+def timed_lines(spark: SparkSession, logs: DataFrame) -> DataFrame:
+    """file_id, block_start, mid, raw, error of logs (file_id, path, content, inside)."""
+    return S.file_lines(spark, logs).join(logs.select("file_id", "path"), "path").drop("path")
 
 
 def analyse(files: DataFrame, overrides: DataFrame | None = None, version: str = VERSION) -> DataFrame:
-    """Catalog rows of files (file_id, path, root, rel, size, mtime, content); `overrides`: path, override.
+    """Catalog rows of files (file_id, path, root, rel, size, mtime, content, inside); `overrides`: path, override.
 
-    Each category has its own pass: reports by their text, logs by their lines, other files by all times in their content,
-    name and file time. A file that can't be read becomes a row with an error.
+    `content` is NULL for files too large to be one row (`with_content`); they are read as lines. `inside` marks members of
+    archives, which only their content holds. Each category has its own pass: reports by their text, logs by their lines,
+    other files by all times in their content, name and file time. A file that can't be read to its end becomes a row with
+    an error and no times.
     """
-    base = read_head(files, C.REPORT_BYTES)
+    spark = files.sparkSession
     given = overrides.select("path", "override") if overrides is not None else files.select("path").limit(0).withColumn("override", F.lit(None).cast("string"))
-    name = F.element_at(F.split("rel", "/"), -1)
-    base = base.join(given, "path", "left").withColumn("name", name).withColumn("sniff", C.latin(F.col("head")))
+    base = S.read_head(spark, files, C.REPORT_BYTES).join(given, "path", "left").withColumn("name", F.element_at(F.split("rel", "/"), -1)).withColumn("sniff", C.latin(F.col("head")))
     base = base.withColumn("detected", C.classify(F.col("name"), F.col("sniff"))).withColumn("category", C.effective_category(F.col("override"), F.col("detected")))
-    base = written(base.withColumn("sha256", content_sha256("content")).withColumn("version", F.lit(version)))
+    base = base.withColumn("kind", C.content_kind(F.col("head"), F.col("name"))).withColumn("report_type", C.report_type(F.col("sniff"))).drop("sniff")
+    facts = written(content_hash(base).withColumn("version", F.lit(version)).withColumn("large", F.col("content").isNull()).withColumn("head", F.when(F.col("category") == "awr", F.col("head"))).drop("content"))
     common = ["file_id", "path", "root", "rel", "size", "mtime", "detected", "override", "category", "sha256", "version"]
 
-    reports = base.where("category = 'awr'").withColumn("report_type", C.report_type(F.col("sniff"))).withColumn("text", C.report_text(F.col("head").cast("string")))
+    reports = facts.where("category = 'awr'").withColumn("text", C.report_text(F.col("head").cast("string")))
     reports = parse_reports(reports.select(*common, "report_type", "text")).withColumnsRenamed({"begin": "first_ts", "end": "last_ts"}).drop("text")
     reports = reports.withColumn("error", K.scan_errors(F.col("category"), F.lit(0), F.lit(0), F.col("first_ts"), F.col("last_ts")))
 
-    logs = base.where(F.col("category").isin(*C.LOGS))
-    timed = written(L.analysed(file_lines(logs), "file_id"))
+    logs = files.join(facts.where(F.col("category").isin(*C.LOGS)).select("path", "large"), "path")
+    read = written(timed_lines(spark, logs))  # lines of logs only, once for errors, heads, whole lines and large files' hashes
+    damaged = written(read.where("error is not null").groupBy("file_id").agg(F.max("error").alias("damage")))
+    sound = read.where("error is null").drop("error").join(damaged, "file_id", "left_anti")
+    timed = written(L.analysed(sound, "file_id"))
     stats = L.log_stats(timed, "file_id").join(timed.select("file_id", "ts_mode").distinct(), "file_id")
-    logs = logs.select(*common).join(stats, "file_id", "left").withColumn("lines", F.coalesce("lines", F.lit(0).cast("long")))
-    logs = logs.withColumn("error", K.scan_errors(F.col("category"), F.col("lines"), F.col("stamped_lines"), F.lit(None), F.lit(None)))
-
-    others = base.where("category = 'unknown'").withColumn("kind", C.content_kind(F.col("head"), F.col("name")))
-    text = read_packed_lines(others.where("kind = 'text'")).select("path", "raw", F.lit(None).cast("string").alias("error"))
+    large = L.fingerprint(sound.join(logs.where("large").select("file_id"), "file_id", "left_semi"), "file_id")
+    logs = facts.where(F.col("category").isin(*C.LOGS)).select(*common).join(stats, "file_id", "left").join(damaged, "file_id", "left").join(large, "file_id", "left")
+    logs = logs.withColumn("lines", F.coalesce("lines", F.lit(0).cast("long"))).withColumn("sha256", F.coalesce("sha256", F.concat(F.lit("lines:"), "fingerprint")))
+    logs = logs.withColumn("error", F.coalesce("damage", K.scan_errors(F.col("category"), F.col("lines"), F.col("stamped_lines"), F.lit(None), F.lit(None))))
+
+    unknown = facts.where("category = 'unknown'")
+    others = files.join(unknown.select("path", "kind", "name"), "path")
+    text = S.file_lines(spark, others.where("kind = 'text'")).select("path", "raw", "error")
     strings = others.where("kind = 'binary'").select("path", F.explode(packed.binary_strings(F.col("content"))).alias("raw"), F.lit(None).cast("string").alias("error"))
-    rows = written(text.unionByName(strings).unionByName(packed.office_lines(others.where("kind = 'office'"))).unionByName(packed.pdf_lines(others.where("kind = 'pdf'"))))
-    found = intervals.content_stats(written(intervals.content_points(rows))).select("path", "intervals", F.col("stamps").alias("stamp_count"))
-    broken = rows.groupBy("path").agg(F.max("error").alias("broken"))
-    others = others.join(found, "path", "left").join(broken, "path", "left")
+    rows = text.unionByName(strings).unionByName(packed.office_lines(others.where("kind = 'office'"))).unionByName(packed.pdf_lines(others.where("kind = 'pdf'")))
+    points = written(intervals.content_points(rows.where("error is null")).withColumn("error", F.lit(None).cast("string")).unionByName(rows.where("error is not null").select("path", F.lit(None).cast("timestamp_ntz").alias("b"), F.lit(None).cast("timestamp_ntz").alias("e"), "error")))
+    found = intervals.content_stats(points.where("error is null").drop("error")).select("path", "intervals", F.col("stamps").alias("stamp_count"))
+    broken = points.where("error is not null").groupBy("path").agg(F.max("error").alias("broken"))
+    others = unknown.select(*common, "kind", "name").join(found, "path", "left").join(broken, "path", "left")
     others = others.withColumn("read_as", F.when(F.col("broken").isNull(), F.col("kind")).otherwise(F.concat("kind", F.lit(" (unreadable: "), "broken", F.lit(")"))))
     others = others.withColumn("named", T.from_name(F.col("name"))).withColumn("mtime_ts", T.trusted_mtime(F.col("mtime")))
     others = K.other_file_range(others)
     own = F.when(F.size("intervals") > 0, F.array_sort(F.array_distinct(F.flatten(F.transform("intervals", lambda i: T.days_between(i["b"], i["e"])))))).otherwise(T.days_between(F.col("first_ts"), F.col("last_ts")))
     others = others.select(*common, "first_ts", "last_ts", own.alias("days"), "date_source", "stamp_count", "read_as", "intervals", "check")
-    ignored = base.where("category = 'ignore'").select(*common)
+    ignored = facts.where("category = 'ignore'").select(*common)
     out = reports.unionByName(logs, True).unionByName(others, True).unionByName(ignored, True)
-    return out.select(*[f.name for f in _fields(out)]).select(*[F.col(f"`{f.name}`").cast(f.dataType) for f in _fields(out)])
-
-
-def _fields(df: DataFrame):
-    return df.sparkSession.createDataFrame([], K.CATALOG_SCHEMA).schema.fields
+    fields = K.empty_catalog(spark).schema.fields
+    return out.select(*[f.name for f in fields]).select(*[F.col(f"`{f.name}`").cast(f.dataType) for f in fields])
 
 
 def affected_windows(plan: Plan, changed: DataFrame, existing: DataFrame) -> DataFrame:

@@ -13,7 +13,9 @@ from tidelog.operators import assign, intervals
 from tidelog.operators import catalog as K
 from tidelog.operators import dedup as D
 from tidelog.operators import lines as L
+from tidelog.operators.places import numbered
 from tidelog.plans import refresh, windows
+from tidelog.sources import packed
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -162,19 +164,82 @@ def p_packing_override(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", C.compression(body).alias("packing"), C.effective_category(F.when(F.col("doc_id") % 5 == 0, "awr"), F.col("lang")).alias("category"))
 
 
-@query(r"SELECT page_id, sha256(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '[ \t\r\f\v]+', ' ', 'g')) AS plain FROM pages")
-def p_report_text(spark, sf_dir):
-    """P5 without entities: tags and blanks."""
-    plain = F.regexp_replace(F.regexp_replace("html", "<[^>]+>", " "), r"[ \t\r\f\x0B]+", " ")
-    return table(spark, sf_dir, "pages").select("page_id", F.sha2(plain, 256).alias("plain"))
+PLAIN = r"""regexp_replace(regexp_replace(replace(replace(replace(regexp_replace({}, '<[^>]+>', ' ', 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;?', '&', 'g'), '[ \t\r\f\v]+', ' ', 'g')"""
 
 
-@query()
-def p_report_text_entities(spark, sf_dir):
-    """P5 with entities, which SQL lacks."""
+@query(f"SELECT page_id, sha256({PLAIN.format('html')}) AS plain FROM pages")
+def p_report_text(spark, sf_dir):
+    """P5: tags, entities and blanks."""
     return table(spark, sf_dir, "pages").select("page_id", F.sha2(C.report_text(F.col("html")), 256).alias("plain"))
 
 
+@query(r"SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[ \t\r\f\v]+', ' ', 'g')) AS plain FROM documents WHERE NOT contains(lower(left(coalesce(text, ''), 4096)), '<html') AND NOT contains(lower(coalesce(text, '')), '<table')")
+def p_report_text_plain(spark, sf_dir):
+    """P5 of texts that aren't HTML: blanks only."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    markup = F.contains(F.lower(F.substring("text", 1, 4096)), F.lit("<html")) | F.contains(F.lower("text"), F.lit("<table"))
+    return docs.where(~markup).select("doc_id", F.sha2(C.report_text(F.col("text")), 256).alias("plain"))
+
+
+@query("SELECT doc_id, sha256(coalesce(text, '')) AS sha256 FROM documents")
+def p_content_hash(spark, sf_dir):
+    """SHA-256 of contents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    return refresh.content_hash(docs).select("doc_id", "sha256")
+
+
+@query("""
+    SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'content fits' WHEN 1 THEN 'content decides – differs: file name says ' || strftime(ts + INTERVAL 2 DAY, '%Y-%m-%d')
+        WHEN 2 THEN 'content decides – differs: file time ' || strftime(ts - INTERVAL 3 DAY, '%Y-%m-%d') ELSE 'content fits' END AS "check" FROM events
+""")
+def p_consistency(spark, sf_dir):
+    """The days of a content against the name's day, or else the file's."""
+    n, ts = F.col("event_id") % 4, F.col("ts")
+    intervals_ = F.array(F.struct(ts.alias("b"), (ts + F.expr("interval 1 day")).alias("e")))
+    name = F.when(n == 0, F.date_format(ts, "'a_'yyyy-MM-dd'.txt'")).when(n == 1, F.date_format(ts + F.expr("interval 2 days"), "'a_'yyyy-MM-dd'.txt'")).otherwise("notes.txt")
+    mtime = F.when(n == 2, ts - F.expr("interval 3 days")).when(n == 3, ts + F.expr("interval 1 day")).otherwise(ts - F.expr("interval 9 days"))
+    return events(spark, sf_dir).select("event_id", C.consistency(intervals_, T.from_name(name), mtime).alias("check"))
+
+
+@query(f"""
+    SELECT event_id, {SEC.format("CASE event_id % 5 WHEN 0 THEN date_trunc('minute', ts) - INTERVAL 1 HOUR WHEN 1 THEN date_trunc('minute', ts) WHEN 2 THEN date_trunc('day', ts) WHEN 3 THEN date_trunc('second', ts) END")} AS first_ts,
+        {SEC.format("CASE event_id % 5 WHEN 0 THEN date_trunc('minute', ts) + INTERVAL 2 HOUR WHEN 1 THEN date_trunc('minute', ts) WHEN 2 THEN date_trunc('day', ts) + INTERVAL 86399 SECOND WHEN 3 THEN date_trunc('second', ts) END")} AS last_ts,
+        CASE event_id % 5 WHEN 0 THEN 'inhalt' WHEN 1 THEN 'dateiname' WHEN 2 THEN 'dateiname (nur Datum)' WHEN 3 THEN 'dateizeit' END AS date_source FROM events
+""")
+def p_other_file_range(spark, sf_dir):
+    """Content, name with a clock, name's date, file time, nothing."""
+    n, minute, ts = F.col("event_id") % 5, F.date_trunc("minute", "ts").cast("timestamp_ntz"), F.col("ts")
+    two = F.array(F.struct((minute - F.expr("interval 1 hour")).alias("b"), minute.alias("e")), F.struct(minute.alias("b"), (minute + F.expr("interval 2 hours")).alias("e")))
+    name = F.when(n <= 1, F.date_format(ts, "'d_'yyyy-MM-dd_HHmm'.txt'")).when(n == 2, F.date_format(ts, "'d_'yyyyMMdd'.bin'")).otherwise("notes")
+    mtime = F.when(n == 4, F.lit("1980-01-01").cast("timestamp")).otherwise(ts.cast("timestamp"))
+    rows = events(spark, sf_dir).select("event_id", F.when(n == 0, two).otherwise(F.array().cast(K.INTERVALS)).alias("intervals"), F.lit("text").alias("read_as"), T.from_name(name).alias("named"), T.trusted_mtime(mtime).alias("mtime_ts"))
+    return K.other_file_range(rows).select("event_id", text("first_ts").alias("first_ts"), text("last_ts").alias("last_ts"), "date_source")
+
+
+@query("SELECT user_id, 'zeilengenau: ' || count(*) FILTER (event_type = 'click') || ' von ' || count(*) || ' Zeilen im Zeitraum (Zeitstempel: ' || CASE WHEN user_id % 2 = 0 THEN 'ganze Zeile' ELSE 'Zeilenanfang' END || ')' AS \"check\" FROM events GROUP BY user_id")
+def p_check_text(spark, sf_dir):
+    """How many of a log's lines lie in a window."""
+    g = events(spark, sf_dir).groupBy("user_id").agg(F.count_if(F.col("event_type") == "click").alias("n"), F.count(F.lit(1)).alias("total"))
+    return g.select("user_id", C.check_text(F.col("n"), F.col("total"), F.when(F.col("user_id") % 2 == 0, "ganze Zeile")).alias("check"))
+
+
+@query("SELECT user_id, CASE WHEN user_id % 3 = 0 AND count(*) FILTER (event_type = 'error') = 0 THEN 'no timestamps found' WHEN user_id % 3 = 1 AND user_id % 2 = 0 THEN 'report: begin or end not found' END AS error FROM events GROUP BY user_id")
+def p_scan_errors(spark, sf_dir):
+    """Logs without a time, reports without begin or end."""
+    n = F.col("user_id") % 3
+    g = events(spark, sf_dir).groupBy("user_id").agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.col("event_type") == "error").alias("stamped"), F.min("ts").alias("b"), F.max("ts").alias("e"))
+    end = F.when(F.col("user_id") % 2 == 1, F.col("e"))
+    return g.select("user_id", K.scan_errors(F.when(n == 0, "server").when(n == 1, "awr").otherwise("unknown"), F.col("lines"), F.col("stamped"), F.col("b"), end).alias("error"))
+
+
+@query(r"SELECT doc_id, CAST(len(f) AS BIGINT) AS runs, CAST(coalesce(list_sum(list_transform(f, lambda x: length(x))), 0) AS BIGINT) AS chars FROM (SELECT doc_id, regexp_extract_all(regexp_replace(coalesce(text, ''), '[^\x20-\x7e]', chr(1), 'g'), '[\x20-\x7e]{6,}') AS f FROM documents)")
+def p_binary_strings(spark, sf_dir):
+    """Printable runs of contents whose other characters are control bytes."""
+    content = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x20-\x7e]", "\u0001").cast("binary")
+    rows = table(spark, sf_dir, "documents").select("doc_id", packed.binary_strings(content).alias("f"))
+    return rows.select("doc_id", F.size("f").cast("long").alias("runs"), F.aggregate("f", F.lit(0).cast("long"), lambda s, x: s + F.length(x)).alias("chars"))
+
+
 @query(f"""
     WITH h AS (SELECT date_trunc('hour', ts) AS hour, date_trunc('second', min(ts)) AS b, date_trunc('second', max(ts)) AS e, count(*) AS n FROM events GROUP BY 1),
     k AS (SELECT *, ['AWR', 'ASH', 'ADDM', 'Statspack', 'AWR Compare'][CAST(hour(hour) % 5 + 1 AS INT)] AS kind FROM h)
@@ -219,6 +284,19 @@ def l_fill_forward(spark, sf_dir):
     return L.fill_forward(user_lines(spark, sf_dir)).select(F.col("mid").alias("event_id"), text("ts").alias("ts"), text("eff_ts").alias("eff_ts"))
 
 
+@query(f"""
+    WITH l AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, count(*) OVER (PARTITION BY user_id) AS total FROM events),
+    o AS (SELECT *, CASE WHEN 2 * n > total THEN date_trunc('second', ts) END AS own FROM l), f AS (SELECT *, last_value(own IGNORE NULLS) OVER w AS ff, first_value(own IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS fst
+        FROM o WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING))
+    SELECT event_id, {SEC.format('coalesce(ff, fst)')} AS eff_ts FROM f WHERE ff IS NOT NULL OR n <= 11
+""")
+def l_head_limit(spark, sf_dir):
+    """W2 at its limit: of a file's lines before its first time the first eleven stay, over several splits."""
+    total, n = F.count(F.lit(1)).over(Window.partitionBy("path")), F.row_number().over(Window.partitionBy("path").orderBy("mid"))
+    rows = synth.event_lines(events(spark, sf_dir), splits=400).withColumn("ts", F.when(2 * n > total, F.date_trunc("second", "event_ts").cast("timestamp_ntz")))
+    return L.fill_forward(rows, head_lines=11).select(F.col("mid").alias("event_id"), text("eff_ts").alias("eff_ts"))
+
+
 @query(f"""
     SELECT 'user-' || user_id || '.log' AS path, count(*) AS lines, count(*) FILTER (event_type <> 'error') AS stamped_lines, {SEC.format("date_trunc('second', min(ts) FILTER (event_type <> 'error'))")} AS first_ts,
            {SEC.format("date_trunc('second', max(ts) FILTER (event_type <> 'error'))")} AS last_ts, count(DISTINCT CASE WHEN event_type <> 'error' THEN CAST(ts AS DATE) END) AS n_days FROM events GROUP BY user_id
@@ -267,12 +345,12 @@ def l_fingerprint(spark, sf_dir):
 
 
 def purchase_windows(e: DataFrame) -> DataFrame:
-    buys = e.where("event_type = 'purchase' and user_id % 10 = 0")
+    buys = e.where("event_type = 'purchase'")
     start, end = F.date_trunc("second", "ts").cast("timestamp_ntz") - F.expr("interval 30 minutes"), F.date_trunc("second", "ts").cast("timestamp_ntz") + F.expr("interval 30 minutes")
     return buys.select(F.concat(F.lit("PKG_"), F.col("event_id").cast("string")).alias("package"), start.alias("start_ts"), end.alias("end_ts"), start.alias("log_start"), end.alias("log_end"))
 
 
-WINDOWS = """w AS (SELECT 'PKG_' || event_id AS package, date_trunc('second', ts) - INTERVAL 30 MINUTE AS a, date_trunc('second', ts) + INTERVAL 30 MINUTE AS z FROM events WHERE event_type = 'purchase' AND user_id % 10 = 0)"""
+WINDOWS = """w AS (SELECT 'PKG_' || event_id AS package, date_trunc('second', ts) - INTERVAL 30 MINUTE AS a, date_trunc('second', ts) + INTERVAL 30 MINUTE AS z FROM events WHERE event_type = 'purchase')"""
 
 
 @query(FILLED + f", {WINDOWS} SELECT w.package, 'user-' || user_id || '.log' AS path, count(*) AS lines, {SEC.format('arg_min(eff, event_id)')} AS from_ts, {SEC.format('arg_max(eff, event_id)')} AS to_ts FROM filled JOIN w ON eff >= a AND eff < z GROUP BY 1, 2")
@@ -456,6 +534,13 @@ def c_upsert_catalog(spark, sf_dir):
     return K.upsert_catalog(new, old).select("path", F.col("days")[0].cast("string").alias("day"), "override")
 
 
+@query("SELECT '{\"root\":\"' || o_orderstatus || '\",\"rel\":\"' || o_orderkey || '\",\"size\":' || CAST(round(o_totalprice * 100) AS BIGINT) || '}' AS json, row_number() OVER (ORDER BY o_orderstatus, CAST(o_orderkey AS VARCHAR)) - 1 AS place FROM orders")
+def c_catalog_json(spark, sf_dir):
+    """K5 and O1: the catalog as JSON records, in the order of root and path."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("root"), F.col("o_orderkey").cast("string").alias("rel"), F.round(F.col("o_totalprice") * 100).cast("long").alias("size"))
+    return numbered(K.catalog_json(o).withColumns({"root": F.get_json_object("json", "$.root"), "rel": F.get_json_object("json", "$.rel")}), [], ["root", "rel"], "place").select("json", (F.col("place") - 1).alias("place"))
+
+
 @query("SELECT DISTINCT strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders WHERE o_orderstatus IN ('F', 'O')")
 def c_data_days(spark, sf_dir):
     """Days with data of packable files."""
@@ -564,6 +649,57 @@ def g_build_packages(spark, sf_dir):
     return built.entries.where("group = 2").select("package", "entry", "lines", text("from_ts").alias("from_ts"), text("to_ts").alias("to_ts"))
 
 
+def built_packages(spark, sf_dir, **rules):
+    """The packages of the events' catalog with reports, logs and other files."""
+    from tidelog.plans import packages
+
+    e = events(spark, sf_dir)
+    none = lambda t: F.lit(None).cast(t)
+    catalog = event_catalog(e).withColumns({"size": F.col("file_id"), "lines": none("long"), "ts_mode": none("string"), "date_source": none("string"), "read_as": none("string"), "check": none("string")})
+    lines = e.where("user_id % 5 < 2").select((F.col("user_id") * 1000 + F.dayofyear("ts")).cast("long").alias("file_id"), F.lit(0).cast("long").alias("block_start"), F.col("event_id").alias("mid"), F.col("props").alias("raw"), F.date_trunc("second", "ts").cast("timestamp_ntz").alias("ts"))
+    return packages.build_packages(catalog, lines, windows.plan_windows(catalog, "awr", margin_min=10), **rules)
+
+
+CUT = """l AS (SELECT CAST(user_id * 1000 + dayofyear(ts) AS BIGINT) AS file_id, user_id, event_id, props, date_trunc('second', ts) AS t FROM events WHERE user_id % 5 < 2),
+    c AS (SELECT w.package, l.* FROM l JOIN w ON t >= a AND t < z), cp AS (SELECT DISTINCT package FROM c),
+    reports AS (SELECT DISTINCT package, file_id, user_id, day, b FROM (SELECT 'PKG_' || strftime(b, '%Y-%m-%d_%H%M') || '-' || strftime(e, '%H%M') AS package, * FROM g WHERE user_id % 5 = 2 UNION ALL SELECT w.package, g.* FROM w JOIN g ON g.user_id % 5 = 3 AND g.b < w.z AND g.e >= w.a) WHERE package IN (SELECT package FROM cp)),
+    others AS (SELECT w.package, g.* FROM w JOIN g ON g.user_id % 5 = 4 AND g.b < w.z AND g.e >= w.a WHERE w.package IN (SELECT package FROM cp))"""
+
+
+@query(f"""
+    WITH {GROUPED}, {CUT}, f AS (SELECT package, file_id FROM reports UNION ALL SELECT DISTINCT package, file_id FROM c UNION ALL SELECT package, file_id FROM others)
+    SELECT package, count(*) AS files, any_value(line_bytes) AS line_bytes FROM f JOIN (SELECT package, CAST(sum(strlen(props) + 1) AS BIGINT) AS line_bytes FROM c GROUP BY 1) USING (package) GROUP BY package
+""")
+def g_package_summary(spark, sf_dir):
+    """K4: files and bytes of each package."""
+    from tidelog.plans import packages
+
+    return packages.package_summary(built_packages(spark, sf_dir))
+
+
+@query(f"""
+    WITH {GROUPED}, {CUT}, e AS (SELECT package, 1 AS grp, strftime(b, '%Y-%m-%d %H:%M:%S') || user_id || '/' || day AS k, 'awr/' || user_id || '/' || day AS entry FROM reports
+        UNION ALL SELECT DISTINCT package, 2, user_id || '/' || CAST(t AS DATE), 'access/' || user_id || '/' || CAST(t AS DATE) FROM c
+        UNION ALL SELECT package, 3, user_id || '/' || day, 'sonstige/' || user_id || '/' || day FROM others WHERE file_id <= 60000),
+    s AS (SELECT package, string_agg('inbox/' || user_id || '/' || day, ' ' ORDER BY 'inbox/' || user_id || '/' || day) AS left_out FROM others WHERE file_id > 60000 GROUP BY 1)
+    SELECT package, string_agg(entry, ' ' ORDER BY grp, k) AS entries, any_value(left_out) AS left_out FROM e LEFT JOIN s USING (package) GROUP BY package
+""")
+def g_manifest(spark, sf_dir):
+    """The entries of each manifest in order, and files left out for their size."""
+    from tidelog.plans import packages
+
+    m = packages.manifest(built_packages(spark, sf_dir, other_max_bytes=60_000))
+    read = F.from_json("manifest", "entries array<struct<entry:string>>, left_out array<string>")
+    return m.select("package", read.alias("m")).select("package", F.array_join(F.transform("m.entries", lambda e: e["entry"]), " ").alias("entries"), F.array_join("m.left_out", " ").alias("left_out"))
+
+
+@query(f"WITH {GROUPED} SELECT package, row_number() OVER (ORDER BY a, package) AS place FROM w")
+def g_ordered_windows(spark, sf_dir):
+    """O2: windows by start and name."""
+    plan = windows.plan_windows(event_catalog(events(spark, sf_dir)), "awr", margin_min=10)
+    return numbered(windows.ordered_windows(plan.windows).select("package", "start_ts"), [], ["start_ts", "package"], "place").select("package", "place")
+
+
 @query("SELECT doc_id, lang || CASE WHEN source <> 'src0' THEN '/' || source ELSE '' END || '/' || doc_id || '.log' AS entry FROM documents")
 def g_entry_names(spark, sf_dir):
     """P10: names of entries; compression suffixes of logs go."""

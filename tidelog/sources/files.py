@@ -6,13 +6,23 @@ import bz2
 import gzip
 import io
 import lzma
+import re
+import zlib
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LINE_SCHEMA = "path string, block_start long, mid long, raw string"
+from tidelog.functions.content import compression
+
+#: Contents of up to this many bytes are read whole, as one row; a larger file is read as lines, by all its splits.
+INLINE_BYTES = 256 * 1024 * 1024
+#: Bytes of decompressed content that are split into lines at once.
+CHUNK_BYTES = 8 * 1024 * 1024
+#: Lines of a large file's first split that stand for its head.
+HEAD_LINES = 4096
 
 
 def root_labels(dirs: Iterable[str], inbox: str | None = None) -> dict[str, str]:
@@ -26,34 +36,67 @@ def root_labels(dirs: Iterable[str], inbox: str | None = None) -> dict[str, str]
     return out
 
 
-def list_files(spark: SparkSession, roots: dict[str, str], content: bool = False) -> DataFrame:
-    """root, rel, path, size, mtime (and content) of all files below the roots; paths with a part that starts with `.` go.
+def list_files(spark: SparkSession, roots: dict[str, str]) -> DataFrame:
+    """root, rel, path, size, mtime of all files below the roots; paths with a part that starts with `.` go.
 
-    Contents are read only if asked for. Spark's listing passes over names that start with `_`; name such files themselves.
+    Contents aren't read. Spark's listing passes over names that start with `_`; name such files themselves.
     """
     out = None
     for label, root in roots.items():
         base = root.rstrip("/")
         files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
         plain = F.regexp_replace("path", "^file:/+", "/")
-        at = F.call_function("locate", F.lit(base.removeprefix("file://") + "/"), plain)
-        rel = F.expr("substring(p, at + length(b), length(p))")
-        rows = files.select(F.lit(label).alias("root"), "path", plain.alias("p"), at.alias("at"), F.lit(base.removeprefix("file://") + "/").alias("b"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), *(["content"] if content else []))
-        rows = rows.withColumn("rel", rel).drop("p", "at", "b").where(~F.col("rel").rlike(r"(^|/)\."))
+        inner = re.sub("^file:/+", "/", base) + "/"
+        rel = F.substring(plain, F.call_function("locate", F.lit(inner), plain) + F.length(F.lit(inner)), F.length(plain))
+        rows = files.select(F.lit(label).alias("root"), "path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), rel.alias("rel")).where(~F.col("rel").rlike(r"(^|/)\."))
         out = rows if out is None else out.unionByName(rows)
-    return out if out is not None else spark.createDataFrame([], "root string, path string, size long, mtime timestamp, rel string" + ", content binary" * content)
+    return out if out is not None else spark.createDataFrame([], "root string, path string, size long, mtime timestamp, rel string")
+
+
+def _literal(path: str) -> str:
+    """A path that Spark doesn't take for a pattern."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
+
+
+def names(files: DataFrame) -> list[str]:
+    """Paths of files that are about to be read: names only, which Spark's own file index holds on the driver too."""
+    return [r.path for r in files.select("path").distinct().toLocalIterator()]
+
+
+def with_content(spark: SparkSession, files: DataFrame, inline_bytes: int = INLINE_BYTES) -> DataFrame:
+    """`files` (path, size) with `content`, NULL for files of more than `inline_bytes`. Only the files named are read."""
+    paths = names(files.where(F.col("size") <= inline_bytes))
+    if not paths:
+        return files.withColumn("content", F.lit(None).cast("binary"))
+    read = spark.read.format("binaryFile").load([_literal(p) for p in paths]).select("path", "content")
+    return files.join(read, "path", "left")
 
 
 def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """All lines of plain, .gz and .bz2 files: path, block_start, mid, raw (bytes as they are, split on \\n only).
 
     (path, block_start, mid) is the order of a file, however it was split; `mid` must not be computed again after a shuffle, so
-    write the rows before several actions use them.
+    write the rows before several actions use them. Paths are written as in `list_files`.
     """
     text = spark.read.option("lineSep", "\n").text(paths)
-    return text.select(
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block_start"), F.monotonically_increasing_id().alias("mid"), F.col("value").alias("raw")
-    )
+    given = F.regexp_replace(F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B")), "^file:/+", "file:/")
+    return text.select(given.alias("path"), F.col("_metadata.file_block_start").alias("block_start"), F.monotonically_increasing_id().alias("mid"), F.col("value").alias("raw"))
+
+
+def read_named(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """`read_lines` of files (path) that are rows of a table."""
+    paths = names(files)
+    return read_lines(spark, [_literal(p) for p in paths]) if paths else spark.createDataFrame([], "path string, block_start long, mid long, raw string")
+
+
+def line_heads(lines: DataFrame, size: int) -> DataFrame:
+    """(path, head): the first bytes of files, from the first HEAD_LINES lines of their first split."""
+    first = lines.where("block_start = 0")
+    begin = first.groupBy("path").agg(F.min("mid").alias("begin"))
+    near = first.join(begin, "path").where(F.col("mid") - F.col("begin") < HEAD_LINES).select("path", "mid", F.substring(F.col("raw").cast("binary"), 1, size).alias("raw"))
+    listed = F.array_sort(F.collect_list(F.struct("mid", "raw")))
+    joined = F.aggregate(listed, F.lit(b"").cast("binary"), lambda s, x: F.when(F.octet_length(s) < size, F.concat(s, x["raw"], F.lit(b"\n"))).otherwise(s))
+    return near.groupBy("path").agg(F.substring(joined, 1, size).alias("head"))
 
 
 def opened(content: bytes) -> io.BufferedIOBase:
@@ -69,45 +112,65 @@ def opened(content: bytes) -> io.BufferedIOBase:
 
 
 def read_packed_lines(files: DataFrame) -> DataFrame:
-    """As `read_lines`, of files (path, content) whose compression shows only in their bytes, xz included. One task a file.
+    """As `read_lines`, of files (path, content) whose compression shows only in their bytes, xz included; and `error`.
 
-    Bytes that form no UTF-8 become U+FFFD. An unreadable file has no rows.
+    One task a file. Bytes are kept. A file that can't be read to its end has a row with an error and no line behind those
+    that could be read.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                rows, at = [], 0
+            for path, content in zip(batch.column(0), batch.column(1), strict=True):
+                path, at, rest, error = path.as_py(), 0, b"", None
                 try:
-                    for line in opened(content):
-                        rows.append(line.rstrip(b"\n").decode("utf-8", "replace"))
-                        if len(rows) == 50_000:
-                            yield pd.DataFrame({"path": path, "block_start": 0, "mid": range(at, at + len(rows)), "raw": rows})
-                            at, rows = at + len(rows), []
-                except (OSError, EOFError, lzma.LZMAError):
-                    rows = rows if at or rows else []
-                if rows:
-                    yield pd.DataFrame({"path": path, "block_start": 0, "mid": range(at, at + len(rows)), "raw": rows})
-
-    return files.select("path", "content").mapInPandas(run, LINE_SCHEMA)
-
-
-def read_head(files: DataFrame, size: int) -> DataFrame:
-    """`files` (with content) and `head`: the first bytes of the decompressed content; empty if unreadable."""
+                    stream = opened(content.as_py() or b"")
+                    while chunk := stream.read(CHUNK_BYTES):
+                        *lines, rest = (rest + chunk).split(b"\n")
+                        if lines:
+                            yield rows(path, at, lines, None)
+                        at += len(lines)
+                except (OSError, EOFError, lzma.LZMAError, zlib.error) as e:
+                    error, rest = f"{type(e).__name__}: {e}", b""
+                if rest or error:
+                    yield rows(path, at, [rest or None], error)
+
+    def rows(path: str, at: int, lines: list, error: str | None) -> pa.RecordBatch:
+        n = len(lines)
+        columns = [pa.array([path] * n), pa.array([0] * n), pa.array(range(at, at + n)), pa.array(lines, pa.binary()), pa.array([error] * n, pa.string())]
+        return pa.RecordBatch.from_arrays(columns, ["path", "block_start", "mid", "raw", "error"])
+
+    read = files.select("path", "content").mapInArrow(run, "path string, block_start long, mid long, raw binary, error string")
+    return read.withColumn("raw", F.col("raw").cast("string"))
+
+
+def file_lines(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """path, block_start, mid, raw, error of files (path, content, inside): plain ones by `read_lines`, however large;
+    compressed ones, whatever they are called, and members of archives (`inside`) by their content."""
+    packed = F.col("inside") | compression(F.col("content")).isNotNull()
+    by_name = read_named(spark, files.where(~F.coalesce(packed, F.lit(False))))
+    return by_name.withColumn("error", F.lit(None).cast("string")).unionByName(read_packed_lines(files.where(packed)))
+
+
+def read_head(spark: SparkSession, files: DataFrame, size: int) -> DataFrame:
+    """`files` (path, content) and `head`: the first bytes of the decompressed content; empty if unreadable.
+
+    Plain contents stay in the JVM; the heads of files without content come from their first lines.
+    """
 
     @F.pandas_udf("binary")
     def unpacked(contents: pd.Series) -> pd.Series:
-        def one(content: bytes | None) -> bytes:
+        def one(content: bytes) -> bytes:
             try:
-                return opened(content or b"").read(size)
-            except (OSError, EOFError, lzma.LZMAError):
+                return opened(content).read(size)
+            except (OSError, EOFError, lzma.LZMAError, zlib.error):
                 return b""
 
         return contents.map(one)
 
-    packed = F.hex(F.substring("content", 1, 6)).rlike("^(1F8B|425A68|FD377A585A00)")
-    # plain contents stay in the JVM
-    return files.where(~packed).withColumn("head", F.substring("content", 1, size)).unionByName(files.where(packed).withColumn("head", unpacked("content")))
+    packed, large = compression(F.col("content")).isNotNull(), F.col("content").isNull()
+    here = files.where(~large & ~packed).withColumn("head", F.substring("content", 1, size)).unionByName(files.where(packed).withColumn("head", unpacked("content")))
+    by_name = line_heads(read_named(spark, files.where(large)), size)
+    return here.unionByName(files.where(large).join(by_name, "path", "left").withColumn("head", F.coalesce("head", F.lit(b"").cast("binary"))))
 
 
 def with_final_newline(lines: DataFrame, sizes: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidelog.operators.lines import stamped
+from tidelog.plans.jobs import Collection, refreshed
 
 
 def line_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -37,3 +38,21 @@ def incremental_ingest(lines: DataFrame, store: str, checkpoint: str, refresh: C
             refresh(spark.read.parquet(store), days)
 
     return lines.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def keep_current(spark: SparkSession, of: Collection, checkpoint: str) -> StreamingQuery:
+    """Whenever files arrive below a root, scan the collection and rebuild the packages that they touch, however late they come.
+
+    The stream only tells that something came; what changed or went since is the scan's own comparison, so packages that
+    no rule gives any more go too.
+    """
+    arrived = None
+    for root in of.roots.values():
+        names = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).load(root).select("path")
+        arrived = names if arrived is None else arrived.union(names)
+
+    def each(batch: DataFrame, number: int) -> None:
+        if not batch.isEmpty():
+            refreshed(batch.sparkSession, of)
+
+    return arrived.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
