@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelog.llm.vec import U64, mixed, pieces
+from tidelog.tables import written
 
 #: An ASCII letter in lower case, a byte of any other letter, or a blank for all else.
 _fold = np.full(256, 32, np.uint8)
@@ -19,6 +20,8 @@ _fold[128:] = np.arange(128, 256)
 _fold[97:123] = _fold[65:91] = np.arange(97, 123)
 FOLD = _fold
 GRAM = 4
+#: Parts in which a language's n-grams are ranked before the best of each are ranked together.
+PARTS = 64
 
 
 @dataclass
@@ -112,11 +115,15 @@ def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", top:
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(codes), pa.string()), pa.array(codes), pa.array(count)], ["lang", "gram", "n"])
 
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
-    sums = rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    share = F.col("n") / F.sum("n").over(Window.partitionBy("lang"))
-    sums = sums.withColumn("share", share).withColumn("most", F.max("share").over(Window.partitionBy("gram")))
-    sums = sums.where((F.col("gram") < 0) | (F.col("share") >= own * F.col("most")))
-    ranked = sums.withColumn("rank", F.row_number().over(Window.partitionBy("lang", F.col("gram") < 0).orderBy(F.desc("n"), "gram"))).where(f"rank <= {top}")
+    sums = written(rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    # totals by grouping, ranks in parts by hash first: no language lies in one task
+    total = sums.groupBy("lang").agg(F.sum("n").alias("total"))
+    shares = written(sums.join(total, "lang").withColumn("share", F.col("n") / F.col("total")).drop("total"))
+    most = shares.groupBy("gram").agg(F.max("share").alias("most"))
+    kept = shares.join(most, "gram").where((F.col("gram") < 0) | (F.col("share") >= own * F.col("most"))).withColumn("part", F.when(F.col("gram") < 0, -1).otherwise(F.pmod(F.xxhash64("gram"), F.lit(PARTS))))
+    order = F.desc("n"), F.col("gram")
+    some = kept.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(f"rank <= {top}")
+    ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang", F.col("gram") < 0).orderBy(*order))).where(f"rank <= {top}")
     found: dict[str, list[int]] = {}
     texts: dict[str, int] = {}
     for r in ranked.select("lang", "gram", "n").collect():
@@ -150,11 +157,10 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", out_cols: tup
     """`docs` with the predicted language and its score, 0 to 1: the share of the text's n-grams that the language holds.
 
     A text that is null or has no letter is `und`, score 0, as is every text if nothing was learned. A text with letters but
-    no n-gram of any language is given the language with the most training documents, score 0. No shuffle.
+    no n-gram of any language is given the language with the most training documents, score 0. Columns of the result's names
+    are replaced, all others carried along. No shuffle.
     """
-    for c in out_cols:
-        if c in docs.columns:
-            raise ValueError(f"column {c} exists")
+    docs = docs.drop(*out_cols)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: slots times words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
