@@ -131,11 +131,9 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", out_col: str = "secret
     First the fixed patterns, leftmost and not overlapping within a kind. Then candidates of each entropy class outside
     all spans so far: a candidate is reported whole when some window reaches the class's entropy and no allow-list
     pattern matches all of it. A null or empty text has no spans. Rows are handled one by one, without a shuffle;
-    built-in functions only.
+    built-in functions only. A column named `out_col` is replaced, all others are carried along whatever their names.
     """
-    if out_col in docs.columns:
-        raise ValueError(f"column {out_col} exists")
-    work = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("t"))
+    work = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != out_col]).alias("row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("t"))
 
     def tagged(name: str, rank: int, kind: str) -> Column:
         return F.transform(F.col(name), lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind")))

@@ -195,9 +195,9 @@ def encode(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 0, id_
 
 
 def decode(encoded: DataFrame, model: str, ids_col: str = "ids", out_col: str = "text") -> DataFrame:
-    """`encoded` with the text of its ids; null ids are an empty text. Bytes that form no UTF-8 become U+FFFD."""
-    if out_col in encoded.columns:
-        raise ValueError(f"column {out_col} exists")
+    """`encoded` with the text of its ids; null ids are an empty text. Bytes that form no UTF-8 become U+FFFD. A column
+    named `out_col` is replaced."""
+    encoded = encoded.drop(out_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = piece_bpe(model, 0.0, 0)
