@@ -233,9 +233,9 @@ def list_pairs(token: np.ndarray, n: np.ndarray, span: np.ndarray, pos: np.ndarr
 def candidates(entries: DataFrame, link: Threshold, within: bool) -> DataFrame:
     """Distinct pairs (a, b) that share an indexed element and pass the size and position filters.
 
-    `entries`: token, id, n, span (NULL: n), pos, kind (NULL: id). Across groups (`within` false) span is the set's size, kind its group, and
-    only pairs of different groups are wanted. Within a group span is the size of the difference to the hub, and pairs are
-    wanted unless both have kind 0, linked to the hub.
+    `entries`: token, id, n, span (NULL: n), pos, kind (NULL: id). Only pairs of different kinds are wanted. Across groups (`within`
+    false) span is the set's size and kind its group. Within a group span is the size of the difference to the hub, and sets
+    that link with one and the same set are of one kind, as that joins them already.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,19 +255,17 @@ def candidates(entries: DataFrame, link: Threshold, within: bool) -> DataFrame:
                 if within:
                     apart = link.apart(n[i], n[j])
                     share = np.maximum(1, -((apart - span[i] - span[j]) // 2))
-                    ok = (kind[i] != 0) | (kind[j] != 0) | place_only
-                    ok &= np.minimum(n[i], n[j]) >= link.least(np.maximum(n[i], n[j]))
+                    ok = np.minimum(n[i], n[j]) >= link.least(np.maximum(n[i], n[j]))
                 else:
                     share = link.need(n[i], n[j])
-                    ok = (kind[i] != kind[j]) | place_only
+                    ok = np.ones(len(i), bool)
+                ok &= (kind[i] != kind[j]) | place_only
                 return ok & (1 + np.minimum(span[i] - pos[i] - 1, span[j] - pos[j] - 1) >= share)
 
             def reach(j):
                 return span[j] - link.apart(n[j], link.most(n[j])) if within else link.least(span[j])
 
-            # a group of their own for those linked to the hub, one each for all others, whatever their ids
-            walk_kind = np.where(kind == 0, -1, np.unique(ids, return_inverse=True)[1]) if within else kind
-            i, j = list_pairs(token, n, span, pos, walk_kind, fresh, reach, fits)
+            i, j = list_pairs(token, n, span, pos, kind, fresh, reach, fits)
             pairs = np.unique(np.stack((np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]))), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
             last = np.flatnonzero(token == token[-1])
@@ -304,7 +302,8 @@ def near_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
 
     1. equal sets become one class;
     2. sets that share minimum hashes are compared with a hub (`leaders`);
-    3. two sets of a hub link by what they share of their differences to it, unless both link with the hub already: for
+    3. those of a hub that don't link with it elect hubs among themselves, and are compared with these;
+       two sets of a hub link by what they share of their differences to it, unless both link with one hub already: for
        sets u, v and hub h the symmetric difference of u and v is that of (u xor h) and (v xor h). If they share nothing
        there, u and v are no more alike than u and h. So an index of the differences' leading elements finds the rest;
     4. sets of different hubs are found by an index of their leading elements, rarest first;
@@ -335,7 +334,11 @@ def linked(docs: DataFrame, sketches: DataFrame, size: int, link: Threshold) ->
     star = written(compared(docs, hubs.where("id <> hub"), size, link, ranks, True))
     near = F.col("inter") * den >= (F.col("n") + F.col("n_hub") - F.col("inter")) * num
     open_hubs = written(star.where(~near).select("hub").distinct())
-    inner = star.join(open_hubs, "hub", "left_semi").select("id", "n", F.col("t_size").alias("span"), F.when(near, 0).otherwise(1).alias("kind"), F.posexplode("t").alias("pos", "token"))
+    second = leaders(reps.join(star.where(~near).select("id"), "id", "left_semi"))
+    inside = second.where("id <> hub").join(star.where(~near).select("id", F.col("hub").alias("first_hub")), "id").join(star.where(~near).select(F.col("id").alias("hub"), F.col("hub").alias("first_hub")), ["hub", "first_hub"])
+    nearer = written(compared(docs, inside.select("hub", "id"), size, link, ranks, False).where(near).select("hub", "id"))
+    kinds = star.join(nearer.withColumnRenamed("hub", "second_hub"), "id", "left").withColumn("kind", F.when(near, F.col("hub")).otherwise(F.coalesce("second_hub", "id")))
+    inner = kinds.join(open_hubs, "hub", "left_semi").select("id", "n", F.col("t_size").alias("span"), "kind", F.posexplode("t").alias("pos", "token"))
     groups = written(reps.select("id").join(hubs, "id", "left").select("id", F.nullif("hub", "id").alias("kind")))
     # by shuffle at every size: broadcasting the smaller side would end where it outgrows the threshold
     lead = prefixes(in_ids(docs, groups), size, link, ranks).join(groups.hint("merge"), "id")
@@ -343,7 +346,7 @@ def linked(docs: DataFrame, sketches: DataFrame, size: int, link: Threshold) ->
     found = written(candidates(inner, link, True).unionByName(candidates(outer, link, False)).distinct())
     checked = compared(docs, found.select(F.col("a").alias("hub"), F.col("b").alias("id")), size, link, ranks, False)
     links = star.where(near).select(F.col("hub").alias("a"), F.col("id").alias("b")).unionByName(checked.where(near).select(F.col("hub").alias("a"), F.col("id").alias("b")))
-    found_components = components(links)
+    found_components = components(links.unionByName(nearer.select(F.col("hub").alias("a"), F.col("id").alias("b"))))
     classes = reps.select("s1", "s2", "n", F.col("id").alias("rep")).join(found_components.withColumnRenamed("id", "rep"), "rep", "left")
     classes = written(classes.select("s1", "s2", "n", F.coalesce("component_id", "rep").alias("component_id")))
     out = sets.join(classes, ["s1", "s2", "n"], "left")
