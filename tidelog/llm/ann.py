@@ -15,6 +15,8 @@ from tidelog.tables import written
 
 #: Vectors of one list, and queries of it, that one task compares.
 LIST_ROWS, QUERY_ROWS = 2048, 8192
+#: Queries of the sample that are compared with all of it at once, on the driver.
+ASKED_ROWS = 100
 #: Nearest lists of a query whose vectors in the sample give its bound.
 BOUND_LISTS = 4
 
@@ -57,12 +59,15 @@ def fit(ids: np.ndarray, sample: np.ndarray, lists: int, rounds: int = 8, seed:
 
 def probes_for(index: Index, k: int, recall: float, asked: int = 1000) -> int:
     """Lists to probe so that `recall` of the sample's own nearest neighbours are met; the whole table's are nearer still."""
-    queries = index.sample[:asked]
-    scores = queries @ index.sample.T
-    scores[np.arange(len(queries)), np.arange(len(queries))] = -np.inf
-    best = np.argsort(-scores, axis=1, kind="stable")[:, : min(k, len(index.sample) - 1)]
-    place = np.argsort(ranked_lists(queries, index.centres), axis=1)
-    needed = np.sort(np.take_along_axis(place, index.own[best], axis=1).ravel())
+    needed = []
+    for first in range(0, min(asked, len(index.sample)), ASKED_ROWS):
+        queries = index.sample[first : first + min(ASKED_ROWS, asked - first)]
+        scores = queries @ index.sample.T
+        scores[np.arange(len(queries)), first + np.arange(len(queries))] = -np.inf
+        best = np.argsort(-scores, axis=1, kind="stable")[:, : min(k, len(index.sample) - 1)]
+        place = np.argsort(ranked_lists(queries, index.centres), axis=1)
+        needed.append(np.take_along_axis(place, index.own[best], axis=1).ravel())
+    needed = np.sort(np.concatenate(needed))
     return int(needed[min(len(needed) - 1, int(recall * len(needed)))]) + 1 if len(needed) else 1
 
 
