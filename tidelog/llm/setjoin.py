@@ -344,9 +344,11 @@ def linked(docs: DataFrame, sketches: DataFrame, size: int, link: Threshold) ->
     lead = prefixes(in_ids(docs, groups), size, link, ranks).join(groups.hint("merge"), "id")
     outer = lead.select("id", "n", F.lit(None).cast("int").alias("span"), "kind", F.posexplode("prefix").alias("pos", "token"))
     found = written(candidates(inner, link, True).unionByName(candidates(outer, link, False)).distinct())
+    stars = written(star.where(near).select(F.col("hub").alias("a"), F.col("id").alias("b")).unionByName(nearer.select(F.col("hub").alias("a"), F.col("id").alias("b"))))
+    dropped(star, nearer, open_hubs, groups)  # before texts travel again
     checked = compared(docs, found.select(F.col("a").alias("hub"), F.col("b").alias("id")), size, link, ranks, False)
-    links = star.where(near).select(F.col("hub").alias("a"), F.col("id").alias("b")).unionByName(checked.where(near).select(F.col("hub").alias("a"), F.col("id").alias("b")))
-    found_components = components(links.unionByName(nearer.select(F.col("hub").alias("a"), F.col("id").alias("b"))))
+    links = stars.unionByName(checked.where(near).select(F.col("hub").alias("a"), F.col("id").alias("b")))
+    found_components = components(links)
     classes = reps.select("s1", "s2", "n", F.col("id").alias("rep")).join(found_components.withColumnRenamed("id", "rep"), "rep", "left")
     classes = written(classes.select("s1", "s2", "n", F.coalesce("component_id", "rep").alias("component_id")))
     out = sets.join(classes, ["s1", "s2", "n"], "left")
