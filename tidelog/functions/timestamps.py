@@ -48,8 +48,8 @@ LAYOUTS = (
 )
 #: Dates without a clock.
 DATE_LAYOUTS = (
-    Layout("iso_date", r"(?<![0-9])(20[0-9]{2})-(0[1-9]|1[0-2])-(0[1-9]|[12][0-9]|3[01])(?!(?:[T:.]|" + WS + r")?[0-9])", "$1|$2|$3||||", False),
-    Layout("german_date", r"(?<![0-9])(0[1-9]|[12][0-9]|3[01])\.(0[1-9]|1[0-2])\.(20[0-9]{2})(?!(?:,|" + WS + r")*[0-9]{1,2}[:.][0-9])", "$3|$2|$1||||", False),
+    Layout("iso_date", r"(?<![0-9])(20[0-9]{2})-(0[1-9]|1[0-2])-(0[1-9]|[12][0-9]|3[01])(?!(?:[T:.]|" + WS + r")?[0-9])", "$1|$2|$3||||", False, "-"),
+    Layout("german_date", r"(?<![0-9])(0[1-9]|[12][0-9]|3[01])\.(0[1-9]|1[0-2])\.(20[0-9]{2})(?!(?:,|" + WS + r")*[0-9]{1,2}[:.][0-9])", "$3|$2|$1||||", False, "."),
 )
 _NAME_TIME = r"(?:[T_\-. ]?([01][0-9]|2[0-3])[:.\-h]?([0-5][0-9])(?:[:.\-]?([0-5][0-9]))?)?"
 #: Dates and times in file names.
