@@ -39,7 +39,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = written(langid.predict(docs, langid.learn(docs), out_cols=(lang, score)))
     labelled = found.where(F.col("lang").isNotNull() & (F.col("lang").cast("string") == F.col(lang)))
     gates = labelled.groupBy(lang).agg(F.percentile_approx(score, 0.5, 10_000).alias(usual))  # a row a language
-    return found.join(gates, lang, "left").where((F.col(lang) != "und") & (F.col(score) >= F.coalesce(F.col(usual), F.lit(0.0)) * LEAST_SHARE)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # a row a language, as many as the model holds: texts stay where they are
+    return found.join(F.broadcast(gates), lang, "left").where((F.col(lang) != "und") & (F.col(score) >= F.coalesce(F.col(usual), F.lit(0.0)) * LEAST_SHARE)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
