@@ -62,4 +62,28 @@ EXACT_DEDUP = f"""
     SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d.t) AS text_sha256 FROM d JOIN g USING (t)
 """
 
-ORACLE_SQL = {"op1_ngram_jaccard": SET_JOIN, "op2_secret_scans": secret_scans(), "op7_exact_dedup": EXACT_DEDUP}
+TOP_K = """
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+    SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+PHRASES = f"""
+    WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents),
+    p AS (SELECT id, lang, generate_subscripts(ps, 1) AS piece, list_filter(regexp_split_to_array(unnest(ps), '[\\x20\\x09]+'), lambda x: x <> '') AS w
+        FROM (SELECT id, lang, regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]') AS ps FROM d)),
+    n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY 1),
+    g AS (SELECT lang, w[i:i + m - 1] AS ws FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM p, range(1, 6) r(m) WHERE len(w) >= m)),
+    f AS (SELECT lang, ws, len(ws) AS m, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+    c AS (SELECT a.lang, a.ws, a.f AS a, x.f AS l, y.f AS r, n.n, k, CAST(1000::HUGEINT * a.f * n.n // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+        FROM (SELECT *, unnest(range(1, f.m)) AS k FROM f WHERE f.m > 1) a JOIN f x ON x.lang = a.lang AND x.ws = a.ws[1:k] JOIN f y ON y.lang = a.lang AND y.ws = a.ws[k + 1:a.m] JOIN n ON n.lang = a.lang),
+    b AS (SELECT *, row_number() OVER (PARTITION BY lang, ws ORDER BY score, k) AS place FROM c),
+    o AS (SELECT lang, ws[i:i + s - 1] AS ws, max(f) AS f FROM (SELECT lang, ws, f, s, unnest(range(1, m - s + 2)) AS i FROM f, range(2, 5) q(s) WHERE m > s) GROUP BY 1, 2),
+    k AS (SELECT b.lang, array_to_string(b.ws, ' ') AS phrase, a, l, r, n, score FROM b LEFT JOIN o ON o.lang = b.lang AND o.ws = b.ws WHERE place = 1 AND (o.f IS NULL OR 100 * o.f < 100 * a)),
+    z AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM k)
+    SELECT lang, rank, phrase, a, l, r, n, score FROM z WHERE rank <= 2000
+"""
+
+ORACLE_SQL = {"op1_ngram_jaccard": SET_JOIN, "op2_secret_scans": secret_scans(), "op7_exact_dedup": EXACT_DEDUP, "op11_exact_top_k": TOP_K, "op12_phrases": PHRASES}

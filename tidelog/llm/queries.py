@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import ann, chunks, exact, langid, lm, packing, secrets, sentencepieces, setjoin, token_counts
+from tidelog.llm import ann, chunks, exact, langid, lm, packing, phrases, secrets, sentencepieces, setjoin, token_counts, topk, whiten
 from tidelog.llm.oracle import ORACLE_SQL  # noqa: F401
 
 #: Vocabulary files; set before calling the queries to use others.
@@ -76,4 +76,18 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode(table(spark, sf_dir, "documents"), vocabulary("piece"), dropout=0.1, seed=17, with_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_secret_scans, op3_language_id, op4_packing, op5_lm_scoring, op6_nearest_neighbours, op7_exact_dedup, op8_substring_dedup, op9_token_counts, op10_sentencepiece)}
+def op11_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.exact_top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5, scale=256).drop("query_copy")
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whiten.whitened(table(spark, sf_dir, "embeddings"), components=4, scale=256)
+    return found.withColumn("deviation", F.expr("try_cast(deviation as long)"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_secret_scans, op3_language_id, op4_packing, op5_lm_scoring, op6_nearest_neighbours, op7_exact_dedup, op8_substring_dedup, op9_token_counts, op10_sentencepiece, op11_exact_top_k, op12_phrases, op13_whitening)}
