@@ -22,7 +22,7 @@ from tidelog.tables import dropped, written
 #: Text bytes whose phrases are counted at once.
 BUFFER_BYTES = 1 << 23
 #: Bits of the filter of phrases that are frequent: one of so many a phrase, within bounds. A full filter costs time only.
-BITS_A_PHRASE, FILTER_BITS = 16, (1 << 16, 1 << 28)
+BITS_A_PHRASE, FILTER_BITS = 128, (1 << 22, 1 << 28)
 #: Parts of a language's phrases that are cut to the first ones before they meet.
 SALTS = 64
 
