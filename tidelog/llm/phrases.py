@@ -16,13 +16,12 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelog.llm.bloom import filter_of
 from tidelog.llm.vec import LOWER, ODD, U64, mixed, pieces, span_hashes, unique_hashes, words
 from tidelog.tables import dropped, written
 
 #: Text bytes whose phrases are counted at once.
 BUFFER_BYTES = 1 << 23
-#: Bits of the filter of phrases that are frequent: one of so many a phrase, within bounds. A full filter costs time only.
-BITS_A_PHRASE, FILTER_BITS = 128, (1 << 22, 1 << 28)
 #: Parts of a language's phrases that are cut to the first ones before they meet.
 SALTS = 64
 
@@ -57,31 +56,15 @@ def phrase_hashes(keys: list[np.ndarray], lang: np.ndarray) -> np.ndarray:
     return out
 
 
-class Filter:
-    """Bits of the phrases that may be frequent."""
-
-    def __init__(self, bits: np.ndarray, size: int):
-        self.bits, self.shift = bits, U64(64 - size)
-
-    def holds(self, hashes: np.ndarray) -> np.ndarray:
-        at = hashes >> self.shift
-        return (self.bits[(at >> U64(6)).astype(np.int64)] >> (at & U64(63))) & U64(1) > 0
-
-
-def filter_of(phrases: DataFrame, n_words: int) -> Broadcast:
-    """The filter of a table of phrases, built by grouping; its size has a bound whatever the table's."""
-    size = min(FILTER_BITS[1], max(FILTER_BITS[0], BITS_A_PHRASE * phrases.count())).bit_length() - 1
+def frequent_hashes(phrases: DataFrame, n_words: int) -> DataFrame:
+    """The hashes of a table of phrases, as tasks compute them from texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = [batch.column(f"k{k}").to_numpy().view(np.uint64) for k in range(n_words)]
-            at = phrase_hashes(keys, lang_keys(batch.column("lang").to_pylist())) >> U64(64 - size)
-            yield pa.RecordBatch.from_arrays([pa.array((at >> U64(6)).astype(np.int64)), pa.array((U64(1) << (at & U64(63))).view(np.int64))], ["at", "bit"])
+            yield pa.RecordBatch.from_arrays([pa.array(phrase_hashes(keys, lang_keys(batch.column("lang").to_pylist())).view(np.int64))], ["hash"])
 
-    marks = phrases.mapInArrow(run, "at long, bit long").groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
-    bits = np.zeros(1 << (size - 6), np.uint64)
-    bits[marks.column("at").to_numpy()] = marks.column("bits").to_numpy().view(np.uint64)
-    return phrases.sparkSession.sparkContext.broadcast(Filter(bits, size))
+    return phrases.mapInArrow(run, "hash long")
 
 
 def distinct_counts(hashes: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -233,7 +216,7 @@ def collocations(docs: DataFrame, least: int = 100, most_words: int = 5, top: in
     for n_words in range(2, most_words + 1):
         if levels[-1].isEmpty():
             break
-        levels.append(written(counted_phrases(texts, n_words, filter_of(levels[-1], n_words - 1), seed).where(f"n >= {least}")))
+        levels.append(written(counted_phrases(texts, n_words, filter_of(frequent_hashes(levels[-1], n_words - 1)), seed).where(f"n >= {least}")))
     phrases = reduce(DataFrame.unionByName, [x.select("lang", F.array(*[f"k{k}" for k in range(n_words)]).alias("words"), F.col("n").alias("f")) for n_words, x in enumerate(levels, 1)])
     ahead = stream(phrases, "words", most_words).where("size(words) > 1").withColumnsRenamed({"f": "a", "parts": "left_parts"})
     back = stream(phrases, "reverse(words)", most_words).where("size(words) > 1").select("lang", "words", F.col("parts").alias("right_parts"), F.col("covered").alias("covered_before"))
