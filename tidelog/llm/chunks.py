@@ -5,170 +5,225 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.tables import written
+from tidelog.llm.bloom import filter_of
 from tidelog.llm.vec import LOWER, U64, mixed, pieces, span_hashes, words
+from tidelog.tables import dropped, written
 
-#: Words that the gear hash looks back on.
-GEAR_WORDS = 4
+#: Words that the gear hash looks back on, and gear values of which the least makes a cut.
+GEAR_WORDS, NEAR = 4, 8
+#: First and last words of a repeated passage in which cuts may differ between the texts that hold it.
+UNSURE_BEFORE, UNSURE_BEHIND = GEAR_WORDS - 1 + NEAR - 1, NEAR - 1
+#: Multipliers of the two rolling hashes of a window.
+ROLLS = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 
 
-def cut_words(hashes: np.ndarray, bounds: np.ndarray, mean_words: int, least_words: int) -> np.ndarray:
-    """First words of the chunks of all texts.
+def sliding(values: np.ndarray, size: int, pick) -> np.ndarray:
+    """`pick` (minimum or maximum) of every `size` neighbouring values, a power of two."""
+    step = 1
+    while step < size:
+        values = pick(values[:-step], values[step:])
+        step *= 2
+    return values
 
-    The gear hash shifts by one bit a word and adds the next word's value; a chunk ends behind a word where it falls under
-    a limit, so cuts depend on the last words only and find each other again behind an insertion. A cut that follows
-    another possible one by fewer than `least_words` is left out.
+
+def cut_words(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Words of all texts with which a chunk begins.
+
+    The gear hash shifts by one bit a word and adds the next word's value, so it depends on the last GEAR_WORDS words. A
+    word is a cut if its gear value is the least of some NEAR neighbouring ones. So cuts lie NEAR words apart at most, and
+    two texts that share a passage have the same cuts in it but for its first UNSURE_BEFORE and last UNSURE_BEHIND words.
     """
-    first = np.zeros(len(hashes), bool)
-    first[bounds[:-1][np.diff(bounds) > 0]] = True
-    ordinal = np.arange(len(hashes)) - np.maximum.accumulate(np.where(first, np.arange(len(hashes)), 0))
+    n = len(hashes)
+    ordinal = np.arange(n) - np.repeat(bounds[:-1], np.diff(bounds))
+    left = np.repeat(bounds[1:], np.diff(bounds)) - np.arange(n)
     gear = hashes.copy()
     for back in range(1, GEAR_WORDS):
-        add = hashes[:-back] << U64(back)
-        gear[back:] += np.where(ordinal[back:] >= back, add, U64(0))
-    ends = mixed(gear) < U64(2**64 // mean_words)
-    starts = first.copy()
-    starts[1:] |= ends[:-1]
-    at = np.flatnonzero(starts)
-    near = np.zeros(len(at), bool)
-    near[1:] = (np.diff(at) < least_words) & ~first[at[1:]]
-    return at[~near]
+        gear[back:] += hashes[:-back] << U64(back)
+    gear = mixed(gear) | U64(1)
+    if n < NEAR:
+        return np.zeros(0, np.int64)
+    least = sliding(gear, NEAR, np.minimum)
+    least[(ordinal < GEAR_WORDS - 1)[: len(least)] | (left < NEAR)[: len(least)]] = 0  # not within one text
+    padded = np.concatenate((np.zeros(NEAR - 1, np.uint64), least, np.zeros(NEAR - 1, np.uint64)))
+    return np.flatnonzero(sliding(padded, NEAR, np.maximum) == gear)
+
+
+def seeds(hashes: np.ndarray, bounds: np.ndarray, most_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word, end and digest of the chunks from each cut on that end within `most_words` words, in the same text.
+
+    A digest of each chunk's words is taken once; a seed's is the sum of its chunks' with their ordinals.
+    """
+    cuts = cut_words(hashes, bounds)
+    if len(cuts) < 2:
+        return cuts[:0], cuts[:0], np.zeros(0, np.uint64)
+    size = np.diff(cuts)
+    ordinal = np.arange(int(size.sum())) - np.repeat(cuts[:-1] - cuts[0], size)
+    sums = np.append(U64(0), np.cumsum(mixed(hashes[cuts[0] : cuts[-1]] + ordinal.astype(np.uint64) * U64(ROLLS[0]))))
+    chunk = mixed(sums[cuts[1:] - cuts[0]] - sums[cuts[:-1] - cuts[0]] + size.astype(np.uint64))
+    text = np.searchsorted(bounds, cuts, "right") - 1
+    last = np.searchsorted(cuts, np.minimum(cuts + most_words, bounds[text + 1] - 1), "right") - 1
+    at = np.flatnonzero(last > np.arange(len(cuts)))
+    digest = np.zeros(len(at), np.uint64)
+    for k in range(int((last[at] - at).max(initial=0))):
+        more = at + k < last[at]
+        digest[more] += mixed(chunk[at[more] + k] + U64((ROLLS[1] * (k + 1)) & (2**64 - 1)))
+    return cuts[at], cuts[last[at]], mixed(digest)
+
+
+def seed_words(least_passage: int) -> int:
+    """Most words of a seed, so that a passage of `least_passage` words holds one whose cuts are sure: the first of them lies NEAR - 1 words on at most."""
+    return least_passage - UNSURE_BEFORE - (NEAR - 1) - UNSURE_BEHIND - 1
+
+
+def hashed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, starts and ends of all words, A-Z lower-cased, and each text's range in them."""
+    low = LOWER[data]
+    starts, ends, bounds = words(low, offsets)
+    return span_hashes(low, starts, ends), starts, ends, bounds
+
+
+def window_hashes(hashes: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of the `size` words from each place on."""
+    out = []
+    for k, base in enumerate(ROLLS):
+        inverse = pow(base, -1, 1 << 64)
+        n = np.full(len(hashes), base, np.uint64)
+        n[:1] = 1
+        sums = np.append(U64(0), np.cumsum(mixed(hashes + U64(k)) * np.cumprod(n)))
+        back = np.full(len(hashes), inverse, np.uint64)
+        back[:1] = 1
+        out.append(mixed((sums[at + size] - sums[at]) * np.cumprod(back)[at]))
+    return out[0], out[1]
 
 
 def content_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, h (a hash of the text, which tells rows of one id apart) and text of the rows that have a text."""
-    return docs.select(F.col(id_col).alias("id"), F.hash(F.col(text_col)).alias("h"), F.col(text_col).alias("text")).where("text is not null")
+    """id, h, doc, text of the rows that have a text: `h` tells texts of one id apart, `doc` tells documents apart.
+
+    A row without an id is a document of its own, one with another such row only if their texts are equal.
+    """
+    own = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("h"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
+    return own.select("id", "h", F.when(F.col("id").isNull(), F.col("h")).otherwise(F.xxhash64("id")).alias("doc"), "text")
 
 
-def chunked(docs: DataFrame, mean_words: int, least_words: int) -> DataFrame:
-    """Rows (id, h, idx, digest, at, n_words, start, end) of all chunks of `content_keys`: places in words, and in code points."""
+def all_seeds(texts: DataFrame, most_words: int) -> DataFrame:
+    """(digest, doc) of all seeds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in pieces(batch, "text"):
-                low = LOWER[data]
-                starts, ends, bounds = words(low, offsets)
-                hashes = span_hashes(low, starts, ends)
-                cuts = cut_words(hashes, bounds, mean_words, least_words)
-                stops = np.append(cuts[1:], len(hashes))[: len(cuts)]
-                text = np.searchsorted(bounds, cuts, "right") - 1
-                # a digest of the words and their order
-                ordinal = np.arange(len(hashes)) - np.repeat(cuts, stops - cuts)
-                sums = np.append(U64(0), np.cumsum(mixed(hashes + ordinal.astype(np.uint64) * U64(0x9E3779B97F4A7C15))))
-                digest = mixed(sums[stops] - sums[cuts] + (stops - cuts).astype(np.uint64))
-                points = np.append(0, np.cumsum((data & 0xC0) != 0x80))
-                base = points[offsets[text]]
-                firsts = np.searchsorted(cuts, bounds[:-1])
-                whole = lambda x: pa.array(x, pa.int32())
-                arrays = [
-                    *(part.column(k).take(pa.array(text)) for k in (0, 1)), whole(np.arange(len(cuts)) - firsts[text]), pa.array(digest.view(np.int64)), whole(cuts - bounds[text]), whole(stops - cuts),
-                    whole(points[starts[cuts]] - base), whole(points[ends[stops - 1]] - base),
-                ]
-                yield pa.RecordBatch.from_arrays(arrays, ["id", "h", "idx", "digest", "at", "n_words", "start", "end"])
+                hashes, _, _, bounds = hashed_words(data, offsets)
+                starts, _, digest = seeds(hashes, bounds, most_words)
+                doc = part.column("doc").to_numpy()[np.searchsorted(bounds, starts, "right") - 1]
+                yield pa.RecordBatch.from_arrays([pa.array(digest.view(np.int64)), pa.array(doc)], ["digest", "doc"])
 
-    kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, h int, idx int, digest long, at int, n_words int, start int, end int")
+    return texts.mapInArrow(run, "digest long, doc long")
 
 
-def surroundings(docs: DataFrame, wanted: DataFrame, reach: int) -> DataFrame:
-    """(id, h, at, before, after, starts, ends) of word places (id, h, at): hashes of up to `reach` words before the place,
-    backwards, and from it on; where each begins (from the place backwards) and ends (from it on)."""
-    places = wanted.groupBy("id", "h").agg(F.collect_set("at").alias("places"))  # of one text
+def windows_near(texts: DataFrame, shared: Broadcast, size: int) -> DataFrame:
+    """(id, h, w, w2, at, start, stop) of every window of `size` words around a seed that passes the filter: two hashes of
+    its words, its place in words, and in code points."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in pieces(batch, "text"):
-                low = LOWER[data]
-                starts, ends, bounds = words(low, offsets)
-                hashes = span_hashes(low, starts, ends).view(np.int64)
+                hashes, starts, ends, bounds = hashed_words(data, offsets)
+                first, stop, digest = seeds(hashes, bounds, seed_words(size))
+                hit = shared.value.holds(digest)
+                first, stop = first[hit], stop[hit]
+                text = np.searchsorted(bounds, first, "right") - 1
+                a, b = np.maximum(stop - size, bounds[text]), np.minimum(first, bounds[text + 1] - size)
+                ok = a <= b
+                marks = np.zeros(len(hashes) + 1, np.int64)
+                np.add.at(marks, a[ok], 1)
+                np.add.at(marks, b[ok] + 1, -1)
+                at = np.flatnonzero(np.cumsum(marks)[:-1] > 0)
+                if not len(at):
+                    continue
+                text = np.searchsorted(bounds, at, "right") - 1
+                w, w2 = window_hashes(hashes, at, size)
                 points = np.append(0, np.cumsum((data & 0xC0) != 0x80))
-                rows = []
-                for i, (key, h, at) in enumerate(zip(*(part.column(c).to_pylist() for c in ("id", "h", "places")), strict=True)):
-                    first, last, base = int(bounds[i]), int(bounds[i + 1]), points[offsets[i]]
-                    for place in sorted(at):
-                        a, b, c = max(first, first + place - reach), first + place, min(last, first + place + reach)
-                        rows.append((key, h, place, hashes[a:b][::-1].tolist(), hashes[b:c].tolist(), (points[starts[a : b + 1]][::-1] - base).tolist(), (points[ends[b:c]] - base).tolist()))
-                columns = [list(c) for c in zip(*rows, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["id", "h", "at", "before", "after", "starts", "ends"])
-
-    types = [None, pa.int32(), pa.int32(), *[pa.list_(pa.int64())] * 2, *[pa.list_(pa.int32())] * 2]
-    kind = docs.schema["id"].dataType.simpleString()
-    return docs.join(places, ["id", "h"]).mapInArrow(run, f"id {kind}, h int, at int, before array<long>, after array<long>, starts array<int>, ends array<int>")
-
-
-def common_length(a: Column, b: Column) -> Column:
-    """How many elements two arrays have in common from their beginning on."""
-    apart = F.array_position(F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False))), False)
-    return F.when(apart > 0, apart - 1).otherwise(F.size(a)).cast("int")
-
-
-def repeated_passages(docs: DataFrame, least_passage: int = 50, mean_words: int = 5, least_words: int = 3, least_seed: int = 12, reach: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per passage of `least_passage` words or more that documents with other ids hold too: id_col, start, end, n_words, n_docs, first_id, kept, text_hash.
-
-    Words are compared with A-Z lower-cased, white space as one blank. Runs of neighbouring chunks whose digests occur
-    under several ids are seeds, from `least_seed` words on. A run of more than `reach` + `least_passage` words is a passage as it
-    is, with up to a chunk lost or won at either end. A shorter one is compared word by word with the text of smallest id that
-    holds its longest chunk, `reach` words to either side of that chunk, and what they have in common is the passage, in
-    both texts. `kept`: the document is the one of smallest id that holds the passage, whose copy stays, as `first_id` says.
-    `n_docs`: occurrences of the passage's commonest chunk (longest, of a compared one). Places are code points, end
-    exclusive. Null and empty texts and those without a repeat have no rows. Rows of one id are one document in several
-    texts, told apart by `text_hash` (`hash` of the text): what only they share is no repeat. Equal rows count once.
-
-    Digests are counted with partial sums before the shuffle; the rows of a very common chunk are split by skew-join. A
-    chance collision of 64-bit digests can make a seed, which word-by-word comparison refuses, or shift the end of a long
-    run by a chunk; a whole long run would need one collision a chunk.
+                base = points[offsets[text]]
+                whole = lambda x: pa.array(x.astype(np.int32))
+                rows = pa.array(text)
+                arrays = [part.column("id").take(rows), part.column("h").take(rows), pa.array(w.view(np.int64)), pa.array(w2.view(np.int64)), whole(at - bounds[text]), whole(points[starts[at]] - base), whole(points[ends[at + size - 1]] - base)]
+                yield pa.RecordBatch.from_arrays(arrays, ["id", "h", "w", "w2", "at", "start", "stop"])
+
+    kind = texts.schema["id"].dataType.simpleString()
+    return texts.mapInArrow(run, f"id {kind}, h long, w long, w2 long, at int, start int, stop int")
+
+
+def repeated_passages(docs: DataFrame, least_passage: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per passage of `least_passage` words or more that other documents hold too: id_col, start, end, n_words, n_docs, first_id, kept, text_hash.
+
+    Words are compared with A-Z lower-cased, white space as one blank. A window of `least_passage` words (33 at least) is repeated if
+    several documents hold it; the one of smallest id keeps it. A passage is a row of neighbouring repeated windows of a text that
+    the same document keeps: it is as long as the texts agree, in words. `kept`: it is that document itself, whose copy stays; `first_id` is its id;
+    `n_docs`: occurrences of the passage's commonest window. Passages that different documents keep may overlap. Places are
+    code points, end exclusive. Null and empty texts and those without a repeat have no rows. Rows of one id are one document in
+    several texts, told apart by `text_hash` (`xxhash64`): what only they share is no repeat. A row without an id is a
+    document of its own, behind all others in order; such rows with equal texts are one. Equal rows have one row a passage.
+
+    Seeds, a few neighbouring chunks each, are deduplicated by digest: first those of several documents are found. A repeated
+    window holds such a seed, so only windows around them are compared, by 128 bits, and in groups with partial
+    sums; the rows of a very common window are split by skew-join. Nothing is compared pair by pair.
     """
+    if seed_words(least_passage) < NEAR:
+        raise ValueError(f"least_passage is too small: {least_passage}")
     texts = content_keys(docs, id_col, text_col)
-    chunks = written(chunked(texts, mean_words, least_words))
-    place = F.struct("id", "h", "at")
-    shared = written(chunks.groupBy("digest").agg(F.min(place).alias("first"), F.max("id").alias("last_id"), F.count(F.lit(1)).alias("n")).where("first.id <> last_id").drop("last_id"))
-    common = chunks.join(shared, "digest")
-    runs = common.withColumn("run", F.col("idx") - F.dense_rank().over(Window.partitionBy("id", "h").orderBy("idx")))
-    runs = written(
-        runs.groupBy("id", "h", "run")
-        .agg(
-            F.min("start").alias("start"), F.max("end").alias("end"), (F.max(F.col("at") + F.col("n_words")) - F.min("at")).alias("n_words"), F.max("n").alias("n_docs"), F.min_by("first.id", "idx").alias("first_id"),
-            F.bool_and(F.col("first.id") == F.col("id")).alias("kept"), F.max(F.struct("n_words", "at", "first", "n")).alias("longest"),
-        )
-        .where(F.col("n_words") >= least_seed)
-    )
-    is_long = F.col("n_words") > reach + least_passage
-    long = runs.where(is_long).select("id", "h", "start", "end", "n_words", "n_docs", "first_id", "kept")
-    pairs = runs.where(~is_long & (F.col("longest.first.id") != F.col("id"))).select("id", "h", "longest.at", F.col("longest.first").alias("other"), F.col("longest.n").alias("n_docs"))
-    pairs = written(pairs.distinct())
-    wanted = pairs.select("id", "h", "at").unionByName(pairs.select("other.*")).distinct()
-    near = written(surroundings(texts, wanted, reach).dropDuplicates(["id", "h", "at"]))
-    theirs = near.select(F.struct("id", "h", "at").alias("other"), *[F.col(c).alias(f"their_{c}") for c in ("before", "after", "starts", "ends")])
-    both = pairs.join(near, ["id", "h", "at"]).join(theirs, "other").withColumn("left", common_length(F.col("before"), F.col("their_before"))).withColumn("right", common_length(F.col("after"), F.col("their_after")))
-    both = written(both.where((F.col("right") > 0) & (F.col("left") + F.col("right") >= least_passage)))  # right is 0 if two digests collided
-
-    def side(whose: str, key: list[Column], kept: bool) -> DataFrame:
-        places = F.get(f"{whose}starts", F.col("left")).alias("start"), F.get(f"{whose}ends", F.col("right") - 1).alias("end")
-        return both.select(*key, *places, (F.col("left") + F.col("right")).alias("n_words"), "n_docs", F.col("other.id").alias("first_id"), F.lit(kept).alias("kept"))
-
-    found = long.unionByName(side("", [F.col("id"), F.col("h")], False)).unionByName(side("their_", [F.col("other.id").alias("id"), F.col("other.h").alias("h")], True))
-    once = found.groupBy("id", "h", "start", "end").agg(F.max("n_words").alias("n_words"), F.max("n_docs").alias("n_docs"), F.min("first_id").alias("first_id"), F.bool_and("kept").alias("kept"))
-    return once.select(F.col("id").alias(id_col), F.col("start").cast("long"), F.col("end").cast("long"), F.col("n_words").cast("long"), "n_docs", "first_id", "kept", F.col("h").alias("text_hash"))
+    shared = written(all_seeds(texts, seed_words(least_passage)).groupBy("digest").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a <> b").select("digest"))
+    near = written(windows_near(texts, filter_of(shared), least_passage))
+    dropped(shared)
+    nameless = F.when(F.col("id").isNull(), F.col("h"))
+    counts = near.groupBy("w", "w2").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.min(nameless).alias("first_h"), F.max(nameless).alias("last_h"), F.count(F.lit(1)).alias("n"))
+    several = (F.col("first_id") != F.col("last_id")) | (F.col("first_h") != F.col("last_h")) | (F.col("first_id").isNotNull() & F.col("first_h").isNotNull())
+    found = near.join(counts.where(several), ["w", "w2"]).select("id", "h", "at", "start", "stop", "n", "first_id", F.when(F.col("first_id").isNull(), F.col("first_h")).alias("first_h"))
+    found = found.withColumn("kept", F.col("id").eqNullSafe(F.col("first_id")) & (F.col("first_h").isNull() | (F.col("first_h") == F.col("h"))))
+    by = ["id", "h", "first_id", "first_h", "kept"]
+    runs = found.withColumn("run", F.col("at") - F.dense_rank().over(Window.partitionBy(*by).orderBy("at")))  # of one text
+    return runs.groupBy(*by, "run").agg(
+        F.min("start").cast("long").alias("start"), F.max("stop").cast("long").alias("end"), (F.max("at") - F.min("at") + least_passage).cast("long").alias("n_words"), F.max("n").alias("n_docs"),
+    ).select(F.col("id").alias(id_col), "start", "end", "n_words", "n_docs", "first_id", "kept", F.col("h").alias("text_hash"))
 
 
 def without_repeats(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with the passages cut out that a smaller id keeps. Null texts stay; columns of any name are carried along."""
-    cuts = passages.where("not kept").groupBy(F.col(id_col).alias("id"), F.col("text_hash").alias("h")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    carried = docs.select(row.alias("row"), F.col(f"`{id_col}`").alias("id"), F.hash(F.col(f"`{text_col}`")).alias("h"), F.col(f"`{text_col}`").alias("t"))
-    start = F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("at"))
+    """`docs` without the words that only passages cover which another document keeps.
 
-    def piece(begin: Column, end: Column) -> Column:
-        return F.substring("t", (begin + 1).cast("int"), F.greatest(end - begin, F.lit(0)).cast("int"))
+    What a passage that the document keeps covers stays, so every repeated window stays whole in one document, and words of no
+    passage stay where they are. Null texts stay; columns of any name are carried along.
+    """
+    spans = passages.groupBy(F.col(id_col).alias("of_id"), F.col("text_hash").alias("of_h")).agg(F.collect_list(F.struct("start", "end", "kept")).alias("spans"))  # of one text
 
-    def step(s: Column, x: Column) -> Column:
-        return F.struct(F.concat(s["text"], piece(s["at"], x["start"])).alias("text"), F.greatest(s["at"], x["end"]).alias("at"))
+    @F.pandas_udf("string")
+    def rest(text: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else remaining(t, s) for t, s in zip(text, spans, strict=True)], dtype=object)
 
-    rest = F.aggregate("spans", start, step, lambda s: F.concat(s["text"], F.substring("t", (s["at"] + 1).cast("int"), F.length("t"))))
-    text = F.when(F.col("spans").isNull(), F.col("t")).otherwise(rest)
-    joined = carried.join(cuts, ["id", "h"], "left")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    carried = docs.select(row.alias("row"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("h"), F.col(f"`{text_col}`").alias("t"))
+    joined = carried.join(spans.where(F.exists("spans", lambda s: ~s["kept"])), F.col("id").eqNullSafe(F.col("of_id")) & (F.col("h") == F.col("of_h")), "left")
+    text = F.when(F.col("spans").isNull(), F.col("t")).otherwise(rest("t", "spans"))
     return joined.select(*[(text if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+
+
+def remaining(text: str, spans: list[dict] | None) -> str:
+    """A text without the places that spans to be cut cover and none to be kept."""
+    if spans is None or not len(spans):
+        return text
+    marks = np.zeros((2, len(text) + 1), np.int64)
+    for s in spans:
+        marks[int(s["kept"]), s["start"]] += 1
+        marks[int(s["kept"]), s["end"]] -= 1
+    cut, keep = np.cumsum(marks, axis=1)[:, :-1] > 0
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], (cut & ~keep).astype(np.int8), [0]))))
+    out, at = [], 0
+    for a, b in edges.reshape(-1, 2).tolist():
+        while a < b and text[a].isspace():  # behind a word that stays: its blank stays too
+            a += 1
+        out.append(text[at:a])
+        at = b
+    return "".join(out) + text[at:]
