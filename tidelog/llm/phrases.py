@@ -22,6 +22,8 @@ from tidelog.tables import dropped, written
 
 #: Text bytes whose phrases are counted at once.
 BUFFER_BYTES = 1 << 23
+#: Phrases whose counts a task holds before it passes them on.
+TASK_ROWS = 1 << 20
 #: Parts of a language's phrases that are cut to the first ones before they meet.
 SALTS = 64
 
@@ -67,13 +69,13 @@ def frequent_hashes(phrases: DataFrame, n_words: int) -> DataFrame:
     return phrases.mapInArrow(run, "hash long")
 
 
-def distinct_counts(hashes: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """One place of each distinct row of `columns`, whose hashes are given, and how often it occurs."""
+def distinct_counts(hashes: np.ndarray, columns: list[np.ndarray], times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """One place of each distinct row of `columns`, whose hashes are given, and how often it occurs (rows count once, or `times`)."""
     _, example, index = unique_hashes(hashes)
     if any((c[example[index]] != c).any() for c in columns):  # two rows of one hash
         _, example, index = np.unique(np.stack(columns), axis=1, return_index=True, return_inverse=True)
         index = index.ravel()
-    return example, np.bincount(index, minlength=len(example))
+    return example, np.bincount(index, times, minlength=len(example)).astype(np.int64)  # sums of a task, far below 2 ** 53
 
 
 def counted_words(texts: DataFrame, seed: int) -> DataFrame:
@@ -100,25 +102,42 @@ def counted_phrases(texts: DataFrame, n_words: int, shorter: Broadcast, seed: in
     """(lang, k0, k1, ..., n): phrases of `n_words` words, both of whose phrases of one word less pass the filter `shorter`."""
     names = [f"k{k}" for k in range(n_words)]
 
+    def found(part: pa.RecordBatch, raw: np.ndarray, offsets: np.ndarray, langs: dict) -> list[np.ndarray]:
+        """Language and word keys of all such phrases of some texts."""
+        keys, _, _, text, joined = word_keys(LOWER[raw], offsets, seed)
+        lang = part.column("lang").dictionary_encode()
+        known = lang.dictionary.to_pylist()
+        of_each = lang_keys(known)
+        langs.update(zip(of_each.tolist(), known, strict=True))
+        of_lang = of_each[lang.indices.to_numpy()[text]] if len(text) else np.zeros(0, np.uint64)
+        whole = np.ones(max(0, len(keys) - n_words + 2), bool)  # places with n_words - 1 words of one piece
+        for k in range(n_words - 2):
+            whole &= joined[k : k + len(whole)]
+        at = np.flatnonzero(whole)
+        at = at[shorter.value.holds(phrase_hashes([keys[at + k] for k in range(n_words - 1)], of_lang[at]))]
+        fine = np.zeros(len(keys) + 1, bool)
+        fine[at] = True
+        at = at[fine[at + 1] & joined[at]]
+        return [of_lang[at], *(keys[at + k] for k in range(n_words))]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        langs: dict = {}
+        sums = [np.zeros(0, np.uint64)] * (n_words + 1), np.zeros(0, np.int64)
+
+        def rows() -> pa.RecordBatch:
+            arrays = [pa.array([langs[x] for x in sums[0][0].tolist()], pa.string()), *(pa.array(c.view(np.int64)) for c in sums[0][1:]), pa.array(sums[1])]
+            return pa.RecordBatch.from_arrays(arrays, ["lang", *names, "n"])
+
         for batch in batches:
             for part, raw, offsets in pieces(batch, "text", BUFFER_BYTES):
-                keys, _, _, text, joined = word_keys(LOWER[raw], offsets, seed)
-                lang = part.column("lang").dictionary_encode()
-                codes = lang.indices.to_numpy()[text]
-                of_lang = lang_keys(lang.dictionary.to_pylist())[codes] if len(codes) else np.zeros(0, np.uint64)
-                whole = np.ones(max(0, len(keys) - n_words + 2), bool)  # places with n_words - 1 words of one piece
-                for k in range(n_words - 2):
-                    whole &= joined[k : k + len(whole)]
-                at = np.flatnonzero(whole)
-                at = at[shorter.value.holds(phrase_hashes([keys[at + k] for k in range(n_words - 1)], of_lang[at]))]
-                fine = np.zeros(len(keys) + 1, bool)
-                fine[at] = True
-                at = at[fine[at + 1] & joined[at]]
-                columns = [keys[at + k] for k in range(n_words)]
-                places, n = distinct_counts(phrase_hashes(columns, of_lang[at]), [*columns, of_lang[at]])
-                arrays = [lang.dictionary.take(pa.array(codes[at[places]])), *[pa.array(c[places].view(np.int64)) for c in columns], pa.array(n.astype(np.int64))]
-                yield pa.RecordBatch.from_arrays(arrays, ["lang", *names, "n"])
+                own = found(part, raw, offsets, langs)
+                columns = [np.concatenate(c) for c in zip(sums[0], own, strict=True)]
+                places, n = distinct_counts(phrase_hashes(columns[1:], columns[0]), columns, np.append(sums[1], np.ones(len(own[0]), np.int64)))
+                sums = [c[places] for c in columns], n
+                if len(n) > TASK_ROWS:
+                    yield rows()
+                    sums = [np.zeros(0, np.uint64)] * (n_words + 1), np.zeros(0, np.int64)
+        yield rows()
 
     fields = ", ".join(f"{k} long" for k in names)
     return texts.mapInArrow(run, f"lang string, {fields}, n long").groupBy("lang", *names).agg(F.sum("n").alias("n"))
