@@ -126,8 +126,8 @@ def all_seeds(texts: DataFrame, most_words: int) -> DataFrame:
 
 
 def windows_near(texts: DataFrame, shared: Broadcast, size: int) -> DataFrame:
-    """(id, h, w, w2, at, start, stop) of every window of `size` words around a seed that passes the filter: two hashes of
-    its words, its place in words, and in code points."""
+    """(id, h, w, w2, at, start, stop) of every window of `size` words around a seed that passes the filter: 96 bits of two
+    hashes of its words, its place in words, and in code points."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,11 +151,11 @@ def windows_near(texts: DataFrame, shared: Broadcast, size: int) -> DataFrame:
                 base = points[offsets[text]]
                 whole = lambda x: pa.array(x.astype(np.int32))
                 rows = pa.array(text)
-                arrays = [part.column("id").take(rows), part.column("h").take(rows), pa.array(w.view(np.int64)), pa.array(w2.view(np.int64)), whole(at - bounds[text]), whole(points[starts[at]] - base), whole(points[ends[at + size - 1]] - base)]
+                arrays = [part.column("id").take(rows), part.column("h").take(rows), pa.array(w.view(np.int64)), pa.array((w2 >> U64(32)).astype(np.uint32).view(np.int32)), whole(at - bounds[text]), whole(points[starts[at]] - base), whole(points[ends[at + size - 1]] - base)]
                 yield pa.RecordBatch.from_arrays(arrays, ["id", "h", "w", "w2", "at", "start", "stop"])
 
     kind = texts.schema["id"].dataType.simpleString()
-    return texts.mapInArrow(run, f"id {kind}, h long, w long, w2 long, at int, start int, stop int")
+    return texts.mapInArrow(run, f"id {kind}, h long, w long, w2 int, at int, start int, stop int")
 
 
 def repeated_passages(docs: DataFrame, least_passage: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -170,14 +170,18 @@ def repeated_passages(docs: DataFrame, least_passage: int = 50, id_col: str = "d
     document of its own, behind all others in order; such rows with equal texts are one. Equal rows have one row a passage.
 
     Seeds, a few neighbouring chunks each, are deduplicated by digest: first those of several documents are found. A repeated
-    window holds such a seed, so only windows around them are compared, by 128 bits, and in groups with partial
+    window holds such a seed, so only windows around them are compared, by 96 bits, and in groups with partial
     sums; the rows of a very common window are split by skew-join. Nothing is compared pair by pair.
     """
     if seed_words(least_passage) < NEAR:
         raise ValueError(f"least_passage is too small: {least_passage}")
     texts = content_keys(docs, id_col, text_col)
+    named = texts.where("id is not null").select("id", "h")
+    unique = named.groupBy("id").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").isEmpty()
+    if unique:  # then an id says which text it is, and rows needn't carry a hash of it
+        texts = texts.withColumn("h", F.when(F.col("id").isNull(), F.col("h")).otherwise(0))
     shared = written(all_seeds(texts, seed_words(least_passage)).groupBy("digest").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a <> b").select("digest"))
-    near = written(windows_near(texts, filter_of(shared), least_passage))
+    near = windows_near(texts, filter_of(shared), least_passage)  # read twice, for counts and places; cheaper than a table of it
     dropped(shared)
     nameless = F.when(F.col("id").isNull(), F.col("h"))
     counts = near.groupBy("w", "w2").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.min(nameless).alias("first_h"), F.max(nameless).alias("last_h"), F.count(F.lit(1)).alias("n"))
@@ -186,9 +190,13 @@ def repeated_passages(docs: DataFrame, least_passage: int = 50, id_col: str = "d
     found = found.withColumn("kept", F.col("id").eqNullSafe(F.col("first_id")) & (F.col("first_h").isNull() | (F.col("first_h") == F.col("h"))))
     by = ["id", "h", "first_id", "first_h", "kept"]
     runs = found.withColumn("run", F.col("at") - F.dense_rank().over(Window.partitionBy(*by).orderBy("at")))  # of one text
-    return runs.groupBy(*by, "run").agg(
+    passages = runs.groupBy(*by, "run").agg(
         F.min("start").cast("long").alias("start"), F.max("stop").cast("long").alias("end"), (F.max("at") - F.min("at") + least_passage).cast("long").alias("n_words"), F.max("n").alias("n_docs"),
-    ).select(F.col("id").alias(id_col), "start", "end", "n_words", "n_docs", "first_id", "kept", F.col("h").alias("text_hash"))
+    )
+    if unique:
+        of_id = named.distinct().select(F.col("id").alias("of_id"), F.col("h").alias("of_h"))
+        passages = passages.join(of_id, F.col("id") == F.col("of_id"), "left").withColumn("h", F.coalesce("of_h", "h"))
+    return passages.select(F.col("id").alias(id_col), "start", "end", "n_words", "n_docs", "first_id", "kept", F.col("h").alias("text_hash"))
 
 
 def without_repeats(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
