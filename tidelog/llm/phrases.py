@@ -21,9 +21,9 @@ from tidelog.llm.vec import LOWER, ODD, U64, mixed, pieces, span_hashes, unique_
 from tidelog.tables import dropped, written
 
 #: Text bytes whose phrases are counted at once.
-BUFFER_BYTES = 1 << 23
+BUFFER_BYTES = 1 << 22
 #: Phrases whose counts a task holds before it passes them on.
-TASK_ROWS = 1 << 20
+TASK_ROWS = 1 << 18
 #: Parts of a language's phrases that are cut to the first ones before they meet.
 SALTS = 64
 
