@@ -20,8 +20,8 @@ from tidelog.llm.bloom import filter_of
 from tidelog.llm.vec import LOWER, ODD, U64, mixed, pieces, span_hashes, unique_hashes, words
 from tidelog.tables import dropped, written
 
-#: Text bytes whose phrases are counted at once.
-BUFFER_BYTES = 1 << 22
+#: Rows of a batch, and text bytes among them, whose phrases are counted at once.
+BUFFER_ROWS, BUFFER_BYTES = 512, 1 << 21
 #: Phrases whose counts a task holds before it passes them on.
 TASK_ROWS = 1 << 18
 #: Parts of a language's phrases that are cut to the first ones before they meet.
@@ -43,6 +43,13 @@ def word_keys(data: np.ndarray, offsets: np.ndarray, seed: int) -> tuple[np.ndar
     return span_hashes(data, starts, ends, seed), starts, ends, text, joined
 
 
+def buffers(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Rows with the bytes of their texts and offsets, a few at a time: a task holds no copy of a whole batch."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, BUFFER_ROWS):
+            yield from pieces(batch.slice(first, BUFFER_ROWS), "text", BUFFER_BYTES)
+
+
 def lang_keys(langs: list[str]) -> np.ndarray:
     """A key of each language, by its bytes."""
     data = [x.encode() for x in langs]
@@ -82,18 +89,17 @@ def counted_words(texts: DataFrame, seed: int) -> DataFrame:
     """(lang, k0, word, n): words with their keys, counted in parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, raw, offsets in pieces(batch, "text", BUFFER_BYTES):
-                data = LOWER[raw]
-                keys, starts, ends, text, _ = word_keys(data, offsets, seed)
-                lang = part.column("lang").dictionary_encode()
-                codes = lang.indices.to_numpy()[text].astype(np.uint64)
-                places, n = distinct_counts(mixed(keys ^ mixed(codes)), [keys, codes])
-                sizes = ends[places] - starts[places]
-                held = data[np.repeat(starts[places] - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))]
-                edges = pa.py_buffer(np.append(0, np.cumsum(sizes)).astype(np.int64))
-                word = pa.Array.from_buffers(pa.large_string(), len(places), [None, edges, pa.py_buffer(held)]).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([lang.dictionary.take(pa.array(codes[places].astype(np.int32))), pa.array(keys[places].view(np.int64)), word, pa.array(n.astype(np.int64))], ["lang", "k0", "word", "n"])
+        for part, raw, offsets in buffers(batches):
+            data = LOWER[raw]
+            keys, starts, ends, text, _ = word_keys(data, offsets, seed)
+            lang = part.column("lang").dictionary_encode()
+            codes = lang.indices.to_numpy()[text].astype(np.uint64)
+            places, n = distinct_counts(mixed(keys ^ mixed(codes)), [keys, codes])
+            sizes = ends[places] - starts[places]
+            held = data[np.repeat(starts[places] - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))]
+            edges = pa.py_buffer(np.append(0, np.cumsum(sizes)).astype(np.int64))
+            word = pa.Array.from_buffers(pa.large_string(), len(places), [None, edges, pa.py_buffer(held)]).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([lang.dictionary.take(pa.array(codes[places].astype(np.int32))), pa.array(keys[places].view(np.int64)), word, pa.array(n.astype(np.int64))], ["lang", "k0", "word", "n"])
 
     return texts.mapInArrow(run, "lang string, k0 long, word string, n long").groupBy("lang", "k0").agg(F.sum("n").alias("n"), F.min("word").alias("word"), F.max("word").alias("other"))
 
@@ -128,15 +134,14 @@ def counted_phrases(texts: DataFrame, n_words: int, shorter: Broadcast, seed: in
             arrays = [pa.array([langs[x] for x in sums[0][0].tolist()], pa.string()), *(pa.array(c.view(np.int64)) for c in sums[0][1:]), pa.array(sums[1])]
             return pa.RecordBatch.from_arrays(arrays, ["lang", *names, "n"])
 
-        for batch in batches:
-            for part, raw, offsets in pieces(batch, "text", BUFFER_BYTES):
-                own = found(part, raw, offsets, langs)
-                columns = [np.concatenate(c) for c in zip(sums[0], own, strict=True)]
-                places, n = distinct_counts(phrase_hashes(columns[1:], columns[0]), columns, np.append(sums[1], np.ones(len(own[0]), np.int64)))
-                sums = [c[places] for c in columns], n
-                if len(n) > TASK_ROWS:
-                    yield rows()
-                    sums = [np.zeros(0, np.uint64)] * (n_words + 1), np.zeros(0, np.int64)
+        for part, raw, offsets in buffers(batches):
+            own = found(part, raw, offsets, langs)
+            columns = [np.concatenate(c) for c in zip(sums[0], own, strict=True)]
+            places, n = distinct_counts(phrase_hashes(columns[1:], columns[0]), columns, np.append(sums[1], np.ones(len(own[0]), np.int64)))
+            sums = [c[places] for c in columns], n
+            if len(n) > TASK_ROWS:
+                yield rows()
+                sums = [np.zeros(0, np.uint64)] * (n_words + 1), np.zeros(0, np.int64)
         yield rows()
 
     fields = ", ".join(f"{k} long" for k in names)
