@@ -41,7 +41,7 @@ def inbox(tmp_path_factory):
 
 @pytest.fixture(scope="module")
 def analysed(spark, inbox):
-    listing = S.with_content(spark, S.list_files(spark, {"inbox": str(inbox)})).withColumns({"file_id": F.xxhash64("path"), "inside": F.lit(False)})
+    listing = S.list_files(spark, {"inbox": str(inbox)}).withColumns({"file_id": F.xxhash64("path"), "content": F.lit(None).cast("binary")})
     return listing.cache(), refresh.analyse(listing).cache()
 
 
@@ -59,17 +59,19 @@ def test_catalog(analysed):
 def test_packages_of_report_periods(spark, analysed, tmp_path):
     listing, catalog = analysed
     plan = windows.plan_windows(catalog, "awr", margin_min=10)
-    built = packages.build_packages(catalog, L.analysed(refresh.timed_lines(spark, listing.where("rel like '%.log%'")).drop("error"), "file_id"), plan)
+    built = packages.build_packages(catalog, L.analysed(refresh.timed_lines(listing.where("rel like '%.log%'")).drop("error"), "file_id"), plan)
     assert [r.package for r in built.windows.collect()] == ["PKG_2026-09-27_1000-1100"]
     entries = {r.entry: r for r in built.entries.collect()}
     assert set(entries) == {"awr/awr_1.html", "access/web/access.log", "server/server.log", "sonstige/notes.txt"} or set(entries) == {"awr/awr_1.html", "access/copy.log", "server/server.log", "sonstige/notes.txt"}
     assert sorted(r.lines for r in entries.values() if r.lines) == [1, 4]
     assert any(r.duplicates for r in entries.values())
-    packages.write_packages(built, str(tmp_path / "out"), listing)
+    files = S.parts(listing).join(listing.select("path", "file_id"), "path")
+    packages.write_packages(built, str(tmp_path / "out"), files)
+    assert spark.read.parquet(str(tmp_path / "out/files")).where("entry = 'awr/awr_1.html'").select("content").first().content.decode() == REPORT
     text = spark.read.text(str(tmp_path / "out/lines")).where("entry like 'server%'").count()
     assert text == 4 and spark.read.text(str(tmp_path / "out/manifest")).where("value like '%log_window%'").count() == 1
-    packages.write_packages(built, str(tmp_path / "out"), listing)
-    assert spark.read.text(str(tmp_path / "out/lines")).where("entry like 'server%'").count() == 4
+    packages.write_packages(built, str(tmp_path / "out"), build=2)
+    assert spark.read.text(str(tmp_path / "out/lines")).where("build = 1 and entry like 'server%'").count() == 4
 
 
 def test_day_mode_and_dates(analysed):
@@ -85,12 +87,10 @@ def test_split_independence(spark, tmp_path):
     rows = [("x" if n % 7 else f"2026-09-27 10:{n // 60 % 60:02d}:{n % 60:02d} line") for n in range(4000)]
     (tmp_path / "a.log").write_text("\n".join(rows) + "\n")
     got = []
-    for size in ("8k", "128m"):
-        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
-        lines = S.read_lines(spark, str(tmp_path / "a.log"))
+    for size in (8_000, 1 << 27):
+        lines = S.file_lines(S.list_files(spark, {"a": str(tmp_path)}), size).drop("error")
         filled = L.fill_forward(L.stamped(lines))
         got.append([r.eff_ts for r in filled.orderBy("block_start", "mid").collect()])
-    spark.conf.unset("spark.sql.files.maxPartitionBytes")
     current, expected = None, []
     for row in rows:
         current = datetime.strptime(row[:19], "%Y-%m-%d %H:%M:%S") if row != "x" else current
@@ -102,7 +102,7 @@ def test_packed_lines_keep_text(spark):
     body = "a\r\n\tb\nlast"
     files = [("g", gzip.compress(body.encode())), ("b", bz2.compress(body.encode())), ("x", lzma.compress(body.encode())), ("bad", b"\x1f\x8bno")]
     files.append(("half", gzip.compress("".join(f"line {n} {n * n}\n" for n in range(1000)).encode())[:2000]))
-    got = S.read_packed_lines(spark.createDataFrame(files, "path string, content binary")).collect()
+    got = S.file_lines(spark.createDataFrame(files, "path string, content binary").withColumn("size", F.octet_length("content").cast("long"))).collect()
     assert {p: [r.raw for r in sorted(got, key=lambda r: r.mid) if r.path == p] for p in "gbx"} == {p: ["a\r", "\tb", "last"] for p in "gbx"}
     assert {r.path for r in got if r.error} == {"bad", "half"} and all(r.raw is None for r in got if r.error)
 
@@ -220,8 +220,8 @@ AWR_PACKAGE = "PKG_2026-09-27_1000-1100"
 
 
 def entry_bytes(spark, of, package, entry):
-    rows = spark.read.option("lineSep", "\n").text(f"{of.output}/lines").where(f"package = '{package}' and entry = '{entry}'")
-    return [r.v for r in rows.select(F.col("value").cast("binary").alias("v"), "_metadata.file_name").orderBy("file_name").collect()]
+    rows = jobs.published(spark, of, "lines").where(f"package = '{package}' and entry = '{entry}'")
+    return [r.v for r in rows.select(F.col("value").cast("binary").alias("v"), "part_file").orderBy("part_file").collect()]
 
 
 def test_report_then_logs_then_no_report(spark, collection):
@@ -266,8 +266,7 @@ def test_category_by_hand_and_back(spark, collection):
 def test_day_packages_that_meet_no_rule_go(spark, collection, tmp_path):
     make, put, have = collection
     of = make()
-    (tmp_path / "out/manifest/package=PKG_2026-04-10").mkdir(parents=True)
-    (tmp_path / "out/manifest/package=OTHER_2026-04-10").mkdir(parents=True)
+    jobs.publish(spark, of, spark.createDataFrame([("PKG_2026-04-10", 1), ("OTHER_2026-04-10", 1)], "package string, build int"))
     put("web/access.log", ACCESS)
     assert jobs.refreshed(spark, of)["removed_days"] == 1 and have(of) == ["OTHER_2026-04-10"]
     free = make(require_awr=False, day_packages=True)
@@ -303,12 +302,10 @@ def test_bytes_of_a_file_of_several_splits(spark, collection):
     lines = [b"26.09.2026 08:00:00 before"] + [(b"27.09.2026 10:%02d:%02d " % (n // 60 % 60, n % 60) if n % 3 == 0 else b"\tat \xe4\xff frame") + b" %d\r" % n for n in range(3000)] + [b"27.09.2026 12:00:00 after"]
     put("a b+c%1/server {x}.log", b"\n".join(lines) + b"\n")
     put("db/awr_1.html", REPORT)
-    of = make(sizes={"inline_bytes": 20_000})
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    of = make(split_bytes=16_000)
     jobs.refreshed(spark, of)
-    spark.conf.unset("spark.sql.files.maxPartitionBytes")
     row = next(r for r in jobs.catalog(spark, of).collect() if r.category == "server")
-    assert (row.lines, row.error, row.sha256[:6]) == (3002, None, "lines:")
+    assert (row.lines, row.error, len(row.sha256)) == (3002, None, 64)
     want = [x for x in lines[1:-1]]
     got = entry_bytes(spark, of, AWR_PACKAGE, "server/a b+c%1/server {x}.log")
     begin = next(n for n, x in enumerate(want) if x.startswith(b"27.09.2026 10:00:06"))  # the report begins at 10:00:05

@@ -89,7 +89,15 @@ def _made(parts: Column, layout: Layout) -> Column:
         hour = F.when(F.upper(parts[6]) == "PM", hour % 12 + 12).when(F.upper(parts[6]) == "AM", hour % 12).otherwise(hour)
     else:
         hour = hour12(hour, parts[6])
-    return F.when(second < 60, F.try_make_timestamp_ntz(year, month, _int(parts[2]), hour, minute, second.cast("decimal(16,6)")))
+    whole = F.array(year, month, _int(parts[2]), hour, minute, second)
+    return bound(whole, lambda p: F.when(_valid(p), F.try_make_timestamp_ntz(p[0], p[1], p[2], p[3], p[4], p[5].cast("decimal(16,6)"))))
+
+
+def _valid(p: Column) -> Column:
+    """Whether year, month, day, hour, minute and second form a time: asked beforehand, as a failing constructor costs far more."""
+    leap = (p[0] % 4 == 0) & ((p[0] % 100 != 0) | (p[0] % 400 == 0))
+    days = F.when(p[1].isin(4, 6, 9, 11), 30).when(p[1] != 2, 31).when(leap, 29).otherwise(28)
+    return p[1].between(1, 12) & p[2].between(1, days) & p[3].between(0, 23) & p[4].between(0, 59) & p[5].between(0, 59)
 
 
 def bound(value: Column, use) -> Column:
@@ -118,7 +126,16 @@ def first_of(text: Column, layout: Layout) -> Column:
 
 def parse_text(text: Column) -> Column:
     """The first layout, in order, whose first match is a valid time."""
-    return F.coalesce(*[first_of(text, layout) for layout in LAYOUTS])
+    return bound(text, lambda t: F.coalesce(*[first_of(t, layout) for layout in LAYOUTS]))
+
+
+def first_stamp(text: Column) -> Column:
+    """STRUCT<layout, ts> of `parse_text`; layouts behind the first that fits aren't sought."""
+
+    def found(t: Column, layout: Layout) -> Column:
+        return bound(first_of(t, layout), lambda ts: F.when(ts.isNotNull(), F.struct(F.lit(layout.name).alias("layout"), ts.alias("ts"))))
+
+    return bound(text, lambda t: F.coalesce(*[found(t, layout) for layout in LAYOUTS]))
 
 
 def line_head(raw: Column) -> Column:
@@ -131,11 +148,11 @@ def plausible(ts: Column) -> Column:
 
 
 def _all(text: Column, layouts: tuple[Layout, ...]) -> Column:
-    def of(layout: Layout) -> Column:
-        found = F.when(holds(text, layout), F.regexp_extract_all(text, F.lit(layout.pattern), F.lit(0))).otherwise(F.when(text.isNotNull(), F.array().cast("array<string>")))
+    def of(t: Column, layout: Layout) -> Column:
+        found = F.when(holds(t, layout), F.regexp_extract_all(t, F.lit(layout.pattern), F.lit(0))).otherwise(F.when(t.isNotNull(), F.array().cast("array<string>")))
         return F.transform(found, lambda m: parsed(m, layout))
 
-    return F.filter(F.concat(*[of(layout) for layout in layouts]), plausible)
+    return bound(text, lambda t: F.filter(F.concat(*[of(t, layout) for layout in layouts]), plausible))
 
 
 def find_stamps(text: Column) -> Column:
@@ -150,7 +167,13 @@ def find_dates(text: Column) -> Column:
 
 def parse_line_whole(raw: Column) -> Column:
     """The first of `find_stamps` anywhere in the line."""
-    return F.get(find_stamps(F.substring(raw.cast("binary"), 1, WHOLE_LINE_BYTES).cast("string")), F.lit(0))
+    text = F.substring(raw.cast("binary"), 1, WHOLE_LINE_BYTES).cast("string")
+
+    def first(t: Column, layout: Layout) -> Column:
+        found = F.when(holds(t, layout), F.regexp_extract_all(t, F.lit(layout.pattern), F.lit(0)))
+        return F.get(F.filter(F.transform(found, lambda m: parsed(m, layout)), plausible), F.lit(0))
+
+    return bound(text, lambda t: F.coalesce(*[first(t, layout) for layout in LAYOUTS]))
 
 
 def parse_oracle(value: Column) -> Column:

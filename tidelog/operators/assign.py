@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.functions.timestamps import days_between
-
 #: Rows up to which a table is sent to all tasks; larger ones are joined by shuffling.
 SMALL_ROWS = 200_000
 
@@ -16,37 +14,46 @@ def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def overlaps(b: Column, e: Column, start: Column, end: Column) -> Column:
-    """A closed range against a half-open window."""
-    return (b < end) & (e >= start)
-
-
-def by_day(df: DataFrame, first: Column, last: Column) -> DataFrame:
-    """A row for each day that the closed range touches: range joins become equal-day joins."""
-    return df.withColumn("join_day", F.explode(days_between(first, last)))
+def seconds_of(ts: Column) -> Column:
+    return F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
 
 
 def second_before(ts: Column) -> Column:
     return ts - F.expr("interval 1 second")
 
 
-def seconds_of(ts: Column) -> Column:
-    return F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
+def holding(points: DataFrame, at: str, ranges: DataFrame, start: str, end: str) -> DataFrame:
+    """Points joined with the ranges that may hold them: every range with start <= at <= end, and few others.
 
+    A range lies in one or two cells of the grid whose cells are just as long as it or up to four times, so a range of a year is as many
+    rows as one of a minute. A point has a cell in each grid in use, and meets there ranges of about that length only. There are
+    some fifteen grids between a second and a year; those in use are asked for first.
+    """
+    length = seconds_of(F.col(end)) - seconds_of(F.col(start)) + 1
+    placed = ranges.where(F.col(start) <= F.col(end)).withColumn("grid", F.ceil(F.length(F.bin(length)) / 2).cast("int") * 2)
+    cell = lambda ts: F.call_function("shiftright", seconds_of(ts), F.col("grid"))
+    placed = placed.withColumn("cell", F.explode(F.array_distinct(F.array(cell(F.col(start)), cell(F.col(end))))))
+    grids = [r.grid for r in placed.select("grid").distinct().orderBy("grid").collect()]  # a row a length class
+    spread = points.withColumn("grid", F.explode(F.array(*[F.lit(g) for g in grids]).cast("array<int>"))).withColumn("cell", cell(F.col(at)))
+    return spread.join(small(placed), ["grid", "cell"]).drop("grid", "cell")
 
-def assign_lines(lines: DataFrame, windows: DataFrame) -> DataFrame:
-    """Lines (eff_ts) to every window (package, log_start, log_end) that holds their time; adds `package`.
 
-    Windows lie in stretches of time as long as they are on average (a minute to a day), so that a line meets those near
-    it only, and the stretches of all windows are about twice as many as the windows.
+def overlapping(left: DataFrame, b: str, e: str, right: DataFrame, start: str, end: str) -> DataFrame:
+    """Closed ranges (b, e) joined with the half-open windows (start, end) that they overlap, each pair once.
+
+    Either the range begins in the window or the window behind it in the range: two joins of points with ranges, and no pair
+    is in both.
     """
+    left, right = left.where(F.col(b) <= F.col(e)), right.where(F.col(start) < F.col(end))
+    first = holding(left, b, right, start, end).where((F.col(b) >= F.col(start)) & (F.col(b) < F.col(end)))
+    second = holding(right, start, left, b, e).where((F.col(start) > F.col(b)) & (F.col(start) <= F.col(e)))
+    return first.unionByName(second)
+
+
+def assign_lines(lines: DataFrame, windows: DataFrame) -> DataFrame:
+    """Lines (eff_ts) to every window (package, log_start, log_end) that holds their time; adds `package`. Windows may be of any lengths."""
     ranges = windows.where("log_start < log_end").select("package", "log_start", "log_end")
-    mean = ranges.agg(F.avg(seconds_of(F.col("log_end")) - seconds_of(F.col("log_start")))).first()[0]
-    step = int(min(86_400, max(60, mean or 60)))
-    stretch = lambda ts: F.floor(seconds_of(ts) / step)
-    near = ranges.withColumn("stretch", F.explode(F.sequence(stretch(F.col("log_start")), stretch(second_before(F.col("log_end"))))))
-    dated = lines.withColumn("stretch", stretch(F.col("eff_ts")))
-    return dated.join(small(near), "stretch").where("eff_ts >= log_start and eff_ts < log_end").drop("stretch", "log_start", "log_end")
+    return holding(lines, "eff_ts", ranges, "log_start", "log_end").where("eff_ts >= log_start and eff_ts < log_end").drop("log_start", "log_end")
 
 
 def assign_lines_by_day(lines: DataFrame, windows: DataFrame) -> DataFrame:
@@ -56,10 +63,9 @@ def assign_lines_by_day(lines: DataFrame, windows: DataFrame) -> DataFrame:
 
 
 def attach(windows: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Distinct (package, file_id) of ranges (file_id, b, e) that overlap a window."""
-    w = by_day(windows.select("package", "start_ts", "end_ts"), F.col("start_ts"), second_before(F.col("end_ts")))
-    r = by_day(ranges.select("file_id", "b", "e"), F.col("b"), F.col("e"))
-    return r.join(small(w), "join_day").where(overlaps(F.col("b"), F.col("e"), F.col("start_ts"), F.col("end_ts"))).select("package", "file_id").distinct()
+    """(package, file_id) of ranges (file_id, b, e) that overlap a window, once for a file of several ranges."""
+    met = overlapping(ranges.select("file_id", "b", "e"), "b", "e", windows.select("package", "start_ts", "end_ts"), "start_ts", "end_ts")
+    return met.select("package", "file_id").distinct()
 
 
 def report_ranges(reports: DataFrame) -> DataFrame:
@@ -77,9 +83,7 @@ def attach_reports(windows: DataFrame, reports: DataFrame) -> DataFrame:
 def unmatched_reports(windows: DataFrame, reports: DataFrame) -> DataFrame:
     """Periods (file_id, b, e) that overlap no window."""
     ranges = report_ranges(reports)
-    w = by_day(windows.select("start_ts", "end_ts"), F.col("start_ts"), second_before(F.col("end_ts")))
-    r = by_day(ranges, F.col("b"), F.col("e"))
-    hit = r.join(small(w), "join_day").where(overlaps(F.col("b"), F.col("e"), F.col("start_ts"), F.col("end_ts"))).select("file_id", "b", "e").distinct()
+    hit = overlapping(ranges, "b", "e", windows.select("start_ts", "end_ts"), "start_ts", "end_ts").select("file_id", "b", "e").distinct()
     return ranges.join(hit, ["file_id", "b", "e"], "left_anti")
 
 
@@ -96,10 +100,9 @@ def attach_others(windows: DataFrame, files: DataFrame) -> DataFrame:
 
 def has_log_candidates(windows: DataFrame, logs: DataFrame) -> DataFrame:
     """Windows whose log range overlaps the first and last time of some log."""
-    w = by_day(windows, F.col("log_start"), second_before(F.col("log_end")))
-    r = by_day(logs.select("first_ts", "last_ts"), F.col("first_ts"), F.col("last_ts")).withColumnRenamed("join_day", "log_day")
-    met = (F.col("join_day") == F.col("log_day")) & overlaps(F.col("first_ts"), F.col("last_ts"), F.col("log_start"), F.col("log_end"))
-    return w.join(r, met, "left_semi").drop("join_day").distinct()
+    ranges = windows.select("package", "log_start", "log_end")
+    met = overlapping(logs.select("first_ts", "last_ts").distinct(), "first_ts", "last_ts", ranges, "log_start", "log_end")
+    return windows.join(met.select("package").distinct(), "package", "left_semi")
 
 
 def require_logs(windows: DataFrame, slices: DataFrame, window_reports: DataFrame, required: bool = True) -> DataFrame:

@@ -30,8 +30,7 @@ def packed_sha256(contents):
     def one(body):
         digest = hashlib.sha256()
         try:
-            stream = S.opened(body)
-            while chunk := stream.read(S.CHUNK_BYTES):
+            for chunk in S.chunks_of(S.stream_of("", body)[0]):
                 digest.update(chunk)
             return digest.hexdigest()
         except (OSError, EOFError, lzma.LZMAError, zlib.error):
@@ -47,47 +46,53 @@ def content_hash(files: DataFrame) -> DataFrame:
     return plain.unionByName(files.where(packed).withColumn("sha256", packed_sha256("content")))
 
 
-def timed_lines(spark: SparkSession, logs: DataFrame) -> DataFrame:
-    """file_id, block_start, mid, raw, error of logs (file_id, path, content, inside)."""
-    return S.file_lines(spark, logs).join(logs.select("file_id", "path"), "path").drop("path")
+def timed_lines(logs: DataFrame, split_bytes: int = S.SPLIT_BYTES) -> DataFrame:
+    """file_id, block_start, mid, raw, error of logs (file_id, path, size, content)."""
+    return S.file_lines(logs, split_bytes).join(logs.select("file_id", "path"), "path").drop("path")
 
 
-def analyse(files: DataFrame, overrides: DataFrame | None = None, version: str = VERSION) -> DataFrame:
-    """Catalog rows of files (file_id, path, root, rel, size, mtime, content, inside); `overrides`: path, override.
+def analyse(files: DataFrame, overrides: DataFrame | None = None, version: str = VERSION, split_bytes: int = S.SPLIT_BYTES) -> DataFrame:
+    """Catalog rows of files (file_id, path, root, rel, size, mtime, content); `overrides`: path, override.
 
-    `content` is NULL for files too large to be one row (`with_content`); they are read as lines. `inside` marks members of
-    archives, which only their content holds. Each category has its own pass: reports by their text, logs by their lines,
-    other files by all times in their content, name and file time. A file that can't be read to its end becomes a row with
-    an error and no times.
+    `content` is that of members of archives, NULL for others, which are opened by their path. One pass gives packing, head
+    and digest of all; then each category has its own: reports by their first bytes, logs by their lines, other files by all times in
+    their content, name and file time. A file that can't be read to its end becomes a row with an error and no times. Results
+    don't depend on `split_bytes`.
     """
     spark = files.sparkSession
     given = overrides.select("path", "override") if overrides is not None else files.select("path").limit(0).withColumn("override", F.lit(None).cast("string"))
-    base = S.read_head(spark, files, C.REPORT_BYTES).join(given, "path", "left").withColumn("name", F.element_at(F.split("rel", "/"), -1)).withColumn("sniff", C.latin(F.col("head")))
+    base = S.examined(files, split_bytes).drop("content").join(given, "path", "left").withColumn("name", F.element_at(F.split("rel", "/"), -1)).withColumn("sniff", C.latin(F.col("head")))
     base = base.withColumn("detected", C.classify(F.col("name"), F.col("sniff"))).withColumn("category", C.effective_category(F.col("override"), F.col("detected")))
-    base = base.withColumn("kind", C.content_kind(F.col("head"), F.col("name"))).withColumn("report_type", C.report_type(F.col("sniff"))).drop("sniff")
-    facts = written(content_hash(base).withColumn("version", F.lit(version)).withColumn("large", F.col("content").isNull()).withColumn("head", F.when(F.col("category") == "awr", F.col("head"))).drop("content"))
+    base = base.withColumn("kind", C.content_kind(F.col("head"), F.col("name"))).withColumn("report_type", C.report_type(F.col("sniff"))).drop("sniff", "head")
+    facts = written(base.withColumnRenamed("digest", "sha256").withColumn("version", F.lit(version)))
     common = ["file_id", "path", "root", "rel", "size", "mtime", "detected", "override", "category", "sha256", "version"]
 
-    reports = facts.where("category = 'awr'").withColumn("text", C.report_text(F.col("head").cast("string")))
+    def of(rows: DataFrame, *columns: str) -> DataFrame:
+        """Files of some facts, to be read."""
+        return files.select("file_id", "path", "size", "content").join(rows.select("path", "packing", *columns), "path")
+
+    reports = facts.where("category = 'awr'")
+    reports = reports.join(S.heads(of(reports), C.REPORT_BYTES), "path").withColumn("text", C.report_text(F.col("head").cast("string")))
     reports = parse_reports(reports.select(*common, "report_type", "text")).withColumnsRenamed({"begin": "first_ts", "end": "last_ts"}).drop("text")
     reports = reports.withColumn("error", K.scan_errors(F.col("category"), F.lit(0), F.lit(0), F.col("first_ts"), F.col("last_ts")))
 
-    logs = files.join(facts.where(F.col("category").isin(*C.LOGS)).select("path", "large"), "path")
-    read = written(timed_lines(spark, logs))  # lines of logs only, once for errors, heads, whole lines and large files' hashes
+    logs = facts.where(F.col("category").isin(*C.LOGS))
+    read = written(timed_lines(of(logs), split_bytes))  # lines of logs only, once for errors, heads and whole lines
     damaged = written(read.where("error is not null").groupBy("file_id").agg(F.max("error").alias("damage")))
     sound = read.where("error is null").drop("error").join(damaged, "file_id", "left_anti")
     timed = written(L.analysed(sound, "file_id"))
     stats = L.log_stats(timed, "file_id").join(timed.select("file_id", "ts_mode").distinct(), "file_id")
-    large = L.fingerprint(sound.join(logs.where("large").select("file_id"), "file_id", "left_semi"), "file_id")
-    logs = facts.where(F.col("category").isin(*C.LOGS)).select(*common).join(stats, "file_id", "left").join(damaged, "file_id", "left").join(large, "file_id", "left")
-    logs = logs.withColumn("lines", F.coalesce("lines", F.lit(0).cast("long"))).withColumn("sha256", F.coalesce("sha256", F.concat(F.lit("lines:"), "fingerprint")))
+    logs = logs.select(*common).join(stats, "file_id", "left").join(damaged, "file_id", "left").withColumn("lines", F.coalesce("lines", F.lit(0).cast("long")))
     logs = logs.withColumn("error", F.coalesce("damage", K.scan_errors(F.col("category"), F.col("lines"), F.col("stamped_lines"), F.lit(None), F.lit(None))))
 
     unknown = facts.where("category = 'unknown'")
-    others = files.join(unknown.select("path", "kind", "name"), "path")
-    text = S.file_lines(spark, others.where("kind = 'text'")).select("path", "raw", "error")
-    strings = others.where("kind = 'binary'").select("path", F.explode(packed.binary_strings(F.col("content"))).alias("raw"), F.lit(None).cast("string").alias("error"))
-    rows = text.unionByName(strings).unionByName(packed.office_lines(others.where("kind = 'office'"))).unionByName(packed.pdf_lines(others.where("kind = 'pdf'")))
+    others = of(unknown, "kind", "name")
+    text = S.file_lines(others.where("kind = 'text'"), split_bytes).select("path", "raw", "error")
+    binary = written(S.binary_parts(others.where("kind = 'binary'")))
+    strings = binary.select("path", F.explode_outer(packed.binary_strings(F.col("content"))).alias("raw"), "error").where("raw is not null or error is not null")
+    rows = text.unionByName(strings)
+    for kind, lines in (("office", packed.office_lines), ("pdf", packed.pdf_lines)):
+        rows = rows.unionByName(lines(S.with_content(others.where(F.col("kind") == kind))))
     points = written(intervals.content_points(rows.where("error is null")).withColumn("error", F.lit(None).cast("string")).unionByName(rows.where("error is not null").select("path", F.lit(None).cast("timestamp_ntz").alias("b"), F.lit(None).cast("timestamp_ntz").alias("e"), "error")))
     found = intervals.content_stats(points.where("error is null").drop("error")).select("path", "intervals", F.col("stamps").alias("stamp_count"))
     broken = points.where("error is not null").groupBy("path").agg(F.max("error").alias("broken"))
@@ -105,8 +110,9 @@ def analyse(files: DataFrame, overrides: DataFrame | None = None, version: str =
 
 def affected_windows(plan: Plan, changed: DataFrame, existing: DataFrame) -> DataFrame:
     """Planned windows that have no package yet, or whose window or log days hold a changed day."""
-    days = F.array_union(T.days_between(F.col("start_ts"), assign.second_before(F.col("end_ts"))), T.days_between(F.col("log_start"), assign.second_before(F.col("log_end"))))
-    touched = plan.windows.select("package", F.explode(days).alias("day")).join(changed.select("day"), "day", "left_semi").select("package")
+    days = changed.select(F.col("day").cast("timestamp_ntz").alias("b"), (F.date_add("day", 1).cast("timestamp_ntz") - F.expr("interval 1 second")).alias("e")).distinct()
+    ranges = plan.windows.select("package", "start_ts", "end_ts").unionByName(plan.windows.select("package", F.col("log_start").alias("start_ts"), F.col("log_end").alias("end_ts")))
+    touched = assign.overlapping(days, "b", "e", ranges, "start_ts", "end_ts").select("package")
     missing = plan.windows.join(existing.select("package"), "package", "left_anti").select("package")
     return plan.windows.join(touched.unionByName(missing).distinct(), "package", "left_semi")
 

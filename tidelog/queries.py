@@ -57,9 +57,8 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def t_parse_layouts(spark, sf_dir):
     """Each event's time in one of six layouts, parsed back; the layout is the first that fits."""
     rows = events(spark, sf_dir).select("event_id", synth.layout_text(F.col("ts"), F.col("event_id") % 6).alias("raw"))
-    one = rows.select("event_id", "raw", *[T.first_of(F.col("raw"), x).alias(x.name) for x in T.LAYOUTS])
-    layout = F.coalesce(*[F.when(F.col(x.name).isNotNull(), x.name) for x in T.LAYOUTS])
-    return one.select("event_id", layout.alias("layout"), text(T.parse_text(F.col("raw"))).alias("ts"))
+    found = rows.select("event_id", F.inline_outer(F.array(T.first_stamp(F.col("raw")))))
+    return found.select("event_id", "layout", text("ts").alias("ts"))
 
 
 @query(f"SELECT event_id, {SEC.format("date_trunc('minute', ts)")} AS ts FROM events")
@@ -86,7 +85,8 @@ def t_find_all(spark, sf_dir):
     raw = F.concat(
         F.lit("x="), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" and "), F.date_format("ts", "dd.MM.yyyy HH:mm"), F.lit("; due "), F.date_format(F.col("ts") + F.expr("interval 1 day"), "yyyy-MM-dd"), F.lit("; 2026-02-30 10:00:00; 1999-01-01 00:00:00")
     )
-    rows = events(spark, sf_dir).select("event_id", T.find_stamps(raw).alias("s"), T.find_dates(raw).alias("d"))
+    lines = events(spark, sf_dir).select("event_id", raw.alias("raw"))
+    rows = lines.select("event_id", F.inline(F.array(F.struct(T.find_stamps(F.col("raw")).alias("s"), T.find_dates(F.col("raw")).alias("d")))))
     return rows.select("event_id", F.size("s").alias("n_stamps"), F.size("d").alias("n_dates"), text(F.col("s")[0]).alias("first_stamp"), text(F.element_at("s", -1)).alias("last_stamp"), F.to_date(F.col("d")[0]).cast("string").alias("the_date"))
 
 
@@ -361,6 +361,36 @@ def j_assign_lines(spark, sf_dir):
     return L.slice_stats(cut, ["package", "path"]).select("package", "path", "lines", text("from_ts").alias("from_ts"), text("to_ts").alias("to_ts"))
 
 
+def mixed_windows(e: DataFrame) -> DataFrame:
+    """A window an error event: of a minute, ten minutes, an hour or a day by its number, and every hundredth of a year."""
+    n, ts = F.col("event_id"), F.date_trunc("second", "ts").cast("timestamp_ntz")
+    end = F.when(n % 100 == 0, ts + F.expr("interval 1 year"))
+    for k, length in enumerate(("1 minute", "10 minutes", "1 hour", "1 day")):
+        end = end.when(n % 4 == k, ts + F.expr(f"interval {length}"))
+    return e.where("event_type = 'error'").select(F.concat(F.lit("PKG_"), n.cast("string")).alias("package"), ts.alias("start_ts"), end.alias("end_ts"), ts.alias("log_start"), end.alias("log_end"))
+
+
+RANGES = """r AS (SELECT CAST(user_id * 1000 + dayofyear(ts) AS BIGINT) AS file_id, user_id % 3 AS k, date_trunc('second', min(ts)) AS b, date_trunc('second', max(ts)) AS e FROM events GROUP BY 1, 2),
+    p AS (SELECT file_id, b, e FROM r WHERE k <> 0 UNION ALL SELECT file_id, b, b FROM r WHERE k = 0 UNION ALL SELECT file_id, e, e FROM r WHERE k = 0)"""
+MIXED = """m AS (SELECT 'PKG_' || event_id AS package, date_trunc('second', ts) AS a, date_trunc('second', ts) + CASE WHEN event_id % 100 = 0 THEN INTERVAL 1 YEAR WHEN event_id % 4 = 0 THEN INTERVAL 1 MINUTE
+    WHEN event_id % 4 = 1 THEN INTERVAL 10 MINUTE WHEN event_id % 4 = 2 THEN INTERVAL 1 HOUR ELSE INTERVAL 1 DAY END AS z FROM events WHERE event_type = 'error')"""
+
+
+@query(FILLED + f", {MIXED} SELECT m.package, count(*) AS lines, {SEC.format('min(eff)')} AS first_ts, {SEC.format('max(eff)')} AS last_ts FROM filled JOIN m ON eff >= a AND eff < z GROUP BY 1")
+def j_assign_mixed(spark, sf_dir):
+    """J1 with windows from a minute to a year."""
+    e = events(spark, sf_dir)
+    cut = assign.assign_lines(L.fill_forward(user_lines(spark, sf_dir)).select("eff_ts"), mixed_windows(e))
+    return cut.groupBy("package").agg(F.count(F.lit(1)).alias("lines"), text(F.min("eff_ts")).alias("first_ts"), text(F.max("eff_ts")).alias("last_ts"))
+
+
+@query(f"WITH {MIXED}, {RANGES} SELECT DISTINCT package, file_id FROM m JOIN p ON b < z AND e >= a")
+def j_attach_mixed(spark, sf_dir):
+    """J3 with windows from a minute to a year and ranges of seconds to hours."""
+    e = events(spark, sf_dir)
+    return assign.attach_reports(mixed_windows(e), user_ranges(e))
+
+
 @query(FILLED + f"SELECT 'PKG_' || strftime(eff, '%Y-%m-%d') AS package, 'user-' || user_id || '.log' AS path, count(*) AS lines, {SEC.format('arg_min(eff, event_id)')} AS from_ts, {SEC.format('arg_max(eff, event_id)')} AS to_ts FROM filled GROUP BY 1, 2")
 def j_assign_by_day(spark, sf_dir):
     """Lines to the window of their day."""
@@ -379,8 +409,6 @@ def user_ranges(e: DataFrame) -> DataFrame:
     return g.select("file_id", "first_ts", "last_ts", ranges.alias("periods"), ranges.alias("intervals"))
 
 
-RANGES = """r AS (SELECT CAST(user_id * 1000 + dayofyear(ts) AS BIGINT) AS file_id, user_id % 3 AS k, date_trunc('second', min(ts)) AS b, date_trunc('second', max(ts)) AS e FROM events GROUP BY 1, 2),
-    p AS (SELECT file_id, b, e FROM r WHERE k <> 0 UNION ALL SELECT file_id, b, b FROM r WHERE k = 0 UNION ALL SELECT file_id, e, e FROM r WHERE k = 0)"""
 
 
 @query(f"WITH {WINDOWS}, {RANGES} SELECT DISTINCT package, file_id FROM w JOIN p ON b < z AND e >= a")
