@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.functions import timestamps as T
+from tidelog.tables import written
 
 GAP_SECONDS, MOST_INTERVALS, LINE_BYTES = 600, 500, 1_000_000
 
@@ -23,30 +24,60 @@ def merge_intervals(points: DataFrame, keys: list[str], gap_seconds: int = GAP_S
 
     Distinct points are taken first, so a file counts at most its different minutes and days.
     """
-    return _merged(points.select(*keys, "b", "e").distinct(), keys, F.lit(gap_seconds)).drop("gap_before")
+    return _merged(points.select(*keys, "b", "e").distinct(), keys, F.lit(gap_seconds)).select(*keys, "b", "e")
 
 
 def _merged(points: DataFrame, keys: list[str], gap) -> DataFrame:
-    order = Window.partitionBy(*keys).orderBy("b", "e")
-    top = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    off = F.timestamp_diff("SECOND", F.col("top"), F.col("b"))
-    marked = points.withColumn("top", top).withColumn("off", off).withColumn("new", (F.col("top").isNull() | (F.col("off") > gap)).cast("int"))
-    grouped = marked.withColumn("island", F.sum("new").over(order))
-    return grouped.groupBy(*keys, "island").agg(F.min("b").alias("b"), F.max("e").alias("e"), F.max(F.when(F.col("new") == 1, F.col("off"))).alias("gap_before")).drop("island")
+    """Islands (keys, b, e, gap_before) of points; `gap` is a number or a column of the key.
+
+    Points are dealt by range of key and begin, so that a key may fill any number of parts in a row. Each part says how far
+    its points of a key reach, and a row a part and key carries that on to later parts. So every point learns the
+    largest end before it; islands begin where that lies further back than the gap, and are numbered in the same two steps.
+    """
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    gapped = points.withColumn("gap", gap)
+    dealt = written(gapped.repartitionByRange(parts, *keys, "b", "e").withColumn("place_part", F.spark_partition_id()))
+    inside = Window.partitionBy(*keys, "place_part").orderBy("b", "e")
+    before = inside.rowsBetween(Window.unboundedPreceding, -1)
+    across = Window.partitionBy(*keys).orderBy("place_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a part and key
+    reach = dealt.groupBy(*keys, "place_part").agg(F.max("e").alias("reach")).withColumn("reached", F.max("reach").over(across)).drop("reach")
+    top = F.greatest(F.max("e").over(before), F.col("reached"))
+    marked = _carried(dealt, reach, keys).withColumn("top", top).withColumn("off", F.timestamp_diff("SECOND", F.col("top"), F.col("b")))
+    marked = marked.withColumn("new", (F.col("top").isNull() | (F.col("off") > F.col("gap"))).cast("long"))
+    local = written(marked.withColumn("nth", F.sum("new").over(inside)).groupBy(*keys, "place_part", "nth").agg(F.min("b").alias("b"), F.max("e").alias("e"), F.max(F.when(F.col("new") == 1, F.col("off"))).alias("gap_before")))
+    number = local.groupBy(*keys, "place_part").agg(F.max("nth").alias("count")).withColumn("islands_before", F.coalesce(F.sum("count").over(across), F.lit(0))).drop("count")
+    numbered = _carried(local, number, keys).withColumn("island", F.col("nth") + F.col("islands_before"))
+    return numbered.groupBy(*keys, "island").agg(F.min("b").alias("b"), F.max("e").alias("e"), F.max("gap_before").alias("gap_before")).drop("island")
+
+
+def _carried(rows: DataFrame, of_parts: DataFrame, keys: list[str]) -> DataFrame:
+    """`rows` with what is known of their part and key (null keys are keys too)."""
+    named = of_parts.withColumnsRenamed({c: f"of_{c}" for c in (*keys, "place_part")})
+    same = F.lit(True)
+    for c in (*keys, "place_part"):
+        same &= F.col(c).eqNullSafe(F.col(f"of_{c}"))
+    return rows.join(named, same).drop(*[f"of_{c}" for c in (*keys, "place_part")])
 
 
 def cap_intervals(points: DataFrame, keys: list[str], gap_seconds: int = GAP_SECONDS, most: int = MOST_INTERVALS) -> DataFrame:
     """As `merge_intervals`, with the gap doubled until no key has more than `most` stretches.
 
-    Merging again with a doubled gap equals merging all points with it, so the gap follows from the `most`-th largest
-    distance between neighbours: the first doubling that reaches it. No loop.
+    Merging again with a doubled gap equals merging all points with it, so the gap follows from the distances between
+    neighbours: it is the first doubling that fewer than `most` of them exceed. They are counted by doublings, forty numbers a key.
     """
-    base = _merged(points.select(*keys, "b", "e").distinct(), keys, F.lit(gap_seconds))
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc_nulls_last("gap_before")))
-    widest = base.withColumn("rank", rank).where((F.col("rank") == most) & F.col("gap_before").isNotNull()).select(*keys, F.col("gap_before").alias("d"))
-    doublings = F.transform(F.sequence(F.lit(1), F.lit(40)), lambda k: F.lit(gap_seconds).cast("long") * F.pow(F.lit(2), k).cast("long"))
-    gap = F.coalesce(F.get(F.filter(doublings, lambda g: g >= F.col("d")), F.lit(0)), F.lit(gap_seconds))
-    return _merged(base.drop("gap_before").join(widest, keys, "left").withColumn("gap", gap), keys, F.col("gap")).drop("gap_before")
+    base = written(_merged(points.select(*keys, "b", "e").distinct(), keys, F.lit(gap_seconds).cast("long")))
+    doublings = [gap_seconds * 2**k for k in range(41)]
+    beyond = base.groupBy(*keys).agg(*[F.count_if(F.col("gap_before") > g).alias(f"n{k}") for k, g in enumerate(doublings)])
+    fits = F.coalesce(*[F.when(F.col(f"n{k}") < most, F.lit(g).cast("long")) for k, g in enumerate(doublings)])
+    wide = beyond.select(*keys, fits.alias("gap")).withColumnsRenamed({c: f"of_{c}" for c in keys}).where(F.col("gap") > gap_seconds)
+    same = F.lit(True)
+    for c in keys:
+        same &= F.col(c).eqNullSafe(F.col(f"of_{c}"))
+    crowded = written(base.join(wide, same).drop(*[f"of_{c}" for c in keys], "gap_before"))
+    rest = base.join(wide, same, "left_anti").select(*keys, "b", "e")
+    if crowded.isEmpty():
+        return rest
+    return rest.unionByName(_merged(crowded, keys, F.col("gap")).select(*keys, "b", "e"))
 
 
 def content_stats(points: DataFrame, file: str = "path") -> DataFrame:
