@@ -322,3 +322,82 @@ def test_stream_keeps_packages_current(spark, collection, tmp_path):
             assert have(of) == []
             put(name, ACCESS)
     assert have(of) == [AWR_PACKAGE]
+
+
+def test_a_job_that_dies_is_made_up_for(spark, collection, monkeypatch, tmp_path):
+    """Failures behind the scan, while lines are written and before publishing: old packages stay whole, and the next run, or the stream's, ends as if nothing had failed."""
+    make, put, have = collection
+    of = make()
+    put("db/awr_1.html", REPORT)
+    put("web/access.log", ACCESS)
+    jobs.refreshed(spark, of)
+
+    def lines():
+        return entry_bytes(spark, of, AWR_PACKAGE, "access/web/access.log")
+
+    text = ACCESS
+    build, publish, written_ = jobs.build, jobs.publish, packages.manifest
+    for n, (module, name) in enumerate([(jobs, "build"), (packages, "manifest"), (jobs, "publish")]):
+        before, text = lines(), text + f'h - - [27/Sep/2026:10:{20 + n}:00 +0200] "GET / HTTP/1.1" 200 1\n'
+        put("web/access.log", text)
+
+        def fail(*args, **kwargs):
+            raise RuntimeError("lost")
+
+        with monkeypatch.context() as patched:
+            patched.setattr(module, name, fail)
+            if name == "manifest":  # lines are written already; the stream's batch fails
+                with pytest.raises(Exception, match="lost"):
+                    ingest.keep_current(spark, of, str(tmp_path / "ck")).awaitTermination()
+            else:
+                with pytest.raises(RuntimeError):
+                    jobs.refreshed(spark, of)
+        assert lines() == before and have(of) == [AWR_PACKAGE] and not jobs.pending_days(spark, of).isEmpty()
+        if name == "manifest":
+            ingest.keep_current(spark, of, str(tmp_path / "ck")).awaitTermination()
+        else:
+            again = jobs.refreshed(spark, of)
+            assert (again["new"], again["built"]) == (0, 1)
+        assert lines() == [x.encode() for x in text.splitlines()[2:] if ":10:" in x] and jobs.pending_days(spark, of).isEmpty()
+    assert (build, publish, written_) == (jobs.build, jobs.publish, packages.manifest)
+    builds = {p.name for p in (tmp_path / "out/lines").glob("build=*")}
+    assert len(builds) <= 2  # what nobody reads is deleted
+
+
+def test_files_of_any_size_give_the_same(spark, tmp_path):
+    """Plain, compressed, misnamed and cut-off files, empty ones and such whose names begin with _, at every size of split."""
+    body = b"".join(b"2026-09-27 10:%02d:%02d line %d\xff\r\n" % (n // 60 % 60, n % 60, n) for n in range(4000)) + b"last without an end"
+    files = {"plain.log": body, "_x.log": b"2026-09-27 10:00:00 x\n\n\n", "a.xz": lzma.compress(body), "b.log": gzip.compress(body), "c.bz2": bz2.compress(body), "cut.gz": gzip.compress(body)[:-3000], "empty.log": b"", "ends.log": b"\n" * 5}
+    (tmp_path / "in/deep/er").mkdir(parents=True)
+    for n, (name, content) in enumerate(files.items()):
+        (tmp_path / ("in/deep/er" if n % 2 else "in") / name).write_bytes(content)
+    listed = S.list_files(spark, {"in": str(tmp_path / "in")})
+    assert sorted(r.rel.rsplit("/", 1)[-1] for r in listed.collect()) == sorted(files)
+    want = {n: c.split(b"\n") if not c.endswith(b"\n") else c.split(b"\n")[:-1] for n, c in (files | {"a.xz": body, "b.log": body, "c.bz2": body, "empty.log": b""}).items()}
+    facts = []
+    for size in (1, 37, 5000, 1 << 26):
+        found = {}
+        if size > 1:
+            for r in S.file_lines(listed.where("rel not like '%empty%'") if size < 100 else listed, size).select("path", "block_start", "mid", F.col("raw").cast("binary").alias("raw"), "error").collect():
+                found.setdefault(r.path.rsplit("/", 1)[-1], []).append((r.block_start, r.mid, bytes(r.raw) if r.raw is not None else None, r.error))
+            for name in set(files) - {"empty.log", "cut.gz"}:
+                assert [x[2] for x in sorted(found[name], key=lambda x: x[:2])] == want[name], (name, size)
+            cut = sorted(found["cut.gz"], key=lambda x: x[:2])
+            assert cut[-1][2] is None and "EOFError" in cut[-1][3] and [x[2] for x in cut[:-1]] == body.split(b"\n")[: len(cut) - 1]
+        facts.append({r.rel.rsplit("/", 1)[-1]: (r.packing, bytes(r.head or b""), r.digest, (r.read_error or "")[:8]) for r in S.examined(listed, size).collect()})
+    assert all(f == facts[0] for f in facts)
+    one = facts[0]
+    assert len({one[n][2] for n in ("plain.log", "a.xz", "b.log", "c.bz2")}) == 1 and one["cut.gz"][2:] == (None, "EOFError") and one["b.log"][0] == "gz"
+
+
+def test_digests_of_several_blocks(spark, tmp_path, monkeypatch):
+    """A file of several blocks has one digest, plain or compressed, read by one task or many."""
+    body = bytes(range(256)) * 40_000
+    (tmp_path / "a.bin").write_bytes(body)
+    (tmp_path / "b.gz").write_bytes(gzip.compress(body, 1))
+    (tmp_path / "c.bin").write_bytes(body[:-1] + b"x")
+    listed = S.list_files(spark, {"in": str(tmp_path)})
+    found = [{r.rel: r.digest for r in S.examined(listed, size).collect()} for size in (1 << 22, 1 << 26)]
+    assert found[0] == found[1] and found[0]["a.bin"] == found[0]["b.gz"] != found[0]["c.bin"]
+    whole = b"".join(r.content for r in sorted(S.parts(listed.where("rel = 'a.bin'"), 1 << 20).collect(), key=lambda r: r.part))
+    assert whole == body
