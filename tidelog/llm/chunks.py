@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidelog.llm.bloom import filter_of
 from tidelog.llm.vec import LOWER, U64, mixed, pieces, span_hashes, words
-from tidelog.tables import dropped, written
+from tidelog.tables import written
 
 #: Words that the gear hash looks back on, and gear values of which the least makes a cut.
 GEAR_WORDS, NEAR = 4, 8
@@ -103,30 +103,62 @@ def window_hashes(hashes: np.ndarray, at: np.ndarray, size: int) -> tuple[np.nda
 
 
 def content_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, h, doc, text of the rows that have a text: `h` tells texts of one id apart, `doc` tells documents apart.
+    """id, h, h2, doc, text of the rows that have a text: `h` and `h2` tell texts apart, `doc` documents.
 
     A row without an id is a document of its own, one with another such row only if their texts are equal.
     """
-    own = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("h"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
-    return own.select("id", "h", F.when(F.col("id").isNull(), F.col("h")).otherwise(F.xxhash64("id")).alias("doc"), "text")
+    text = F.col(f"`{text_col}`")
+    own = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("h2"), text.alias("text")).where("text is not null")
+    return own.select("id", "h", "h2", F.when(F.col("id").isNull(), F.col("h")).otherwise(F.xxhash64("id")).alias("doc"), "text")
+
+
+def repeated(texts: DataFrame, found: Broadcast, inside: bool) -> DataFrame:
+    """Rows whose hash of the text passes the filter, or the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = found.value.holds(batch.column("h").to_numpy().view(np.uint64))
+            if (held == inside).any():
+                yield batch.filter(pa.array(held == inside))
+
+    return texts.mapInArrow(run, texts.schema)
+
+
+def once_each(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Each distinct text once, as the document that keeps it; those of them that several rows may hold; and the rows of these.
+
+    The columns are those of `content_keys` and last_id, nameless (the hash, if a row without an id holds the text), last_doc,
+    m (rows) and several (documents). Only texts whose hash occurs again are dealt out, and grouped by all their bytes.
+    """
+    again = texts.groupBy("h").count().where("count > 1").select("h")
+    found = filter_of(written(again))
+    nameless = F.when(F.col("id").isNull(), F.col("h"))
+    alone = repeated(texts, found, False).withColumns({"last_id": F.col("id"), "nameless": nameless, "last_doc": F.col("doc"), "m": F.lit(1).cast("long"), "several": F.lit(False)})
+    rows = repeated(texts, found, True)
+    grouped = rows.groupBy("text").agg(
+        F.min("id").alias("id"), F.max("id").alias("last_id"), F.min(nameless).alias("nameless"), F.min("h").alias("h"), F.min("h2").alias("h2"), F.min("doc").alias("doc"), F.max("doc").alias("last_doc"), F.count(F.lit(1)).alias("m")
+    )
+    several = (F.col("id") != F.col("last_id")) | (F.col("id").isNotNull() & F.col("nameless").isNotNull())
+    heads = written(grouped.withColumn("several", F.coalesce(several, F.lit(False))).select(*alone.columns))
+    return alone.unionByName(heads), heads, rows.select("id", "h", "h2", "doc")
 
 
 def all_seeds(texts: DataFrame, most_words: int) -> DataFrame:
-    """(digest, doc) of all seeds."""
+    """(digest, doc, last_doc) of all seeds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in pieces(batch, "text"):
                 hashes, _, _, bounds = hashed_words(data, offsets)
                 starts, _, digest = seeds(hashes, bounds, most_words)
-                doc = part.column("doc").to_numpy()[np.searchsorted(bounds, starts, "right") - 1]
-                yield pa.RecordBatch.from_arrays([pa.array(digest.view(np.int64)), pa.array(doc)], ["digest", "doc"])
+                text = np.searchsorted(bounds, starts, "right") - 1
+                yield pa.RecordBatch.from_arrays([pa.array(digest.view(np.int64)), *(pa.array(part.column(c).to_numpy()[text]) for c in ("doc", "last_doc"))], ["digest", "doc", "last_doc"])
 
-    return texts.mapInArrow(run, "digest long, doc long")
+    return texts.select("doc", "last_doc", "text").mapInArrow(run, "digest long, doc long, last_doc long")
 
 
 def windows_near(texts: DataFrame, shared: Broadcast, size: int) -> DataFrame:
-    """(id, h, w, w2, at, start, stop) of every window of `size` words around a seed that passes the filter: 96 bits of two
+    """(id, h, last_id, nameless, m, several, w, w2, at, start, stop) of every window of `size` words around a seed that passes the filter: 96 bits of two
     hashes of its words, its place in words, and in code points."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,11 +183,12 @@ def windows_near(texts: DataFrame, shared: Broadcast, size: int) -> DataFrame:
                 base = points[offsets[text]]
                 whole = lambda x: pa.array(x.astype(np.int32))
                 rows = pa.array(text)
-                arrays = [part.column("id").take(rows), part.column("h").take(rows), pa.array(w.view(np.int64)), pa.array((w2 >> U64(32)).astype(np.uint32).view(np.int32)), whole(at - bounds[text]), whole(points[starts[at]] - base), whole(points[ends[at + size - 1]] - base)]
-                yield pa.RecordBatch.from_arrays(arrays, ["id", "h", "w", "w2", "at", "start", "stop"])
+                arrays = [*(part.column(c).take(rows) for c in names), pa.array(w.view(np.int64)), pa.array((w2 >> U64(32)).astype(np.uint32).view(np.int32)), whole(at - bounds[text]), whole(points[starts[at]] - base), whole(points[ends[at + size - 1]] - base)]
+                yield pa.RecordBatch.from_arrays(arrays, [*names, "w", "w2", "at", "start", "stop"])
 
     kind = texts.schema["id"].dataType.simpleString()
-    return texts.mapInArrow(run, f"id {kind}, h long, w long, w2 int, at int, start int, stop int")
+    names = ["id", "h", "last_id", "nameless", "m", "several"]
+    return texts.select(*names, "text").mapInArrow(run, f"id {kind}, h long, last_id {kind}, nameless long, m long, several boolean, w long, w2 int, at int, start int, stop int")
 
 
 def repeated_passages(docs: DataFrame, least_passage: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -176,29 +209,74 @@ def repeated_passages(docs: DataFrame, least_passage: int = 50, id_col: str = "d
     if seed_words(least_passage) < NEAR:
         raise ValueError(f"least_passage is too small: {least_passage}")
     texts = content_keys(docs, id_col, text_col)
+    distinct, heads, rows = once_each(texts)
+    counts = all_seeds(distinct, seed_words(least_passage)).groupBy("digest").agg(F.min("doc").alias("a"), F.max("last_doc").alias("b"), F.count(F.lit(1)).alias("n"))
+    shared = written(counts.where("n > 1 and a <> b").select("digest"))  # a text's own copies alone need no comparison
     named = texts.where("id is not null").select("id", "h")
     unique = named.groupBy("id").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").isEmpty()
-    if unique:  # then an id says which text it is, and rows needn't carry a hash of it
-        texts = texts.withColumn("h", F.when(F.col("id").isNull(), F.col("h")).otherwise(0))
-    shared = written(all_seeds(texts, seed_words(least_passage)).groupBy("digest").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a <> b").select("digest"))
-    near = windows_near(texts, filter_of(shared), least_passage)  # read twice, for counts and places; cheaper than a table of it
-    dropped(shared)
-    nameless = F.when(F.col("id").isNull(), F.col("h"))
-    counts = near.groupBy("w", "w2").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.min(nameless).alias("first_h"), F.max(nameless).alias("last_h"), F.count(F.lit(1)).alias("n"))
-    several = (F.col("first_id") != F.col("last_id")) | (F.col("first_h") != F.col("last_h")) | (F.col("first_id").isNotNull() & F.col("first_h").isNotNull())
-    found = near.join(counts.where(several), ["w", "w2"]).select("id", "h", "at", "start", "stop", "n", "first_id", F.when(F.col("first_id").isNull(), F.col("first_h")).alias("first_h"))
-    found = found.withColumn("kept", F.col("id").eqNullSafe(F.col("first_id")) & (F.col("first_h").isNull() | (F.col("first_h") == F.col("h"))))
-    by = ["id", "h", "first_id", "first_h", "kept"]
-    runs = found.withColumn("run", F.col("at") - F.dense_rank().over(Window.partitionBy(*by).orderBy("at")))  # of one text
-    passages = runs.groupBy(*by, "run").agg(
-        F.min("start").cast("long").alias("start"), F.max("stop").cast("long").alias("end"), (F.max("at") - F.min("at") + least_passage).cast("long").alias("n_words"), F.max("n").alias("n_docs"),
-    )
+    keyed = distinct.withColumn("h", F.when(F.col("id").isNull(), F.col("h")).otherwise(0)) if unique else distinct  # an id says which text it is
+    near = windows_near(keyed, filter_of(shared), least_passage)  # read twice, for counts and places; cheaper than a table of it
+    counts = near.groupBy("w", "w2").agg(
+        F.min("id").alias("first_id"), F.max("last_id").alias("last_id"), F.min("nameless").alias("first_h"), F.max("nameless").alias("last_h"), F.sum("m").alias("n")
+    )
+    many = (F.col("first_id") != F.col("last_id")) | (F.col("first_h") != F.col("last_h")) | (F.col("first_id").isNotNull() & F.col("first_h").isNotNull())
+    counts = counts.where(many).select("w", "w2", "n", "first_id", F.when(F.col("first_id").isNull(), F.col("first_h")).alias("first_h"))
+    found = near.select("id", "h", "several", "w", "w2", "at", "start", "stop").join(counts, ["w", "w2"])
+    by = ["id", "h", "several", "first_id", "first_h"]
+    at = F.col("at") - F.dense_rank().over(Window.partitionBy(*by).orderBy("at"))  # of one text
+    runs = found.withColumn("run", at).groupBy(*by, "run").agg(F.min("at").alias("at"), F.max("at").alias("last"), F.min("start").alias("start"), F.max("stop").alias("end"), F.max("n").alias("n_docs"))
+    runs = written(runs.withColumn("own", F.col("id").eqNullSafe(F.col("first_id"))).drop("run"))
     if unique:
         of_id = named.distinct().select(F.col("id").alias("of_id"), F.col("h").alias("of_h"))
-        passages = passages.join(of_id, F.col("id") == F.col("of_id"), "left").withColumn("h", F.coalesce("of_h", "h"))
+        runs = runs.join(of_id, F.col("id") == F.col("of_id"), "left").withColumn("h", F.coalesce("of_h", "h")).drop("of_id", "of_h")
+    one = F.col("own") & (F.col("first_h").isNull() | (F.col("first_h") == F.col("h")))
+    columns = [(F.col("last") - F.col("at") + least_passage).cast("long").alias("n_words"), "n_docs", "first_id"]
+    alone = runs.where("not several").select("id", "h", F.col("start").cast("long"), F.col("end").cast("long"), *columns, one.alias("kept"))
+    whole = kept_by_heads(heads.where("several"), runs.where("several"), least_passage)
+    members = rows.distinct().join(heads.where("several").select(F.col("id").alias("head_id"), "h", "h2"), ["h", "h2"]).select("id", "h", "doc", "head_id")
+    named_runs = whole.select(F.col("id").alias("of_id"), F.col("h").alias("of_h"), "start", "end", "n_words", "n_docs", "first_id", "first_h")
+    copied = members.join(named_runs, F.col("head_id").eqNullSafe(F.col("of_id")) & (F.col("h") == F.col("of_h")))
+    kept = F.col("id").eqNullSafe(F.col("first_id")) & (F.col("first_h").isNull() | (F.col("first_h") == F.col("h")))
+    passages = alone.unionByName(copied.select("id", "h", "start", "end", "n_words", "n_docs", "first_id", kept.alias("kept")))
     return passages.select(F.col("id").alias(id_col), "start", "end", "n_words", "n_docs", "first_id", "kept", F.col("h").alias("text_hash"))
 
 
+def kept_by_heads(heads: DataFrame, runs: DataFrame, size: int) -> DataFrame:
+    """Passages (id, h, start, end, n_words, n_docs, first_id, first_h) of texts that several documents hold as a whole.
+
+    All of such a text is repeated: what no other document keeps its first one does, passages between others' too.
+    """
+    theirs = runs.where(~(F.col("id").eqNullSafe(F.col("first_id")) & (F.col("first_h").isNull() | (F.col("first_h") == F.col("h")))))
+    given = theirs.groupBy(F.col("id").alias("of_id"), F.col("h").alias("of_h")).agg(F.collect_list(F.struct("at", "last")).alias("taken"))  # of one text
+    joined = heads.select("id", "h", "m", "text").join(given, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("h") == F.col("of_h")), "left").select("id", "h", "m", "text", "taken")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, offsets in pieces(batch, "text"):
+                _, starts, ends, bounds = hashed_words(data, offsets)
+                points = np.append(0, np.cumsum((data & 0xC0) != 0x80))
+                out = []
+                for row, taken in enumerate(part.column("taken").to_pylist()):
+                    first, n, base = int(bounds[row]), int(bounds[row + 1] - bounds[row]), int(points[offsets[row]])
+                    if n < size:
+                        continue
+                    free = np.zeros(n - size + 3, np.int8)
+                    free[1:-1] = 1
+                    for t in taken or ():
+                        free[t["at"] + 1 : t["last"] + 2] = 0
+                    for a, b in np.flatnonzero(np.diff(free)).reshape(-1, 2).tolist():  # windows a to b - 1
+                        out.append((row, int(points[starts[first + a]]) - base, int(points[ends[first + b - 1 + size - 1]]) - base, b - 1 - a + size))
+                if out:
+                    row, start, end, n_words = (np.array(c) for c in zip(*out, strict=True))
+                    yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(row)) for c in ("id", "h", "m")), *(pa.array(c, pa.int64()) for c in (start, end, n_words))], ["id", "h", "m", "start", "end", "n_words"])
+
+    kind = heads.schema["id"].dataType.simpleString()
+    mine = joined.mapInArrow(run, f"id {kind}, h long, m long, start long, end long, n_words long")
+    mine = mine.select("id", "h", "start", "end", "n_words", F.col("m").alias("n_docs"), F.col("id").alias("first_id"), F.when(F.col("id").isNull(), F.col("h")).alias("first_h"))
+    others = theirs.select("id", "h", F.col("start").cast("long"), F.col("end").cast("long"), (F.col("last") - F.col("at") + size).cast("long").alias("n_words"), "n_docs", "first_id", "first_h")
+    return mine.unionByName(others)
+
+
 def without_repeats(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` without the words that only passages cover which another document keeps.
 
