@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.operators.assign import small
 from tidelog.tables import written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -29,7 +30,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows, counted each; rows of one id with other texts are documents of their own. A missing id is less than any other.
 
     Hash counts are combined before they are shuffled. Only members of groups travel with their texts, dealt in salted
-    parts beside a copy of the kept text each, so no group lies in one task. Members whose bytes differ from the kept
+    parts beside a copy of the kept text each, so no group lies in one task. The list of members goes to the texts if it is
+    short (counted up to a bound), else texts are dealt out to it. Members whose bytes differ from the kept
     text (a collision of `hashed`) are grouped by their whole texts instead. Rows are told apart by id and SHA-256.
     """
     if keep not in ("min", "max"):
@@ -43,7 +45,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     groups = written(marks.groupBy("h").agg(pick(F.struct("id", "sha")).alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     once = marks.groupBy("id", "sha", "h").agg(F.count(F.lit(1)).alias("rows"))
     members = written(once.join(groups, "h").select("id", "sha", "rows", "keep", "n", F.expr(f"int(pmod(xxhash64(id, sha), n div {ROWS_PER_SALT} + 1))").alias("salt")))
-    carried = matched(texts, members).dropDuplicates(["id", "sha"]) if repeats(members) else matched(texts, members)
+    if marks.groupBy("id").count().where("count > 1 or id is null").isEmpty():  # then an id says which row it is, and texts needn't be hashed again
+        carried = texts.drop("sha").join(small(members), "id")
+    else:
+        carried = matched(texts, members).dropDuplicates(["id", "sha"]) if repeats(members) else matched(texts, members)
     heads = carried.where(F.col("id").eqNullSafe(F.col("keep.id")) & (F.col("sha") == F.col("keep.sha"))).select(
         F.col("keep"), F.explode(F.sequence(F.lit(0), F.expr(f"int(n div {ROWS_PER_SALT})"))).alias("salt"), F.col("norm").alias("head")
     )
@@ -69,7 +74,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def matched(texts: DataFrame, members: DataFrame) -> DataFrame:
     """Texts (id, sha, norm) of the members, with their columns."""
     of = members.withColumnsRenamed({"id": "of_id", "sha": "of_sha"})
-    return texts.join(of, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("sha") == F.col("of_sha"))).drop("of_id", "of_sha")
+    return texts.join(small(of), F.col("id").eqNullSafe(F.col("of_id")) & (F.col("sha") == F.col("of_sha"))).drop("of_id", "of_sha")
 
 
 def repeats(members: DataFrame) -> bool:
