@@ -11,10 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelog.operators.places import numbered
 from tidelog.tables import written
 
-#: Vectors of one list, and queries of it, that one task compares.
-LIST_ROWS, QUERY_ROWS = 2048, 8192
+#: Queries of one block at most, and bytes of their vectors: what every task holds; and partial products that it makes at once.
+BLOCK_QUERIES, BLOCK_BYTES, SLAB_SCORES = 4096, 1 << 24, 1 << 21
 #: Queries of the sample that are compared with all of it at once, on the driver.
 ASKED_ROWS = 100
 #: Nearest lists of a query whose vectors in the sample give its bound.
@@ -133,11 +134,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_
 
     Centres are fitted on `sample_rows` rows chosen by hash of the id, at most 4,096 of them; all rows are indexed. The
     sample also says how many lists a query must ask to meet `recall`; it asks more until they hold `k` candidates. Vectors of
-    the sample in those lists give a score that `k` candidates there reach. Should abandoning leave a query fewer, its lists
-    are scanned again without a bound. Long lists and their queries are dealt over several tasks, at most LIST_ROWS and
-    QUERY_ROWS a task. Ties go to the smaller id. Vectors that are null, zero or have null
-    or non-finite components take no part, nor do those of another length than the commonest one (the shorter one on a
-    tie). Ids must be unique integers. Scores are doubles of the original vectors; fewer than `k` candidates are all given.
+    the sample in those lists give a score that `k` candidates there reach. Should abandoning leave a query fewer, its lists are scanned
+    again without a bound. Queries go to the tasks in blocks of bounded size, each with the lists that it asks; the vectors are
+    scanned where they lie, sorted by list, once a block, and only a task's `k` best of a query travel. Ties go to the smaller id.
+    Vectors that are null, zero or have null or non-finite components take no part, nor do those of another length than the
+    commonest one (the shorter one on a tie), nor rows without an id. Ids are integers; rows that repeat one count each as
+    candidates, and as a query once, with the least of their vectors. Scores are doubles of the original vectors; fewer than `k`
+    candidates are all given.
     """
     spark = vectors.sparkSession
     kind = vectors.schema[vec_col].dataType.simpleString()
@@ -146,7 +149,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_
     if not sizes:
         return spark.createDataFrame([], f"query_id long, rank int, {id_col} long, score double")
     d, total = sizes[0]["d"], sizes[0]["count"]
-    good, asking = good.where(F.size("v") == d), usable(queries, id_col, vec_col).where(F.size("v") == d)
+    good = good.where(F.size("v") == d)
+    asking = usable(queries, id_col, vec_col).where(F.size("v") == d).groupBy("id").agg(F.min("v").alias("v"))
     share = min(1.0, 1.2 * sample_rows / total)
     picked = good.where(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < share * 1_000_003).orderBy(F.xxhash64("id"), "id").limit(sample_rows).toPandas()
     if not len(picked):
@@ -161,7 +165,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_
                 lists = ranked_lists(np.array(batch["v"].tolist(), np.float64), shared.value.centres)[:, 0]
                 yield pd.DataFrame({"id": batch["id"], "v": batch["v"], "list": lists.astype(np.int32)})
 
-    placed = written(good.mapInPandas(placing, f"id long, v {kind}, list int"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = written(good.mapInPandas(placing, f"id long, v {kind}, list int").repartitionByRange(tasks, "list", "id").sortWithinPartitions("list", "id"))
     held = np.zeros(len(index.centres), np.int64)
     for row in placed.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect():  # a row for each list: 4,096 at most
         held[row.list] = row.n
@@ -175,33 +180,50 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_
                 lists = ranked_lists(v, shared.value.centres)
                 counts = np.minimum(np.maximum(probes, (np.cumsum(held[lists], axis=1) <= k).sum(axis=1) + 1), lists.shape[1])
                 bounds = bounds_of(ids, v, lists, counts, shared.value, k) if bounded else np.full(len(ids), -np.inf)
-                yield pd.DataFrame({"id": ids, "list": [x[:n] for x, n in zip(lists.astype(np.int32), counts, strict=True)], "bound": bounds})
+                asked = np.zeros((len(ids), len(shared.value.centres)), bool)
+                for row, (own, n) in enumerate(zip(lists, counts, strict=True)):
+                    asked[row, own[:n]] = True
+                yield pd.DataFrame({"id": ids, "v": batch["v"], "bound": bounds, "asked": [x.tobytes() for x in np.packbits(asked, axis=1)]})
 
         return run
 
-    def compare(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-        if len(rows) and len(queries):
-            ids, v = rows["id"].to_numpy(), np.array(rows["v"].tolist(), np.float64)
-            step = max(1, (1 << 21) // len(ids))
-            for a in range(0, len(queries), step):
-                part = queries.iloc[a : a + step]
-                q = np.array(part["v"].tolist(), np.float64)
-                found.append(scan_list(ids, v, part["id"].to_numpy(), q, part["bound"].to_numpy(), shared.value.rotation, k, blocks, z))
-        q, x, score = (np.concatenate(c) for c in zip(*found, strict=True))
-        return pd.DataFrame({"query_id": q, id_col: x, "score": score})
+    def scan_block(block):
+        """A task's best `k` of each query of a block, of its vectors in the lists that the query asks."""
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            query_ids, asking, bounds, asked = block.value
+            best = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+            for batch in batches:
+                if not len(batch):
+                    continue
+                ids, v, lists = batch["id"].to_numpy(), np.array(batch["v"].tolist(), np.float64), batch["list"].to_numpy()
+                found = [best]
+                for one in np.unique(lists).tolist():
+                    rows, q = np.flatnonzero(lists == one), np.flatnonzero(asked[:, one])
+                    step = max(1, SLAB_SCORES // max(1, len(q)))
+                    for a in range(0, len(rows) if len(q) else 0, step):
+                        part = rows[a : a + step]
+                        found.append(scan_list(ids[part], v[part], query_ids[q], asking[q], bounds[q], shared.value.rotation, k, blocks, z))
+                q, x, score = (np.concatenate(c) for c in zip(*found, strict=True))
+                order = np.lexsort((x, -score, q))
+                order = order[np.arange(len(order)) - np.searchsorted(q[order], q[order]) < k]
+                best = q[order], x[order], score[order]
+            yield pd.DataFrame({"query_id": best[0], id_col: best[1], "score": best[2]})
+
+        return run
 
     def scanned(rows: DataFrame, bounded: bool) -> DataFrame:
-        """Rows of a list and queries of it are dealt in parts; each part of the one meets each part of the other."""
-        plan = written(rows.mapInPandas(assigned(bounded), "id long, list array<int>, bound double"))
-        asked = plan.select(F.explode("list").alias("list")).groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()  # as many rows as lists
-        parts = spark.createDataFrame([(r.list, int(max(0, held[r.list] - 1) // LIST_ROWS) + 1, (r.n - 1) // QUERY_ROWS + 1) for r in asked], "list int, parts int, turns int")
-        dealt = placed.join(F.broadcast(parts), "list").withColumn("part", F.expr("int(pmod(xxhash64(id), parts))")).withColumn("turn", F.explode(F.expr("sequence(0, turns - 1)")))
-        going = rows.join(plan, "id").select("id", "v", "bound", F.explode("list").alias("list")).join(F.broadcast(parts), "list")
-        going = going.withColumn("turn", F.expr("int(pmod(xxhash64(id), turns))")).withColumn("part", F.explode(F.expr("sequence(0, parts - 1)")))
-        keys, columns = ["list", "part", "turn"], ["id", "v"]
-        both = dealt.select(*keys, *columns).groupBy(*keys).cogroup(going.select(*keys, *columns, "bound").groupBy(*keys))
-        return written(both.applyInPandas(compare, f"query_id long, {id_col} long, score double"))
+        """Candidates of all queries of `rows`, block by block."""
+        plan = rows.mapInPandas(assigned(bounded), f"id long, v {kind}, bound double, asked binary").withColumn("all", F.lit(0))
+        plan = numbered(plan, ["all"], ["id"], "place")
+        n, size = plan.count(), max(1, min(BLOCK_QUERIES, BLOCK_BYTES // (8 * d)))
+        out = spark.createDataFrame([], f"query_id long, {id_col} long, score double")
+        for first in range(0, n, size):
+            own = plan.where(f"place > {first} and place <= {first + size}").toPandas()  # a block
+            asked = np.unpackbits(np.stack([np.frombuffer(x, np.uint8) for x in own["asked"]]), axis=1).astype(bool)
+            block = spark.sparkContext.broadcast((own["id"].to_numpy(), np.array(own["v"].tolist(), np.float64).reshape(-1, d), own["bound"].to_numpy(), asked))
+            out = out.unionByName(written(placed.mapInPandas(scan_block(block), f"query_id long, {id_col} long, score double")))
+        return out
 
     found = scanned(asking, True)
     if total > k:
