@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.llm.bloom import filter_of
-from tidelog.llm.vec import LOWER, U64, mixed, pieces, span_hashes, words
+from tidelog.llm.vec import LOWER, U64, buffers, mixed, pieces, span_hashes, words
 from tidelog.tables import written
 
 #: Words that the gear hash looks back on, and gear values of which the least makes a cut.
@@ -112,20 +112,19 @@ def content_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return own.select("id", "h", "h2", F.when(F.col("id").isNull(), F.col("h")).otherwise(F.xxhash64("id")).alias("doc"), "text")
 
 
-def repeated(texts: DataFrame, found: Broadcast, inside: bool) -> DataFrame:
-    """Rows whose hash of the text passes the filter, or the others."""
+def passing(batches: Iterator[pa.RecordBatch], found: Broadcast | None, inside: bool) -> Iterator[pa.RecordBatch]:
+    """Rows of batches whose hash of the text (`th`) passes the filter, or the others; all without a filter."""
+    for batch in batches:
+        if found is None:
+            yield batch
+        elif batch.num_rows:
+            held = found.value.holds(batch.column("th").to_numpy().view(np.uint64)) == inside
+            yield batch.filter(pa.array(held))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held = found.value.holds(batch.column("h").to_numpy().view(np.uint64))
-            if (held == inside).any():
-                yield batch.filter(pa.array(held == inside))
-
-    return texts.mapInArrow(run, texts.schema)
 
-
-def once_each(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Each distinct text once, as the document that keeps it; those of them that several rows may hold; and the rows of these.
+def once_each(texts: DataFrame) -> tuple[DataFrame, Broadcast, DataFrame, DataFrame]:
+    """Distinct texts, each as the document that keeps it: those of one row, behind a filter that lets none of the others pass
+    (hash of the text: `th`), and those that several rows may hold; and the rows of these.
 
     The columns are those of `content_keys` and last_id, nameless (the hash, if a row without an id holds the text), last_doc,
     m (rows) and several (documents). Only texts whose hash occurs again are dealt out, and grouped by all their bytes.
@@ -133,62 +132,61 @@ def once_each(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     again = texts.groupBy("h").count().where("count > 1").select("h")
     found = filter_of(written(again))
     nameless = F.when(F.col("id").isNull(), F.col("h"))
-    alone = repeated(texts, found, False).withColumns({"last_id": F.col("id"), "nameless": nameless, "last_doc": F.col("doc"), "m": F.lit(1).cast("long"), "several": F.lit(False)})
-    rows = repeated(texts, found, True)
+    alone = texts.withColumns({"th": F.col("h"), "last_id": F.col("id"), "nameless": nameless, "last_doc": F.col("doc"), "m": F.lit(1).cast("long"), "several": F.lit(False)})
+    named = texts.withColumn("th", F.col("h"))
+    rows = named.mapInArrow(lambda batches: passing(batches, found, True), named.schema).drop("th")
     grouped = rows.groupBy("text").agg(
         F.min("id").alias("id"), F.max("id").alias("last_id"), F.min(nameless).alias("nameless"), F.min("h").alias("h"), F.min("h2").alias("h2"), F.min("doc").alias("doc"), F.max("doc").alias("last_doc"), F.count(F.lit(1)).alias("m")
     )
     several = (F.col("id") != F.col("last_id")) | (F.col("id").isNotNull() & F.col("nameless").isNotNull())
-    heads = written(grouped.withColumn("several", F.coalesce(several, F.lit(False))).select(*alone.columns))
-    return alone.unionByName(heads), heads, rows.select("id", "h", "h2", "doc")
+    heads = written(grouped.withColumns({"several": F.coalesce(several, F.lit(False)), "th": F.col("h")}).select(*alone.columns))
+    return alone, found, heads, rows.select("id", "h", "h2", "doc")
 
 
-def all_seeds(texts: DataFrame, most_words: int) -> DataFrame:
+def all_seeds(texts: DataFrame, most_words: int, without: Broadcast | None = None) -> DataFrame:
     """(digest, doc, last_doc) of all seeds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, data, offsets in pieces(batch, "text"):
-                hashes, _, _, bounds = hashed_words(data, offsets)
-                starts, _, digest = seeds(hashes, bounds, most_words)
-                text = np.searchsorted(bounds, starts, "right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(digest.view(np.int64)), *(pa.array(part.column(c).to_numpy()[text]) for c in ("doc", "last_doc"))], ["digest", "doc", "last_doc"])
+        for part, data, offsets in buffers(passing(batches, without, False)):
+            hashes, _, _, bounds = hashed_words(data, offsets)
+            starts, _, digest = seeds(hashes, bounds, most_words)
+            text = np.searchsorted(bounds, starts, "right") - 1
+            yield pa.RecordBatch.from_arrays([pa.array(digest.view(np.int64)), *(pa.array(part.column(c).to_numpy()[text]) for c in ("doc", "last_doc"))], ["digest", "doc", "last_doc"])
 
-    return texts.select("doc", "last_doc", "text").mapInArrow(run, "digest long, doc long, last_doc long")
+    return texts.select("doc", "last_doc", "th", "text").mapInArrow(run, "digest long, doc long, last_doc long")
 
 
-def windows_near(texts: DataFrame, shared: Broadcast, size: int) -> DataFrame:
+def windows_near(texts: DataFrame, shared: Broadcast, size: int, without: Broadcast | None = None) -> DataFrame:
     """(id, h, last_id, nameless, m, several, w, w2, at, start, stop) of every window of `size` words around a seed that passes the filter: 96 bits of two
     hashes of its words, its place in words, and in code points."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, data, offsets in pieces(batch, "text"):
-                hashes, starts, ends, bounds = hashed_words(data, offsets)
-                first, stop, digest = seeds(hashes, bounds, seed_words(size))
-                hit = shared.value.holds(digest)
-                first, stop = first[hit], stop[hit]
-                text = np.searchsorted(bounds, first, "right") - 1
-                a, b = np.maximum(stop - size, bounds[text]), np.minimum(first, bounds[text + 1] - size)
-                ok = a <= b
-                marks = np.zeros(len(hashes) + 1, np.int64)
-                np.add.at(marks, a[ok], 1)
-                np.add.at(marks, b[ok] + 1, -1)
-                at = np.flatnonzero(np.cumsum(marks)[:-1] > 0)
-                if not len(at):
-                    continue
-                text = np.searchsorted(bounds, at, "right") - 1
-                w, w2 = window_hashes(hashes, at, size)
-                points = np.append(0, np.cumsum((data & 0xC0) != 0x80))
-                base = points[offsets[text]]
-                whole = lambda x: pa.array(x.astype(np.int32))
-                rows = pa.array(text)
-                arrays = [*(part.column(c).take(rows) for c in names), pa.array(w.view(np.int64)), pa.array((w2 >> U64(32)).astype(np.uint32).view(np.int32)), whole(at - bounds[text]), whole(points[starts[at]] - base), whole(points[ends[at + size - 1]] - base)]
-                yield pa.RecordBatch.from_arrays(arrays, [*names, "w", "w2", "at", "start", "stop"])
+        for part, data, offsets in buffers(passing(batches, without, False)):
+            hashes, starts, ends, bounds = hashed_words(data, offsets)
+            first, stop, digest = seeds(hashes, bounds, seed_words(size))
+            hit = shared.value.holds(digest)
+            first, stop = first[hit], stop[hit]
+            text = np.searchsorted(bounds, first, "right") - 1
+            a, b = np.maximum(stop - size, bounds[text]), np.minimum(first, bounds[text + 1] - size)
+            ok = a <= b
+            marks = np.zeros(len(hashes) + 1, np.int64)
+            np.add.at(marks, a[ok], 1)
+            np.add.at(marks, b[ok] + 1, -1)
+            at = np.flatnonzero(np.cumsum(marks)[:-1] > 0)
+            if not len(at):
+                continue
+            text = np.searchsorted(bounds, at, "right") - 1
+            w, w2 = window_hashes(hashes, at, size)
+            points = np.append(0, np.cumsum((data & 0xC0) != 0x80))
+            base = points[offsets[text]]
+            whole = lambda x: pa.array(x.astype(np.int32))
+            rows = pa.array(text)
+            arrays = [*(part.column(c).take(rows) for c in names), pa.array(w.view(np.int64)), pa.array((w2 >> U64(32)).astype(np.uint32).view(np.int32)), whole(at - bounds[text]), whole(points[starts[at]] - base), whole(points[ends[at + size - 1]] - base)]
+            yield pa.RecordBatch.from_arrays(arrays, [*names, "w", "w2", "at", "start", "stop"])
 
     kind = texts.schema["id"].dataType.simpleString()
     names = ["id", "h", "last_id", "nameless", "m", "several"]
-    return texts.select(*names, "text").mapInArrow(run, f"id {kind}, h long, last_id {kind}, nameless long, m long, several boolean, w long, w2 int, at int, start int, stop int")
+    return texts.select(*names, "th", "text").mapInArrow(run, f"id {kind}, h long, last_id {kind}, nameless long, m long, several boolean, w long, w2 int, at int, start int, stop int")
 
 
 def repeated_passages(docs: DataFrame, least_passage: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -209,13 +207,15 @@ def repeated_passages(docs: DataFrame, least_passage: int = 50, id_col: str = "d
     if seed_words(least_passage) < NEAR:
         raise ValueError(f"least_passage is too small: {least_passage}")
     texts = content_keys(docs, id_col, text_col)
-    distinct, heads, rows = once_each(texts)
-    counts = all_seeds(distinct, seed_words(least_passage)).groupBy("digest").agg(F.min("doc").alias("a"), F.max("last_doc").alias("b"), F.count(F.lit(1)).alias("n"))
+    alone, repeated, heads, rows = once_each(texts)
+    found = all_seeds(alone, seed_words(least_passage), repeated).unionByName(all_seeds(heads, seed_words(least_passage)))
+    counts = found.groupBy("digest").agg(F.min("doc").alias("a"), F.max("last_doc").alias("b"), F.count(F.lit(1)).alias("n"))
     shared = written(counts.where("n > 1 and a <> b").select("digest"))  # a text's own copies alone need no comparison
     named = texts.where("id is not null").select("id", "h")
     unique = named.groupBy("id").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").isEmpty()
-    keyed = distinct.withColumn("h", F.when(F.col("id").isNull(), F.col("h")).otherwise(0)) if unique else distinct  # an id says which text it is
-    near = windows_near(keyed, filter_of(shared), least_passage)  # read twice, for counts and places; cheaper than a table of it
+    keyed = lambda t: t.withColumn("h", F.when(F.col("id").isNull(), F.col("h")).otherwise(0)) if unique else t  # noqa: E731  an id says which text it is
+    marks = filter_of(shared)
+    near = windows_near(keyed(alone), marks, least_passage, repeated).unionByName(windows_near(keyed(heads), marks, least_passage))  # read twice, for counts and places
     counts = near.groupBy("w", "w2").agg(
         F.min("id").alias("first_id"), F.max("last_id").alias("last_id"), F.min("nameless").alias("first_h"), F.max("nameless").alias("last_h"), F.sum("m").alias("n")
     )

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.llm.bloom import filter_of
-from tidelog.llm.vec import LOWER, ODD, U64, mixed, pieces, span_hashes, unique_hashes, words
+from tidelog.llm.vec import LOWER, ODD, U64, buffers, mixed, span_hashes, unique_hashes, words
 from tidelog.tables import dropped, written
 
 #: Rows of a batch, and text bytes among them, whose phrases are counted at once.
@@ -43,13 +43,6 @@ def word_keys(data: np.ndarray, offsets: np.ndarray, seed: int) -> tuple[np.ndar
     return span_hashes(data, starts, ends, seed), starts, ends, text, joined
 
 
-def buffers(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Rows with the bytes of their texts and offsets, a few at a time: a task holds no copy of a whole batch."""
-    for batch in batches:
-        for first in range(0, batch.num_rows, BUFFER_ROWS):
-            yield from pieces(batch.slice(first, BUFFER_ROWS), "text", BUFFER_BYTES)
-
-
 def lang_keys(langs: list[str]) -> np.ndarray:
     """A key of each language, by its bytes."""
     data = [x.encode() for x in langs]
@@ -89,7 +82,7 @@ def counted_words(texts: DataFrame, seed: int) -> DataFrame:
     """(lang, k0, word, n): words with their keys, counted in parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, raw, offsets in buffers(batches):
+        for part, raw, offsets in buffers(batches, "text", BUFFER_ROWS, BUFFER_BYTES):
             data = LOWER[raw]
             keys, starts, ends, text, _ = word_keys(data, offsets, seed)
             lang = part.column("lang").dictionary_encode()
@@ -134,7 +127,7 @@ def counted_phrases(texts: DataFrame, n_words: int, shorter: Broadcast, seed: in
             arrays = [pa.array([langs[x] for x in sums[0][0].tolist()], pa.string()), *(pa.array(c.view(np.int64)) for c in sums[0][1:]), pa.array(sums[1])]
             return pa.RecordBatch.from_arrays(arrays, ["lang", *names, "n"])
 
-        for part, raw, offsets in buffers(batches):
+        for part, raw, offsets in buffers(batches, "text", BUFFER_ROWS, BUFFER_BYTES):
             own = found(part, raw, offsets, langs)
             columns = [np.concatenate(c) for c in zip(sums[0], own, strict=True)]
             places, n = distinct_counts(phrase_hashes(columns[1:], columns[0]), columns, np.append(sums[1], np.ones(len(own[0]), np.int64)))

@@ -55,6 +55,13 @@ def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = 0) -> Itera
         at = end
 
 
+def buffers(batches: Iterator[pa.RecordBatch], column: str = "text", rows: int = 512, limit: int = 0) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """`pieces` of batches, a few rows at a time: a task holds no copy of the texts of a whole batch."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield from pieces(batch.slice(first, rows), column, limit)
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words (runs of bytes that aren't ASCII white space), and each text's range in them."""
     solid = ~SPACE[data]
