@@ -125,7 +125,7 @@ def test_phrases(spark, monkeypatch, least, top, parts):
     try:
         got = phrases.collocations(df, least=least, top=top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score").collect()
     finally:
-        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
     assert sorted(tuple(r) for r in got) == brute_phrases(rows, least, 5, top)
 
 
