@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import string
 import zlib
 from collections import Counter
 
@@ -171,6 +172,36 @@ def brute_secrets(text):
     return sorted(spans)
 
 
+def brute_redacted(text, spans):
+    out, at = [], 0
+    for start, _, end, _ in spans:
+        if start >= at:
+            out += [text[at:start], "[SECRET]"]
+        at = max(at, end)
+    return "".join(out) + text[at:]
+
+
+def test_secrets_of_long_texts(spark):
+    """More matches than a block of them, overlapping ones of several kinds, in one text; time in proportion to their number."""
+    rng = random.Random(11)
+
+    def text(n):
+        kinds = ("0123456789abcdef", string.ascii_letters + string.digits + "+/=_-")
+        word = lambda: "".join(rng.choices(rng.choice(kinds), k=rng.randrange(8, 45)))
+        return "".join(rng.choice(["password = ", "token:", "AKIA", " ", "é ", "\n"]) + word() + rng.choice([" ", "ü", "."]) for _ in range(n))
+
+    texts = [text(n) for n in (1, 300, 3000)]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    found = secrets.scan_secrets(frame)
+    for r in found.select("text", "secrets", secrets.redacted(F.col("text"), F.col("secrets")).alias("out")).collect():
+        want = brute_secrets(r.text)
+        assert [tuple(s) for s in r.secrets] == want
+        assert r.out == brute_redacted(r.text, want)
+    sums = spark.createDataFrame([(list(range(k)),) for k in (0, 1, 256, 257, 70000)], "v array<int>").select("v", secrets.running(F.col("v"), F.greatest, 0).alias("most"), secrets.running(F.col("v"), lambda x, y: F.least(x, y), 9).alias("least"))
+    for r in sums.collect():
+        assert r.most == r.v and r.least == [0] * len(r.v)
+
+
 def test_secrets(spark):
     rng = random.Random(2)
     alphabet = "abcdefABCDEF0123456789+/_=-Zxyz"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -40,6 +41,7 @@ ALLOWED = (
 )
 SCALE = 1_000_000
 BLOCK = 256
+LAST = 2**31 - 1
 
 
 def weighted_log(count: int) -> int:
@@ -47,21 +49,60 @@ def weighted_log(count: int) -> int:
     return round(count * math.log2(count) * SCALE) if count else 0
 
 
-def running_sum(lengths: Column) -> Column:
-    """Sums of the elements before each one and up to it; in blocks, so that long arrays aren't copied for each element."""
+def bound(value: Column, of: Callable[[Column], Column]) -> Column:
+    """`of(value)`, with `value` evaluated once however often, and in whatever lambda, it is used there."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
 
-    def within(part: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("seen"))
-        return F.aggregate(part, start, lambda s, x: F.struct((s["at"] + x).alias("at"), F.concat(s["seen"], F.array(s["at"] + x)).alias("seen")))
 
-    blocks = F.transform(
-        F.when(F.size(lengths) > 0, F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / BLOCK).cast("int"))).otherwise(F.array().cast("array<int>")),
-        lambda b: within(F.slice(lengths, b * BLOCK + 1, F.lit(BLOCK))),
+def in_blocks(values: Column) -> Column:
+    """The elements in arrays of `BLOCK`."""
+    return bound(
+        values,
+        lambda v: F.when(
+            F.size(v) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int")), lambda b: F.slice(v, b * BLOCK + 1, F.lit(BLOCK)))
+        ).otherwise(F.slice(F.array(v), 1, 0)),
     )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("seen"))
-    return F.aggregate(
-        blocks, start, lambda s, b: F.struct((s["at"] + b["at"]).alias("at"), F.concat(s["seen"], F.transform(b["seen"], lambda x: x + s["at"])).alias("seen"))
-    )["seen"]
+
+
+def running(values: Column, combined: Callable[[Column, Column], Column], start: int) -> Column:
+    """What `combined`, an associative function of ints with the neutral `start`, makes of each element and all before it.
+
+    Blocks are run through on their own, then their results, so that arrays aren't copied for each element.
+    """
+
+    def through(part: Column) -> Column:
+        none = F.struct(F.lit(start).alias("at"), F.array().cast("array<int>").alias("before"), F.array().cast("array<int>").alias("seen"))
+
+        def step(s: Column, x: Column) -> Column:
+            at = combined(s["at"], x)
+            return F.struct(at.alias("at"), F.concat(s["before"], F.array(s["at"])).alias("before"), F.concat(s["seen"], F.array(at)).alias("seen"))
+
+        return F.aggregate(part, none, step)
+
+    def carried(blocks: Column) -> Column:
+        before = through(F.transform(blocks, lambda b: b["at"]))["before"]
+        return F.flatten(F.zip_with(blocks, before, lambda b, at: F.transform(b["seen"], lambda x: combined(at, x))))
+
+    return bound(F.transform(in_blocks(values), through), carried)
+
+
+def outside(found: Column, spans: Column) -> Column:
+    """Those of `found` (start, end, value) that no span overlaps: one sort of both, and one pass from either side.
+
+    A span that begins before or with a match overlaps it if it ends behind the match's start; one that begins later, if it
+    begins before the match's end.
+    """
+    event = lambda s, own, value: F.struct(s["start"].alias("start"), F.lit(own).alias("own"), s["end"].alias("end"), value.alias("value"))
+    events = F.array_sort(F.concat(F.transform(spans, lambda s: event(s, 0, F.lit(""))), F.transform(found, lambda s: event(s, 1, s["value"]))))
+
+    def kept(rows: Column) -> Column:
+        ended = running(F.transform(rows, lambda e: F.when(e["own"] == 0, e["end"]).otherwise(0)), F.greatest, 0)
+        begun = F.reverse(running(F.reverse(F.transform(rows, lambda e: F.when(e["own"] == 0, e["start"]).otherwise(LAST))), F.least, LAST))
+        near = F.zip_with(F.zip_with(rows, ended, lambda e, at: F.struct(e.alias("e"), at.alias("ended"))), begun, lambda x, at: F.struct(x["e"].alias("e"), x["ended"].alias("ended"), at.alias("begun")))
+        free = F.filter(near, lambda x: (x["e"]["own"] == 1) & (x["ended"] <= x["e"]["start"]) & (x["begun"] >= x["e"]["end"]))
+        return F.transform(free, lambda x: F.struct(x["e"]["start"].alias("start"), x["e"]["end"].alias("end"), x["e"]["value"].alias("value")))
+
+    return F.when(F.size(found) > 0, bound(events, kept)).otherwise(found)
 
 
 def located(docs: DataFrame, out: str, text: Column, pattern: str, group: int = 0, least: int = 0, value: bool = False) -> DataFrame:
@@ -76,7 +117,7 @@ def located(docs: DataFrame, out: str, text: Column, pattern: str, group: int =
     found = F.col(f"{out}_m")
     gaps = F.when(F.size(found) > 0, F.split(text, pattern, -1)).otherwise(F.array().cast("array<string>"))
     docs = docs.withColumn(f"{out}_g", F.transform(F.slice(gaps, F.lit(1), F.size(found)), lambda g: F.length(g)))
-    docs = docs.withColumn(f"{out}_e", running_sum(F.zip_with(f"{out}_g", F.col(f"{out}_m"), lambda g, m: g + F.length(m))))
+    docs = docs.withColumn(f"{out}_e", running(F.zip_with(f"{out}_g", F.col(f"{out}_m"), lambda g, m: g + F.length(m)), lambda x, y: x + y, 0))
     counted = F.col(f"{out}_v") if group else F.col(f"{out}_m")
     spans = F.zip_with(
         F.zip_with(f"{out}_e", F.col(f"{out}_m"), lambda e, m: F.struct((e - F.length(m)).alias("start"), e.alias("end"), m.alias("value"))),
@@ -143,7 +184,7 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", out_col: str = "secret
     work = work.withColumn("spans", F.concat(*[tagged(f"x_{kind}", rank, kind) for rank, (kind, *_) in enumerate(PATTERNS)]))
     for rank, of in enumerate(classes, len(PATTERNS)):
         work = located(work, "c", F.col("t"), f"{of.run}{{{of.window},}}", value=True)
-        free = F.filter("c", lambda s: ~F.exists("spans", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+        free = outside(F.col("c"), F.col("spans"))
         listed = "|".join(f"(?:{pattern})" for pattern in allowed)
         free = F.filter(free, lambda s: ~s["value"].rlike(f"^(?:{listed})$")) if allowed else free
         work = work.withColumn("c", free).withColumn("c", F.filter("c", reaches(of)))
@@ -157,15 +198,19 @@ def joined_spans(spans: Column) -> Column:
 
 
 def redacted(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
-    """`text` with each span of `spans` replaced; overlapping spans become one mask."""
-    start = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).alias("at"))
+    """`text` with each span of `spans`, which are in the order of their starts, replaced; overlapping spans become one mask.
+
+    The text before a span is cut from that of its block of spans, so that a long text isn't counted through for each span.
+    """
+    ends = F.transform(spans, lambda s: s["end"])
+    gaps = F.zip_with(spans, running(ends, F.greatest, 0), lambda s, at: F.struct(s["start"].alias("start"), at.alias("reached")))
+    before = F.concat(F.array(F.lit(0)), F.transform(gaps, lambda g: g["reached"]))
+    gaps = F.filter(F.zip_with(gaps, F.slice(before, F.lit(1), F.size(spans)), lambda g, at: F.struct(at.alias("at"), g["start"].alias("start"))), lambda g: g["start"] >= g["at"])
 
-    def step(s: Column, x: Column) -> Column:
-        gap = F.substring(text, s["at"] + 1, x["start"] - s["at"])
-        fresh = x["start"] >= s["at"]
-        return F.struct(
-            F.when(fresh, F.concat(s["parts"], F.array(gap, F.lit(mask)))).otherwise(s["parts"]).alias("parts"), F.greatest(s["at"], x["end"]).alias("at")
-        )
+    def cut(part: Column) -> Column:
+        first = F.get(part, F.lit(0))["at"]
+        whole = F.substring(text, first + 1, F.element_at(part, -1)["start"] - first)
+        return bound(whole, lambda t: F.array_join(F.transform(part, lambda g: F.concat(F.substring(t, g["at"] - first + 1, g["start"] - g["at"]), F.lit(mask))), ""))
 
-    done = F.aggregate(spans, start, step, lambda s: F.concat(F.array_join(s["parts"], ""), F.substring(text, s["at"] + 1, F.length(text))))
+    done = F.concat(F.array_join(F.transform(in_blocks(gaps), cut), ""), F.substring(text, F.array_max(ends) + 1, F.length(text)))
     return F.when(F.size(spans) > 0, done).otherwise(text)
