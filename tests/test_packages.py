@@ -1,6 +1,7 @@
 import bz2
 import gzip
 import io
+import json
 import lzma
 import tarfile
 import zipfile
@@ -70,6 +71,13 @@ def test_packages_of_report_periods(spark, analysed, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out/files")).where("entry = 'awr/awr_1.html'").select("content").first().content.decode() == REPORT
     text = spark.read.text(str(tmp_path / "out/lines")).where("entry like 'server%'").count()
     assert text == 4 and spark.read.text(str(tmp_path / "out/manifest")).where("value like '%log_window%'").count() == 1
+    lines = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "out/manifest")).withColumn("file", F.col("_metadata.file_name")).orderBy("file").collect()]
+    whole = json.loads(packages.manifest(built).first().manifest)
+    assert lines[0]["window"] == whole["window"] and [x["entry"] for x in lines[1:] if "category" in x] == [e["entry"] for e in whole["entries"]]
+    copies = [(x["entry"], x["duplicate"]) for x in lines if "duplicate" in x]
+    assert copies and copies == [(e["entry"], d) for e in whole["entries"] for d in e.get("duplicates", [])]
+    pages = packages.manifest_pages(packages.manifest_rows(built), 2).orderBy("page").collect()
+    assert [r.page for r in pages] == list(range(-(-len(lines) // 2))) and [x for r in pages for x in json.loads(r.manifest)] == lines
     packages.write_packages(built, str(tmp_path / "out"), build=2)
     assert spark.read.text(str(tmp_path / "out/lines")).where("build = 1 and entry like 'server%'").count() == 4
 
@@ -336,8 +344,8 @@ def test_a_job_that_dies_is_made_up_for(spark, collection, monkeypatch, tmp_path
         return entry_bytes(spark, of, AWR_PACKAGE, "access/web/access.log")
 
     text = ACCESS
-    build, publish, written_ = jobs.build, jobs.publish, packages.manifest
-    for n, (module, name) in enumerate([(jobs, "build"), (packages, "manifest"), (jobs, "publish")]):
+    build, publish, written_ = jobs.build, jobs.publish, packages.manifest_rows
+    for n, (module, name) in enumerate([(jobs, "build"), (packages, "manifest_rows"), (jobs, "publish")]):
         before, text = lines(), text + f'h - - [27/Sep/2026:10:{20 + n}:00 +0200] "GET / HTTP/1.1" 200 1\n'
         put("web/access.log", text)
 
@@ -346,20 +354,20 @@ def test_a_job_that_dies_is_made_up_for(spark, collection, monkeypatch, tmp_path
 
         with monkeypatch.context() as patched:
             patched.setattr(module, name, fail)
-            if name == "manifest":  # lines are written already; the stream's batch fails
+            if name == "manifest_rows":  # lines are written already; the stream's batch fails
                 with pytest.raises(Exception, match="lost"):
                     ingest.keep_current(spark, of, str(tmp_path / "ck")).awaitTermination()
             else:
                 with pytest.raises(RuntimeError):
                     jobs.refreshed(spark, of)
         assert lines() == before and have(of) == [AWR_PACKAGE] and not jobs.pending_days(spark, of).isEmpty()
-        if name == "manifest":
+        if name == "manifest_rows":
             ingest.keep_current(spark, of, str(tmp_path / "ck")).awaitTermination()
         else:
             again = jobs.refreshed(spark, of)
             assert (again["new"], again["built"]) == (0, 1)
         assert lines() == [x.encode() for x in text.splitlines()[2:] if ":10:" in x] and jobs.pending_days(spark, of).isEmpty()
-    assert (build, publish, written_) == (jobs.build, jobs.publish, packages.manifest)
+    assert (build, publish, written_) == (jobs.build, jobs.publish, packages.manifest_rows)
     builds = {p.name for p in (tmp_path / "out/lines").glob("build=*")}
     assert len(builds) <= 2  # what nobody reads is deleted
 
@@ -401,3 +409,21 @@ def test_digests_of_several_blocks(spark, tmp_path, monkeypatch):
     assert found[0] == found[1] and found[0]["a.bin"] == found[0]["b.gz"] != found[0]["c.bin"]
     whole = b"".join(r.content for r in sorted(S.parts(listed.where("rel = 'a.bin'"), 1 << 20).collect(), key=lambda r: r.part))
     assert whole == body
+
+
+def test_manifest_of_a_package_with_many_duplicates(spark):
+    """Duplicates and entries are rows: a file with thousands of copies is spread over parts and listed in order."""
+    package = "PKG_2026-09-27_1000-1100"
+    stamps = {c: F.lit("2026-09-27 10:00:00").cast("timestamp_ntz") for c in ("start_ts", "end_ts", "log_start", "log_end", "stamp")}
+    frame = spark.createDataFrame([(package, "awr"), ("PKG_empty", "awr")], "package string, mode string").withColumns(stamps)
+    none = {c: F.lit(None).cast(t) for c, t in {"category": "string", "lines": "long", "from_ts": "timestamp_ntz", "to_ts": "timestamp_ntz", "check": "string", "date_source": "string", "read_as": "string", "days": "array<date>"}.items()}
+    entries = spark.range(1, 4).select(F.lit(package).alias("package"), F.col("id").alias("file_id"), F.col("id").cast("int").alias("group"), F.lit("k").alias("order_key"), F.concat(F.lit("e"), "id").alias("entry"), F.lit("s").alias("source")).withColumns(none)
+    entries = entries.withColumn("duplicates", F.when(F.col("file_id") == 2, 5000))
+    copies = spark.range(1, 5001).select(F.lit(2).cast("long").alias("file_id"), F.col("id").alias("place"), F.concat(F.lit("d"), "id").alias("source"))
+    built = packages.Packages(frame, entries, spark.createDataFrame([], "package string"), spark.createDataFrame([(package, "large")], "package string, source string"), copies)
+    rows = packages.manifest_rows(built)
+    got = [json.loads(r.value) for r in rows.where(F.col("package") == package).orderBy("place").collect()]
+    assert [r.place for r in rows.where("package = 'PKG_empty'").collect()] == [1]
+    assert [x.get("duplicate") or x.get("left_out") or x.get("entry") for x in got[1:]] == ["e1", "e2", *(f"d{n}" for n in range(1, 5001)), "e3", "large"] and got[2]["duplicates"] == 5000
+    sizes = packages.manifest_pages(rows).select("package", "page", F.size(F.from_json("manifest", "array<string>")).alias("n")).orderBy("package", "page").collect()
+    assert [(r.page, r.n) for r in sizes] == [(0, 1000), (1, 1000), (2, 1000), (3, 1000), (4, 1000), (5, 5), (0, 1)]

@@ -721,6 +721,24 @@ def g_manifest(spark, sf_dir):
     return m.select("package", read.alias("m")).select("package", F.array_join(F.transform("m.entries", lambda e: e["entry"]), " ").alias("entries"), F.array_join("m.left_out", " ").alias("left_out"))
 
 
+@query(f"""
+    WITH {GROUPED}, {CUT}, r AS (SELECT package, 0 AS grp, '' AS k, package AS line FROM cp
+        UNION ALL SELECT package, 1, strftime(b, '%Y-%m-%d %H:%M:%S') || user_id || '/' || day, 'awr/' || user_id || '/' || day FROM reports
+        UNION ALL SELECT DISTINCT package, 2, user_id || '/' || CAST(t AS DATE), 'access/' || user_id || '/' || CAST(t AS DATE) FROM c
+        UNION ALL SELECT package, 3, user_id || '/' || day, 'sonstige/' || user_id || '/' || day FROM others WHERE file_id <= 60000
+        UNION ALL SELECT package, 4, user_id || '/' || day, 'inbox/' || user_id || '/' || day FROM others WHERE file_id > 60000),
+    p AS (SELECT *, row_number() OVER (PARTITION BY package ORDER BY grp, k) - 1 AS n FROM r)
+    SELECT package, CAST(n // 50 AS BIGINT) AS page, string_agg(line, ' ' ORDER BY n) AS listed FROM p GROUP BY package, n // 50
+""")
+def g_manifest_pages(spark, sf_dir):
+    """K2: manifests as numbered lines, read by pages of 50: the package, its entries in order, files left out."""
+    from tidelog.plans import packages
+
+    pages = packages.manifest_pages(packages.manifest_rows(built_packages(spark, sf_dir, other_max_bytes=60_000)), 50)
+    read = F.from_json("manifest", "array<struct<package:string,entry:string,left_out:string>>")
+    return pages.select("package", "page", F.array_join(F.transform(read, lambda x: F.coalesce(x["entry"], x["left_out"], x["package"])), " ").alias("listed"))
+
+
 @query(f"WITH {GROUPED} SELECT package, row_number() OVER (ORDER BY a, package) AS place FROM w")
 def g_ordered_windows(spark, sf_dir):
     """O2: windows by start and name."""
