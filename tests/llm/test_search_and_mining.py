@@ -139,6 +139,40 @@ def test_phrases_survive_shared_keys(spark, monkeypatch):
     assert sorted(tuple(r) for r in phrases.collocations(df, least=3).collect()) == brute_phrases(rows, 3, 5, 2000)
 
 
+def test_chance_phrases_are_not_passed_on(spark, monkeypatch):
+    """Where all pairs are frequent and hardly any three words are, tasks pass on few phrases of three words."""
+    rng = random.Random(3)
+    rows = [("en", " ".join([*rng.choices("abcdefghijklmnopqrst", k=300), "x", "y", "z", "w"])) for _ in range(60)]
+    df, made = spark.createDataFrame(rows, "lang string, text string").repartition(3), []
+    plain = type(df).mapInArrow
+
+    def noted(self, run, schema, *more):
+        out = plain(self, run, schema, *more)
+        if schema == "lang string, k0 long, k1 long, k2 long, n long":
+            made.append(out)
+        return out
+
+    monkeypatch.setattr(type(df), "mapInArrow", noted)
+    got = phrases.collocations(df, least=25).select("lang", "rank", "phrase", "a", "l", "r", "n", "score").collect()
+    assert sorted(tuple(r) for r in got) == brute_phrases(rows, 25, 5, 2000)
+    assert len(made) == 1 and 0 < made[0].count() < 100
+
+
+def test_words_of_one_key_in_one_task(spark, monkeypatch):
+    """Words are added up within a task, in parts and whole; two of one key are both passed on."""
+    rows = phrase_rows()
+    df = spark.createDataFrame(rows, "lang string, text string").select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").where("text is not null").coalesce(1)
+    counts = Counter((lang or "und", w) for lang, text in rows for w in re.findall("[^ \t.,;:!?\n-\r]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")))
+    for limit in (1 << 18, 3):
+        monkeypatch.setattr(phrases, "BUFFER_ROWS", 7)
+        monkeypatch.setattr(phrases, "LOOSE_WORDS", limit)
+        monkeypatch.setattr(phrases, "TASK_WORDS", limit)
+        found = phrases.counted_words(df, 0).collect()
+        assert {(r.lang, r.word): r.n for r in found} == counts and all(r.word == r.other for r in found)
+    monkeypatch.setattr(phrases, "word_keys", lambda *a, f=phrases.word_keys: (np.zeros_like(f(*a)[0]), *f(*a)[1:]))
+    assert any(r.word != r.other for r in phrases.counted_words(df, 0).collect())
+
+
 def test_phrases_of_nothing(spark):
     df = spark.createDataFrame([], "lang string, text string")
     assert phrases.collocations(df).count() == 0

@@ -17,13 +17,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.llm.bloom import filter_of
-from tidelog.llm.vec import LOWER, ODD, U64, buffers, mixed, span_hashes, unique_hashes, words
+from tidelog.llm.vec import LOWER, ODD, U64, buffers, mixed, ragged, span_hashes, unique_hashes, words
 from tidelog.tables import dropped, written
 
 #: Rows of a batch, and text bytes among them, whose phrases are counted at once.
 BUFFER_ROWS, BUFFER_BYTES = 512, 1 << 21
-#: Phrases whose counts a task holds before it passes them on.
+#: Phrases whose counts a task holds before it passes them on; words, and words not yet added up.
 TASK_ROWS = 1 << 18
+TASK_WORDS, LOOSE_WORDS = 1 << 19, 1 << 18
+#: Words of the corpus for each bucket of a sketch of phrases, and the bits of a bucket's number at least and at most (64 MB
+#: a task while `least` fits a byte). In an overfull sketch all buckets are crowded: that costs time only.
+BUCKET_WORDS, BUCKET_BITS = 32, (16, 26)
+#: Buckets that a row holds.
+BLOCK = 1 << 16
 #: Parts of a language's phrases that are cut to the first ones before they meet.
 SALTS = 64
 
@@ -79,46 +85,120 @@ def distinct_counts(hashes: np.ndarray, columns: list[np.ndarray], times: np.nda
 
 
 def counted_words(texts: DataFrame, seed: int) -> DataFrame:
-    """(lang, k0, word, n): words with their keys, counted in parts."""
+    """(lang, k0, word, n): words with their keys. Each task adds up its own first; of two words with one key both are passed on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        langs: dict = {}
+        held: list[tuple[np.ndarray, ...]] = []  # language, key, another key, size and number of words, and their bytes
+
+        def merged() -> tuple[np.ndarray, ...]:
+            lang, keys, other, sizes, n, data = (np.concatenate(c) for c in zip(*held, strict=True))
+            places, n = distinct_counts(mixed(keys ^ mixed(lang)) ^ other, [lang, keys, other], n)
+            return lang[places], keys[places], other[places], sizes[places], n, data[ragged((np.cumsum(sizes) - sizes)[places], sizes[places])]
+
+        def rows() -> pa.RecordBatch:
+            lang, keys, _, sizes, n, data = held[0]
+            edges = pa.py_buffer(np.append(0, np.cumsum(sizes)).astype(np.int64))
+            word = pa.Array.from_buffers(pa.large_string(), len(n), [None, edges, pa.py_buffer(data)]).cast(pa.string())
+            return pa.RecordBatch.from_arrays([pa.array([langs[x] for x in lang.tolist()], pa.string()), pa.array(keys.view(np.int64)), word, pa.array(n)], ["lang", "k0", "word", "n"])
+
         for part, raw, offsets in buffers(batches, "text", BUFFER_ROWS, BUFFER_BYTES):
             data = LOWER[raw]
             keys, starts, ends, text, _ = word_keys(data, offsets, seed)
             lang = part.column("lang").dictionary_encode()
+            known = lang.dictionary.to_pylist()
+            of_each = lang_keys(known)
+            langs.update(zip(of_each.tolist(), known, strict=True))
             codes = lang.indices.to_numpy()[text].astype(np.uint64)
             places, n = distinct_counts(mixed(keys ^ mixed(codes)), [keys, codes])
             sizes = ends[places] - starts[places]
-            held = data[np.repeat(starts[places] - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))]
-            edges = pa.py_buffer(np.append(0, np.cumsum(sizes)).astype(np.int64))
-            word = pa.Array.from_buffers(pa.large_string(), len(places), [None, edges, pa.py_buffer(held)]).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([lang.dictionary.take(pa.array(codes[places].astype(np.int32))), pa.array(keys[places].view(np.int64)), word, pa.array(n.astype(np.int64))], ["lang", "k0", "word", "n"])
-
-    return texts.mapInArrow(run, "lang string, k0 long, word string, n long").groupBy("lang", "k0").agg(F.sum("n").alias("n"), F.min("word").alias("word"), F.max("word").alias("other"))
-
+            other = span_hashes(data, starts[places], ends[places], seed + BLOCK)
+            held.append((of_each[codes[places].astype(np.int64)], keys[places], other, sizes, n, data[ragged(starts[places], sizes)]))
+            if len(held) > 1 and sum(len(x[0]) for x in held[1:]) > LOOSE_WORDS:
+                held = [merged()]
+                if len(held[0][0]) > TASK_WORDS:
+                    yield rows()
+                    held = []
+        if held:
+            held = [merged()]
+            yield rows()
+
+    counts = texts.mapInArrow(run, "lang string, k0 long, word string, n long").repartition("lang", "k0")
+    return counts.groupBy("lang", "k0").agg(F.sum("n").alias("n"), F.min("word").alias("word"), F.max("word").alias("other"))
+
+
+def candidates(part: pa.RecordBatch, raw: np.ndarray, offsets: np.ndarray, n_words: int, shorter, seed: int, langs: dict) -> list[np.ndarray]:
+    """Language and word keys of all phrases of some texts, both of whose phrases of one word less pass the filter `shorter`."""
+    keys, _, _, text, joined = word_keys(LOWER[raw], offsets, seed)
+    lang = part.column("lang").dictionary_encode()
+    known = lang.dictionary.to_pylist()
+    of_each = lang_keys(known)
+    langs.update(zip(of_each.tolist(), known, strict=True))
+    of_lang = of_each[lang.indices.to_numpy()[text]] if len(text) else np.zeros(0, np.uint64)
+    whole = np.ones(max(0, len(keys) - n_words + 2), bool)  # places with n_words - 1 words of one piece
+    for k in range(n_words - 2):
+        whole &= joined[k : k + len(whole)]
+    at = np.flatnonzero(whole)
+    at = at[shorter.holds(phrase_hashes([keys[at + k] for k in range(n_words - 1)], of_lang[at]))]
+    fine = np.zeros(len(keys) + 1, bool)
+    fine[at] = True
+    at = at[fine[at + 1] & joined[at]]
+    return [of_lang[at], *(keys[at + k] for k in range(n_words))]
+
+
+class Crowded:
+    """Buckets of phrases, by hash, in which enough phrases lie: a bit each."""
+
+    def __init__(self, bytes_: np.ndarray, bits: int):
+        self.bytes, self.bits = bytes_, bits
+
+    def holds(self, hashes: np.ndarray) -> np.ndarray:
+        at = buckets(hashes, self.bits)
+        return self.bytes[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0
+
+
+def buckets(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes >> U64(64 - bits)).astype(np.int64)
+
+
+def crowded(texts: DataFrame, n_words: int, shorter: Broadcast, seed: int, least: int, bits: int) -> Broadcast:
+    """The buckets, of 2 ** bits, with `least` occurrences or more of candidates of `n_words` words together.
+
+    A phrase that occurs so often lies in one of them, so that all others needn't be counted phrase by phrase. A task counts
+    up to `least` in each bucket, which is enough to tell; the tasks' counts are added up block by block.
+    """
 
-def counted_phrases(texts: DataFrame, n_words: int, shorter: Broadcast, seed: int) -> DataFrame:
-    """(lang, k0, k1, ..., n): phrases of `n_words` words, both of whose phrases of one word less pass the filter `shorter`."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << bits, np.min_scalar_type(least))
+        for part, raw, offsets in buffers(batches, "text", BUFFER_ROWS, BUFFER_BYTES):
+            lang, *keys = candidates(part, raw, offsets, n_words, shorter.value, seed, {})
+            at, n = np.unique(buckets(phrase_hashes(keys, lang), bits), return_counts=True)
+            counts[at] = np.minimum(counts[at] + n, least)
+        for number, block in enumerate(counts.reshape(-1, BLOCK)):
+            if block.any():
+                yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([block.tobytes()])], ["block", "counts"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict = {}
+        for batch in batches:
+            for number, counts in zip(batch.column("block").to_pylist(), batch.column("counts"), strict=True):
+                block = sums.setdefault(number, np.zeros(BLOCK, np.int64))
+                block += np.frombuffer(counts.as_buffer(), np.min_scalar_type(least))
+        for number, block in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([np.packbits(block >= least, bitorder="little").tobytes()])], ["block", "bits"])
+
+    found = texts.mapInArrow(run, "block long, counts binary").repartition("block").mapInArrow(added, "block long, bits binary").toArrow()  # 2 ** bits bits
+    out = np.zeros(((1 << bits) // BLOCK, BLOCK >> 3), np.uint8)
+    for number, row in zip(found.column("block").to_pylist(), found.column("bits").to_pylist(), strict=True):
+        out[number] = np.frombuffer(row, np.uint8)
+    return texts.sparkSession.sparkContext.broadcast(Crowded(out.ravel(), bits))
+
+
+def counted_phrases(texts: DataFrame, n_words: int, shorter: Broadcast, seed: int, among: Broadcast | None = None) -> DataFrame:
+    """(lang, k0, k1, ..., n): phrases of `n_words` words, both of whose phrases of one word less pass the filter `shorter`,
+    and which lie in the buckets `among`."""
     names = [f"k{k}" for k in range(n_words)]
 
-    def found(part: pa.RecordBatch, raw: np.ndarray, offsets: np.ndarray, langs: dict) -> list[np.ndarray]:
-        """Language and word keys of all such phrases of some texts."""
-        keys, _, _, text, joined = word_keys(LOWER[raw], offsets, seed)
-        lang = part.column("lang").dictionary_encode()
-        known = lang.dictionary.to_pylist()
-        of_each = lang_keys(known)
-        langs.update(zip(of_each.tolist(), known, strict=True))
-        of_lang = of_each[lang.indices.to_numpy()[text]] if len(text) else np.zeros(0, np.uint64)
-        whole = np.ones(max(0, len(keys) - n_words + 2), bool)  # places with n_words - 1 words of one piece
-        for k in range(n_words - 2):
-            whole &= joined[k : k + len(whole)]
-        at = np.flatnonzero(whole)
-        at = at[shorter.value.holds(phrase_hashes([keys[at + k] for k in range(n_words - 1)], of_lang[at]))]
-        fine = np.zeros(len(keys) + 1, bool)
-        fine[at] = True
-        at = at[fine[at + 1] & joined[at]]
-        return [of_lang[at], *(keys[at + k] for k in range(n_words))]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs: dict = {}
         sums = [np.zeros(0, np.uint64)] * (n_words + 1), np.zeros(0, np.int64)
@@ -128,7 +208,10 @@ def counted_phrases(texts: DataFrame, n_words: int, shorter: Broadcast, seed: in
             return pa.RecordBatch.from_arrays(arrays, ["lang", *names, "n"])
 
         for part, raw, offsets in buffers(batches, "text", BUFFER_ROWS, BUFFER_BYTES):
-            own = found(part, raw, offsets, langs)
+            own = candidates(part, raw, offsets, n_words, shorter.value, seed, langs)
+            if among is not None:
+                crowd = among.value.holds(phrase_hashes(own[1:], own[0]))
+                own = [c[crowd] for c in own]
             columns = [np.concatenate(c) for c in zip(sums[0], own, strict=True)]
             places, n = distinct_counts(phrase_hashes(columns[1:], columns[0]), columns, np.append(sums[1], np.ones(len(own[0]), np.int64)))
             sums = [c[places] for c in columns], n
@@ -218,7 +301,8 @@ def collocations(docs: DataFrame, least: int = 100, most_words: int = 5, top: in
 
     Words are counted with 64-bit keys, and counted anew with other keys should two share one where it matters. A phrase is
     counted only where both phrases of one word less within it pass a filter of the frequent ones, of bounded size; what
-    passes wrongly is counted and dropped. Counts are summed in tasks before they are shuffled.
+    passes wrongly is counted and dropped. Phrases of three words, most of which are chance meetings of two frequent pairs, must
+    also lie in a bucket of a sketch with `least` occurrences. Counts are summed in tasks before they are shuffled.
     """
     texts = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
     seed = 0
@@ -229,11 +313,15 @@ def collocations(docs: DataFrame, least: int = 100, most_words: int = 5, top: in
         dropped(vocabulary)
         seed += 1
     frequent = vocabulary.where(f"n >= {least}")
+    bits = ((vocabulary.agg(F.sum("n")).first()[0] or 0) // BUCKET_WORDS).bit_length()
+    bits = min(BUCKET_BITS[1], max(BUCKET_BITS[0], bits))
     levels = [frequent.select("lang", "k0", "n")]
     for n_words in range(2, most_words + 1):
         if levels[-1].isEmpty():
             break
-        levels.append(written(counted_phrases(texts, n_words, filter_of(frequent_hashes(levels[-1], n_words - 1)), seed).where(f"n >= {least}")))
+        shorter = filter_of(frequent_hashes(levels[-1], n_words - 1))
+        among = crowded(texts, n_words, shorter, seed, least, bits) if n_words == 3 else None  # most pairs that meet are no phrase
+        levels.append(written(counted_phrases(texts, n_words, shorter, seed, among).where(f"n >= {least}")))
     phrases = reduce(DataFrame.unionByName, [x.select("lang", F.array(*[f"k{k}" for k in range(n_words)]).alias("words"), F.col("n").alias("f")) for n_words, x in enumerate(levels, 1)])
     ahead = stream(phrases, "words", most_words).where("size(words) > 1").withColumnsRenamed({"f": "a", "parts": "left_parts"})
     back = stream(phrases, "reverse(words)", most_words).where("size(words) > 1").select("lang", "words", F.col("parts").alias("right_parts"), F.col("covered").alias("covered_before"))
