@@ -320,6 +320,19 @@ def test_dropout_is_drawn_for_each_place():
     assert len({tuple(x.tolist()) for x in np.split(ids, starts[1:])}) > 8
 
 
+def test_only_words_that_lose_a_merge_run_again(monkeypatch):
+    """A skipped candidate that wouldn't have merged changes nothing; agendas of many words, in parts, are those of each word."""
+    monkeypatch.setattr(bpe, "CACHED", 50)
+    model, again = sentencepieces.PieceBPE(PIECE, 0.05, 5), []
+    text = "information " * 500
+    model.encode(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]), np.array([1]))
+    plain = model._merged
+    monkeypatch.setattr(model, "_merged", lambda s, n, *more: again.append(len(n)) or plain(s, n, *more))
+    ids, _ = model.encode(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]), np.array([7]))
+    assert ids.tolist() == brute_pieces(model, text, 7)
+    assert len(again) == 1 and 100 < again[0] < 275  # 11 merges a word: 0.43 of the words; with all candidates more than 0.6
+
+
 def twins(n):
     """The Thue-Morse word of n letters and its complement: polynomial hashes modulo 2^64 give both one value."""
     a, b = "a", "b"

@@ -14,6 +14,8 @@ from tidelog.llm.vec import HashIndex, mixed, ragged, same_spans, span_hashes, u
 NONE = np.iinfo(np.int32).max
 #: Sequences of more symbols go through the heap, whose cost doesn't grow with symbols times merges.
 HEAP_FROM = 200
+#: Symbols that an agenda of many sequences takes at once.
+CACHED = 1 << 17
 #: Distinct pre-tokens remembered by a worker before it starts afresh.
 MEMO_SIZE = 1 << 20
 
@@ -39,8 +41,11 @@ class Merges:
         return self._dict.get(left << 32 | right)
 
 
-def merge_one(symbols: list[int], merges: Merges, dropped: Callable[[int, int, int], bool] | None = None) -> list[int]:
-    """One sequence by an agenda: the lowest rank, then the leftmost candidate; `dropped(start, middle, end)` skips a candidate."""
+def merge_one(symbols: list[int], merges: Merges, dropped: Callable[[int, int, int], bool] | None = None, applied: Callable[[int, int, int], None] | None = None) -> list[int]:
+    """One sequence by an agenda: the lowest rank, then the leftmost candidate; `dropped(start, middle, end)` skips a candidate.
+
+    `applied` is told of each merge.
+    """
     n = len(symbols)
     sym, after, before, end = list(symbols), [*range(1, n + 1)], [*range(-1, n - 1)], [*range(1, n + 1)]
     agenda: list[tuple[int, int, int, int, int]] = []
@@ -57,6 +62,8 @@ def merge_one(symbols: list[int], merges: Merges, dropped: Callable[[int, int, i
         _, i, j, stop, result = heapq.heappop(agenda)
         if not alive[i] or not alive[j] or after[i] != j or end[j] != stop or end[i] != j:
             continue
+        if applied:
+            applied(i, j, stop)
         sym[i], end[i], alive[j], after[i] = result, stop, False, after[j]
         if after[i] < n:
             before[after[i]] = i
@@ -66,31 +73,21 @@ def merge_one(symbols: list[int], merges: Merges, dropped: Callable[[int, int, i
     return [sym[i] for i in range(n) if alive[i]]
 
 
-def merge_many(symbols: np.ndarray, lengths: np.ndarray, merges: Merges, dropped: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray] | None = None, one_at_a_time: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def merge_many(symbols: np.ndarray, lengths: np.ndarray, merges: Merges) -> tuple[np.ndarray, np.ndarray]:
     """Merge all sequences to the end; returns symbols and lengths in the same order.
 
     Each round looks up the pairs that changed, takes the lowest rank of every sequence and merges all its places at once
-    (of overlapping ones every second, from the left), or only the leftmost with `one_at_a_time`. A sequence without
-    candidates leaves. `dropped(sequence, start, middle, end)` says which candidates are skipped.
+    (of overlapping ones every second, from the left). A sequence without candidates leaves.
     """
     seq = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
     sym = symbols.astype(np.int32)
-    first = np.cumsum(lengths) - lengths
-    placed = dropped is not None
-    start = np.arange(len(sym), dtype=np.int64) - first[seq] if placed else sym
-    stop = start + 1 if placed else sym
     rank, result = np.full(len(sym), NONE, np.int32), np.zeros(len(sym), np.int32)
     changed = np.arange(max(0, len(sym) - 1))
     done_sym, done_seq = [], []
     while len(sym):
         changed = changed[seq[changed] == seq[changed + 1]] if len(sym) > 1 else changed[:0]
         if len(changed):
-            r, x = merges.find(sym[changed], sym[changed + 1])
-            if dropped is not None:
-                some = np.flatnonzero(r != NONE)
-                at = changed[some]
-                r[some[dropped(seq[at], start[at], stop[at], stop[at + 1])]] = NONE
-            rank[changed], result[changed] = r, x
+            rank[changed], result[changed] = merges.find(sym[changed], sym[changed + 1])
         heads = np.flatnonzero(np.concatenate(([True], seq[1:] != seq[:-1])))
         low = np.minimum.reduceat(rank, heads)
         sizes = np.diff(np.append(heads, len(sym)))
@@ -101,24 +98,18 @@ def merge_many(symbols: np.ndarray, lengths: np.ndarray, merges: Merges, dropped
             done_seq.append(seq[over])
             keep = ~over
             sym, seq, rank, result, each = sym[keep], seq[keep], rank[keep], result[keep], each[keep]
-            start, stop = (start[keep], stop[keep]) if placed else (sym, sym)
             if not len(sym):
                 break
         at = np.flatnonzero(rank == each)
-        if one_at_a_time:
-            at = at[np.concatenate(([True], seq[at][1:] != seq[at][:-1]))]
-        elif len(at) > 1:
+        if len(at) > 1:
             fresh = np.concatenate(([True], np.diff(at) != 1))
             place = np.arange(len(at))
             at = at[(place - np.maximum.accumulate(np.where(fresh, place, 0))) % 2 == 0]
         sym[at] = result[at]
-        if placed:
-            stop[at] = stop[at + 1]
         keep = np.ones(len(sym), bool)
         keep[at + 1] = False
         rank[at] = NONE
         sym, seq, rank, result = sym[keep], seq[keep], rank[keep], result[keep]
-        start, stop = (start[keep], stop[keep]) if placed else (sym, sym)
         at -= np.arange(len(at))
         rank[at] = NONE
         left = at[at > 0] - 1
@@ -131,6 +122,79 @@ def merge_many(symbols: np.ndarray, lengths: np.ndarray, merges: Merges, dropped
     return sym[order], np.bincount(seq, minlength=len(lengths))
 
 
+def merge_each(symbols: np.ndarray, lengths: np.ndarray, merges: Merges, dropped: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray] | None = None, applied: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], None] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """All sequences by an agenda each, as `merge_one`, a candidate of every sequence a round; symbols and lengths in the same order.
+    `dropped(sequence, start, middle, end)` says which candidates are skipped, `applied` is told of those that merge.
+
+    Symbols keep their places and are linked, so that a round costs one minimum over the candidates held, and else work in
+    proportion to its merges; finished sequences leave once they are a quarter. Some CACHED symbols at a time, whose arrays
+    stay in a core's cache.
+    """
+    ends = np.cumsum(lengths)
+    if len(symbols) > 2 * CACHED:
+        cuts = np.unique(np.searchsorted(ends, np.arange(CACHED, len(symbols), CACHED)))
+        cuts = np.concatenate(([0], cuts[(cuts > 0) & (cuts < len(lengths))], [len(lengths)])).tolist()
+        edges, parts = np.append(0, ends), []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            both = (f and (lambda seq, *place, a=a, f=f: f(seq + a, *place)) for f in (dropped, applied))
+            parts.append(_merge_each(symbols[edges[a] : edges[b]], lengths[a:b], merges, *both))
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    return _merge_each(symbols, lengths, merges, dropped, applied)
+
+
+def _merge_each(symbols: np.ndarray, lengths: np.ndarray, merges: Merges, dropped, applied) -> tuple[np.ndarray, np.ndarray]:
+    sym, lengths = symbols.astype(np.int32), lengths.astype(np.int64)
+    first = np.cumsum(lengths) - lengths
+    after = np.arange(1, len(sym) + 1) - np.repeat(first, lengths)  # the next symbol's place in the sequence, and so this one's end
+    before, result, alive = after - 2, np.zeros(len(sym), np.int32), np.ones(len(sym), bool)
+    none = np.int64(NONE) << 32
+
+    def offers(seq: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Rank and place of the candidates that begin there."""
+        out, at = none | place, first[seq] + place
+        inside = np.flatnonzero(after[at] < lengths[seq])
+        seq, place, at = seq[inside], place[inside], at[inside]
+        middle = after[at]
+        other = first[seq] + middle
+        rank, result[at] = merges.find(sym[at], sym[other])
+        if dropped is not None:
+            some = np.flatnonzero(rank != NONE)
+            rank[some[dropped(seq[some], place[some], middle[some], after[other[some]])]] = NONE
+        out[inside] = rank.astype(np.int64) << 32 | place
+        return out
+
+    seq = np.flatnonzero(lengths > 1)
+    size = lengths[seq]
+    key, base = offers(np.repeat(seq, size), ragged(np.zeros(len(seq), np.int64), size)), np.cumsum(size) - size
+    while len(seq):
+        best = np.minimum.reduceat(key, base)
+        going = best < none
+        if 4 * np.count_nonzero(going) <= 3 * len(seq):
+            key, seq, best = key[np.repeat(going, lengths[seq])], seq[going], best[going]
+            base = np.cumsum(lengths[seq]) - lengths[seq]
+            now, held = seq, base
+        else:
+            now, held, best = seq[going], base[going], best[going]
+        place = best & 0xFFFFFFFF
+        head = first[now]
+        at = head + place
+        gone = after[at]
+        sym[at] = result[at]
+        alive[head + gone] = False
+        after[at] = end = after[head + gone]
+        if applied is not None:
+            applied(now, place, gone, end)
+        key[held + gone] = none | gone
+        inner = np.flatnonzero(end < lengths[now])
+        before[head[inner] + end[inner]] = place[inner]
+        left = before[at]
+        more = np.flatnonzero(left >= 0)
+        place = np.append(place, left[more])
+        key[np.append(held, held[more]) + place] = offers(np.append(now, now[more]), place)
+    total = np.append(0, np.cumsum(alive))
+    return sym[alive], total[first + lengths] - total[first]
+
+
 class Memo:
     """Symbols of the distinct spans met so far, found by hash and compared byte by byte; starts afresh beyond MEMO_SIZE spans."""
 

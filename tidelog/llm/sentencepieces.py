@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.bpe import HEAP_FROM, Memo, Merges, code_points, keyed, merge_many, merge_one
+from tidelog.llm.bpe import HEAP_FROM, Memo, Merges, code_points, keyed, merge_each, merge_one
 from tidelog.llm.vec import U64, pieces, ragged
 
 MARK = "▁"
@@ -51,31 +51,32 @@ class PieceBPE:
         symbols = self.symbol[points]
         return np.where(symbols < 0, -1 - points, symbols), lengths
 
-    def _merged(self, symbols: np.ndarray, lengths: np.ndarray, dropped=None) -> tuple[np.ndarray, np.ndarray]:
-        """Pieces of the words and their numbers. `dropped(word, start, middle, end)` says which candidates are skipped."""
+    def _merged(self, symbols: np.ndarray, lengths: np.ndarray, dropped=None, applied=None) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of the words and their numbers. `dropped(word, start, middle, end)` says which candidates are skipped,
+        `applied` is told of those that merge."""
         short = lengths <= HEAP_FROM
         if short.all():
-            return self._with_bytes(*merge_many(symbols, lengths, self.merges, dropped, one_at_a_time=True))
+            return self._with_bytes(*merge_each(symbols, lengths, self.merges, dropped, applied))
         small, first = np.flatnonzero(short), np.cumsum(lengths) - lengths
-        narrowed = dropped and (lambda word, *place: dropped(small[word], *place))
-        out, counts = merge_many(symbols[np.repeat(short, lengths)], lengths[small], self.merges, narrowed, one_at_a_time=True)
+        narrowed = (f and (lambda word, *place, f=f: f(small[word], *place)) for f in (dropped, applied))
+        out, counts = merge_each(symbols[np.repeat(short, lengths)], lengths[small], self.merges, *narrowed)
         done = dict(zip(small.tolist(), np.split(out, np.cumsum(counts)[:-1]) if len(small) else [], strict=True))
         for i in np.flatnonzero(~short).tolist():
-            one = dropped and (lambda *place, i=i: bool(dropped(np.array([i]), *(np.array([x]) for x in place))[0]))
-            done[i] = np.array(merge_one(symbols[first[i] : first[i] + lengths[i]].tolist(), self.merges, one), np.int32)
+            one, told = (f and (lambda *place, i=i, f=f: f(np.array([i]), *(np.array([x]) for x in place))) for f in (dropped, applied))
+            done[i] = np.array(merge_one(symbols[first[i] : first[i] + lengths[i]].tolist(), self.merges, one, told), np.int32)
         rows = [done[i] for i in range(len(lengths))]
         return self._with_bytes(np.concatenate(rows), np.array([len(x) for x in rows]))
 
     def _compute(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pieces of words without dropout; behind each word's pieces come the candidates that its agenda met."""
+        """Pieces of words without dropout; behind each word's pieces come the candidates that merged. While those stay, the
+        others don't matter: each merge is the best of all candidates, and so of any that hold it."""
         symbols, lengths = self._symbols(data, starts, ends)
         met = [np.zeros((2, 0), np.int64)]
 
         def note(word, start, middle, end):
             met.append(np.stack((word, start << 42 | middle << 21 | end)))
-            return np.zeros(len(word), bool)
 
-        pieces, counts = self._merged(symbols, lengths, note if self.limit else None)
+        pieces, counts = self._merged(symbols, lengths, None, note if self.limit else None)
         word, place = np.concatenate(met, axis=1)
         order = np.argsort(word, kind="stable")
         word, place = word[order], place[order]
@@ -108,7 +109,7 @@ class PieceBPE:
         """Ids of all texts and each text's range. A candidate is skipped by the hash of the seed, its text's integer of
         `keys`, its word's place in the text and its own place in the word.
 
-        Words whose candidates all stay have the pieces of an earlier run without dropout; the others run on their own.
+        Words whose merges all stay have the pieces of an earlier run without dropout; the others run on their own.
         """
         filled = np.flatnonzero(np.diff(offsets))
         data = np.insert(data, offsets[:-1][filled], 32)
@@ -131,7 +132,9 @@ class PieceBPE:
             halves = pool[ragged(at + 1 + count, 2 * offers)]
             place = np.ascontiguousarray(halves).view("<i8")
             word = np.repeat(np.arange(len(starts)), offers)
-            again = np.unique(word[keyed(self.seed, own[word], place) < self.limit])
+            skipped = np.zeros(len(starts), bool)
+            skipped[word[keyed(self.seed, own[word], place) < self.limit]] = True
+            again = np.flatnonzero(skipped)
         size = count.copy()
         if len(again):
             symbols, lengths = self._symbols(data, starts[again], ends[again])
