@@ -539,6 +539,13 @@ def test_lm(docs):
     assert all(r.base_score == 0 and r.n_known == 0 and abs(r.bits_per_byte - 8) < 0.1 for r in untrained)
 
 
+def test_lm_counts_go_to_the_shuffle_as_tasks_made_them(docs):
+    """Tasks have added up their windows: no second sum of the same rows before they are dealt."""
+    plan = lm.tallied(docs.select(F.coalesce("text", F.lit("")).alias("text"), F.lit(True).alias("learn")))._jdf.queryExecution().executedPlan().toString()
+    above = plan.split("MapInArrow")[0]
+    assert "Aggregate" in above and "Aggregate" not in above[above.rindex("Exchange") :]
+
+
 def test_lm_is_the_same_however_rows_are_dealt(docs, monkeypatch):
     results = []
     for parts in (1, 5):

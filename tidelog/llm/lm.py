@@ -112,7 +112,8 @@ class Tally:
 def tallied(docs: DataFrame) -> DataFrame:
     """Counts of documents (text, learn): rows (a, b, n, m) of n occurrences to learn from among m.
 
-    b = 0: a is a window; b odd: a and b are a word's hashes; b = 2: texts. Each task adds up its own first.
+    b = 0: a is a window; b odd: a and b are a word's hashes; b = 2: texts. Each task adds up its own first, so that its rows
+    are dealt as they are: Spark's own sums before the shuffle would find hardly two alike.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +142,7 @@ def tallied(docs: DataFrame) -> DataFrame:
         yield from passed_on(0)
         yield rows(np.zeros(1), np.full(1, 2), texts[:1], texts[1:])
 
-    return docs.mapInArrow(run, "a long, b long, n long, m long").groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    return docs.mapInArrow(run, "a long, b long, n long, m long").repartition("a", "b").groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
 
 
 def byte_of(windows: np.ndarray) -> np.ndarray:
