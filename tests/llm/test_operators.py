@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -546,6 +547,36 @@ def test_lm_counts_go_to_the_shuffle_as_tasks_made_them(docs):
     assert "Aggregate" in above and "Aggregate" not in above[above.rindex("Exchange") :]
 
 
+@pytest.mark.parametrize(("tally", "occurrences"), [(1 << 21, 1 << 30), (40, 1 << 30), (40, 300)])
+def test_lm_tasks_pass_on_few_rows(spark, monkeypatch, tally, occurrences):
+    """A key that a task holds is one row, whether it is learned from or not; common ones are held while rare ones go."""
+    monkeypatch.setattr(lm, "TALLY", tally)
+    monkeypatch.setattr(lm, "OCCURRENCES", occurrences, raising=False)
+    monkeypatch.setattr(lm, "PIECE", 64)
+    rng, made = random.Random(3), []
+    texts = ["common words " * rng.randint(2, 5) + "".join(rng.choices("abcdefgh", k=9)) for _ in range(60)]
+    batch = pa.RecordBatch.from_pydict({"text": texts, "learn": [i % 3 > 0 for i in range(60)]})
+
+    class Docs:
+        def mapInArrow(self, run, schema):
+            made.extend(r for part in run(iter([batch])) for r in zip(*(c.to_pylist() for c in part.columns), strict=True))
+            return spark.createDataFrame(made, schema)
+
+    sums = {(r.a, r.b): (r.n, r.m) for r in lm.tallied(Docs()).collect()}
+    windows, bounds, one, two, ranges = lm_windows(texts)
+    want = {}
+    for keys, others, edges in ((windows, np.zeros_like(windows), bounds), (one, two | np.uint64(1), ranges)):
+        text = np.searchsorted(edges, np.arange(len(keys)), "right") - 1
+        for *key, i in zip(keys.view(np.int64).tolist(), others.view(np.int64).tolist(), text.tolist(), strict=True):
+            n, m = want.get(tuple(key), (0, 0))
+            want[tuple(key)] = n + (i % 3 > 0), m + 1
+    assert sums == {**want, (0, 2): (40, 60)}
+    if tally > len(want):
+        assert len(made) == len(sums)
+    elif occurrences > 1000:
+        assert max(Counter(r[:2] for r in made if want.get(r[:2], (0, 0))[1] > 100).values()) <= 2
+
+
 def test_lm_is_the_same_however_rows_are_dealt(docs, monkeypatch):
     results = []
     for parts in (1, 5):

@@ -36,6 +36,8 @@ PIECE = 1 << 20
 CHUNK = 1 << 15
 #: Distinct windows or words that a task holds before it passes them on.
 TALLY = 1 << 21
+#: A key's count to learn from is kept above its count in all; occurrences after which a task passes on all that it holds.
+LEARNED, OCCURRENCES = 1 << 32, 1 << 30
 #: Windows and words at most of which every task holds costs and counts, the commonest ones; all others are joined.
 COMMON_WINDOWS, COMMON_WORDS = 1 << 21, 1 << 18
 FIXED = 1 << 16
@@ -64,13 +66,8 @@ def stream(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return windows, np.append(0, np.cumsum(lengths)), span_hashes(low, starts, ends), span_hashes(low, starts, ends, 1), ranges
 
 
-def distinct(a: np.ndarray, b: np.ndarray | None, counts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
-    """Keys (a, b) that differ from the one before them in the order of a, and how often they come; nearly always distinct."""
-    if b is None and counts is None:
-        a = np.sort(a)
-    else:
-        order = np.argsort(a, kind="stable")
-        a, b, counts = a[order], None if b is None else b[order], None if counts is None else counts[order]
+def summed(a: np.ndarray, b: np.ndarray | None, counts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
+    """Keys (a, b) that differ from the one before them, and how often they come."""
     new = np.ones(len(a), bool)
     new[1:] = a[1:] != a[:-1]
     if b is not None:
@@ -83,37 +80,63 @@ def distinct(a: np.ndarray, b: np.ndarray | None, counts: np.ndarray | None) ->
     return a[at], None if b is None else b[at], sums
 
 
+def distinct(a: np.ndarray, b: np.ndarray | None, counts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
+    """Keys (a, b) that differ from the one before them in the order of a, and how often they come; nearly always distinct."""
+    if b is None and counts is None:
+        return summed(np.sort(a), None, None)
+    order = np.argsort(a, kind="stable")
+    return summed(a[order], None if b is None else b[order], None if counts is None else counts[order])
+
+
 class Tally:
-    """Keys of a task and their counts, merged as they come."""
+    """Keys of a task, each once with its counts: occurrences to learn from times LEARNED plus all, merged as they come."""
 
     def __init__(self):
         self.parts: list[tuple[np.ndarray, np.ndarray | None, np.ndarray]] = []
-
-    def add(self, a: np.ndarray, b: np.ndarray | None = None) -> None:
-        self.parts.append(distinct(a, b, None))
+        self.occurrences = 0
+
+    def add(self, a: np.ndarray, b: np.ndarray | None, learn: np.ndarray) -> None:
+        """Occurrences of keys (a, b); `learn` is 1 or 0 for each. Without b, a has less than 64 bits."""
+        self.occurrences += len(a)
+        if b is None:
+            marked = np.sort(a << U64(1) | learn)
+            self.parts.append(summed(marked >> U64(1), None, (marked & U64(1)) * U64(LEARNED) + U64(1)))
+        else:
+            self.parts.append(distinct(a, b, learn * U64(LEARNED) + U64(1)))
         if len(self.parts) > 1 and sum(len(p[0]) for p in self.parts[1:]) > max(TALLY // 4, len(self.parts[0][0])):
             self._merge()
 
     def _merge(self) -> None:
-        columns = zip(*self.parts, strict=True)
-        self.parts = [distinct(*(None if c[0] is None else np.concatenate(c) for c in columns))]
+        if len(self.parts) > 1:
+            columns = zip(*self.parts, strict=True)
+            self.parts = [distinct(*(None if c[0] is None else np.concatenate(c) for c in columns))]
+
+    def take(self, limit: int = 0) -> tuple[np.ndarray, np.ndarray | None, np.ndarray, np.ndarray] | None:
+        """If there are more than `limit` keys, the rarer half at least, whose place is free then: (a, b, n to learn from, m in all).
 
-    def take(self, limit: int = 0) -> tuple[np.ndarray, np.ndarray | None, np.ndarray] | None:
-        """All keys if there are more than `limit`, and nothing is held any more."""
-        if not self.parts or sum(len(p[0]) for p in self.parts) <= limit:
+        Common keys stay and go on adding up, so that they don't go to the shuffle again and again. All go at a limit of 0.
+        """
+        whole = not limit or self.occurrences >= OCCURRENCES  # counts of both kinds fit 32 bits
+        if not self.parts or not whole and sum(len(p[0]) for p in self.parts) <= limit + limit // 4:
             return None
         self._merge()
-        if len(self.parts[0][0]) <= limit:
+        a, b, counts = self.parts[0]
+        if not whole and len(a) <= limit:
             return None
-        (out,), self.parts = self.parts, []
-        return out
+        n, m = (counts // U64(LEARNED)).astype(np.int64), (counts % U64(LEARNED)).astype(np.int64)
+        if whole:
+            self.parts, self.occurrences = [], 0
+            return a, b, n, m
+        go = m <= np.partition(m, len(m) // 2)[len(m) // 2]
+        self.parts = [(a[~go], None if b is None else b[~go], counts[~go])] if not go.all() else []
+        return a[go], None if b is None else b[go], n[go], m[go]
 
 
 def tallied(docs: DataFrame) -> DataFrame:
     """Counts of documents (text, learn): rows (a, b, n, m) of n occurrences to learn from among m.
 
-    b = 0: a is a window; b odd: a and b are a word's hashes; b = 2: texts. Each task adds up its own first, so that its rows
-    are dealt as they are: Spark's own sums before the shuffle would find hardly two alike.
+    b = 0: a is a window; b odd: a and b are a word's hashes; b = 2: texts. Each task adds up its own first, a row for each
+    key it holds, so that its rows are dealt as they are: Spark's own sums before the shuffle would find few alike.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,19 +147,16 @@ def tallied(docs: DataFrame) -> DataFrame:
 
         def passed_on(limit: int) -> Iterator[pa.RecordBatch]:
             if found := windows.take(limit):
-                # a window with and without the mark to learn is one row
-                learned = found[2] * (found[0] & U64(1)).astype(np.int64)
-                a, _, m = distinct(found[0] >> U64(1), None, found[2])
-                yield rows(a, np.zeros(len(a)), distinct(found[0] >> U64(1), None, learned)[2], m)
+                yield rows(found[0], np.zeros(len(found[0])), *found[2:])
             if found := vocabulary.take(limit):
-                yield rows(found[0], found[1] | U64(1), found[2] * (found[1] & U64(1)).astype(np.int64), found[2])
+                yield rows(*found)
 
         for batch in batches:
             for part, data, offsets in pieces(batch, "text", PIECE):
                 learn = part.column(1).to_numpy(zero_copy_only=False).astype(np.uint64)
                 found, bounds, one, two, ranges = stream(data, offsets)
-                windows.add(found << U64(1) | np.repeat(learn, np.diff(bounds)))
-                vocabulary.add(one, two & ~U64(1) | np.repeat(learn, np.diff(ranges)))
+                windows.add(found, None, np.repeat(learn, np.diff(bounds)))
+                vocabulary.add(one, two | U64(1), np.repeat(learn, np.diff(ranges)))
                 texts += int(learn.sum()), len(learn)
                 yield from passed_on(TALLY)
         yield from passed_on(0)
